@@ -41,3 +41,44 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 def held_out(doc_id: str = "doc_id") -> F.Column:
     """True for rows whose crc32 of the id as text leaves remainder 0 by 5; no label of theirs is learnt from."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, positives: int, negatives: int, longest: int, total: int):
+    """(texts, targets, share of ones among all usable labels): at most so many rows of each label, in the order of a hash of the id.
+
+    Held-out rows are never taken; neither are texts over `longest` characters (they are scored all
+    the same); what exceeds `total` characters is left. The bounds hold at every size of input.
+    """
+    usable = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(label).alias("y"))
+    counts = {r["y"]: r["n"] for r in usable.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    order = F.xxhash64(F.col("doc_id"), F.lit(17))
+    picked = None
+    for y, most in ((1, positives), (0, negatives)):
+        some = usable.where(F.col("y") == y).orderBy(order, "doc_id").limit(most)
+        picked = some if picked is None else picked.unionByName(some)
+    texts = docs.where("text is not null").where(F.length("text") <= longest).select("doc_id", "text")
+    rows = texts.join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id", "text").limit(positives + negatives).toLocalIterator()
+    found, ys, held = [], [], 0
+    for row in rows:
+        held += len(row["text"])
+        if held > total:
+            break
+        found.append(row["text"])
+        ys.append(row["y"])
+    n = sum(counts.values())
+    return found, ys, counts.get(1, 0) / n if n else 0.0
+
+
+def best_cut(logits, targets, weights) -> float:
+    """The cut with least weighted error, in the middle of its gap."""
+    import numpy as np
+
+    order = np.argsort(logits, kind="stable")
+    z, y, w = logits[order], targets[order], weights[order]
+    wrong = np.concatenate(([0.0], np.cumsum(w * y))) + np.concatenate((np.cumsum((w * (1 - y))[::-1])[::-1], [0.0]))
+    ends = np.concatenate(([z[0] - 1], (z[1:] + z[:-1]) / 2, [z[-1] + 1]))
+    same = np.concatenate(([False], z[1:] == z[:-1], [False]))
+    wrong[same] = np.inf
+    gap = np.concatenate(([1.0], z[1:] - z[:-1], [1.0]))
+    near = wrong <= wrong.min() + 1e-12
+    return float(ends[np.where(near, gap, -1).argmax()])

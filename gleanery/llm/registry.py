@@ -6,7 +6,10 @@ import importlib
 
 # operator number: module and function; each is imported when first asked for
 _MODULES = {
+    "op1_simhash_dedup": "simhash",
     "op3_warc": "warc",
+    "op4_toxicity": "toxicity",
+    "op5_quality": "quality",
     "op7_url_filter": "url_filter",
     "op9_secret_scan": "secrets",
     "op10_byte_bpe": "bpe",

@@ -58,7 +58,7 @@ def parts(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)
     weak = F.concat(_spans(column, KEY, 3, F.col("_key")), _spans(column, ENDPOINT, 4, F.col("_endpoint")))
     any_found = F.size("_assign") + F.size("_access") + F.size("_hex") > 0
     none = F.array().cast(SPAN)
-    return three.select(*keep, F.when(any_found, F.md5(F.encode("_text", "UTF-8"))).alias("text_key"), F.when(any_found, base).otherwise(none).alias("base"), F.when(strong, weak).otherwise(none).alias("weak"))
+    return three.select(*keep, F.when(any_found, F.md5(F.encode("_text", "UTF-8"))).otherwise(F.concat(F.lit("-"), F.xxhash64(*keep).cast("string"))).alias("text_key"), F.when(any_found, base).otherwise(none).alias("base"), F.when(strong, weak).otherwise(none).alias("weak"))
 
 
 def linked(found: DataFrame, scope: int = 400) -> DataFrame:
