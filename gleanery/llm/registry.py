@@ -7,10 +7,13 @@ import importlib
 # operator number: module and function; each is imported when first asked for
 _MODULES = {
     "op1_simhash_dedup": "simhash",
+    "op2_license_scan": "licenses",
     "op3_warc": "warc",
     "op4_toxicity": "toxicity",
     "op5_quality": "quality",
+    "op6_ann_forest": "forest",
     "op7_url_filter": "url_filter",
+    "op8_decontaminate": "decontaminate",
     "op9_secret_scan": "secrets",
     "op10_byte_bpe": "bpe",
 }
