@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from gleanery.plans import catalog, content, evaluation, fusion, ledgers, lexical, lookup, memory, sinks, streams, training, vectors  # noqa: F401
+
 
 def queries() -> dict:
-    return {}
+    return dict(catalog.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(catalog.SQL)
