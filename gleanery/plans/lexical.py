@@ -1 +1,177 @@
-"""Queries, being written."""
+"""Queries of lexical retrieval."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gleanery.functions import text as tx
+from gleanery.functions.stem import with_stems
+from gleanery.operators import lexical as ops
+from gleanery.plans.catalog import DOCS, docs, query, table
+
+COLUMNS = {"filepath": F.col, "title": F.col, "body": F.col}
+
+
+def _columns():
+    return {"filepath": F.concat("collection", F.lit("/"), "path"), "title": tx.stem_of(F.col("path")), "body": F.col("body")}
+
+
+def _queries(spark, sf, words: int = 2):
+    """The first words of each benchmark item, each a prefix."""
+    b = table(spark, sf, "benchmark")
+    return b.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(tx.tokens(F.col("text")), 1, words), " ").alias("text"))
+
+
+def _all(spark, sf):
+    d = docs(spark, sf)
+    return ops.postings(d, _columns()), ops.doc_stats(d, _columns())
+
+
+TOK = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
+BASE = f"""WITH {DOCS}, cols AS (SELECT doc_id, unnest([{{'col': 'filepath', 't': collection || '/' || path}}, {{'col': 'title', 't': 'doc_' || doc_id}}, {{'col': 'body', 't': body}}], recursive := true) FROM docs),
+toks AS (SELECT doc_id, col, {TOK.format("t")} AS l FROM cols),
+posts AS (SELECT doc_id, col, unnest(l) AS term, generate_subscripts(l, 1) - 1 AS pos FROM toks),
+stats AS (SELECT doc_id, sum(len(l))::BIGINT AS dl FROM toks GROUP BY doc_id),
+g AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS avgdl FROM stats)"""
+
+
+def _bm25_sql(wanted: str, negated: str = "SELECT NULL::BIGINT AS query_id, NULL::VARCHAR AS q WHERE false", limit: int = 20) -> str:
+    """wanted: query_id, phrase, q, prefix; single-term phrases."""
+    return f"""{BASE}, wanted AS ({wanted}), neg AS ({negated}),
+hits AS (SELECT query_id, phrase, doc_id, sum(CASE col WHEN 'filepath' THEN 10.0::DOUBLE ELSE 1.0::DOUBLE END) AS f FROM wanted JOIN posts ON term = q OR (prefix AND starts_with(term, q)) GROUP BY ALL),
+idf AS (SELECT query_id, phrase, CASE WHEN ln((n - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) <= 0 THEN 1e-6 ELSE ln((n - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) END AS idf FROM hits, g GROUP BY query_id, phrase, n),
+scored AS (SELECT query_id, doc_id, -sum(idf * f * 2.2::DOUBLE / (f + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS s, count(*) AS k FROM hits JOIN idf USING (query_id, phrase) JOIN stats USING (doc_id), g GROUP BY ALL),
+whole AS (SELECT query_id, doc_id, round(s, 6) AS bm25 FROM scored WHERE k = (SELECT count(*) FROM wanted w WHERE w.query_id = scored.query_id)
+ AND NOT EXISTS (SELECT 1 FROM neg JOIN posts p ON starts_with(p.term, neg.q) WHERE neg.query_id = scored.query_id AND p.doc_id = scored.doc_id)),
+ranked AS (SELECT query_id, doc_id, bm25, round(abs(bm25) / (1 + abs(bm25)), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY bm25, doc_id) AS rank FROM whole QUALIFY rank <= {limit})"""
+
+
+FIRST2 = f"SELECT item_id AS query_id, unnest([0, 1]) AS phrase, unnest({TOK.format('text')}[1:2]) AS q, true AS prefix FROM benchmark"
+
+
+@query("fts_search", f"{_bm25_sql(FIRST2)} SELECT * FROM ranked")
+def fts_search(spark, sf):
+    return ops.search(ops.parse(_queries(spark, sf)), *_all(spark, sf))
+
+
+@query("bm25_score", f"{_bm25_sql('SELECT item_id AS query_id, 0 AS phrase, ' + TOK.format('text') + '[2] AS q, false AS prefix FROM benchmark', limit=1000000)} SELECT query_id, doc_id, bm25 FROM ranked")
+def bm25_score(spark, sf):
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit('"'), tx.tokens(F.col("text"))[1], F.lit('"')).alias("text"))
+    return ops.search(ops.parse(q), *_all(spark, sf), limit=None).select("query_id", "doc_id", "bm25")
+
+
+@query("score_norm", "SELECT event_id, round(abs(value) / (1 + abs(value)), 6) AS score FROM events")
+def score_norm(spark, sf):
+    return table(spark, sf, "events").select("event_id", F.round(ops.score_norm(F.col("value")), 6).alias("score"))
+
+
+@query("prefix_match", f"{BASE} SELECT item_id AS query_id, doc_id, count(*) AS hits FROM (SELECT item_id, substr({TOK.format('text')}[1], 1, 3) AS q FROM benchmark) b JOIN posts ON starts_with(term, q) GROUP BY ALL")
+def prefix_match(spark, sf):
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.substring(tx.tokens(F.col("text"))[0], 1, 3).alias("text"))
+    return ops.hits(ops.parse(q), _all(spark, sf)[0]).groupBy("query_id", "doc_id").agg(F.sum("hits").alias("hits"))
+
+
+@query("not_match", f"{_bm25_sql('SELECT item_id AS query_id, 0 AS phrase, ' + TOK.format('text') + '[1] AS q, true AS prefix FROM benchmark', 'SELECT item_id AS query_id, ' + TOK.format('text') + '[3] AS q FROM benchmark')} SELECT query_id, doc_id, bm25, rank FROM ranked")
+def not_match(spark, sf):
+    t = tx.tokens(F.col("text"))
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(t[0], F.lit(" -"), t[2]).alias("text"))
+    return ops.search(ops.parse(q), *_all(spark, sf)).select("query_id", "doc_id", "bm25", "rank")
+
+
+@query("phrase_match", f"{BASE}, q AS (SELECT item_id, {TOK.format('text')} AS t FROM benchmark) SELECT item_id AS query_id, a.doc_id, count(*) AS hits FROM q JOIN posts a ON a.term = t[1] JOIN posts b ON b.doc_id = a.doc_id AND b.col = a.col AND b.pos = a.pos + 1 AND b.term = t[2] GROUP BY ALL")
+def phrase_match(spark, sf):
+    q = _queries(spark, sf).select("query_id", F.concat(F.lit('"'), "text", F.lit('"')).alias("text"))
+    return ops.hits(ops.parse(q), _all(spark, sf)[0]).groupBy("query_id", "doc_id").agg(F.sum("hits").alias("hits"))
+
+
+@query("strong_signal", f"{_bm25_sql(FIRST2)} SELECT query_id, coalesce(max(score) FILTER (rank = 1) >= 0.85 AND max(score) FILTER (rank = 1) - coalesce(max(score) FILTER (rank = 2), 0) >= 0.15, false) AS strong FROM ranked GROUP BY query_id")
+def strong_signal(spark, sf):
+    return ops.strong_signal(fts_search(spark, sf))
+
+
+@query("tfidf_baseline", f"""WITH {DOCS}, tf AS (SELECT doc_id, term, count(*)::DOUBLE AS tf FROM (SELECT doc_id, unnest({TOK.format("body")}) AS term FROM docs) GROUP BY ALL),
+idf AS (SELECT term, ln(((SELECT count(*) FROM docs)::DOUBLE + 1) / (count(*) + 1)) + 1 AS idf FROM tf GROUP BY term), w AS (SELECT doc_id, term, tf * idf AS w FROM tf JOIN idf USING (term)),
+q AS (SELECT query_id, term, count(*)::DOUBLE * any_value(idf) AS qw FROM (SELECT item_id AS query_id, unnest({TOK.format("text")}) AS term FROM benchmark) JOIN idf USING (term) GROUP BY ALL),
+n AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY doc_id), qn AS (SELECT query_id, sqrt(sum(qw * qw)) AS qnorm FROM q GROUP BY query_id),
+c AS (SELECT query_id, doc_id, round(sum(w * qw) / (max(norm) * max(qnorm)), 6) AS cosine FROM w JOIN q USING (term) JOIN n USING (doc_id) JOIN qn USING (query_id) GROUP BY ALL)
+SELECT query_id, max(cosine) AS best, count(*) FILTER (cosine >= 0.1) AS near FROM c GROUP BY query_id""")
+def tfidf_baseline(spark, sf):
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return ops.tfidf_cosine(q, docs(spark, sf).select("doc_id", "body")).groupBy("query_id").agg(F.max("cosine").alias("best"), F.count_if(F.col("cosine") >= 0.1).alias("near"))
+
+
+@query("fts_index", f"{BASE} SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM posts GROUP BY term")
+def fts_index(spark, sf):
+    return _all(spark, sf)[0].groupBy("term").agg(F.count_distinct("doc_id").alias("df"), F.count("*").alias("tf"))
+
+
+@query("fts_search_stemmed")
+def fts_search_stemmed(spark, sf):
+    posts, stats = _all(spark, sf)
+    return ops.search(ops.parse(_queries(spark, sf)), with_stems(posts), stats)
+
+
+@query("lex_parse", f"""WITH q AS (SELECT item_id, {TOK.format("text")} AS t FROM benchmark)
+ SELECT item_id AS query_id, 3::BIGINT AS phrases, 1::BIGINT AS negated, 1::BIGINT AS exact, t[1] || ' ' || t[2] AS phrase FROM q""")
+def lex_parse(spark, sf):
+    t = tx.tokens(F.col("text"))
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit('"'), t[0], F.lit(" "), t[1], F.lit('" '), t[2], F.lit("! -"), t[3]).alias("text"))
+    return ops.parse(q).groupBy("query_id").agg(F.count("*").alias("phrases"), F.count_if("negated").alias("negated"), F.count_if(~F.col("prefix")).alias("exact"), F.max(F.when(~F.col("prefix"), F.array_join("terms", " "))).alias("phrase"))
+
+
+@query("lex_validate", """SELECT conv_id, turn, CASE WHEN contains(t, chr(10)) OR contains(t, chr(13)) THEN 'newline' WHEN (length(t) - length(replace(t, '"', ''))) % 2 = 1 THEN 'quote' END AS problem FROM (SELECT conv_id, turn, text || CASE turn % 3 WHEN 0 THEN '"' ELSE '' END AS t FROM conversations)""")
+def lex_validate(spark, sf):
+    t = F.concat("text", F.when(F.col("turn") % 3 == 0, '"').otherwise(""))
+    odd = (F.length(t) - F.length(F.replace(t, F.lit('"'), F.lit("")))) % 2 == 1
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.when(t.rlike(r"[\r\n]"), "newline").when(odd, "quote").alias("problem"))
+
+
+@query("sem_validate", """SELECT conv_id, turn, regexp_matches(t, '-\\w') OR regexp_matches(t, '-"') AS rejected FROM (SELECT conv_id, turn, text || CASE turn % 3 WHEN 0 THEN ' -x' ELSE '' END AS t FROM conversations)""")
+def sem_validate(spark, sf):
+    t = F.concat("text", F.when(F.col("turn") % 3 == 0, " -x").otherwise(""))
+    return table(spark, sf, "conversations").select("conv_id", "turn", (t.rlike(r"-\w") | t.rlike('-"')).alias("rejected"))
+
+
+STRATEGY = """CASE WHEN regexp_matches(q, '^".*"$') OR (n <= 2 AND regexp_matches(q, '[_.-]')) OR n = 1 THEN 'exact'
+ WHEN regexp_matches(q, '(?i)^(what|how|why|when|where|which|who|is|are|does|do|can|could|should|would|will|has|have|explain|describe)\\b') OR ends_with(q, '?') THEN 'question'
+ WHEN n >= 15 OR regexp_matches(q, '(?i)\\b(compare|tradeoff|trade-off|versus|vs\\.?|difference|relationship|impact|architecture|design|pattern|approach)\\b') THEN 'analytical'
+ WHEN n >= 3 THEN 'question' ELSE 'exact' END"""
+ASKED = """asked AS (SELECT doc_id, q, len(regexp_split_to_array(q, '\\s+')) AS n FROM (SELECT doc_id, trim(CASE doc_id % 4 WHEN 0 THEN 'how does ' ELSE '' END ||
+ array_to_string(string_split(replace(text, chr(10), ' '), ' ')[1:1 + doc_id % 20], ' ') || CASE doc_id % 7 WHEN 0 THEN ' versus that' WHEN 1 THEN '?' ELSE '' END) AS q FROM documents))"""
+
+
+def _asked(spark, sf):
+    d = table(spark, sf, "documents")
+    k = F.col("doc_id")
+    head = F.when(k % 4 == 0, "how does ").otherwise("")
+    tail = F.when(k % 7 == 0, " versus that").when(k % 7 == 1, "?").otherwise("")
+    some = F.array_join(F.slice(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " "), F.lit(1), (1 + k % 20).cast("int")), " ")
+    return d.select("doc_id", F.trim(F.concat(head, some, tail)).alias("q"))
+
+
+@query("strategy_classify", f"WITH {ASKED} SELECT doc_id, {STRATEGY} AS strategy FROM asked")
+def strategy_classify(spark, sf):
+    return _asked(spark, sf).select("doc_id", tx.strategy(F.col("q")).alias("strategy"))
+
+
+@query("auto_expand", f"WITH {ASKED} SELECT doc_id, unnest(CASE {STRATEGY} WHEN 'exact' THEN ['lex'] WHEN 'question' THEN ['lex', 'vec'] ELSE ['lex', 'vec', 'hyde'] END) AS type FROM asked")
+def auto_expand(spark, sf):
+    s = tx.strategy(F.col("q"))
+    kinds = F.when(s == "exact", F.array(F.lit("lex"))).when(s == "question", F.array(F.lit("lex"), F.lit("vec"))).otherwise(F.array(F.lit("lex"), F.lit("vec"), F.lit("hyde")))
+    return _asked(spark, sf).select("doc_id", F.explode(kinds).alias("type"))
+
+
+@query("structured_parse", """WITH q AS (SELECT item_id, string_split('lex: ' || left(text, 10) || chr(10) || chr(10) || 'vec: ' || left(text, 20) || chr(10) || 'HYDE: x' || item_id, chr(10)) AS l FROM benchmark),
+ e AS (SELECT item_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS pos FROM q)
+ SELECT item_id AS query_id, lower(regexp_extract(line, '^\\s*(?i:(lex|vec|hyde)):', 1)) AS type, trim(regexp_replace(line, '^\\s*(?i:lex|vec|hyde):', '')) AS text, pos::INT AS line FROM e WHERE trim(line) <> ''""")
+def structured_parse(spark, sf):
+    from gleanery.operators.fusion import structured
+
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("lex: "), F.substring("text", 1, 10), F.lit("\n\nvec: "), F.substring("text", 1, 20), F.lit("\nHYDE: x"), F.col("item_id").cast("string")).alias("text"))
+    return structured(q)
+
+
+@query("legacy_query_builder", f"{BASE}, q AS (SELECT item_id, unnest({TOK.format('text')}[1:3]) AS t FROM benchmark) SELECT item_id AS query_id, count(DISTINCT doc_id) AS docs FROM q JOIN posts ON term = t GROUP BY item_id")
+def legacy_query_builder(spark, sf):
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.slice(tx.tokens(F.col("text")), 1, 3)).alias("term"))
+    return _all(spark, sf)[0].select("doc_id", "term").distinct().join(q, "term").groupBy("query_id").agg(F.count_distinct("doc_id").alias("docs"))
