@@ -25,10 +25,26 @@ from pyspark.sql import functions as F
 
 from gleanery.llm.common import small_batches, table
 
-_CACHED = 250_000
+_CACHED, _PAIRS = 300_000, 600_000
 _TWO_SPACES = re.compile(r"\s\s")
 
 
+class _Memo(dict):
+    """Values by text, worked out when first met; of bounded size, without very long keys."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key: str) -> str:
+        value = self.make(key)
+        if len(key) <= 64:
+            if len(self) >= _CACHED:
+                self.clear()
+            self[key] = value
+        return value
+
+
 class Bpe:
     def __init__(self, path: str, pattern: str):
         import ahocorasick
@@ -39,41 +55,54 @@ class Bpe:
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.by_text = {str(rank): token for rank, token in self.tokens.items()}
         self.pieces = regex.compile(pattern)
+        self.parts: dict[int, tuple[int, int]] = {}  # of each usable token, what its last merge joined
+        self.size = [0] * (max(self.tokens) + 1)
         self.scan = ahocorasick.Automaton()
-        for token, rank in self.ranks.items():
-            self.scan.add_word(token.decode("latin-1"), (len(token), rank))
+        for token, rank in sorted(self.ranks.items(), key=lambda x: x[1]):
+            parts = self.merged(token, stop=rank)
+            if parts is not None:  # tokens that merging can't reach never stand inside a piece
+                self.parts[rank] = parts
+                self.size[rank] = len(token)
+                self.scan.add_word(token.decode("latin-1"), rank)
         self.scan.make_automaton()
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}
         self._shorter: dict[int, int] = {}
-        self._whole: dict[int, bool] = {}
-        self._chunks: dict[str, str] = {}
-        self._words: dict[str, str] = {}
-
-    def merged(self, data: bytes) -> list[int]:
-        """Plain BPE: join the neighbouring parts of lowest rank until none can be joined."""
-        parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda i: self.ranks.get(parts[i] + parts[i + 1], 1 << 30))
-            if parts[best] + parts[best + 1] not in self.ranks:
-                break
-            parts[best : best + 2] = [parts[best] + parts[best + 1]]
-        return [self.ranks[p] for p in parts]
+        self._words = _Memo(lambda piece: " ".join(map(str, self.encode_piece(piece.encode()))))
+        self._chunks = _Memo(lambda chunk: " ".join(map(self._words.__getitem__, self.pieces.findall(chunk))))
+
+    def merged(self, token: bytes, stop: int) -> tuple[int, int] | None:
+        """The two parts that the last merge of the token's own bytes joins, (-1, -1) for a single byte; None if merging doesn't reach the token."""
+        parts = [token[i : i + 1] for i in range(len(token))]
+        ranks = self.ranks
+        while len(parts) > 2:
+            pairs = [ranks.get(a + b, 1 << 30) for a, b in zip(parts, parts[1:])]  # noqa: B905
+            low = min(pairs)
+            if low >= stop:
+                return None
+            at = pairs.index(low)
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return (ranks[parts[0]], ranks[parts[1]]) if len(parts) == 2 else (-1, -1)
 
     def fits(self, left: int, right: int) -> bool:
-        key = (left, right)
-        known = self._fits.get(key)
-        if known is None:
-            if len(self._fits) >= _CACHED:
-                self._fits.clear()
-            known = self._fits[key] = self.merged(self.tokens[left] + self.tokens[right]) == [left, right]
-        return known
-
-    def whole(self, token: int) -> bool:
-        """Whether merging the token's own bytes gives the token."""
-        known = self._whole.get(token)
-        if known is None:
-            known = self._whole[token] = self.merged(self.tokens[token]) == [token]
-        return known
+        """Whether exact merging of the two tokens' bytes gives just these two.
+
+        A merge across the border would spoil them. The parts that meet at the border are taken
+        apart again, the later merge first; at each stage the parts there could have merged across
+        only before the merge just undone (one in the left token goes first at equal rank, being
+        further left; one in the right token goes last).
+        """
+        a, b, limit = left, right, 1 << 30
+        tokens, parts, ranks = self.tokens, self.parts, self.ranks
+        while True:
+            if ranks.get(tokens[a] + tokens[b], 1 << 30) < limit:
+                return False
+            a_parts, b_parts = parts[a], parts[b]
+            if b_parts[0] < 0 and a_parts[0] < 0:
+                return True
+            if b_parts[0] < 0 or (a_parts[0] >= 0 and a > b):
+                limit, a = a, a_parts[1]
+            else:
+                limit, b = b + 1, b_parts[0]
 
     def shorter(self, token: int) -> int:
         """The longest usable token that is a proper prefix of this one, or -1."""
@@ -82,7 +111,7 @@ class Bpe:
             data, known = self.tokens[token], -1
             for n in range(len(data) - 1, 0, -1):
                 rank = self.ranks.get(data[:n], -1)
-                if rank >= 0 and self.whole(rank):
+                if rank in self.parts:
                     known = rank
                     break
             self._shorter[token] = known
@@ -93,22 +122,28 @@ class Bpe:
         rank = self.ranks.get(data)
         if rank is not None:
             return [rank]
-        size = len(data)
+        size, lengths = len(data), self.size
         longest = [-1] * size
-        reach = [0] * size
-        for end, (n, token) in self.scan.iter(data.decode("latin-1")):
-            start = end - n + 1
-            if n > reach[start] and self.whole(token):
-                longest[start], reach[start] = token, n
+        for end, token in self.scan.iter(data.decode("latin-1")):  # of one start, longer matches end later
+            longest[end - lengths[token] + 1] = token
         open_end = bytearray(b"\x01") * (size + 1)
         out: list[int] = []
-        at, token = 0, longest[0]
+        at, token, fits = 0, longest[0], self._fits
         while at < size:
             last = out[-1] if out else -1
             while token >= 0:
-                end = at + len(self.tokens[token])
-                if open_end[end] and (last < 0 or self.fits(last, token)):
-                    break
+                end = at + lengths[token]
+                if open_end[end]:
+                    if last < 0:
+                        break
+                    key = last << 20 | token
+                    fit = fits.get(key)
+                    if fit is None:
+                        if len(fits) >= _PAIRS:
+                            fits.clear()
+                        fit = fits[key] = self.fits(last, token)
+                    if fit:
+                        break
                 token = self.shorter(token)
             if token >= 0:
                 out.append(token)
@@ -118,40 +153,20 @@ class Bpe:
                 raise ValueError("the vocabulary lacks single bytes")
             else:  # nothing may follow here: give up the token before and try its prefixes
                 open_end[at] = 0
-                at -= len(self.tokens[out.pop()])
+                at -= lengths[out.pop()]
                 token = last
         return out
 
-    def _word(self, piece: str) -> str:
-        known = self._words.get(piece)
-        if known is None:
-            known = " ".join(map(str, self.encode_piece(piece.encode())))
-            if len(piece) <= 64:
-                if len(self._words) >= _CACHED:
-                    self._words.clear()
-                self._words[piece] = known
-        return known
-
-    def _chunk(self, chunk: str) -> str:
-        known = " ".join(map(self._word, self.pieces.findall(chunk)))
-        if len(chunk) <= 64:
-            if len(self._chunks) >= _CACHED:
-                self._chunks.clear()
-            self._chunks[chunk] = known
-        return known
-
     def encode_text(self, text: str) -> str:
         """Decimal ids joined by one space."""
         if not text:
             return ""
         if text[0].isspace() or text[-1].isspace() or _TWO_SPACES.search(text):
-            return " ".join(map(self._word, self.pieces.findall(text)))
+            return " ".join(map(self._words.__getitem__, self.pieces.findall(text)))
         # a lone space between two other characters always starts a match of the pattern
         first, *rest = text.split(" ")
-        known = self._chunks.get
-        ids = [known(first) or self._chunk(first)]
-        ids += [known(chunk) or self._chunk(chunk) for chunk in (f" {x}" for x in rest)]
-        return " ".join(ids)
+        known = self._chunks.__getitem__
+        return " ".join([known(first), *map(known, [f" {x}" for x in rest])])
 
     def decode_text(self, ids: str) -> bytes:
         return b"".join(map(self.by_text.__getitem__, ids.split(" "))) if ids else b""
