@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _VOWELS = set("aeiou")
 # The suffix tables of the published algorithm.
@@ -43,11 +44,11 @@ def _double(word: str) -> bool:
 
 
 def stem(word: str) -> str:
-    if len(word) < 3 or not word.isascii():
+    if len(word.encode()) < 3:
         return word
     w = word
     for suffix, new in (("sses", "ss"), ("ies", "i"), ("ss", "ss"), ("s", "")):
-        if w.endswith(suffix):
+        if w.endswith(suffix) and len(w) > len(suffix):
             w = w[: len(w) - len(suffix)] + new
             break
     if w.endswith("eed"):
@@ -90,7 +91,7 @@ def stem(word: str) -> str:
     return w
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def stemmed(terms: pd.Series) -> pd.Series:
     return terms.map(lambda t: stem(fold(t)))
 
