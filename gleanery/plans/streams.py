@@ -1 +1,108 @@
-"""Queries, being written."""
+"""Queries of streaming operators in their batch form, over events; and queries that run a stream to its end."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from gleanery.plans.catalog import query, table
+from gleanery.streaming import events as ops
+
+
+def _events(spark, sf):
+    return table(spark, sf, "events")
+
+
+@query("st_coalesce", "SELECT user_id AS collection, event_id % 7 AS path, CASE WHEN bool_or(event_type = 'error') THEN 'unlink' WHEN arg_min(event_type, event_id) = 'signup' THEN 'add' ELSE 'change' END AS type, max(event_id) AS last FROM events GROUP BY ALL")
+def st_coalesce(spark, sf):
+    kind = F.when(F.col("event_type") == "error", "unlink").when(F.col("event_type") == "signup", "add").otherwise("change")
+    e = _events(spark, sf).select(F.col("user_id").alias("collection"), (F.col("event_id") % 7).alias("path"), kind.alias("type"), "event_id")
+    return ops.coalesced(e, ["collection", "path"], "event_id")
+
+
+@query("st_rate_fixed", "SELECT user_id AS key, floor(epoch(ts) / 3600)::BIGINT * 3600 AS start, count(*) AS n, greatest(0, count(*) - 2) AS rejected FROM events GROUP BY ALL")
+def st_rate_fixed(spark, sf):
+    return ops.fixed_windows(_events(spark, sf).withColumnRenamed("user_id", "key"), 3600, 2)
+
+
+@query("st_quota", "SELECT user_id || ':' || event_type AS key, floor(epoch(ts) / 86400)::BIGINT * 86400 AS start, count(*) AS n, greatest(0, count(*) - 3) AS rejected FROM events GROUP BY ALL")
+def st_quota(spark, sf):
+    return ops.fixed_windows(_events(spark, sf).withColumn("key", F.concat_ws(":", F.col("user_id").cast("string"), "event_type")), 86400, 3)
+
+
+@query("st_rate_anchored")
+def st_rate_anchored(spark, sf):
+    return ops.anchored_limit(_events(spark, sf).withColumnRenamed("user_id", "key"), 3600.0, 2)
+
+
+@query("st_token_bucket")
+def st_token_bucket(spark, sf):
+    return ops.token_bucket(_events(spark, sf).withColumnRenamed("user_id", "key"), 3, 7200.0)
+
+
+@query("st_breaker")
+def st_breaker(spark, sf):
+    return ops.breaker(_events(spark, sf).withColumnRenamed("user_id", "key").withColumn("ok", F.col("event_type") != "error").select("event_id", "key", "ts", "ok"), 2, 3600.0)
+
+
+@query("st_session", """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g)
+ SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 10 MINUTE AS end, count(*) AS n FROM s GROUP BY user_id, s""")
+def st_session(spark, sf):
+    return ops.sessions(_events(spark, sf))
+
+
+@query("st_query_log", "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 20")
+def st_query_log(spark, sf):
+    return ops.last_per_key(_events(spark, sf), "user_id", 20).select("user_id", "event_id")
+
+
+@query("st_inflight_dedupe", "SELECT event_id AS request_id, min(event_id) OVER (PARTITION BY event_type || user_id) AS leader FROM events")
+def st_inflight_dedupe(spark, sf):
+    return ops.in_flight(_events(spark, sf).select(F.col("event_id").alias("request_id"), F.concat("event_type", F.col("user_id").cast("string")).alias("query")))
+
+
+@query("st_usage_flush", "SELECT count(*) AS keys FROM (SELECT DISTINCT event_type || user_id FROM events)")
+def st_usage_flush(spark, sf):
+    e = _events(spark, sf).select(F.concat("event_type", F.col("user_id").cast("string")).alias("idempotency_key"))
+    return ops.usage_once(e).agg(F.count("*").alias("keys"))
+
+
+@query("st_tumbling", "SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def st_tumbling(spark, sf):
+    return ops.tumbling(_events(spark, sf))
+
+
+@query("st_sliding", "SELECT start, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS start FROM events) GROUP BY start")
+def st_sliding(spark, sf):
+    return ops.sliding(_events(spark, sf), "60 minutes", "30 minutes")
+
+
+def _to_memory(df, mode: str):
+    name = f"m{uuid.uuid4().hex}"
+    run = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    try:
+        run.awaitTermination(300)
+    finally:
+        run.stop()
+    return df.sparkSession.table(name)
+
+
+def _stream(spark, sf):
+    return spark.readStream.schema(_events(spark, sf).schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+
+
+@query("st_ingest_stream", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def st_ingest_stream(spark, sf):
+    return _to_memory(_stream(spark, sf).groupBy("event_type").agg(F.count("*").alias("n")), "complete")
+
+
+@query("st_ttl")
+def st_ttl(spark, sf):
+    return _to_memory(ops.sliding_ttl(_stream(spark, sf).select(F.col("user_id").alias("key"), "ts"), 3600), "update")
+
+
+@query("st_static_join", "SELECT user_id, count(*) AS n FROM events WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) GROUP BY user_id")
+def st_static_join(spark, sf):
+    rich = table(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("user_id"))
+    return _to_memory(_stream(spark, sf).join(rich, "user_id", "left_semi").groupBy("user_id").agg(F.count("*").alias("n")), "complete")

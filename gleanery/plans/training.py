@@ -1 +1,147 @@
-"""Queries, being written."""
+"""Queries of the training-data operators; benchmark items stand for queries and expansions."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gleanery.functions import training as tr
+from gleanery.plans.catalog import query, table
+
+ROWS = """r AS (SELECT item_id, array_to_string(string_split(replace(text, chr(10), ' '), ' ')[1:4], ' ') || CASE item_id % 3 WHEN 0 THEN ' /only:LEX' ELSE '' END AS query,
+ 'lex: ' || string_split(replace(text, chr(10), ' '), ' ')[1] || ' guide' || chr(10) || 'vec: ' || replace(left(text, 60), chr(10), ' ') || chr(10) || chr(10) || CASE item_id % 4 WHEN 0 THEN 'bad line' ELSE 'hyde: ' || replace(left(text, 80), chr(10), ' ') END AS expansion FROM benchmark)"""
+
+
+def _rows(spark, sf):
+    t = F.replace("text", F.lit("\n"), F.lit(" "))
+    words = F.split(t, " ")
+    q = F.concat(F.array_join(F.slice(words, 1, 4), " "), F.when(F.col("item_id") % 3 == 0, " /only:LEX").otherwise(""))
+    last = F.when(F.col("item_id") % 4 == 0, "bad line").otherwise(F.concat(F.lit("hyde: "), F.replace(F.substring("text", 1, 80), F.lit("\n"), F.lit(" "))))
+    e = F.concat(F.lit("lex: "), words[0], F.lit(" guide\nvec: "), F.replace(F.substring("text", 1, 60), F.lit("\n"), F.lit(" ")), F.lit("\n\n"), last)
+    return table(spark, sf, "benchmark").select("item_id", q.alias("query"), e.alias("expansion"))
+
+
+@query("tr_parse", f"WITH {ROWS}, l AS (SELECT item_id, trim(unnest(string_split(expansion, chr(10)))) AS line FROM r) SELECT item_id, CASE WHEN regexp_matches(line, '^(lex|vec|hyde):') THEN string_split(line, ':')[1] ELSE 'invalid' END AS kind, trim(regexp_replace(line, '^(lex|vec|hyde):', '')) AS value FROM l WHERE line <> ''")
+def tr_parse(spark, sf):
+    return _rows(spark, sf).select("item_id", F.explode(tr.parse(F.col("expansion"))).alias("p")).select("item_id", "p.kind", "p.value")
+
+
+@query("tr_only_mode", f"WITH {ROWS} SELECT item_id, nullif(lower(regexp_extract(query, '(?i)\\s+/only:(lex|vec|hyde)\\s*$', 1)), '') AS only, trim(regexp_replace(query, '(?i)\\s+/only:(lex|vec|hyde)\\s*$', '')) AS query FROM r")
+def tr_only_mode(spark, sf):
+    return _rows(spark, sf).select("item_id", tr.only_mode(F.col("query")).alias("m")).select("item_id", "m.only", "m.query")
+
+
+@query("tr_clean", "SELECT conv_id, turn, trim(replace(regexp_replace('<think>a' || chr(10) || 'b</think> ' || text || '<|im_end|>', '(?s)<think>.*?</think>', '', 'g'), '<|im_end|>', '')) AS text, true AS thought FROM conversations")
+def tr_clean(spark, sf):
+    c = tr.clean(F.concat(F.lit("<think>a\nb</think> "), "text", F.lit("<|im_end|>")))
+    return table(spark, sf, "conversations").select("conv_id", "turn", c.alias("c")).select("conv_id", "turn", "c.text", "c.thought")
+
+
+LOW = "list_distinct(list_filter(regexp_split_to_array(lower({}), '\\s+'), lambda w: w <> ''))"
+TERMS = "[" + ", ".join(f"'{w}'" for w in sorted(tr.TERM_STOP)) + "]"
+
+
+@query("tr_key_terms", f"WITH {ROWS} SELECT item_id, array_to_string(list_sort(list_filter({LOW.format('query')}, lambda w: NOT list_contains({TERMS}, w))), ' ') AS terms FROM r")
+def tr_key_terms(spark, sf):
+    return _rows(spark, sf).select("item_id", F.array_join(F.array_sort(tr.key_terms(F.col("query"))), " ").alias("terms"))
+
+
+@query("tr_terms_kept", f"WITH {ROWS}, t AS (SELECT item_id, list_filter({LOW.format('query')}, lambda w: NOT list_contains({TERMS}, w)) AS t, {LOW.format('expansion')} AS e FROM r) SELECT item_id, len(t) = 0 OR list_has_any(t, e) AS kept FROM t")
+def tr_terms_kept(spark, sf):
+    return _rows(spark, sf).select("item_id", tr.keeps_terms(F.col("expansion"), F.col("query")).alias("kept"))
+
+
+@query("tr_entities_kept", f"WITH {ROWS} SELECT item_id, contains(lower(expansion), lower(left(query, 4))) OR contains(lower(expansion), 'zzz') AS kept FROM r")
+def tr_entities_kept(spark, sf):
+    return _rows(spark, sf).select("item_id", tr.keeps_entities(F.col("expansion"), F.array(F.lower(F.substring("query", 1, 4)), F.lit("zzz"))).alias("kept"))
+
+
+FILL = "[" + ", ".join(f"'{w}'" for w in sorted(tr.FILLER)) + "]"
+
+
+@query("tr_filler", f"WITH {ROWS}, t AS (SELECT item_id, list_filter({LOW.format('expansion')}, lambda w: list_contains({FILL}, w)) AS f, {LOW.format('query')} AS q FROM r) SELECT item_id, len(list_filter(f, lambda w: NOT list_contains(q, w))) > 0 AS filler FROM t")
+def tr_filler(spark, sf):
+    return _rows(spark, sf).select("item_id", tr.has_filler(F.col("expansion"), F.col("query")).alias("filler"))
+
+
+@query("tr_diverse", f"WITH {ROWS}, p AS (SELECT a.item_id, lower(a.query) AS x, lower(b.query) AS y FROM r a JOIN r b ON b.item_id = a.item_id + 1), w AS (SELECT *, {LOW.format('x')} AS i, {LOW.format('y')} AS j FROM p) SELECT item_id, NOT (contains(x, y) OR contains(y, x)) AND len(i) + len(j) - 2 * len(list_intersect(i, j)) >= 3 AS diverse FROM w")
+def tr_diverse(spark, sf):
+    r = _rows(spark, sf)
+    b = r.select((F.col("item_id") - 1).alias("item_id"), F.col("query").alias("other"))
+    return r.join(b, "item_id").select("item_id", tr.diverse(F.col("query"), F.col("other")).alias("diverse"))
+
+
+@query("tr_echo", f"WITH {ROWS} SELECT item_id, contains(lower(query || ' x'), lower(query)) AND length(query || ' x') < length(query) + 10 AS echo FROM r")
+def tr_echo(spark, sf):
+    return _rows(spark, sf).select("item_id", tr.echoes(F.concat("query", F.lit(" x")), F.col("query")).alias("echo"))
+
+
+STOPS = ", ".join(f"'{w}'" for w in sorted(tr.STOP))
+
+
+@query("tr_repeat", f"WITH w AS (SELECT item_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9_]+')) AS w FROM benchmark WHERE regexp_matches(text, '^[\\x00-\\x7f]*$')), c AS (SELECT item_id, w, count(*) AS n FROM w GROUP BY ALL) SELECT item_id, sum(CASE WHEN n >= 3 AND length(w) > 2 AND w NOT IN ({STOPS}) THEN (n - 2) * 2 ELSE 0 END)::INT AS penalty FROM c GROUP BY item_id")
+def tr_repeat(spark, sf):
+    return table(spark, sf, "benchmark").where(F.col("text").rlike(r"^[\x00-\x7f]*$")).select("item_id", tr.repetition(F.col("text")).alias("penalty"))
+
+
+@query("tr_normalize", f"WITH {ROWS}, l AS (SELECT item_id, trim(unnest(string_split(expansion, chr(10)))) AS line, generate_subscripts(string_split(expansion, chr(10)), 1) AS i FROM r) SELECT item_id, string_agg(line, chr(10) ORDER BY CASE left(line, 3) WHEN 'hyd' THEN 0 WHEN 'lex' THEN 1 ELSE 2 END, i) AS text FROM l WHERE regexp_matches(line, '^(lex|vec|hyde):') GROUP BY item_id")
+def tr_normalize(spark, sf):
+    return _rows(spark, sf).select("item_id", tr.as_text(tr.normalize(tr.parse(F.col("expansion")))).alias("text"))
+
+
+@query("tr_dedup", "WITH q AS (SELECT conv_id AS file, turn AS line, left(text, 3) AS query FROM conversations) SELECT file, line, query FROM q QUALIFY row_number() OVER (PARTITION BY lower(trim(query)) ORDER BY file, line) = 1")
+def tr_dedup(spark, sf):
+    return tr.dedup(table(spark, sf, "conversations").select(F.col("conv_id").alias("file"), F.col("turn").alias("line"), F.substring("text", 1, 3).alias("query")))
+
+
+@query("tr_split", "SELECT item_id, CASE WHEN ('0x' || substr(md5(text), 1, 8))::BIGINT % 10 < 1 THEN 'validation' ELSE 'train' END AS split FROM benchmark")
+def tr_split(spark, sf):
+    return table(spark, sf, "benchmark").select("item_id", tr.split_of(F.col("text")).alias("split"))
+
+
+@query("tr_format", "SELECT item_id, '/no_think Expand this search query: ' || text || CASE WHEN item_id % 2 = 0 THEN chr(10) || 'Query intent: find' ELSE '' END AS prompt FROM benchmark")
+def tr_format(spark, sf):
+    return table(spark, sf, "benchmark").select("item_id", tr.prompt(F.col("text"), F.when(F.col("item_id") % 2 == 0, " find ")).alias("prompt"))
+
+
+CATEGORY = """CASE WHEN len(list_filter(regexp_split_to_array(lower(q), '\\s+'), lambda w: w <> '')) <= 2 THEN 'short_keyword' WHEN len(list_filter(regexp_split_to_array(q, '\\s+'), lambda w: regexp_matches(w, '^\\p{Lu}'))) > 0 THEN 'named_entity'
+ WHEN regexp_matches(lower(q), 'latest|recent|new|update|changelog|changed|version|release|news|2024|2025') THEN 'temporal' WHEN starts_with(lower(q), 'how ') THEN 'how_to' WHEN starts_with(lower(q), 'what ') THEN 'what_is'
+ WHEN regexp_matches(lower(q), 'difference|vs|versus|compare') THEN 'comparison' WHEN regexp_matches(lower(q), 'meeting|notes|journal|ideas|thoughts') THEN 'personal' ELSE 'other' END"""
+ASK = "a AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'how ' WHEN 1 THEN 'what ' WHEN 2 THEN 'latest ' ELSE '' END || CASE WHEN doc_id % 4 = 0 THEN lower(left(text, 20 + doc_id % 9)) ELSE left(text, 12) END AS q FROM documents)"
+
+
+def _ask(spark, sf):
+    k = F.col("doc_id")
+    head = F.when(k % 6 == 0, "how ").when(k % 6 == 1, "what ").when(k % 6 == 2, "latest ").otherwise("")
+    tail = F.when(k % 4 == 0, F.lower(F.substring("text", F.lit(1), (20 + k % 9).cast("int")))).otherwise(F.substring("text", 1, 12))
+    return table(spark, sf, "documents").select("doc_id", F.concat(head, tail).alias("q"))
+
+
+@query("tr_categorize", f"WITH {ASK} SELECT doc_id, {CATEGORY} AS category FROM a")
+def tr_categorize(spark, sf):
+    return _ask(spark, sf).select("doc_id", tr.category(F.col("q")).alias("category"))
+
+
+@query("tr_analyze", f"WITH {ASK} SELECT {CATEGORY} AS category, count(*) AS n, count(DISTINCT lower(q)) AS distinct_queries, round(avg(length(q)), 6) AS mean_length FROM a GROUP BY 1")
+def tr_analyze(spark, sf):
+    return _ask(spark, sf).groupBy(tr.category(F.col("q")).alias("category")).agg(F.count("*").alias("n"), F.count_distinct(F.lower("q")).alias("distinct_queries"), F.round(F.avg(F.length("q")), 6).alias("mean_length"))
+
+
+@query("tr_entities")
+def tr_entities(spark, sf):
+    return tr.scored(_rows(spark, sf), ["item_id"]).select("item_id", "entity")
+
+
+@query("tr_generic")
+def tr_generic(spark, sf):
+    return tr.scored(_rows(spark, sf), ["item_id"]).select("item_id", "quality")
+
+
+@query("tr_score")
+def tr_score(spark, sf):
+    return tr.scored(_rows(spark, sf), ["item_id"])
+
+
+@query("tr_score_file")
+def tr_score_file(spark, sf):
+    s = tr.scored(_rows(spark, sf).withColumn("file", F.col("item_id") % 4), ["file"])
+    return s.groupBy("file").agg(F.round(F.avg("percentage"), 4).alias("mean"), F.expr("percentile_disc(0.5) within group (order by percentage)").alias("median"), F.min("percentage").alias("least"), F.max("percentage").alias("most"), F.round(F.avg((F.col("percentage") >= 70).cast("double")), 4).alias("good"))
