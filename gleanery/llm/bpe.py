@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from gleanery.llm.common import small_batches, table
 
-_CACHED, _PAIRS = 300_000, 600_000
+_CACHED, _PAIRS = 200_000, 400_000
 _TWO_SPACES = re.compile(r"\s\s")
 
 
@@ -157,6 +157,11 @@ class Bpe:
                 token = last
         return out
 
+    def forget(self) -> None:
+        self._words.clear()
+        self._chunks.clear()
+        pa.default_memory_pool().release_unused()
+
     def encode_text(self, text: str) -> str:
         """Decimal ids joined by one space."""
         if not text:
@@ -208,6 +213,8 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", keep: tup
                 columns.append(pa.array(lists, pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
+        # workers live on: what other tasks need is the vocabulary, not this task's words
+        bpe.forget()
 
     return df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("binary").alias("_text")).mapInArrow(rows, schema)
 

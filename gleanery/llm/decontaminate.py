@@ -32,7 +32,7 @@ LEAST = 0.5
 BLOCK_CHARS = 4_000_000
 # Words are runs of bytes that are neither blanks, controls nor these; A-Z are lowered.
 _BETWEEN = b".,;:!?\"'()[]{}<>*#$%&|-_~`/\\"
-_PIECE = 1 << 20
+_PIECE = 1 << 19
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -52,7 +52,7 @@ BETWEEN, MIX, UP, DOWN = _tables()
 
 
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hash of each word, where it starts), of at most two million bytes."""
+    """(64-bit hash of each word, where it starts), of at most a million bytes."""
     raw = np.frombuffer(data, np.uint8)
     edge = np.flatnonzero(np.diff(BETWEEN[raw], prepend=True, append=True))
     starts, ends = edge[0::2], edge[1::2]
