@@ -125,9 +125,12 @@ class Cnn:
                 at += 1
             rows = np.zeros((held + edge, 2 * HALF), np.float32)
             begins = np.cumsum([0] + [len(t) + edge for _, t in some])
+            word = np.zeros(held, bool)
             for b, (_, t) in zip(begins, some, strict=False):
                 rows[b : b + len(t)] = self.embed(t)
-            peak = np.concatenate([np.maximum.reduceat(self.convolve(rows, k), begins[:-1], axis=0) for k in range(len(WIDTHS))], axis=1)
+                word[b : b + len(t)] = True
+            # what begins between two texts reaches into the next one and counts for neither
+            peak = np.concatenate([np.maximum.reduceat(np.where(word[:, None], self.convolve(rows, k), -np.inf), begins[:-1], axis=0) for k in range(len(WIDTHS))], axis=1)
             np.maximum.at(best, [i for i, _ in some], np.maximum(peak + self.bias, 0))
         return best
 
