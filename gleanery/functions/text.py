@@ -52,7 +52,7 @@ def _symbols_to_hex(segment: Column) -> Column:
 
 def handelize(path: Column) -> Column:
     """A path of plain segments: ___ parts folders, symbols become code points, other marks become dashes; null where no usable name is left."""
-    name = F.regexp_replace(F.element_at(F.filter(F.split(path, "/"), lambda s: s != ""), -1), r"\.[^.]+$", "")
+    name = F.coalesce(F.regexp_replace(F.try_element_at(F.filter(F.split(path, "/"), lambda s: s != ""), F.lit(-1)), r"\.[^.]+$", ""), F.lit(""))
     segments = F.split(F.lower(F.replace(path, F.lit("___"), F.lit("/"))), "/")
     dash = lambda s: F.regexp_replace(F.regexp_replace(s, r"[^\p{L}\p{N}$]+", "-"), r"^-+|-+$", "")
 
@@ -112,7 +112,7 @@ def strip_xml(text: Column) -> Column:
     out = F.regexp_replace(F.regexp_replace(text, r"(?i)</(w:)?p>", "\n"), r"<[^>]+>", " ")
     for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
         out = F.replace(out, F.lit(name), F.lit(char))
-    return F.trim(F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), r" ?\n ?", "\n"))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), r" ?\n ?", "\n"), r"^\s+|\s+$", "")
 
 
 def virtual_path(scheme: str, collection: Column, path: Column) -> Column:

@@ -337,7 +337,7 @@ def join_lateral_json(spark, sf):
 
 @query("strip_xml", """WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?i)</(w:)?p>', chr(10), 'g'), '<[^>]+>', ' ', 'g') AS t FROM pages),
  b AS (SELECT page_id, replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&amp;', '&') AS t FROM a)
- SELECT page_id, trim(regexp_replace(regexp_replace(t, '[ \\t]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g')) AS text FROM b""")
+ SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '[ \\t]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS text FROM b""")
 def strip_xml(spark, sf):
     return table(spark, sf, "pages").select("page_id", tx.strip_xml(F.col("html")).alias("text"))
 
