@@ -25,22 +25,23 @@ from pyspark.sql import functions as F
 
 from gleanery.llm.common import small_batches, table
 
-_CACHED, _PAIRS = 200_000, 400_000
+_CHUNKS, _WORDS, _PAIRS = 200_000, 100_000, 400_000
 _TWO_SPACES = re.compile(r"\s\s")
 
 
 class _Memo(dict):
-    """Values by text, worked out when first met; of bounded size, without very long keys."""
+    """Values by text, worked out when first met; of bounded size, without very long keys.
 
-    def __init__(self, make):
+    When full it takes no more: what came first is what comes often.
+    """
+
+    def __init__(self, most: int, make):
         super().__init__()
-        self.make = make
+        self.most, self.make = most, make
 
     def __missing__(self, key: str) -> str:
         value = self.make(key)
-        if len(key) <= 64:
-            if len(self) >= _CACHED:
-                self.clear()
+        if len(self) < self.most and len(key) <= 64:
             self[key] = value
         return value
 
@@ -67,8 +68,8 @@ class Bpe:
         self.scan.make_automaton()
         self._fits: dict[int, bool] = {}
         self._shorter: dict[int, int] = {}
-        self._words = _Memo(lambda piece: " ".join(map(str, self.encode_piece(piece.encode()))))
-        self._chunks = _Memo(lambda chunk: " ".join(map(self._words.__getitem__, self.pieces.findall(chunk))))
+        self._words = _Memo(_WORDS, lambda piece: " ".join(map(str, self.encode_piece(piece.encode()))))
+        self._chunks = _Memo(_CHUNKS, lambda chunk: " ".join(map(self._words.__getitem__, self.pieces.findall(chunk))))
 
     def merged(self, token: bytes, stop: int) -> tuple[int, int] | None:
         """The two parts that the last merge of the token's own bytes joins, (-1, -1) for a single byte; None if merging doesn't reach the token."""
@@ -139,9 +140,9 @@ class Bpe:
                     key = last << 20 | token
                     fit = fits.get(key)
                     if fit is None:
-                        if len(fits) >= _PAIRS:
-                            fits.clear()
-                        fit = fits[key] = self.fits(last, token)
+                        fit = self.fits(last, token)
+                        if len(fits) < _PAIRS:
+                            fits[key] = fit
                     if fit:
                         break
                 token = self.shorter(token)
@@ -157,11 +158,6 @@ class Bpe:
                 token = last
         return out
 
-    def forget(self) -> None:
-        self._words.clear()
-        self._chunks.clear()
-        pa.default_memory_pool().release_unused()
-
     def encode_text(self, text: str) -> str:
         """Decimal ids joined by one space."""
         if not text:
@@ -213,8 +209,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", keep: tup
                 columns.append(pa.array(lists, pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
-        # workers live on: what other tasks need is the vocabulary, not this task's words
-        bpe.forget()
+        pa.default_memory_pool().release_unused()
 
     return df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("binary").alias("_text")).mapInArrow(rows, schema)
 
