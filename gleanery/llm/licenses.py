@@ -78,20 +78,21 @@ def rated(found: DataFrame, least: float = LEAST) -> DataFrame:
 
 
 def scan(files: DataFrame, is_license_file: Column, least: float = LEAST) -> DataFrame:
-    """All columns of files (path, text, ...) but text, with license, score, origin (own, inherited or none) and from_dir."""
+    """All columns of files (path, text, ...) but text, with license, score, origin (own, inherited or none) and from_dir in place of any of these names."""
     found = notices(files.select("path", "text"))
     own = found.join(rated(found, least), "notice").groupBy("path").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"))
     own = own.select("path", F.col("b.license").alias("own"), (-F.col("b.s")).alias("own_score"))
-    slim = files.withColumn("_holds", is_license_file).drop("text").withColumn("_dir", F.regexp_replace("path", r"/[^/]*$", "")).join(own, "path", "left")
-    of_dir = slim.where(F.col("_holds") & F.col("own").isNotNull()).groupBy(F.col("_dir").alias("above")).agg(F.min(F.struct((-F.col("own_score")).alias("s"), "path", F.col("own").alias("license"))).alias("b"))
-    parts = F.split("_dir", "/")
-    above = slim.select("_dir").distinct().select("_dir", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))).alias("above"))
-    nearest = above.join(of_dir, "above").groupBy("_dir").agg(F.max(F.struct(F.length("above").alias("n"), "above", "b")).alias("h"))
-    nearest = nearest.select("_dir", F.col("h.above").alias("_above"), F.col("h.b.license").alias("_license"), (-F.col("h.b.s")).alias("_score"))
-    joined = slim.join(nearest, "_dir", "left")
-    names = [c for c in files.columns if c != "text"]
-    origin = F.when(F.col("own").isNotNull(), "own").when(F.col("_license").isNotNull(), "inherited").otherwise("none")
-    return joined.select(*names, F.coalesce("own", "_license").alias("license"), F.coalesce("own_score", "_score").alias("score"), origin.alias("origin"), F.when(F.col("own").isNull(), F.col("_above")).alias("from_dir"))
+    made = ("license", "score", "origin", "from_dir")
+    names = [c for c in files.columns if c not in ("text", *made)]
+    slim = files.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "path", is_license_file.alias("holds"), F.regexp_replace("path", r"/[^/]*$", "").alias("dir")).join(own, "path", "left")
+    of_dir = slim.where(F.col("holds") & F.col("own").isNotNull()).groupBy(F.col("dir").alias("above")).agg(F.min(F.struct((-F.col("own_score")).alias("s"), "path", F.col("own").alias("license"))).alias("b"))
+    parts = F.split("dir", "/")
+    above = slim.select("dir").distinct().select("dir", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))).alias("above"))
+    nearest = above.join(of_dir, "above").groupBy("dir").agg(F.max(F.struct(F.length("above").alias("n"), "above", "b")).alias("h"))
+    nearest = nearest.select("dir", F.col("h.above").alias("above"), F.col("h.b.license").alias("inherited"), (-F.col("h.b.s")).alias("inherited_score"))
+    origin = F.when(F.col("own").isNotNull(), "own").when(F.col("inherited").isNotNull(), "inherited").otherwise("none")
+    joined = slim.join(nearest, "dir", "left")
+    return joined.select(*[F.col(f"row.`{c}`").alias(c) for c in names], F.coalesce("own", "inherited").alias("license"), F.coalesce("own_score", "inherited_score").alias("score"), origin.alias("origin"), F.when(F.col("own").isNull(), F.col("above")).alias("from_dir"))
 
 
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -107,16 +107,21 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with every span replaced by a mark and n_chars, where there is one, made to fit; rows without spans are untouched."""
-    spark = docs.sparkSession
-    found = parts(docs, text, (text,))
-    strong = linked(written(spark, found.where(F.size("weak") > 0).drop(text), "secrets"))
+    """docs with every span replaced by a mark and n_chars, where there is one, made to fit; rows without spans are untouched.
+
+    The row travels as one struct, so its columns may have any names.
+    """
     names = docs.columns
-    one = parts(docs, text, tuple(names)).join(strong, "text_key", "left")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(text).alias("whole"))
+    found = parts(rows, "whole", ("whole",)).where(F.size("weak") > 0).drop("whole")
+    strong = linked(written(docs.sparkSession, found, "secrets"))
+    one = parts(rows, "whole", ("row", "whole")).join(strong, "text_key", "left")
     spans = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(SPAN))))
-    done = one.withColumn("_done", redacted(F.col(text), spans))
-    size = {"n_chars": F.when(F.size("base") > 0, F.length("_done")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in names else {}
-    return done.select(*[size.get(c, F.col("_done") if c == text else F.col(c)).alias(c) for c in names])
+    done = one.select("row", "base", redacted(F.col("whole"), spans).alias("done"))
+    made = {text: F.col("done")}
+    if "n_chars" in names:
+        made["n_chars"] = F.when(F.size("base") > 0, F.length("done")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return done.select(*[made.get(c, F.col(f"row.`{c}`")).alias(c) for c in names])
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

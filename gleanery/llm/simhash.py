@@ -291,7 +291,7 @@ def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
     dropped = assign(docs, text).where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(dropped, "doc_id", "left_anti")
     first = Window.partitionBy("doc_id").orderBy("doc_id")
-    return kept.withColumn("_copy", F.row_number().over(first)).where("_copy = 1 or doc_id is null").select(*docs.columns)
+    return kept.withColumn("_gleanery_copy", F.row_number().over(first)).where("_gleanery_copy = 1 or doc_id is null").select(*docs.columns)
 
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

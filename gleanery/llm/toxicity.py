@@ -233,28 +233,35 @@ def fitted(docs: DataFrame, labels: DataFrame):
     return model
 
 
-def score(docs: DataFrame, model, text: str = "text") -> DataFrame:
-    """All columns of docs with _score; row by row, no shuffle."""
+def score(docs: DataFrame, model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """keep and score for every row; no shuffle."""
     small_batches(docs.sparkSession)
-    names = docs.columns
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "_score double"])
-    at = names.index(text)
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "score double"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
-            texts = [words.of(t or "") for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.scores(texts), pa.float64())], [*names, "_score"])
+            texts = [words.of(t or "") for t in batch.column(len(keep)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(model.scores(texts), pa.float64())], [*keep, "score"])
 
-    return docs.mapInArrow(rows, schema)
+    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(rows, schema)
 
 
-def clean(docs: DataFrame, model, limit: float = 0.5) -> DataFrame:
-    """The rows that score under the limit, with the columns of docs."""
-    return score(docs, model).where(F.col("_score") < limit).select(*docs.columns)
+def clean(docs: DataFrame, model, limit: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows of docs that score under the limit, whatever other columns they have; no shuffle."""
+    small_batches(docs.sparkSession)
+    at = docs.columns.index(text)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in batches:
+            scores = model.scores([words.of(t or "") for t in batch.column(at).to_pylist()])
+            yield batch.filter(pa.array(scores < limit))
+
+    return docs.mapInArrow(rows, docs.schema)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents")
     scored = score(docs, fitted(docs, table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", held_out().alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
