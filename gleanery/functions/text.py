@@ -10,12 +10,12 @@ BREAK = r"[^\p{L}\p{N}]+"
 
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters and digits."""
-    return F.filter(F.split(F.lower(text), BREAK), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(text), BREAK), "")
 
 
 def words(text: Column) -> Column:
     """Lower-cased words between blanks."""
-    return F.filter(F.split(F.lower(text), r"\s+"), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(text), r"\s+"), "")
 
 
 def content_hash(text: Column) -> Column:

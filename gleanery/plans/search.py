@@ -38,6 +38,8 @@ def lists(queries: DataFrame, corpus: DataFrame, limit: int = 20) -> DataFrame:
 def hybrid(queries: DataFrame, corpus: DataFrame, candidates: int = 40, least: float = 0.0, limit: int = 10, doubled: int = 2) -> DataFrame:
     """query_id, file, score and place, from ranked lists through fusion, best chunks, rerank and blend."""
     found = lists(queries, corpus)
+    # a few dozen rows a query, read by three branches below
+    found = found.persist()
     fused = fusion.top(fusion.rrf(found, fusion.list_weights(found, doubled)), candidates)
     files = corpus.join(fused.select(F.col("file").alias("path")).distinct(), "path", "left_semi")
     parts = chunking.chunks(files.select(F.col("path").alias("file"), "body"), "file", "body")
