@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 
 def dot(a: Column, b: Column) -> Column:
     """Over the shorter length, in double precision."""
-    n = F.least(F.size(a), F.size(b))
-    return F.aggregate(F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n), lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
 
 
 def norm(v: Column) -> Column:
@@ -28,9 +27,12 @@ def cosine_distance(a: Column, b: Column, eps: float = 1e-9) -> Column:
 
 
 def distances(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """query_id, vec_id and distance of every query with every vector: queries are a stated, checked batch and are broadcast."""
-    q = queries.select("query_id", F.col("embedding").alias("q"))
-    return vectors.select("vec_id", "embedding").join(F.broadcast(q)).select("query_id", "vec_id", F.round(cosine_distance(F.col("q"), F.col("embedding")), 6).alias("distance"))
+    """query_id, vec_id and distance of every query with every vector: queries are a stated, checked batch and are broadcast; lengths are worked out once a vector."""
+    q = queries.select("query_id", F.col("embedding").alias("q"), norm(F.col("embedding")).alias("qn"))
+    v = vectors.select("vec_id", "embedding", norm(F.col("embedding")).alias("vn"))
+    n = F.col("qn") * F.col("vn")
+    like = F.when(n <= 1e-9, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(2.0), 1 - dot(F.col("q"), F.col("embedding")) / n)))
+    return v.join(F.broadcast(q)).select("query_id", "vec_id", F.round(like, 6).alias("distance"))
 
 
 def nearest(pairs: DataFrame, k: int, by: str = "query_id") -> DataFrame:

@@ -9,9 +9,6 @@ from gleanery.functions.stem import with_stems
 from gleanery.operators import lexical as ops
 from gleanery.plans.catalog import DOCS, docs, query, table
 
-COLUMNS = {"filepath": F.col, "title": F.col, "body": F.col}
-
-
 def _columns():
     return {"filepath": F.concat("collection", F.lit("/"), "path"), "title": tx.stem_of(F.col("path")), "body": F.col("body")}
 
@@ -24,7 +21,7 @@ def _queries(spark, sf, words: int = 2):
 
 def _all(spark, sf):
     d = docs(spark, sf)
-    return ops.postings(d, _columns()), ops.doc_stats(d, _columns())
+    return ops.index(d, _columns())
 
 
 TOK = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"

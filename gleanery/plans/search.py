@@ -25,7 +25,7 @@ def embedded(rows: DataFrame, key: str, text: str) -> DataFrame:
 def lists(queries: DataFrame, corpus: DataFrame, limit: int = 20) -> DataFrame:
     """query_id, list_idx, file, rank and score: list 0 by words, list 1 by vectors."""
     columns = {"filepath": F.concat_ws("/", "collection", "path"), "title": tx.stem_of(F.col("path")), "body": F.col("body")}
-    posts, stats = lexical.postings(corpus, columns), lexical.doc_stats(corpus, columns)
+    posts, stats = lexical.index(corpus, columns)
     files = corpus.where("active").select("doc_id", F.col("path").alias("file"))
     lex = lexical.search(lexical.parse(queries), posts, stats, limit=limit).join(files, "doc_id").select("query_id", F.lit(0).alias("list_idx"), "file", "rank", "score")
     v = embedded(corpus.where("active").select(F.col("doc_id").alias("vec_id"), "body"), "vec_id", "body")
