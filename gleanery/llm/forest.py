@@ -60,7 +60,7 @@ class Forest:
         for _ in range(trees):
             self.firsts.append(self.leaves)
             self.roots.append(grow(np.arange(len(sample))))
-        self.normals = np.array(normals).reshape(-1, sample.shape[1] if sample.ndim == 2 else 0)
+        self.normals = np.array(normals) if normals else np.zeros((0, sample.shape[1]))
         self.cuts, self.kids = np.array(cuts), np.array(kids, np.int64).reshape(-1, 2)
 
     def leaves_of(self, vectors: np.ndarray) -> np.ndarray:
@@ -94,8 +94,10 @@ class Forest:
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if not len(column):
+        return np.zeros((0, 0))
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+    return flat.reshape(len(column), -1)
 
 
 def participants(vectors: DataFrame) -> DataFrame:

@@ -126,3 +126,36 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(scan(table(spark, sf_dir, "documents")))
+
+
+def _op9_sql() -> str:
+    either = "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in "password|passwd|secret|token|api_?key")
+    quote = lambda r: r.replace("'", "''")
+    assign = quote(ASSIGN.replace("(?i)password|passwd|secret|token|api_?key", either).replace(r"\x20", " "))
+    runs = "[A-Za-z0-9/+=]+"
+
+    def spans(kind: int, pattern: str, keep: str = "true", where: str = "true") -> str:
+        return f"""k{kind} AS (SELECT rid, unnest(regexp_extract_all(t, '{pattern}')) AS m, unnest(regexp_split_to_array(t, '{pattern}')[:-2]) AS g, unnest(range(1, len(regexp_extract_all(t, '{pattern}')) + 1)) AS i FROM d WHERE regexp_matches(t, '{pattern}') AND {where}),
+s{kind} AS (SELECT rid, e - length(m) AS s, {kind} AS kind, e FROM (SELECT rid, m, sum(length(g) + length(m)) OVER (PARTITION BY rid ORDER BY i)::BIGINT AS e FROM k{kind}) WHERE {keep})"""
+
+    names = "[" + ", ".join(f"'{k}'" for k in KINDS) + "]"
+    said = f"string_agg({names}[kind + 1] || ':' || s || ':' || e, ',' ORDER BY s, kind)"
+    has_access = "rid IN (SELECT rid FROM s1)"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+{spans(0, assign, f"length(regexp_extract(m, '{assign}', 2)) >= {ASSIGN_LEAST}")},
+{spans(1, ACCESS)},
+{spans(2, HEX)},
+base AS (SELECT * FROM s0 UNION ALL SELECT * FROM s1 UNION ALL SELECT * FROM s2),
+{spans(3, runs, "length(m) = 40 AND NOT contains(m, '=')", has_access)},
+{spans(4, ENDPOINT, "true", has_access)},
+weak AS (SELECT * FROM (SELECT * FROM s3 UNION ALL SELECT * FROM s4) w WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = w.rid AND b.s < w.e AND b.e > w.s)),
+part AS (SELECT * FROM base WHERE kind < 2 UNION ALL SELECT * FROM weak WHERE kind = 3),
+near AS (SELECT w.rid, w.s, w.kind, w.e FROM weak w JOIN part p ON p.rid = w.rid AND abs(p.s - w.s) <= 400 AND p.s <> w.s GROUP BY ALL HAVING bool_or(p.kind = 1) AND (w.kind = 3 OR bool_or(p.kind <> 1))),
+b AS (SELECT rid, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, {said} AS said FROM base GROUP BY rid),
+a AS (SELECT rid, {said} AS said FROM (SELECT * FROM base UNION ALL SELECT * FROM near) GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b.said, '')) AS base_sha256, coalesce(a.said, '') AS spans
+FROM d LEFT JOIN b USING (rid) LEFT JOIN a USING (rid)"""
+
+
+OP9_SQL = _op9_sql()

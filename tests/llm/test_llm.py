@@ -142,6 +142,17 @@ def test_spans_equal_brute_force_and_link_by_scope(spark):
     assert more[4] == [3, 4] and not more[5] and not more[6]
 
 
+def test_spans_equal_sql(spark, sf, duck):
+    import duckdb
+    from compare import same
+
+    same(secrets.op9_secret_scan(spark, sf), duck, secrets.OP9_SQL)
+    other = duckdb.connect()
+    other.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    other.executemany("INSERT INTO documents VALUES (?, ?)", SECRET)
+    same(secrets.digest(secrets.scan(documents(spark, SECRET))), other, secrets.OP9_SQL)
+
+
 def test_redaction_leaves_the_rest(spark):
     out = {r["doc_id"]: r for r in secrets.redact(documents(spark, [*SECRET, (9, "nothing here")])).collect()}
     assert out[4]["text"] == "id [SECRET] key [SECRET] at [SECRET]" and out[4]["n_chars"] == len(out[4]["text"])
