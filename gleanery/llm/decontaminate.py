@@ -1,15 +1,14 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Seeds are the n-grams of words of the test items.  A first pass counts each seed over the whole
-corpus; every item keeps, in each stretch of its words, its rarest seeds, so that a copy that is
-edited in some stretches still holds one from another, however common the item itself has become.  A
-second pass finds the kept seeds in the training texts, cuts the passage around each run of hits, and
-aligns passage and item by words; the score is the alignment's share of what the item scores against
-itself.
+Seeds are all n-grams of words of the test items; none is left out for being frequent or for being
+rare, so that an edited copy is tried wherever any of its n-grams is intact.  One pass finds the seeds
+in the training texts, cuts the passage around each run of hits, and aligns passage and item by words;
+the score is the alignment's share of what the item scores against itself.  Passages that have too few
+of the item's words for the least score are not aligned, which changes no result.
 
 The test items are a stated set that is small beside the corpus: they go to the workers in blocks of
 bounded size, one pass for each block, so any number of items is handled.  Texts stay where they are;
-only seed counts and hits are shuffled.  Texts are read whole; memory is one text and one block.
+nothing is shuffled.  Texts are read whole; memory is one text and one block.
 
 Null texts are empty, and empty texts and items without words align with nothing.  Items shorter than
 a seed are matched by exact runs of their words.  Repeated rows give repeated results.
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 
 from gleanery.llm.common import small_batches, table
 
-SEED_WORDS, STRETCH, KEPT = 3, 8, 2
+SEED_WORDS = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST = 0.5
 BLOCK_CHARS = 4_000_000
@@ -138,16 +137,13 @@ class Items:
             found.append(where[hit])
         return np.concatenate(places), np.concatenate(found)
 
-    def keep_rare(self, counts: np.ndarray) -> dict[int, list[tuple[int, int]]]:
-        """index of a seed: [(item, place in the item)], the KEPT rarest seeds of each stretch of each item."""
-        kept: dict[int, list[tuple[int, int]]] = {}
+    def places(self) -> dict[int, list[tuple[int, int]]]:
+        """index of a seed: [(item, place in the item)], for every seed of every item."""
+        found: dict[int, list[tuple[int, int]]] = {}
         for i, words in enumerate(self.words):
-            keys = np.searchsorted(self.seed_keys, self.seeds(words)).tolist()
-            for at in range(0, len(keys), STRETCH):
-                part = sorted((int(counts[k]), at + j) for j, k in enumerate(keys[at : at + STRETCH]))
-                for _, place in part[:KEPT]:
-                    kept.setdefault(keys[place], []).append((i, place))
-        return kept
+            for place, key in enumerate(np.searchsorted(self.seed_keys, self.seeds(words)).tolist()):
+                found.setdefault(key, []).append((i, place))
+        return found
 
 
 def align(text: np.ndarray, item: np.ndarray) -> tuple[int, int]:
@@ -181,42 +177,30 @@ def blocks_of(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield block
 
 
-def seed_counts(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
-    """seed (its index in Items.seed_keys) and n, its occurrences over all texts; each task sends its own sums."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Items(items)
-        total = np.zeros(len(own.seed_keys), np.int64)
-        for batch in batches:
-            _, seeds = own.text_seeds(*own.numbers([v.as_py() or b"" for v in batch.column(0)]))
-            total += np.bincount(seeds, minlength=len(total))
-        there = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array(total[there], pa.int64())], ["seed", "n"])
-
-    return docs.select(F.col("text").cast("binary")).mapInArrow(count, "seed bigint, n bigint").groupBy("seed").agg(F.sum("n").alias("n"))
-
-
 class Finder:
     """Alignments of one block's items in texts."""
 
-    def __init__(self, items: list[tuple[int, str]], counts: dict[int, int], least: float):
+    def __init__(self, items: list[tuple[int, str]], least: float):
         self.items, self.least = Items(items), least
-        n = np.zeros(len(self.items.seed_keys), np.int64)
-        n[list(counts)] = list(counts.values())
-        self.kept = self.items.keep_rare(n)
-        self.rare = np.zeros(len(n), bool)
-        self.rare[list(self.kept)] = True
+        self.places = self.items.places()
+        self.bags = [np.unique(words, return_counts=True) for words in self.items.words]
+
+    def may_reach(self, text: np.ndarray, item: int) -> bool:
+        """Whether text has enough of the item's words for a score of least; no alignment matches more words than both have."""
+        words, counts = self.bags[item]
+        where = np.minimum(np.searchsorted(words, text), len(words) - 1)
+        both = np.minimum(np.bincount(where[words[where] == text], minlength=len(words)), counts).sum()
+        return both / len(self.items.words[item]) >= self.least
 
     def of(self, texts: list[bytes]) -> list[tuple[int, int, float, int, int]]:
         """(which text, item_id, score, first word, end word) of each item that aligns, at its best place."""
         numbers, sizes = self.items.numbers(texts)
         places, seeds = self.items.text_seeds(numbers, sizes)
-        hit = np.flatnonzero(self.rare[seeds]) if len(seeds) else np.zeros(0, np.int64)
         ends = np.cumsum(sizes)
-        owner = np.searchsorted(ends, places[hit], "right")
+        owner = np.searchsorted(ends, places, "right")
         starts: dict[tuple[int, int], set[int]] = {}
-        for text, place, seed in zip(owner.tolist(), places[hit].tolist(), seeds[hit].tolist(), strict=True):
-            for item, inside in self.kept[seed]:
+        for text, place, seed in zip(owner.tolist(), places.tolist(), seeds.tolist(), strict=True):
+            for item, inside in self.places[seed]:
                 starts.setdefault((text, item), set()).add(place - inside)
         found = []
         for (text, item), begins in starts.items():
@@ -229,6 +213,8 @@ class Finder:
                     continue
                 seen = begin
                 low, high = max(first, begin - slack), min(int(ends[text]), begin + len(words) + slack + slack // 2)
+                if not self.may_reach(numbers[low:high], item):
+                    continue
                 score, end = align(numbers[low:high], words)
                 share = score / (MATCH * len(words))
                 if share > best[0]:
@@ -238,22 +224,16 @@ class Finder:
         return found
 
 
-def _blocks(docs: DataFrame, items: DataFrame) -> Iterator[tuple[list[tuple[int, str]], dict[int, int]]]:
-    for block in blocks_of(items):
-        # at most as many counts as the block has n-grams
-        yield block, {r["seed"]: r["n"] for r in seed_counts(docs, block).toLocalIterator()}
-
-
 def leaks(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
     """doc_id, item_id, score, first_word, end_word: the items that align with a text, each at its best place."""
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, item_id bigint, score double, first_word bigint, end_word bigint"
     out = docs.sparkSession.createDataFrame([], schema)
-    for block, counts in _blocks(docs, items):
+    for block in blocks_of(items):
 
-        def find(batches: Iterator[pa.RecordBatch], block=block, counts=counts) -> Iterator[pa.RecordBatch]:
-            finder = Finder(block, counts, least)
+        def find(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            finder = Finder(block, least)
             for batch in batches:
                 rows = finder.of([v.as_py() or b"" for v in batch.column(1)])
                 columns = [pa.array([x[j] for x in rows], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))]
@@ -268,10 +248,10 @@ def clean(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
     small_batches(docs.sparkSession)
     names, schema = docs.columns, docs.schema
     out = docs
-    for block, counts in _blocks(docs, items):
+    for block in blocks_of(items):
 
-        def keep(batches: Iterator[pa.RecordBatch], block=block, counts=counts) -> Iterator[pa.RecordBatch]:
-            finder, at = Finder(block, counts, least), names.index("text")
+        def keep(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            finder, at = Finder(block, least), names.index("text")
             for batch in batches:
                 fine = np.ones(batch.num_rows, bool)
                 fine[[x[0] for x in finder.of([(v.as_py() or "").encode() for v in batch.column(at)])]] = False

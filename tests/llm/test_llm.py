@@ -299,6 +299,28 @@ def test_common_items_are_still_found(spark):
     assert decontaminate.leaks(documents(spark, texts), items).count() == 300
 
 
+@pytest.mark.parametrize("intact", [0, 3])
+def test_copies_edited_in_every_stretch_are_found(spark, intact):
+    items = spark.createDataFrame([(1, ITEM)], "item_id bigint, text string")
+    words = ITEM.split()
+    for k in (4, 12, 18):
+        words[k] = f"edit{k}"
+    texts = [(i, ITEM) for i in range(intact)] + [(10, "pad " * 30 + " ".join(words) + " pad" * 30)]
+    rows = {r["doc_id"]: r["score"] for r in decontaminate.leaks(documents(spark, texts), items).collect()}
+    assert rows == {i: 1.0 for i in range(intact)} | {10: (2 * 17 - 3) / 40}
+
+
+def test_passages_not_aligned_could_not_score(spark):
+    rng = np.random.default_rng(3)
+    items = [(i, " ".join(f"w{x}" for x in rng.integers(0, 30, 12))) for i in range(6)]
+    finder, some = decontaminate.Finder(items, 0.5), decontaminate.Items(items)
+    for _ in range(200):
+        text = rng.integers(0, some.base, 25)
+        for item, words in enumerate(some.words):
+            reached = decontaminate.align(text, words)[0] / (2 * len(words)) >= 0.5
+            assert finder.may_reach(text, item) or not reached
+
+
 def test_alignment_equals_the_textbook():
     rng = np.random.default_rng(2)
     for _ in range(40):
