@@ -17,21 +17,28 @@ def embedded(rows: DataFrame, key: str, text: str) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            yield pd.DataFrame({key: b[key], "embedding": list(hash_embedding(list(b[text].fillna("").str[:2000])))})
+            yield pd.DataFrame({key: b[key], "embedding": list(hash_embedding(list(b[text].fillna(""))))})
 
     return rows.select(key, text).mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, embedding array<double>")
 
 
+def chunk_vectors(corpus: DataFrame) -> DataFrame:
+    """vec_id (hash_seq) and embedding of every chunk of every content of active documents; equal contents are embedded once."""
+    contents = corpus.where("active and hash is not null").select("hash", "body").dropDuplicates(["hash"])
+    parts = chunking.chunks(contents, "hash", "body")
+    return embedded(parts.select(F.concat_ws("_", "hash", "seq").alias("vec_id"), "text"), "vec_id", "text")
+
+
 def lists(queries: DataFrame, corpus: DataFrame, limit: int = 20) -> DataFrame:
     """query_id, list_idx, file, rank and score: list 0 by words, list 1 by vectors."""
     columns = {"filepath": F.concat_ws("/", "collection", "path"), "title": tx.stem_of(F.col("path")), "body": F.col("body")}
     posts, stats = lexical.index(corpus, columns)
     files = corpus.where("active").select("doc_id", F.col("path").alias("file"))
     lex = lexical.search(lexical.parse(queries), posts, stats, limit=limit).join(files, "doc_id").select("query_id", F.lit(0).alias("list_idx"), "file", "rank", "score")
-    v = embedded(corpus.where("active").select(F.col("doc_id").alias("vec_id"), "body"), "vec_id", "body")
-    near = vectors.exact(embedded(queries, "query_id", "text"), v, 3 * limit)
-    owners = corpus.select(F.col("doc_id").alias("vec_id"), F.col("path").alias("file"))
-    vec = vectors.to_documents(near, owners, limit).select("query_id", F.lit(1).alias("list_idx"), "file", "rank", "score")
+    near = vectors.exact(embedded(queries, "query_id", "text"), chunk_vectors(corpus), 3 * limit)
+    owners = corpus.where("active").select(F.col("hash").alias("vec_id"), F.col("path").alias("file"))
+    contents = near.withColumn("vec_id", F.substring_index("vec_id", "_", 1))
+    vec = vectors.to_documents(contents, owners, limit).select("query_id", F.lit(1).alias("list_idx"), "file", "rank", "score")
     return lex.unionByName(vec)
 
 
@@ -79,5 +86,5 @@ def chunk_tokens(spark, sf):
 
 @query("embed_batch")
 def embed_batch(spark, sf):
-    d = docs(spark, sf).where("active").select("hash", "body").dropDuplicates(["hash"])
-    return embedded(d, "hash", "body").select("hash", F.round(F.col("embedding")[0], 6).alias("first"))
+    v = chunk_vectors(docs(spark, sf))
+    return v.select(F.substring_index("vec_id", "_", 1).alias("hash"), F.substring_index("vec_id", "_", -1).cast("int").alias("seq"), F.round(F.col("embedding")[0], 6).alias("first"))
