@@ -140,3 +140,10 @@ def test_words_far_into_a_text_have_vectors(spark):
     ids = {r["vec_id"] for r in search.chunk_vectors(corpus).select("vec_id").collect()}
     parts = len(chunking.chunk(late))
     assert parts > 1 and {v for v in ids if v.startswith("h1_")} == {f"h1_{k}" for k in range(parts)}
+
+
+def test_all_documents_are_diffed(spark, sf):
+    from gleanery.plans import lookup as plans
+
+    found = plans.line_diff(spark, sf).select("doc_id")
+    assert sorted(found.collect()) == sorted(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect())
