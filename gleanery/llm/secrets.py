@@ -5,8 +5,14 @@ keys and endpoints, say little alone: they are exploded to intervals and joined
 of the same text by scope (a window of code points, cut into cells so that the join is an equality
 join on text and cell) and are reported only where the complementary parts co-occur.
 
-Texts are named by their MD5 digest, so copies are linked once and repeated or null ids do no harm.
-Null texts count as empty; a text without spans has zero counts and empty span strings.
+Only texts with weak parts are joined, named by their MD5 digest, so copies are linked once and repeated
+or null ids do no harm; all other rows are worked through where they lie.  Arrays of spans are built in
+blocks, so the work of a text grows with its spans to the power 4/3 and not with their square.
+
+Null texts count as empty; a text without spans has zero counts and empty span strings; repeated rows
+give repeated results; an empty table gives an empty one.  Spans that start at the same place stand in
+the order of KINDS. Columns that are kept may have any names; what an operator makes takes the place of
+kept columns of its names.
 """
 
 from __future__ import annotations
@@ -26,61 +32,99 @@ KEY = r"(?<![A-Za-z0-9/+=])[A-Za-z0-9/+]{40}(?![A-Za-z0-9/+=])"
 ENDPOINT = r"https?://[A-Za-z0-9.-]+(?::[0-9]+)?(?:/[A-Za-z0-9._~/-]*)?"
 KINDS = ("assign", "access", "hex", "key", "endpoint")
 SPAN = "array<struct<start:int,kind:int,end:int>>"
+SCOPE, BLOCK = 400, 128
+
+
+def _let(value: Column, body) -> Column:
+    """body(value) with the value worked out once; within a lambda an expression would be worked out anew for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _running(values: Column, both) -> Column:
+    """both(...) of each value of an array of int and all before it; in blocks, as an array that grows by one is copied each time."""
+
+    def fold(block: Column, first: Column) -> Column:
+        start = F.struct(first.alias("now"), F.array().cast("array<int>").alias("out"))
+
+        def step(done: Column, x: Column) -> Column:
+            return _let(both(done["now"], x), lambda now: F.struct(now.alias("now"), F.concat(done["out"], F.array(now)).alias("out")))
+
+        return F.aggregate(block, start, step, lambda done: done["out"])
+
+    zero = F.lit(0)
+
+    def whole(known: Column) -> Column:
+        last = F.floor((F.size(known) - 1) / BLOCK).cast("int")
+        blocks = F.transform(F.sequence(zero, last), lambda k: F.slice(known, k * BLOCK + 1, F.lit(BLOCK)))
+        before = lambda of: fold(F.transform(of, lambda b: F.aggregate(b, zero, lambda x, y: both(x, y))), zero)
+        shifted = lambda of: F.slice(F.concat(F.array(zero), before(of)), F.lit(1), F.size(of))
+        return F.when(F.size(known) > BLOCK, _let(blocks, lambda of: F.flatten(F.zip_with(of, shifted(of), fold)))).otherwise(fold(known, zero))
+
+    return _let(values, whole)
 
 
 def _spans(text: Column, pattern: str, kind: int, found: Column) -> Column:
     """Spans of the matches found: between two matches lies what split() leaves."""
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
     sizes = F.transform(found, F.length)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
-
-    def step(done: Column, pair: Column) -> Column:
-        begin = done["at"] + pair["gap"]
-        span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), (begin + pair["size"]).alias("end"))
-        return F.struct((begin + pair["size"]).alias("at"), F.concat(done["spans"], F.array(span)).alias("spans"))
-
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), sizes, lambda g, s: F.struct(g.alias("gap"), s.alias("size")))
-    return F.when(F.size(found) > 0, F.aggregate(pairs, start, step, lambda done: done["spans"])).otherwise(F.array().cast(SPAN))
-
-
-def parts(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep, the text's digest, its base spans and its weak spans; one pass over the text, no shuffle."""
-    all_of = lambda pattern, when: F.when(when, F.regexp_extract_all("_text", F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    some = F.rlike("_text", F.lit(r"[:=]"))
-    one = df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    two = one.select("*", all_of(ASSIGN, some).alias("_assign"), all_of(ACCESS, F.contains("_text", F.lit("AKIA"))).alias("_access"), all_of(HEX, F.lit(True)).alias("_hex"))
-    strong = (F.size("_access") > 0) | (F.size("_assign") > 0)
-    three = two.select("*", all_of(KEY, F.size("_access") > 0).alias("_key"), all_of(ENDPOINT, strong & F.contains("_text", F.lit("://"))).alias("_endpoint"))
-    column = F.col("_text")
-    assign = F.zip_with(_spans(column, ASSIGN, 0, F.col("_assign")), F.col("_assign"), lambda s, m: F.struct(s.alias("s"), F.length(F.regexp_extract(m, ASSIGN, 2)).alias("n")))
+    steps = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), sizes, lambda g, n: F.length(g) + n)
+    spans = F.zip_with(_running(steps, lambda a, b: a + b), sizes, lambda e, n: F.struct((e - n).alias("start"), F.lit(kind).alias("kind"), e.alias("end")))
+    return F.when(F.size(found) > 0, spans).otherwise(F.array().cast(SPAN))
+
+
+def parts(rows: DataFrame) -> DataFrame:
+    """row, text (null: empty), base spans and weak spans, of rows (row, text) whatever row is; one pass over the text, no shuffle."""
+    all_of = lambda pattern, when: F.when(when, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    some = F.rlike("text", F.lit(r"[:=]"))
+    one = rows.select("row", F.coalesce("text", F.lit("")).alias("text"))
+    two = one.select("*", all_of(ASSIGN, some).alias("assign"), all_of(ACCESS, F.contains("text", F.lit("AKIA"))).alias("access"), all_of(HEX, F.lit(True)).alias("hex"))
+    strong = F.size("access") > 0
+    three = two.select("*", all_of(KEY, strong).alias("key"), all_of(ENDPOINT, strong & F.contains("text", F.lit("://"))).alias("endpoint"))
+    column = F.col("text")
+    assign = F.zip_with(_spans(column, ASSIGN, 0, F.col("assign")), F.col("assign"), lambda s, m: F.struct(s.alias("s"), F.length(F.regexp_extract(m, ASSIGN, 2)).alias("n")))
     assign = F.transform(F.filter(assign, lambda x: x["n"] >= ASSIGN_LEAST), lambda x: x["s"])
-    base = F.array_sort(F.concat(assign, _spans(column, ACCESS, 1, F.col("_access")), _spans(column, HEX, 2, F.col("_hex"))))
-    weak = F.concat(_spans(column, KEY, 3, F.col("_key")), _spans(column, ENDPOINT, 4, F.col("_endpoint")))
-    any_found = F.size("_assign") + F.size("_access") + F.size("_hex") > 0
+    base = F.array_sort(F.concat(assign, _spans(column, ACCESS, 1, F.col("access")), _spans(column, HEX, 2, F.col("hex"))))
+    weak = F.concat(_spans(column, KEY, 3, F.col("key")), _spans(column, ENDPOINT, 4, F.col("endpoint")))
+    any_found = F.size("assign") + F.size("access") + F.size("hex") > 0
     none = F.array().cast(SPAN)
-    return three.select(*keep, F.when(any_found, F.md5(F.encode("_text", "UTF-8"))).otherwise(F.concat(F.lit("-"), F.xxhash64(*keep).cast("string"))).alias("text_key"), F.when(any_found, base).otherwise(none).alias("base"), F.when(strong, weak).otherwise(none).alias("weak"))
+    return three.select("row", "text", F.when(any_found, base).otherwise(none).alias("base"), F.when(strong, weak).otherwise(none).alias("weak"))
+
+
+def _text_key() -> Column:
+    return F.md5(F.encode("text", "UTF-8")).alias("text_key")
+
 
+def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
+    """text_key and more, of texts (text_key, base, weak): the weak spans that lie within scope of their complements.
 
-def linked(found: DataFrame, scope: int = 400) -> DataFrame:
-    """text_key and the weak spans that lie within scope of their complements: a key beside an access identifier; an endpoint beside an access identifier and an assigned secret or key."""
-    texts = found.where(F.size("weak") > 0).select("text_key", "base", "weak").dropDuplicates(["text_key"])
-    strong = texts.select("text_key", F.explode("base").alias("p")).where("p.kind < 2").select("text_key", F.col("p.kind").alias("kind"), F.col("p.start").alias("start"), F.col("p.end").alias("end"))
-    weak = texts.select("text_key", F.explode("weak").alias("w"), "base").where(~F.exists("base", lambda b: (b["start"] < F.col("w")["end"]) & (b["end"] > F.col("w")["start"]))).drop("base")
-    keys = weak.where("w.kind = 3").select("text_key", F.lit(3).alias("kind"), F.col("w.start").alias("start"), F.col("w.end").alias("end"))
+    A key needs an access identifier; an endpoint needs one, and an assigned secret or a key. Weak spans that
+    overlap a base span are part of it. A span lies in all cells that it touches.
+    """
+    texts = found.where(F.size("weak") > 0).dropDuplicates(["text_key"])
+    span = lambda s: [F.col(f"{s}.{x}").alias(x) for x in ("kind", "start", "end")]
+    cells = lambda df, a, b: df.withColumn("cell", F.explode(F.sequence(F.floor(F.col(a) / scope) - b, F.floor((F.col("end") - 1) / scope) + b)))
+    base = texts.select("text_key", F.explode("base").alias("p")).select("text_key", *span("p"))
+    weak = texts.select("text_key", F.explode("weak").alias("w")).select("text_key", *span("w"))
+    over = cells(base, "start", 0).select("text_key", "cell", F.col("start").alias("from"), F.col("end").alias("to"))
+    covered = cells(weak, "start", 0).join(over, ["text_key", "cell"]).where("from < end and to > start").select("text_key", "kind", "start", "end").distinct()
+    free = written(found.sparkSession, weak.join(covered, ["text_key", "kind", "start", "end"], "left_anti"), "weak")
     # a part lies in the cell of its start; a weak part looks into its own cell and both neighbours
-    part = strong.unionByName(keys).withColumn("cell", F.floor(F.col("start") / scope))
-    look = weak.withColumn("cell", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("w")["start"] / scope) + d)))
-    near = look.join(part, ["text_key", "cell"]).where((F.abs(F.col("start") - F.col("w")["start"]) <= scope) & (F.col("start") != F.col("w")["start"]))
-    seen = near.groupBy("text_key", "w").agg(F.max((F.col("kind") == 1).cast("int")).alias("access"), F.max((F.col("kind") != 1).cast("int")).alias("other"))
-    return seen.where((F.col("access") == 1) & ((F.col("w")["kind"] == 3) | (F.col("other") == 1))).groupBy("text_key").agg(F.collect_list("w").alias("more"))
+    part = base.where("kind < 2").unionByName(free.where("kind = 3")).select("text_key", F.floor(F.col("start") / scope).alias("cell"), F.col("kind").alias("by"), F.col("start").alias("at"))
+    look = free.withColumn("cell", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("start") / scope) + d)))
+    near = look.join(part, ["text_key", "cell"]).where((F.abs(F.col("at") - F.col("start")) <= scope) & (F.col("at") != F.col("start")))
+    seen = near.groupBy("text_key", "kind", "start", "end").agg(F.max(F.col("by") == 1).alias("access"), F.max(F.col("by") != 1).alias("other"))
+    return seen.where("access and (kind = 3 or other)").groupBy("text_key").agg(F.collect_list(F.struct("start", "kind", "end")).alias("more"))
 
 
-def scan(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), scope: int = 400) -> DataFrame:
+def scan(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), scope: int = SCOPE) -> DataFrame:
     """keep and spans: array of (start, kind, end), by start, then kind as listed in KINDS; and base, those of the fixed patterns alone."""
-    spark = df.sparkSession
-    found = written(spark, parts(df, text, keep), "secrets")
-    all_spans = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(SPAN))))
-    return found.join(linked(found, scope), "text_key", "left").select(*keep, "base", all_spans.alias("spans"))
+    keep = tuple(c for c in keep if c not in ("base", "spans"))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(f"`{text}`").alias("text"))
+    found = parts(rows).select("row", "base", "weak", F.when(F.size("weak") > 0, _text_key()).alias("text_key"))
+    found = written(df.sparkSession, found, "secrets")
+    more = linked(found.select("text_key", "base", "weak"), scope)
+    alone = found.where("text_key is null").select("row", "base", F.col("base").alias("spans"))
+    joined = found.where("text_key is not null").join(more, "text_key", "left").select("row", "base", F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(SPAN)))).alias("spans"))
+    return alone.unionByName(joined).select(*[F.col(f"row.`{c}`").alias(c) for c in keep], "base", "spans")
 
 
 def _said(spans: str) -> Column:
@@ -94,37 +138,46 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with every span, overlapping ones as one, replaced by the mark."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))
+    """The text with every span, overlapping ones as one, replaced by the mark.
+
+    Pieces are cut from four bytes a code point, so that each costs its own length wherever it lies.
+    """
+    def whole(wide: Column) -> Column:
+        piece = lambda at, n: F.decode(F.substring(wide, at * 4 + 1, n * 4), "UTF-32")
+
+        def joined(ends: Column) -> Column:
+            before = F.slice(F.concat(F.array(F.lit(0)), ends), F.lit(1), F.size(ends))
+            pieces = F.zip_with(spans, before, lambda s, at: F.when(s["start"] >= at, F.concat(piece(at, s["start"] - at), F.lit(mark))).otherwise(F.lit("")))
+            tail = F.element_at(ends, -1)
+            return F.concat(F.array_join(pieces, ""), piece(tail, (F.octet_length(wide) / 4).cast("int") - tail))
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        between = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["done"], between, F.lit(mark))).otherwise(acc["done"]).alias("done"))
+        return _let(_running(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b)), joined)
 
-    whole = F.aggregate(spans, start, step, lambda acc: F.concat(acc["done"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+    return F.when(F.size(spans) > 0, _let(F.encode(text, "UTF-32"), whole)).otherwise(text)
 
 
-def redact(docs: DataFrame, text: str = "text") -> DataFrame:
+def redact(docs: DataFrame, text: str = "text", scope: int = SCOPE) -> DataFrame:
     """docs with every span replaced by a mark and n_chars, where there is one, made to fit; rows without spans are untouched.
 
-    The row travels as one struct, so its columns may have any names.
+    The row travels as one struct, so its columns may have any names and types. Only rows with weak parts are shuffled.
     """
     names = docs.columns
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(text).alias("whole"))
-    found = parts(rows, "whole", ("whole",)).where(F.size("weak") > 0).drop("whole")
-    strong = linked(written(docs.sparkSession, found, "secrets"))
-    one = parts(rows, "whole", ("row", "whole")).join(strong, "text_key", "left")
-    spans = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(SPAN))))
-    done = one.select("row", "base", redacted(F.col("whole"), spans).alias("done"))
-    made = {text: F.col("done")}
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{text}`").alias("text"))
+    found = parts(rows)
+    asked = parts(rows.select(F.lit(0).alias("row"), "text")).where(F.size("weak") > 0).select(_text_key(), "base", "weak")
+    more = linked(written(docs.sparkSession, asked, "secrets"), scope)
+    alone = found.where(F.size("weak") == 0).select("row", "text", F.col("base").alias("spans"))
+    joined = found.where(F.size("weak") > 0).select("*", _text_key()).join(more, "text_key", "left").select("row", "text", F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(SPAN)))).alias("spans"))
+    done = alone.unionByName(joined).select("row", "spans", redacted(F.col("text"), F.col("spans")).alias("done"))
+    touched = F.size("spans") > 0
+    made = {text: F.when(touched, F.col("done")).otherwise(F.col(f"row.`{text}`"))}
     if "n_chars" in names:
-        made["n_chars"] = F.when(F.size("base") > 0, F.length("done")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
+        made["n_chars"] = F.when(touched, F.length("done")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
     return done.select(*[made.get(c, F.col(f"row.`{c}`")).alias(c) for c in names])
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, counts, digest of the base spans and all spans of every document; null texts count as empty."""
     return digest(scan(table(spark, sf_dir, "documents")))
 
 
