@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import small_batches, table
+from gleanery.llm.common import stretches, table, unlike
 
 _CHUNKS, _WORDS, _PAIRS = 200_000, 100_000, 400_000
 _TWO_SPACES = re.compile(r"\s\s")
@@ -187,14 +187,13 @@ def vocabulary(name: str = "byte_bpe_50k.tiktoken") -> tuple[str, str]:
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
     """keep, n_tokens, ids_sha256, decoded_sha256 and, with_ids, the ids themselves; one row in, one row out, no shuffle."""
-    small_batches(df.sparkSession)
     fields = [df.schema[c] for c in keep]
     more = ["n_tokens bigint", "ids_sha256 string", "decoded_sha256 string"] + ["ids array<int>"] * with_ids
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + more)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path, pattern)
-        for batch in batches:
+        for batch in (part for whole in batches for part in stretches(whole, len(keep))):
             n, ids_sha, out_sha, lists = [], [], [], []
             for value in batch.column(len(keep)):
                 ids = bpe.encode_text((value.as_py() or b"").decode("utf-8", "replace"))
@@ -211,7 +210,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", keep: tup
             yield pa.RecordBatch.from_arrays(columns, names)
         pa.default_memory_pool().release_unused()
 
-    return df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("binary").alias("_text")).mapInArrow(rows, schema)
+    return df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("binary").alias(unlike(keep))).mapInArrow(rows, schema)
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

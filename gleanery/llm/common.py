@@ -32,10 +32,42 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the Arrow batches that Python workers hold, by rows and (where Spark has it) by bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+def stretches(batch, column: int, most: int = 4 << 20):
+    """An Arrow batch in parts whose values in `column` hold about `most` bytes each, so that a worker's copies of texts stay bounded whatever the session's batch size."""
+    n, at = batch.num_rows, 0
+    if batch.column(column).nbytes <= most:
+        yield batch
+        return
+    import numpy as np
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    while at < n:
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def unlike(names) -> str:
+    """A column name that none of the names is."""
+    return "_text" + "_" * max(map(len, names), default=0)
+
+
+def scored(docs: DataFrame, scorer, text: str, keep: tuple[str, ...]) -> DataFrame:
+    """keep (but for a column named score) and score, for every row; scorer() makes a task's function from texts to scores. No shuffle."""
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    keep = tuple(c for c in keep if c != "score")
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("score", T.DoubleType())])
+
+    def rows(batches):
+        of = scorer()
+        for batch in batches:
+            for part in stretches(batch, len(keep)):
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(of(part.column(len(keep)).to_pylist()), pa.float64())], [*keep, "score"])
+
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias(unlike(keep))).mapInArrow(rows, schema)
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:
@@ -57,14 +89,19 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, positives: i
         some = usable.where(F.col("y") == y).orderBy(order, "doc_id").limit(most)
         picked = some if picked is None else picked.unionByName(some)
     texts = docs.where("text is not null").where(F.length("text") <= longest).select("doc_id", "text")
-    rows = texts.join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id", "text").limit(positives + negatives).toLocalIterator()
-    found, ys, held = [], [], 0
-    for row in rows:
-        held += len(row["text"])
+    # ids and lengths first, then no more texts than fit; of rows that share an id the smallest text counts
+    lengths = texts.select("doc_id", F.length("text").alias("n")).join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.max("n").alias("n"), F.max("y").alias("y"))
+    chosen, held = {}, 0
+    for row in lengths.orderBy(order, "doc_id").limit(positives + negatives).collect():
+        held += row["n"]
         if held > total:
             break
-        found.append(row["text"])
-        ys.append(row["y"])
+        chosen[row["doc_id"]] = row["y"]
+    if not chosen:
+        return [], [], 0.0
+    ids = docs.sparkSession.createDataFrame([(i,) for i in chosen], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}")
+    found_texts = {r["doc_id"]: r["text"] for r in texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).toLocalIterator()}
+    found, ys = [found_texts[i] for i in chosen], list(chosen.values())
     n = sum(counts.values())
     return found, ys, counts.get(1, 0) / n if n else 0.0
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import small_batches, table
+from gleanery.llm.common import stretches, table
 
 SEED_WORDS = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -226,7 +226,6 @@ class Finder:
 
 def leaks(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
     """doc_id, item_id, score, first_word, end_word: the items that align with a text, each at its best place."""
-    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, item_id bigint, score double, first_word bigint, end_word bigint"
     out = docs.sparkSession.createDataFrame([], schema)
@@ -245,7 +244,6 @@ def leaks(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
     """The rows of docs in which no item aligns; row by row, no shuffle of texts."""
-    small_batches(docs.sparkSession)
     names, schema = docs.columns, docs.schema
     out = docs
     for block in blocks_of(items):

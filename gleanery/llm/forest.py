@@ -128,7 +128,6 @@ def routes(sizes: np.ndarray, firsts: list[int], block_rows: int = BLOCK_ROWS) -
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, trees: int = TREES, sample: int = SAMPLE, budget: float = BUDGET) -> DataFrame:
     """query_id, rank, vec_id, score for each row of queries (vec_id, embedding) against all rows of vectors but those of its own id."""
     spark = vectors.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
     ids = Window.partitionBy("embedding").orderBy("vec_id")
     some = vectors.withColumn("_r", F.dense_rank().over(ids)).where(F.col("_r") <= k + 1)
     index = written(spark, some.groupBy("embedding").agg(F.sort_array(F.collect_set("vec_id")).alias("ids")), "vectors")

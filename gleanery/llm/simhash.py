@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import small_batches, table, written
+from gleanery.llm.common import stretches, table, unlike, written
 
 BITS, WORDS, SEED, BLOCK = 3, 3, 42, 2048
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -61,15 +61,14 @@ def fingerprint(data: bytes) -> int:
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id and fingerprint (the 64 bits as a signed number); no shuffle."""
-    small_batches(docs.sparkSession)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in stretches(whole, 1)):
             found = np.array([fingerprint(t.as_py() or b"") for t in batch.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64), pa.int64())], ["doc_id", "fingerprint"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col(text).cast("binary").alias("_text")).mapInArrow(rows, f"doc_id {kind}, fingerprint bigint")
+    return docs.select("doc_id", F.col(f"`{text}`").cast("binary").alias(unlike(["doc_id"]))).mapInArrow(rows, f"doc_id {kind}, fingerprint bigint")
 
 
 def _syndromes(words: np.ndarray) -> np.ndarray:
@@ -238,7 +237,6 @@ def links(nodes: DataFrame) -> DataFrame:
                 which, keys = bucket_keys(part)
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(part[which].view(np.int64), pa.int64())], ["key", "fingerprint"])
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
     keys = nodes.select("fingerprint").mapInArrow(keyed, "key bigint, fingerprint bigint")
     spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = keys.repartition(spread, "key").sortWithinPartitions("key", "fingerprint")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import best_cut, held_out, labelled_sample, small_batches, table
+from gleanery.llm.common import best_cut, held_out, labelled_sample, scored, stretches, table
 
 BITS, HALF, WIDTHS, FILTERS = 15, 8, (1, 2, 3), 12
 POSITIVES, NEGATIVES, LONGEST, TOTAL = 2500, 3500, 60_000, 30_000_000
@@ -141,52 +141,56 @@ class Cnn:
         languages = [language_of(t) for t in texts]
         return 1 / (1 + np.exp(-np.clip(self.steep * (self.logits(texts) - self.cuts[languages]), -60, 60)))
 
+    def gradients(self, texts: list[np.ndarray], y: np.ndarray, weights: np.ndarray) -> tuple[list[np.ndarray], float, np.ndarray, np.ndarray]:
+        """(of conv, bias and out; of the last bias; words, and the gradient of each one's embedding) of the mean weighted cross entropy, through the place of each maximum alone."""
+        edge = WIDTHS[-1] - 1
+        grads = [np.zeros_like(p) for p in (*self.conv, self.bias, self.out)]
+        touched = [(np.zeros(0, np.int64), np.zeros((0, 2 * HALF), np.float32))]
+        bias_step = 0.0
+        for numbers, label, weight in zip(texts, y, weights, strict=True):
+            rows = np.concatenate((self.embed(numbers), np.zeros((edge, 2 * HALF), np.float32)))
+            places, peaks = [], []
+            for k in range(len(WIDTHS)):
+                out = self.convolve(rows, k) if len(numbers) else np.zeros((1, FILTERS), np.float32)
+                places.append(out.argmax(0))
+                peaks.append(out.max(0))
+            active = np.concatenate(peaks) + self.bias
+            hidden = np.maximum(active, 0)
+            p = 1 / (1 + np.exp(-np.clip(hidden @ self.out + self.out_bias, -30, 30)))
+            g = np.float32((p - label) * weight / len(texts))
+            bias_step += g
+            grads[-1] += g * hidden
+            through = g * self.out * (active > 0)
+            grads[-2] += through
+            for k in range(len(WIDTHS) if len(numbers) else 0):
+                share = through[k * FILTERS : (k + 1) * FILTERS]
+                for j in range(WIDTHS[k]):
+                    where = places[k] + j
+                    grads[k][j] += rows[where].T * share
+                    inside = where < len(numbers)
+                    touched.append((numbers[where[inside]], (self.conv[k][j] * share).T[inside]))
+        return grads, bias_step, np.concatenate([x for x, _ in touched]), np.concatenate([x for _, x in touched])
+
     def fit(self, texts: list[np.ndarray], y: np.ndarray, weights: np.ndarray, epochs: int = 4, rate: float = 0.02, seed: int = 0) -> None:
-        """Adam; gradients pass through the position of each maximum alone."""
+        """Adam over batches of 32 texts."""
         rng = np.random.default_rng(seed)
         self.start(texts, y)
         dense = [*self.conv, self.bias, self.out]
         m, v = [np.zeros_like(p) for p in dense], [np.zeros_like(p) for p in dense]
         tables = (self.low, self.high)
         seen = [np.zeros_like(t) for t in tables]
-        edge, mask, t = WIDTHS[-1] - 1, (1 << BITS) - 1, 0
-        for epoch in range(epochs):
+        mask, t = (1 << BITS) - 1, 0
+        for _ in range(epochs):
             order = rng.permutation(len(texts))
             for begin in range(0, len(order), 32):
                 part, t = order[begin : begin + 32], t + 1
-                grads = [np.zeros_like(p) for p in dense]
-                touched: list[tuple[np.ndarray, np.ndarray]] = []
-                bias_step = 0.0
-                for i in part:
-                    numbers = texts[i]
-                    rows = np.concatenate((self.embed(numbers), np.zeros((edge, 2 * HALF), np.float32)))
-                    places, peaks = [], []
-                    for k in range(len(WIDTHS)):
-                        out = self.convolve(rows, k) if len(numbers) else np.zeros((1, FILTERS), np.float32)
-                        places.append(out.argmax(0))
-                        peaks.append(out.max(0))
-                    active = np.concatenate(peaks) + self.bias
-                    hidden = np.maximum(active, 0)
-                    p = 1 / (1 + np.exp(-np.clip(hidden @ self.out + self.out_bias, -30, 30)))
-                    g = np.float32((p - y[i]) * weights[i] / len(part))
-                    bias_step += g
-                    grads[-1] += g * hidden
-                    through = g * self.out * (active > 0)
-                    grads[-2] += through
-                    for k in range(len(WIDTHS) if len(numbers) else 0):
-                        share = through[k * FILTERS : (k + 1) * FILTERS]
-                        for j in range(WIDTHS[k]):
-                            where = places[k] + j
-                            grads[k][j] += rows[where].T * share
-                            inside = where < len(numbers)
-                            touched.append((numbers[where[inside]], (self.conv[k][j] * share).T[inside]))
+                grads, bias_step, numbers, steps = self.gradients([texts[i] for i in part], y[part], weights[part])
                 for p, g, mm, vv in zip(dense, grads, m, v, strict=True):
                     mm += 0.1 * (g - mm)
                     vv += 0.001 * (g * g - vv)
                     p -= rate * 0.3 * (mm / (1 - 0.9**t)) / (np.sqrt(vv / (1 - 0.999**t)) + 1e-6)
                 self.out_bias -= np.float32(rate * bias_step)
-                if touched:
-                    numbers, steps = np.concatenate([x for x, _ in touched]), np.concatenate([x for _, x in touched])
+                if len(numbers):
                     for table_, squares, rows_of, half in ((tables[0], seen[0], numbers & mask, steps[:, :HALF]), (tables[1], seen[1], (numbers >> BITS) & mask, steps[:, HALF:])):
                         rows_, inverse = np.unique(rows_of, return_inverse=True)
                         g = np.zeros((len(rows_), HALF), np.float32)
@@ -234,34 +238,30 @@ def fitted(docs: DataFrame, labels: DataFrame):
 
 
 def score(docs: DataFrame, model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep and score for every row; no shuffle."""
-    small_batches(docs.sparkSession)
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "score double"])
+    """keep (but for a column named score) and score for every row; no shuffle."""
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scorer():
         words = Words()
-        for batch in batches:
-            texts = [words.of(t or "") for t in batch.column(len(keep)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(model.scores(texts), pa.float64())], [*keep, "score"])
+        return lambda values: model.scores([words.of(v or "") for v in values])
 
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(rows, schema)
+    return scored(docs, scorer, text, keep)
 
 
 def clean(docs: DataFrame, model, limit: float = 0.5, text: str = "text") -> DataFrame:
     """The rows of docs that score under the limit, whatever other columns they have; no shuffle."""
-    small_batches(docs.sparkSession)
     at = docs.columns.index(text)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
-            scores = model.scores([words.of(t or "") for t in batch.column(at).to_pylist()])
-            yield batch.filter(pa.array(scores < limit))
+            for part in stretches(batch, at):
+                yield part.filter(pa.array(model.scores([words.of(t or "") for t in part.column(at).to_pylist()]) < limit))
 
     return docs.mapInArrow(rows, docs.schema)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document; null and empty texts score what a text without words scores."""
     docs = table(spark, sf_dir, "documents")
-    scored = score(docs, fitted(docs, table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    found = score(docs, fitted(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

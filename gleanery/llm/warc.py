@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import shared_dir, small_batches, table, written
+from gleanery.llm.common import shared_dir, table, written
 
 # Fixed values of the formats.
 EOCD, EOCD64, LOCATOR64, CENTRAL, LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
@@ -179,7 +179,6 @@ def with_references(pages: DataFrame, dedup_from: int = 0) -> DataFrame:
 
 def write_packages(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Write rows of with_references() to ZIP packages; one row per package: uri, n_records. Run it once (see written())."""
-    small_batches(pages.sparkSession, 500)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, path = _open(folder)

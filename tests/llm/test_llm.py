@@ -224,7 +224,7 @@ def auc(y, s):
     return (order[y == 1].sum() - n * (n + 1) / 2) / (n * (len(y) - n))
 
 
-@pytest.mark.parametrize(("query", "label", "least"), [(toxicity.op4_toxicity, "toxic", 0.8), (quality.op5_quality, "quality", 0.97)])
+@pytest.mark.parametrize(("query", "label", "least"), [(toxicity.op4_toxicity, "toxic", 0.95), (quality.op5_quality, "quality", 0.97)])
 def test_held_out_rows_are_told_apart(spark, query, label, least):
     sf = "/root/testdata/sf0.1"
     out = query(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").select(label, "score").toPandas()
