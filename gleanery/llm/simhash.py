@@ -12,11 +12,14 @@ are candidates and are verified on all 64 bits.
 Equal fingerprints are one node, so exact copies never meet each other.  A bucket is streamed in the
 order of its key: blocks of a bounded number of fingerprints are verified by array operations and
 leave only a spanning forest of their links, never all pairs; a bucket of several blocks passes them
-on, and pairs of blocks are joined and verified elsewhere.  Components are found by alternating star
+on, and pairs of sets of blocks are verified elsewhere.  There are three times 2^24 keys, so the
+candidates to verify grow with the square of the distinct fingerprints once these are many more than
+the keys (over some hundred millions); each costs one operation on a word.  Components are found by alternating star
 contractions, each round written to a table in the shared folder.
 
 Null and empty texts have fingerprint zero and are linked like any other.  Rows without doc_id take
-part; a component's id is the smallest doc_id that is not null.  Repeated rows give repeated results.
+part; a component's id is the smallest doc_id that is not null.  Repeated rows give repeated results;
+an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -26,12 +29,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.llm.common import stretches, table, unlike, written
 
-BITS, WORDS, SEED, BLOCK = 3, 3, 42, 2048
+BITS, WORDS, SEED, BLOCK, SETS, BROADCAST_IDS = 3, 3, 42, 2048, 8, 2_000_000
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PAIRS = ((0, 1), (0, 2), (1, 2))
 # Fixed value: generator polynomial of the (23, 12) Golay code, x^11+x^9+x^7+x^6+x^5+x+1.
@@ -170,24 +175,27 @@ def _small_links(prints: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> li
 
 
 def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links within the blocks of each bucket; the blocks of buckets that have several are passed on. Rows come in the order of key."""
-    key_now, held, passed = None, np.zeros(0, np.uint64), 0
+    """Links within the blocks of each bucket; the blocks of buckets that have several, or may go on in another task, are passed on.
+
+    Rows come in the order of key and fingerprint; a bucket may go on beyond either end.
+    """
+    key_now, held, passed, at_end, number = None, np.zeros(0, np.uint64), 0, True, TaskContext.get().partitionId() << 32
 
     def rows(links=(), block=None):
         a, b = _links(list(links))
         n = len(a)
         if block is None:
-            return pa.RecordBatch.from_arrays([a, b, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.int64()))], ["a", "b", "key", "block", "members"])
-        key, number, members = block
-        return pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([key], pa.int64()), pa.array([number], pa.int32()), pa.array([members.view(np.int64)], pa.list_(pa.int64()))], ["a", "b", "key", "block", "members"])
+            return pa.RecordBatch.from_arrays([a, b, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64()))], ["a", "b", "key", "block", "members"])
+        key, at, members = block
+        return pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([key], pa.int64()), pa.array([at], pa.int64()), pa.array([members.view(np.int64)], pa.list_(pa.int64()))], ["a", "b", "key", "block", "members"])
 
     def close(last: bool):
-        nonlocal passed
+        nonlocal passed, number
         if len(held) > 1:
             yield rows(forest(held))
-        if len(held) and (passed or not last):
-            yield rows(block=(key_now, passed, held))
-            passed += 1
+        if len(held) and (passed or not last or at_end):
+            yield rows(block=(key_now, number, held))
+            passed, number = passed + 1, number + 1
 
     for batch in batches:
         keys, prints = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
@@ -207,26 +215,33 @@ def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in [0, *middle[sizes[middle] > BLOCK], *([len(begins) - 1] if len(begins) > 1 else [])]:
             if keys[begins[k]] != key_now:
                 yield from close(True)
-                key_now, held, passed = int(keys[begins[k]]), np.zeros(0, np.uint64), 0
+                at_end, key_now, held, passed = key_now is None, int(keys[begins[k]]), np.zeros(0, np.uint64), 0
             for at in range(begins[k], ends[k], BLOCK):
                 held = np.concatenate((held, prints[at : min(at + BLOCK, ends[k])]))
                 while len(held) > BLOCK:
                     rest, held = held[BLOCK:], held[:BLOCK]
                     yield from close(False)
                     held = rest
+    at_end = True
     yield from close(True)
 
 
-def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for left, right in zip(batch.column(0), batch.column(1), strict=True):
-            links = forest(np.array(left.as_py(), np.int64).view(np.uint64), np.array(right.as_py(), np.int64).view(np.uint64))
-            a, b = _links(links)
-            yield pa.RecordBatch.from_arrays([a, b], ["a", "b"])
+def _between(key: tuple, blocks: pa.Table) -> pa.Table:
+    """Links between two sets of blocks of a bucket, or within one set if the two are the same."""
+    members = lambda side: [np.asarray(m, np.int64).view(np.uint64) for m in blocks.filter(pc.equal(blocks["of"], side))["members"].to_pylist()]
+    low, high = key[1].as_py(), key[2].as_py()
+    sets = [np.concatenate(x) if (x := members(side)) else np.zeros(0, np.uint64) for side in dict.fromkeys((low, high))]
+    found, other = _links(forest(*sets))
+    return pa.table({"a": found, "b": other})
 
 
 def links(nodes: DataFrame) -> DataFrame:
-    """a < b: links between distinct fingerprints that connect all within BITS of each other, few more than a forest."""
+    """a < b: links between distinct fingerprints that connect all within BITS of each other, few more than a forest.
+
+    Keys are dealt by ranges of (key, fingerprint), so a bucket of any size lies in as many tasks as its
+    share asks for. What a task can't settle alone, blocks of large buckets and of the buckets at its two
+    ends, is dealt again by pairs of sets of about SETS blocks.
+    """
     spark = nodes.sparkSession
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,12 +253,14 @@ def links(nodes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(part[which].view(np.int64), pa.int64())], ["key", "fingerprint"])
 
     keys = nodes.select("fingerprint").mapInArrow(keyed, "key bigint, fingerprint bigint")
-    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = keys.repartition(spread, "key").sortWithinPartitions("key", "fingerprint")
-    found = written(spark, dealt.mapInArrow(_within, "a bigint, b bigint, key bigint, block int, members array<bigint>"), "links")
+    dealt = keys.repartitionByRange("key", "fingerprint").sortWithinPartitions("key", "fingerprint")
+    found = written(spark, dealt.mapInArrow(_within, "a bigint, b bigint, key bigint, block bigint, members array<bigint>"), "links")
     blocks = found.where("key is not null").select("key", "block", "members")
-    pairs = blocks.alias("x").join(blocks.alias("y"), F.col("x.key") == F.col("y.key")).where("x.block < y.block").select(F.col("x.members"), F.col("y.members"))
-    far = pairs.toDF("left", "right").mapInArrow(_between, "a bigint, b bigint")
+    several = blocks.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / SETS).alias("sets"))
+    of = blocks.join(several, "key").withColumn("of", F.pmod(F.xxhash64("block"), F.col("sets")))
+    sides = of.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("sets") - 1)))
+    pairs = sides.select("key", F.least("of", "other").alias("low"), F.greatest("of", "other").alias("high"), "of", "members")
+    far = pairs.groupBy("key", "low", "high").applyInArrow(_between, "a bigint, b bigint")
     return found.where("a is not null").select("a", "b").unionByName(far).distinct()
 
 
@@ -283,15 +300,27 @@ def assign(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of docs of the smallest doc_id in each component, one of rows that repeat it; rows without doc_id stay."""
-    from pyspark.sql import Window
+    """The rows of docs of the smallest doc_id in each component, one of rows that repeat it; rows without doc_id stay.
 
-    dropped = assign(docs, text).where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(dropped, "doc_id", "left_anti")
-    first = Window.partitionBy("doc_id").orderBy("doc_id")
-    return kept.withColumn("_gleanery_copy", F.row_number().over(first)).where("_gleanery_copy = 1 or doc_id is null").select(*docs.columns)
+    Rows without id stay where they are. The others are told from the ids that go, which are broadcast up to
+    BROADCAST_IDS of them and joined beyond; only rows that repeat an id are grouped by it.
+    """
+    spark = docs.sparkSession
+    found = written(spark, assign(docs, text).where("doc_id is not null").select("doc_id", "component_id"), "components")
+    dropped = found.where("doc_id <> component_id").select("doc_id")
+    repeated = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    gone = written(spark, dropped.distinct().unionByName(repeated), "gone")
+    again = written(spark, repeated, "repeated")
+    sized = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    named = docs.where("doc_id is not null")
+    kept = docs.where("doc_id is null").unionByName(named.join(sized(gone), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns]))
+    # one of the rows that share an id: the first by hash, of rows with equal hashes any
+    rows = named.join(sized(again), "doc_id", "left_semi").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), F.col(f"`{text}`").alias("text"))
+    one = rows.groupBy("id").agg(F.min_by("row", F.xxhash64("text")).alias("row"))
+    return kept.unionByName(one.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns]))
 
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint and component_id of every document; null and empty texts have fingerprint zero."""
     found = assign(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
