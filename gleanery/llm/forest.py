@@ -2,18 +2,21 @@
 
 Trees are fitted on a bounded sample (SAMPLE vectors, in the order of a hash of the id); every vector
 is then indexed by all trees.  A query walks all trees through one shared priority queue, nearest
-split first, until the leaves taken hold BUDGET times as many entries as there are vectors (over all
-trees; leaves of several trees overlap, so that is about four fifths of the distinct vectors).  The
-budget is a share of the index because near-isotropic vectors have no closer structure to use: on the
-given tables a budget of a tenth finds half of the true neighbours.  Candidates in the leaves are
-ranked by exact distance.
+split first, until the leaves taken hold a budget of entries.  The budget is calibrated: for PROBES
+vectors the exact neighbours are found by one pass over all rows, and it is set to what a share TARGET
+of those neighbours takes to come up.  Where vectors are clustered that is a small part of the index;
+where they are isotropic, as in the given tables, no index has closer structure to use and it is most
+of the table, so that the work grows with queries times rows.  Candidates in the leaves are ranked by
+exact distance.
 
 Equal vectors are indexed once and stand for their k+1 smallest ids, so one very common vector is one
-entry.  Leaves are packed into blocks of bounded size, a large leaf is dealt over several blocks, and
-a query goes once to each block with the leaves it wants there.
+entry.  Leaves are packed into blocks of BLOCK_ROWS entries, a large leaf is dealt over several blocks;
+a query goes once to each block with the leaves it wants there, and the queries of a block are dealt in
+groups of about GROUP, so that a task holds one block and one group whatever the number of either.
 
 Vectors that are null, zero or of another length than most, or that hold nulls or non-finite numbers,
-take no part; neither do rows without id. Rows that repeat id and vector count once.
+take no part; neither do rows without id. Rows that repeat id and vector count once. Equal distances go
+to the smaller id. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from gleanery.llm.common import table, written
 
-TREES, LEAF, SAMPLE, BUDGET, BLOCK_ROWS, EVERY, K = 10, 64, 20_000, 1.6, 16_384, 100, 10
+TREES, LEAF, SAMPLE, PROBES, TARGET, BLOCK_ROWS, GROUP, EVERY, K = 4, 32, 20_000, 100, 0.95, 16_384, 1024, 100, 10
 
 
 class Forest:
@@ -125,16 +128,65 @@ def routes(sizes: np.ndarray, firsts: list[int], block_rows: int = BLOCK_ROWS) -
     return first, count
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, trees: int = TREES, sample: int = SAMPLE, budget: float = BUDGET) -> DataFrame:
+def _best(square: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k+1 least values, and of those that rounding might have kept from being among them."""
+    if len(square) > k + 1:
+        edge = np.partition(square, k)[k]
+        square = np.where(square <= edge + 1e-9 * (1 + abs(edge)), square, np.inf)
+    return np.flatnonzero(np.isfinite(square))
+
+
+def calibrated(index: DataFrame, forest: Forest, sizes: np.ndarray, k: int = K, probes: int = PROBES, target: float = TARGET) -> float:
+    """How many entries a query has to take for a share `target` of true neighbours, measured on `probes` vectors of index (head, embedding) against all."""
+    asked = index.orderBy(F.xxhash64("head", F.lit(1)), "head").limit(probes).toArrow()
+    x, own = _matrix(asked["embedding"]), asked["head"].to_numpy()
+    if not len(x):
+        return 0.0
+    vector = index.schema["embedding"].dataType.simpleString()
+
+    def nearby(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(np.zeros(0), np.zeros(0, np.int64), np.zeros((0, x.shape[1])))] * len(x)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            heads, data = batch.column(0).to_numpy(), _matrix(batch.column(1))
+            far = ((data * data).sum(1) - 2 * (x @ data.T)) + (x * x).sum(1)[:, None]
+            for i, (before, names, rows) in enumerate(held):
+                square = np.where(heads == own[i], np.inf, far[i])
+                some = _best(square, k)
+                both = np.concatenate((before, square[some])), np.concatenate((names, heads[some])), np.concatenate((rows, data[some]))
+                order = np.lexsort((both[1], both[0]))[:k]
+                held[i] = both[0][order], both[1][order], both[2][order]
+        which = np.repeat(np.arange(len(x)), [len(h[0]) for h in held])
+        rows = np.concatenate([h[2] for h in held])
+        yield pa.RecordBatch.from_arrays([pa.array(which, pa.int64()), pa.array(np.concatenate([h[0] for h in held])), pa.array(np.concatenate([h[1] for h in held]), pa.int64()), pa.array(list(rows), pa.list_(pa.float64()))], ["probe", "square", "head", "embedding"])
+
+    near = index.select("head", "embedding").mapInArrow(nearby, "probe bigint, square double, head bigint, embedding array<double>")
+    first = Window.partitionBy("probe").orderBy("square", "head")
+    truth = near.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k).select("probe", "embedding").toArrow()
+    if not truth.num_rows:
+        return float(sizes.sum())
+    leaves, needed = forest.leaves_of(_matrix(truth["embedding"])), []
+    probe = truth["probe"].to_numpy()
+    for i in np.unique(probe):
+        order = forest.search(x[i], sizes, np.inf)
+        before = np.full(len(sizes), np.inf)
+        before[order] = np.cumsum(sizes[order])
+        needed += before[leaves[probe == i]].min(1).tolist()
+    return float(np.quantile(needed, target, method="higher"))
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, trees: int = TREES, sample: int = SAMPLE, target: float = TARGET) -> DataFrame:
     """query_id, rank, vec_id, score for each row of queries (vec_id, embedding) against all rows of vectors but those of its own id."""
     spark = vectors.sparkSession
     ids = Window.partitionBy("embedding").orderBy("vec_id")
     some = vectors.withColumn("_r", F.dense_rank().over(ids)).where(F.col("_r") <= k + 1)
-    index = written(spark, some.groupBy("embedding").agg(F.sort_array(F.collect_set("vec_id")).alias("ids")), "vectors")
+    index = written(spark, some.groupBy("embedding").agg(F.sort_array(F.collect_set("vec_id")).alias("ids")).withColumn("head", F.col("ids")[0]), "vectors")
     asked = queries.select(F.col("vec_id").alias("query_id"), "embedding").distinct()
     distinct = written(spark, asked.groupBy("embedding").agg(F.min("query_id").alias("asked")), "queries")
+    groups = max(1, -(-distinct.count() // GROUP))
 
-    picked = index.orderBy(F.xxhash64(F.col("ids")[0]), F.col("ids")[0]).limit(sample).select("embedding").toArrow()
+    picked = index.orderBy(F.xxhash64("head"), "head").limit(sample).select("embedding").toArrow()
     forest = Forest(_matrix(picked["embedding"]), trees)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,8 +201,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, trees: int = TRE
     sizes = np.zeros(max(forest.leaves, 1), np.int64)
     for row in index.select("embedding").mapInArrow(count, "leaf bigint, n bigint").groupBy("leaf").agg(F.sum("n").alias("n")).collect():
         sizes[row["leaf"]] = row["n"]
-    first, blocks = routes(sizes, forest.firsts)
-    most = float(sizes.sum()) / max(trees, 1) * budget
+    first, blocks = routes(sizes, forest.firsts, BLOCK_ROWS)
+    most = calibrated(index, forest, sizes, k, target=target)
     vector = index.schema["embedding"].dataType.simpleString()
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,12 +210,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, trees: int = TRE
             if not batch.num_rows:
                 continue
             leaves = forest.leaves_of(_matrix(batch.column(0)))
-            own = batch.column(1).to_pylist()
-            turn = np.array([x[0] for x in own], np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+            turn = batch.column(1).to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
             for t in range(leaves.shape[1]):
                 leaf = leaves[:, t]
                 block = first[leaf] + (turn % blocks[leaf].astype(np.uint64)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(leaf, pa.int64()), *batch.columns], ["block", "leaf", "embedding", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(leaf, pa.int64()), *batch.columns], ["block", "leaf", "embedding", "head"])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,46 +230,54 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, trees: int = TRE
             which = pa.array([r[0] for r in rows], pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.int64()), batch.column(1).take(which), batch.column(0).take(which), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], ["block", "asked", "embedding", "leaves"])
 
-    def rank(_, rows: pa.Table, wanted: pa.Table) -> pa.Table:
-        out_asked, out_row, out_score = [], [], []
-        if rows.num_rows and wanted.num_rows:
-            data, leaf = _matrix(rows["embedding"]), rows["leaf"].to_numpy()
-            lengths, heads = (data * data).sum(1), np.array([x[0] for x in rows["ids"].to_pylist()])
-            names, own = np.unique(leaf, return_inverse=True)
-            questions, asked_ids, leaves = _matrix(wanted["embedding"]), wanted["asked"].to_numpy(), wanted["leaves"].to_pylist()
-            for at in range(0, len(questions), 128):
-                q = questions[at : at + 128]
-                square = (q * q).sum(1)[:, None] + lengths - 2 * (q @ data.T)
-                for i, x in enumerate(q):
-                    open_ = np.zeros(len(names), bool)
-                    open_[np.searchsorted(names, [y for y in leaves[at + i] if y in names])] = True
-                    near = np.where(open_[own], square[i], np.inf)
-                    if len(near) > k + 1:
-                        edge = np.partition(near, k)[k]
-                        found = np.flatnonzero(near <= edge + 1e-9 * (1 + abs(edge)))
-                    else:
-                        found = np.arange(len(near))
-                    found = found[np.isfinite(near[found])]
-                    exact = np.sqrt(((data[found] - x) ** 2).sum(1))
-                    order = np.lexsort((heads[found], exact))[: k + 1]
-                    out_asked += [int(asked_ids[at + i])] * len(order)
-                    out_row += found[order].tolist()
-                    out_score += exact[order].tolist()
-        ids_ = rows["ids"].combine_chunks().take(pa.array(out_row, pa.int64())) if rows.num_rows else pa.array([], pa.list_(pa.int64()))
-        return pa.table({"asked": pa.array(out_asked, pa.int64()), "ids": ids_, "score": pa.array(out_score, pa.float64())})
-
-    entries = index.select("embedding", "ids").mapInArrow(deal, f"block bigint, leaf bigint, embedding {vector}, ids array<bigint>")
+    def pack(key: tuple, rows: pa.Table) -> pa.Table:
+        """A block in one row: leaves, heads and vectors as bytes."""
+        parts = [rows["leaf"].to_numpy().tobytes(), rows["head"].to_numpy().tobytes(), _matrix(rows["embedding"]).tobytes()]
+        return pa.table({"block": [key[0].as_py()], **{n: pa.array([p], pa.large_binary()).cast(pa.binary()) for n, p in zip(("leaf", "head", "data"), parts, strict=True)}})
+
+    def gather(key: tuple, rows: pa.Table) -> pa.Table:
+        """A group of queries of a block in one row."""
+        lists = rows["leaves"].to_pylist()
+        parts = [rows["asked"].to_numpy().tobytes(), _matrix(rows["embedding"]).tobytes(), np.repeat(np.arange(len(lists)), list(map(len, lists))).tobytes(), np.concatenate(lists).astype(np.int64).tobytes()]
+        return pa.table({"block": [key[0].as_py()], **{n: pa.array([p], pa.binary()) for n, p in zip(("asked", "questions", "who", "wanted"), parts, strict=True)}})
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                leaf, head, data, asked_, questions, who, wanted = (np.frombuffer(batch.column(n)[row].as_py(), d) for n, d in (("leaf", np.int64), ("head", np.int64), ("data", np.float64), ("asked", np.int64), ("questions", np.float64), ("who", np.int64), ("wanted", np.int64)))
+                data, questions = data.reshape(len(leaf), -1), questions.reshape(len(asked_), -1)
+                names, own = np.unique(leaf, return_inverse=True)
+                open_ = np.zeros((len(asked_), len(names)), bool)
+                there = np.minimum(np.searchsorted(names, wanted), len(names) - 1)
+                hit = names[there] == wanted
+                open_[who[hit], there[hit]] = True
+                lengths, out = (data * data).sum(1), []
+                for at in range(0, len(asked_), 128):
+                    q = questions[at : at + 128]
+                    square = np.where(open_[at : at + 128][:, own], (q * q).sum(1)[:, None] + lengths - 2 * (q @ data.T), np.inf)
+                    for i, x in enumerate(q):
+                        found = _best(square[i], k)
+                        exact = np.sqrt(((data[found] - x) ** 2).sum(1))
+                        order = np.lexsort((head[found], exact))[: k + 1]
+                        out.append((np.full(len(order), asked_[at + i]), head[found][order], exact[order]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[j] for o in out])) for j in range(3)], ["asked", "head", "score"])
+
+    entries = index.select("embedding", "head").mapInArrow(deal, f"block bigint, leaf bigint, embedding {vector}, head bigint")
+    packed = entries.groupBy("block").applyInArrow(pack, "block bigint, leaf binary, head binary, data binary")
     questions = distinct.select("embedding", "asked").repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(walk, f"block bigint, asked bigint, embedding {vector}, leaves array<bigint>")
-    found = entries.groupBy("block").cogroup(questions.groupBy("block")).applyInArrow(rank, "asked bigint, ids array<bigint>, score double")
-    pairs = found.select("asked", F.explode("ids").alias("vec_id"), "score").groupBy("asked", "vec_id").agg(F.min("score").alias("score"))
-    best = Window.partitionBy("asked").orderBy("score", "vec_id")
+    grouped = questions.groupBy("block", F.pmod(F.xxhash64("asked"), F.lit(groups)).alias("part")).applyInArrow(gather, "block bigint, asked binary, questions binary, who binary, wanted binary")
+    found = packed.join(grouped.hint("merge"), "block").mapInArrow(rank, "asked bigint, head bigint, score double")
+    # an entry comes up in several trees
+    pairs = found.groupBy("asked", "head").agg(F.min("score").alias("score"))
+    best = Window.partitionBy("asked").orderBy("score", "head")
     top = pairs.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k + 1).drop("_r")
-    answers = asked.join(distinct, "embedding").select("query_id", "asked").join(top, "asked").where("vec_id <> query_id")
-    answers = answers.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    each = top.join(index.select("head", F.explode("ids").alias("vec_id")), "head").select("asked", "vec_id", "score")
+    answers = asked.join(distinct, "embedding").select("query_id", "asked").join(each, "asked").where("vec_id <> query_id")
     ranked = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return answers.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op6_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest found of every vector whose id is divisible by 100, against all others; who takes no part is told above."""
     vectors = participants(table(spark, sf_dir, "embeddings"))
     return nearest(vectors, vectors.where(F.col("vec_id") % EVERY == 0))
