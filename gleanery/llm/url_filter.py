@@ -5,10 +5,10 @@ level the rate of bad pages is a beta-binomial posterior whose prior is the post
 level above; how strongly it pulls is estimated from the spread between the groups of that level.  A
 host is blocked when the lower bound of its posterior rate is above the limit.
 
-DataFrame functions only.  Page rows are reduced to host counts before any shuffle by host; what goes
-to the driver is one row of totals.  Null urls and urls without :// have empty host and path; unknown
+DataFrame functions only.  Page rows are reduced to host counts before any shuffle by host, and these are
+written once; what goes to the driver is a row of totals for each level.  Null urls and urls without :// have empty host and path; unknown
 outcomes count for nothing; hosts without outcomes get their domain's posterior.  Repeated rows give
-repeated results.
+repeated results; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import table
+from gleanery.llm.common import table, written
 
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 # Suffixes of two labels under which names are registered (a sample of the public list; a parameter).
@@ -25,7 +25,7 @@ LIMIT, Z = 0.3, 1.6448536269514722
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
-    rest = F.substring(url, F.locate("://", url) + 3, F.length(url)) if isinstance(url, str) else F.substring(url, F.instr(url, "://") + 3, F.length(url))
+    rest = F.substring(url, F.instr(url, "://") + 3, F.length(url))
     there = F.instr(url, "://") > 0
     host = F.translate(F.regexp_extract(rest, r"^[^/?#]*", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
@@ -66,6 +66,7 @@ def reputation(pages: DataFrame, outcomes: DataFrame, limit: float = LIMIT, z: f
     last = lambda n: F.when(F.size(F.split("host", r"\.")) <= n, F.col("host")).otherwise(F.array_join(F.slice(F.split("host", r"\."), F.lit(-n), F.lit(n)), "."))
     long_suffix = F.when(F.size(F.split("host", r"\.")) > 2, two.isin(*TWO_LABEL_SUFFIXES)).otherwise(F.lit(False))
     hosts = hosts.withColumn("domain", F.when(long_suffix, last(3)).otherwise(last(2))).withColumn("suffix", F.when(long_suffix, last(2)).otherwise(last(1)))
+    hosts = written(pages.sparkSession, hosts, "hosts")
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     seen = lambda df, level: df.where("n > 0").agg(*_moments(level), F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
@@ -91,12 +92,13 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, limit: float = LIM
 
 
 def page_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page is bad if the label of its id says toxic or low quality."""
+    """A page is bad if the label of its id says toxic or low quality: in the test tables, labels of documents stand in for outcomes of pages."""
     bad = F.greatest(F.col("toxic"), 1 - F.col("quality"))
     return table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, host, path, rule and verdict of every page; null urls have empty host and path and get the verdict of the empty host."""
     return judge(table(spark, sf_dir, "pages"), page_outcomes(spark, sf_dir))
 
 
