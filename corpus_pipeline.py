@@ -34,9 +34,9 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, ids, and digests of the ids and of the decoded bytes."""
+    """All columns but the text and its length, with n_tokens, ids, and digests of the ids and of the decoded bytes."""
     path, pattern = bpe.vocabulary()
-    return bpe.encode(docs, path, pattern, keep=("doc_id", "lang", "source"), with_ids=True)
+    return bpe.encode(docs, path, pattern, keep=tuple(c for c in docs.columns if c not in ("text", "n_chars")), with_ids=True)
 
 
 STAGES = [
@@ -47,7 +47,7 @@ STAGES = [
     ("byte_bpe", encode_bytes),
 ]
 
-# Trained scores, connected components and alignments have no SQL; tests hold each stage to brute force.
+# Trained scores, connected components and alignments have no SQL; tests/llm/test_pipeline.py holds each stage to brute force.
 ORACLE_SQL = None
 
 
