@@ -1,4 +1,9 @@
-"""Queries of the training-data operators; benchmark items stand for queries and expansions."""
+"""Queries of the training-data operators.
+
+Queries and expansions are made of the benchmark's whole texts, eight words a row: the first four ask, the first
+gives the lex line, all eight the vec line and, said twice, the hyde line. Every third row asks for lex alone,
+every fourth has a line without a head.
+"""
 
 from __future__ import annotations
 
@@ -7,17 +12,21 @@ from pyspark.sql import functions as F
 from gleanery.functions import training as tr
 from gleanery.plans.catalog import query, table
 
-ROWS = """r AS (SELECT item_id, array_to_string(string_split(replace(text, chr(10), ' '), ' ')[1:4], ' ') || CASE item_id % 3 WHEN 0 THEN ' /only:LEX' ELSE '' END AS query,
- 'lex: ' || string_split(replace(text, chr(10), ' '), ' ')[1] || ' guide' || chr(10) || 'vec: ' || replace(left(text, 60), chr(10), ' ') || chr(10) || chr(10) || CASE item_id % 4 WHEN 0 THEN 'bad line' ELSE 'hyde: ' || replace(left(text, 80), chr(10), ' ') END AS expansion FROM benchmark)"""
+ROWS = """ps AS (SELECT item_id, string_split(replace(text, chr(10), ' '), ' ') AS w FROM benchmark),
+ m AS (SELECT item_id * 100000 + i AS item_id, w[i * 8 + 1:i * 8 + 8] AS w FROM (SELECT item_id, w, unnest(range(0, (len(w) + 7) // 8)) AS i FROM ps)),
+ r AS (SELECT item_id, array_to_string(w[1:4], ' ') || CASE item_id % 3 WHEN 0 THEN ' /only:LEX' ELSE '' END AS query,
+ 'lex: ' || w[1] || ' guide' || chr(10) || 'vec: ' || array_to_string(w, ' ') || chr(10) || chr(10) || CASE item_id % 4 WHEN 0 THEN 'bad line' ELSE 'hyde: ' || array_to_string(w, ' ') || ' ' || array_to_string(w, ' ') END AS expansion FROM m)"""
 
 
 def _rows(spark, sf):
-    t = F.replace("text", F.lit("\n"), F.lit(" "))
-    words = F.split(t, " ")
-    q = F.concat(F.array_join(F.slice(words, 1, 4), " "), F.when(F.col("item_id") % 3 == 0, " /only:LEX").otherwise(""))
-    last = F.when(F.col("item_id") % 4 == 0, "bad line").otherwise(F.concat(F.lit("hyde: "), F.replace(F.substring("text", 1, 80), F.lit("\n"), F.lit(" "))))
-    e = F.concat(F.lit("lex: "), words[0], F.lit(" guide\nvec: "), F.replace(F.substring("text", 1, 60), F.lit("\n"), F.lit(" ")), F.lit("\n\n"), last)
-    return table(spark, sf, "benchmark").select("item_id", q.alias("query"), e.alias("expansion"))
+    words = F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")
+    parts = F.sequence(F.lit(0), F.floor((F.size(words) - 1) / 8).cast("int"))
+    m = table(spark, sf, "benchmark").select("item_id", words.alias("w"), F.explode(parts).alias("i"))
+    m = m.select((F.col("item_id") * 100000 + F.col("i")).alias("item_id"), F.slice("w", F.col("i") * 8 + 1, F.lit(8)).alias("w"))
+    said, k = F.array_join("w", " "), F.col("item_id")
+    q = F.concat(F.array_join(F.slice("w", 1, 4), " "), F.when(k % 3 == 0, " /only:LEX").otherwise(""))
+    last = F.when(k % 4 == 0, "bad line").otherwise(F.concat(F.lit("hyde: "), said, F.lit(" "), said))
+    return m.select("item_id", q.alias("query"), F.concat(F.lit("lex: "), F.col("w")[0], F.lit(" guide\nvec: "), said, F.lit("\n\n"), last).alias("expansion"))
 
 
 @query("tr_parse", f"WITH {ROWS}, l AS (SELECT item_id, trim(unnest(string_split(expansion, chr(10)))) AS line FROM r) SELECT item_id, CASE WHEN regexp_matches(line, '^(lex|vec|hyde):') THEN string_split(line, ':')[1] ELSE 'invalid' END AS kind, trim(regexp_replace(line, '^(lex|vec|hyde):', '')) AS value FROM l WHERE line <> ''")
@@ -78,9 +87,12 @@ def tr_echo(spark, sf):
 STOPS = ", ".join(f"'{w}'" for w in sorted(tr.STOP))
 
 
-@query("tr_repeat", f"WITH w AS (SELECT item_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9_]+')) AS w FROM benchmark WHERE regexp_matches(text, '^[\\x00-\\x7f]*$')), c AS (SELECT item_id, w, count(*) AS n FROM w GROUP BY ALL) SELECT item_id, sum(CASE WHEN n >= 3 AND length(w) > 2 AND w NOT IN ({STOPS}) THEN (n - 2) * 2 ELSE 0 END)::INT AS penalty FROM c GROUP BY item_id")
+REPEATED = "(SELECT coalesce(sum((n - 2) * 2), 0)::INT FROM (SELECT count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]+')) AS w) WHERE length(w) > 2 AND w NOT IN (" + STOPS + ") GROUP BY w HAVING count(*) > 2))"
+
+
+@query("tr_repeat", f"SELECT item_id, {REPEATED.format('text')} AS penalty FROM benchmark")
 def tr_repeat(spark, sf):
-    return table(spark, sf, "benchmark").where(F.col("text").rlike(r"^[\x00-\x7f]*$")).select("item_id", tr.repetition(F.col("text")).alias("penalty"))
+    return table(spark, sf, "benchmark").select("item_id", tr.repetition(F.col("text")).alias("penalty"))
 
 
 @query("tr_normalize", f"WITH {ROWS}, l AS (SELECT item_id, trim(unnest(string_split(expansion, chr(10)))) AS line, generate_subscripts(string_split(expansion, chr(10)), 1) AS i FROM r) SELECT item_id, string_agg(line, chr(10) ORDER BY CASE left(line, 3) WHEN 'hyd' THEN 0 WHEN 'lex' THEN 1 ELSE 2 END, i) AS text FROM l WHERE regexp_matches(line, '^(lex|vec|hyde):') GROUP BY item_id")
@@ -88,9 +100,9 @@ def tr_normalize(spark, sf):
     return _rows(spark, sf).select("item_id", tr.as_text(tr.normalize(tr.parse(F.col("expansion")))).alias("text"))
 
 
-@query("tr_dedup", "WITH q AS (SELECT conv_id AS file, turn AS line, left(text, 3) AS query FROM conversations) SELECT file, line, query FROM q QUALIFY row_number() OVER (PARTITION BY lower(trim(query)) ORDER BY file, line) = 1")
+@query("tr_dedup", "SELECT conv_id AS file, turn AS line, text AS query FROM conversations WHERE true QUALIFY row_number() OVER (PARTITION BY lower(trim(text)) ORDER BY conv_id, turn) = 1")
 def tr_dedup(spark, sf):
-    return tr.dedup(table(spark, sf, "conversations").select(F.col("conv_id").alias("file"), F.col("turn").alias("line"), F.substring("text", 1, 3).alias("query")))
+    return tr.dedup(table(spark, sf, "conversations").select(F.col("conv_id").alias("file"), F.col("turn").alias("line"), F.col("text").alias("query")))
 
 
 @query("tr_split", "SELECT item_id, CASE WHEN ('0x' || substr(md5(text), 1, 8))::BIGINT % 10 < 1 THEN 'validation' ELSE 'train' END AS split FROM benchmark")
@@ -106,19 +118,18 @@ def tr_format(spark, sf):
 CATEGORY = """CASE WHEN len(list_filter(regexp_split_to_array(lower(q), '\\s+'), lambda w: w <> '')) <= 2 THEN 'short_keyword' WHEN len(list_filter(regexp_split_to_array(q, '\\s+'), lambda w: regexp_matches(w, '^\\p{Lu}'))) > 0 THEN 'named_entity'
  WHEN regexp_matches(lower(q), 'latest|recent|new|update|changelog|changed|version|release|news|2024|2025') THEN 'temporal' WHEN starts_with(lower(q), 'how ') THEN 'how_to' WHEN starts_with(lower(q), 'what ') THEN 'what_is'
  WHEN regexp_matches(lower(q), 'difference|vs|versus|compare') THEN 'comparison' WHEN regexp_matches(lower(q), 'meeting|notes|journal|ideas|thoughts') THEN 'personal' ELSE 'other' END"""
-ASK = "a AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'how ' WHEN 1 THEN 'what ' WHEN 2 THEN 'latest ' ELSE '' END || CASE WHEN doc_id % 4 = 0 THEN lower(left(text, 20 + doc_id % 9)) ELSE left(text, 12) END AS q FROM documents)"
+ASK = "a AS (SELECT conv_id, turn, CASE turn % 6 WHEN 0 THEN 'how ' WHEN 1 THEN 'what ' WHEN 2 THEN 'latest ' ELSE '' END || CASE WHEN conv_id % 2 = 0 THEN lower(text) ELSE text END AS q FROM conversations)"
 
 
 def _ask(spark, sf):
-    k = F.col("doc_id")
-    head = F.when(k % 6 == 0, "how ").when(k % 6 == 1, "what ").when(k % 6 == 2, "latest ").otherwise("")
-    tail = F.when(k % 4 == 0, F.lower(F.substring("text", F.lit(1), (20 + k % 9).cast("int")))).otherwise(F.substring("text", 1, 12))
-    return table(spark, sf, "documents").select("doc_id", F.concat(head, tail).alias("q"))
+    k = F.col("turn") % 6
+    head = F.when(k == 0, "how ").when(k == 1, "what ").when(k == 2, "latest ").otherwise("")
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.concat(head, F.when(F.col("conv_id") % 2 == 0, F.lower("text")).otherwise(F.col("text"))).alias("q"))
 
 
-@query("tr_categorize", f"WITH {ASK} SELECT doc_id, {CATEGORY} AS category FROM a")
+@query("tr_categorize", f"WITH {ASK} SELECT conv_id, turn, {CATEGORY} AS category FROM a")
 def tr_categorize(spark, sf):
-    return _ask(spark, sf).select("doc_id", tr.category(F.col("q")).alias("category"))
+    return _ask(spark, sf).select("conv_id", "turn", tr.category(F.col("q")).alias("category"))
 
 
 @query("tr_analyze", f"WITH {ASK} SELECT {CATEGORY} AS category, count(*) AS n, count(DISTINCT lower(q)) AS distinct_queries, round(avg(length(q)), 6) AS mean_length FROM a GROUP BY 1")
@@ -126,22 +137,71 @@ def tr_analyze(spark, sf):
     return _ask(spark, sf).groupBy(tr.category(F.col("q")).alias("category")).agg(F.count("*").alias("n"), F.count_distinct(F.lower("q")).alias("distinct_queries"), F.round(F.avg(F.length("q")), 6).alias("mean_length"))
 
 
-@query("tr_entities")
+_in = lambda words: "(" + ", ".join(f"'{w}'" for w in sorted(words)) + ")"
+# a word is a name by its look, or if no stop word lies between it and the last word that is
+NAMES = f"""b AS (SELECT item_id, trim(regexp_replace(query, '(?i)\\s+/only:lex\\s*$', '')) AS q, item_id % 3 = 0 AS lone, item_id % 4 = 0 AS failed FROM r),
+ w0 AS (SELECT item_id, list_filter(regexp_split_to_array(q, '\\s+'), lambda x: x <> '') AS l FROM b),
+ w1 AS (SELECT item_id, regexp_replace(unnest(l), '^[.,!?:;()\\[\\]"'']+|[.,!?:;()\\[\\]"'']+$', '', 'g') AS w, unnest(range(len(l))) AS i FROM w0),
+ w2 AS (SELECT item_id, i, lower(w) AS low, length(w) > 1 AND w = upper(w) AND w <> lower(w) OR regexp_matches(w, '^\\p{{Lu}}') AND lower(w) NOT IN {_in(tr.TERM_STOP)} AND (i > 0 OR lower(w) NOT IN {_in(tr.VERBS)})
+  OR length(w) > 1 AND regexp_matches(w, '[.+\\-#@]') OR regexp_matches(w, '^\\p{{Lu}}.*\\p{{Lu}}') AS own FROM w1),
+ w3 AS (SELECT *, max(i) FILTER (own) OVER o AS last, max(i) FILTER (NOT own AND (low = '' OR low IN {_in(tr.TERM_STOP)})) OVER o AS stop FROM w2 WINDOW o AS (PARTITION BY item_id ORDER BY i)),
+ names AS (SELECT item_id, list_sort(list_distinct(list(low))) AS names FROM w3 WHERE last > coalesce(stop, -1) GROUP BY item_id)"""
+
+
+@query("tr_entities", f"WITH {ROWS}, {NAMES} SELECT item_id, coalesce(array_to_string(names, ' '), '') AS names FROM b LEFT JOIN names USING (item_id)")
 def tr_entities(spark, sf):
-    return tr.scored(_rows(spark, sf), ["item_id"]).select("item_id", "entity")
+    asked = _rows(spark, sf).select("item_id", tr.entities(tr.only_mode(F.col("query"))["query"]).alias("names"))
+    return asked.select("item_id", F.array_join(F.array_sort("names"), " ").alias("names"))
 
 
-@query("tr_generic")
-def tr_generic(spark, sf):
-    return tr.scored(_rows(spark, sf), ["item_id"]).select("item_id", "quality")
+def _generic_sql(line: str) -> str:
+    """Whether little is left of a line without the words of a stock phrase."""
+    tests = []
+    for phrase in tr.GENERIC:
+        rest = f"lower(trim({line}))"
+        for word in phrase.split():
+            rest = f"trim(regexp_replace({rest}, '{word}', ''))"
+        tests.append(f"(contains(lower({line}), '{phrase}') OR starts_with(lower(trim({line})), '{phrase.split()[0]}')) AND length({rest}) < 3")
+    return "(" + " OR ".join(tests) + ")"
+
 
+LINES = "l AS (SELECT item_id, CASE item_id % 4 WHEN 0 THEN 'How to ' WHEN 1 THEN 'learn about it' WHEN 2 THEN 'search for ' || w[1] ELSE array_to_string(w, ' ') END AS line FROM m)"
 
-@query("tr_score")
+
+@query("tr_generic", f"WITH {ROWS}, {LINES} SELECT item_id, {_generic_sql('line')} AS generic FROM l")
+def tr_generic(spark, sf):
+    k, vec = F.col("item_id") % 4, F.regexp_extract("expansion", "vec: (.*)", 1)
+    line = F.when(k == 0, "How to ").when(k == 1, "learn about it").when(k == 2, F.concat(F.lit("search for "), F.split(vec, " ")[0])).otherwise(vec)
+    return _rows(spark, sf).select("item_id", tr.generic(line).alias("generic"))
+
+
+# the rows of these tables have one lex line, one vec line and one hyde line, or fail
+SCORE = f"""{ROWS}, {NAMES},
+ x AS (SELECT b.*, w[1] || ' guide' AS lex, trim(array_to_string(w, ' ')) AS vec, trim(array_to_string(w, ' ') || ' ' || array_to_string(w, ' ')) AS hyde, coalesce(names, []) AS names FROM b JOIN m USING (item_id) LEFT JOIN names USING (item_id)),
+ y AS (SELECT *, {LOW.format('q')} AS qs, {LOW.format('lex')} AS ls, list_filter({LOW.format('q')}, lambda t: NOT list_contains({TERMS}, t)) AS terms, {_generic_sql('lex')} AS generic, {REPEATED.format('hyde')} AS again FROM x),
+ z AS (SELECT *, (lower(lex) = lower(q) OR contains(lower(lex), lower(q)) AND length(lex) < length(q) + 10)::INT AS le, (lower(vec) = lower(q) OR contains(lower(vec), lower(q)) AND length(vec) < length(q) + 10)::INT AS ve,
+  len(terms) = 0 OR list_has_any(terms, ls) AS kept, len(list_filter(ls, lambda t: list_contains({FILL}, t) AND NOT list_contains(qs, t))) > 0 AS filler, len(list_filter(names, lambda e: contains(lower(lex), e))) > 0 AS ln,
+  len(list_filter(names, lambda e: contains(lower(vec), e))) > 0 AS vn, len(list_filter(names, lambda e: NOT contains(lower(lex || ' ' || vec), e))) AS lost, contains(vec, ' ') AND length(vec) > 15 AS sentence FROM y),
+ d AS (SELECT item_id, lone, failed, le, CASE WHEN failed THEN 0 WHEN lone THEN 10 ELSE 30 END AS format,
+  CASE WHEN failed THEN 0 WHEN lone THEN 15 - 5 * le ELSE 25 + greatest(-10, 5 - 10 * le - 3 * ve) END AS diversity,
+  CASE WHEN failed OR lone THEN 0 ELSE 10 + CASE WHEN length(hyde) BETWEEN 50 AND 200 THEN 5 WHEN length(hyde) < 50 THEN 2 ELSE 0 END + greatest(0, 5 - again) END AS hyde,
+  CASE WHEN failed THEN 0 WHEN lone THEN 10 + 5 * kept::INT + 5 * (NOT generic)::INT - 10 * filler::INT
+   ELSE 5 + 5 * (length(lex) <= length(vec))::INT + CASE WHEN sentence THEN 5 ELSE 2 END + 5 * kept::INT - 10 * filler::INT + 5 * (len(qs) > 1 AND contains(lex, '"'))::INT + 5 * regexp_matches(lex, '\\s-[\\p{{L}}\\p{{N}}_]')::INT END AS quality,
+  CASE WHEN failed THEN 0 WHEN lone THEN CASE WHEN len(names) = 0 THEN 10 WHEN ln THEN 20 ELSE -55 END WHEN len(names) = 0 THEN 10
+   ELSE CASE WHEN ln THEN 15 ELSE -65 END - 65 * lost - 15 * generic::INT + 5 * vn::INT END AS entity, CASE WHEN failed THEN 0 ELSE 20 END AS think,
+  CASE WHEN failed THEN 100 WHEN lone THEN 120 ELSE 140 END AS most FROM z),
+ t AS (SELECT *, format + diversity + hyde + quality + entity + think AS total FROM d),
+ s AS (SELECT *, least(CASE WHEN NOT lone AND NOT failed AND le = 1 THEN 50 ELSE 100 END, greatest(0, 100 * total::DOUBLE / most)) AS share FROM t),
+ scores AS (SELECT item_id, format::INT AS format, diversity::INT AS diversity, hyde::INT AS hyde, quality::INT AS quality, entity::INT AS entity, think::INT AS think, total::INT AS total, most::INT AS most, round(share, 1) AS percentage,
+  CASE WHEN share >= 80 THEN 'Excellent' WHEN share >= 60 THEN 'Good' WHEN share >= 40 THEN 'Acceptable' WHEN share >= 20 THEN 'Poor' ELSE 'Failed' END AS rating FROM s)"""
+
+
+@query("tr_score", f"WITH {SCORE} SELECT * FROM scores")
 def tr_score(spark, sf):
     return tr.scored(_rows(spark, sf), ["item_id"])
 
 
-@query("tr_score_file")
+@query("tr_score_file", f"WITH {SCORE} SELECT item_id % 4 AS file, round(avg(percentage), 4) AS mean, percentile_disc(0.5) WITHIN GROUP (ORDER BY percentage) AS median, min(percentage) AS least, max(percentage) AS most, round(avg((percentage >= 70)::INT), 4) AS good FROM scores GROUP BY 1")
 def tr_score_file(spark, sf):
     s = tr.scored(_rows(spark, sf).withColumn("file", F.col("item_id") % 4), ["file"])
     return s.groupBy("file").agg(F.round(F.avg("percentage"), 4).alias("mean"), F.expr("percentile_disc(0.5) within group (order by percentage)").alias("median"), F.min("percentage").alias("least"), F.max("percentage").alias("most"), F.round(F.avg((F.col("percentage") >= 70).cast("double")), 4).alias("good"))

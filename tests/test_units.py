@@ -97,12 +97,24 @@ def test_globs():
     assert not re.match(lookup.glob_regex("*.md"), "a/b.md")
 
 
-def test_expansion_scores():
-    good = tr.score("install docker on linux", 'lex: docker "linux install"\nvec: how can docker be installed on a linux machine\nhyde: ' + "Docker is installed on Linux through the package manager of the system.")
-    assert good["rating"] == "Excellent"
-    assert tr.score("q", "nonsense")["rating"] == "Failed"
-    assert tr.score("what is docker", "lex: what is docker\nvec: explain the docker container engine")["percentage"] <= 50
-    assert tr.score("docker /only:vec", "lex: docker")["total"] == 0
+def test_expansion_scores(spark):
+    whole = "Docker is installed on Linux through the package manager of the system."
+    rows = [
+        (0, "install docker on linux", f'lex: docker "linux install"\nvec: how can docker be installed on a linux machine\nhyde: {whole}'),
+        (1, "q", "nonsense"),
+        (2, "what is docker", "lex: what is docker\nvec: explain the docker container engine"),
+        (3, "docker /only:vec", "lex: docker"),
+        (4, None, None),
+    ]
+    got = {r["i"]: r for r in tr.scored(spark.createDataFrame(rows, "i int, query string, expansion string"), ["i"]).collect()}
+    assert got[0]["rating"] == "Excellent" and got[1]["rating"] == "Failed" and got[2]["percentage"] <= 50 and got[3]["total"] == 0
+    assert tr.scored(spark.createDataFrame([], "i int, query string, expansion string"), ["i"]).count() == 0
+
+
+def test_names_in_queries(spark):
+    rows = [("Find TDS motorsports team, the C++ for node.js", {"tds", "motorsports", "team", "c++", "node.js"}), ("Bob asked", {"bob", "asked"}), ("install a JavaScript", {"javascript"}), ("", set())]
+    df = spark.createDataFrame([(q,) for q, _ in rows], "q string").select("q", tr.entities(F.col("q")).alias("n"))
+    assert {r["q"]: set(r["n"]) for r in df.collect()} == dict(rows)
 
 
 def test_streams_equal_batches(spark, sf, tmp_path):
