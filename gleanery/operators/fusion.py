@@ -109,6 +109,27 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, 1.0).otherwise(both / union)
 
 
+def similar_sets(sets: DataFrame, least: float) -> DataFrame:
+    """a, b and jaccard of the sets (doc_id, t) that are alike by `least` or more: pairs of distinct sets, each named by its smallest id, and each copy with that id.
+
+    Exact, by prefixes: two sets that alike share one of their rarest tokens, as many as may be missing and one
+    more, so sets are joined by these alone, and verified.
+    """
+    t = F.array_sort("t")
+    keyed = sets.select("doc_id", t.alias("t"), F.md5(F.array_join(t, " ")).alias("set"))
+    named = keyed.groupBy("set").agg(F.min("doc_id").alias("a"), F.first("t").alias("t"))
+    copies = keyed.join(named.select("set", "a"), "set").where("doc_id > a").select("a", F.col("doc_id").alias("b"), F.lit(1.0).alias("jaccard"))
+    each = named.select("a", F.size("t").alias("n"), F.explode("t").alias("token"))
+    rare = each.groupBy("token").agg(F.count("*").alias("df"))
+    ordered = each.join(rare, "token").groupBy("a", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("o"))
+    prefix = ordered.select("a", "n", F.explode(F.slice("o", F.lit(1), (F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1).cast("int"))).alias("x")).select("a", "n", F.col("x.token").alias("token"))
+    other = prefix.select(F.col("a").alias("b"), F.col("n").alias("m"), "token")
+    near = prefix.join(other, "token").where((F.col("a") < F.col("b")) & (F.col("n") >= least * F.col("m") - 1e-9) & (F.col("m") >= least * F.col("n") - 1e-9)).select("a", "b").distinct()
+    both = near.join(named.select("a", "t"), "a").join(named.select(F.col("a").alias("b"), F.col("t").alias("u")), "b")
+    alike = both.select("a", "b", jaccard(F.col("t"), F.col("u")).alias("jaccard")).where(F.col("jaccard") >= least)
+    return alike.withColumn("jaccard", F.round("jaccard", 6)).unionByName(copies)
+
+
 def snippet_dedup(results: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Results (query_id, place, snippet) without those too like one kept before them in their query.
 
@@ -132,10 +153,10 @@ def query_words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^a-z0-9_]+"), lambda t: F.length(t) > 2)
 
 
-def arch_hints(queries: DataFrame, hints: DataFrame, limit: int) -> DataFrame:
-    """Hints (hint_id, kind, title, body) for queries (query_id, text), by words they hold and a bonus by kind."""
+def arch_hints(queries: DataFrame, hints: DataFrame, limit: int, by: list[str]) -> DataFrame:
+    """Hints (hint_id, kind, title, body) for queries (query_id, text) of the same graph, which `by` names, by words they hold and a bonus by kind."""
     hay = F.lower(F.concat_ws(" ", "title", "body"))
-    pairs = queries.select("query_id", query_words(F.col("text")).alias("q")).where(F.size("q") > 0).join(F.broadcast(hints))
+    pairs = queries.select("query_id", *by, query_words(F.col("text")).alias("q")).where(F.size("q") > 0).join(hints, by)
     bonus = F.when(F.col("kind") == "god_node", 0.2).when(F.col("kind") == "surprising_edge", 0.15).otherwise(0.0)
     scored = pairs.withColumn("score", F.size(F.filter("q", lambda t: F.contains(hay, t))) + bonus).where("score > 0")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "hint_id")

@@ -158,3 +158,12 @@ def embed(rows: DataFrame, done: DataFrame, embedder) -> DataFrame:
             yield pd.DataFrame({"id": batch["id"], "embedding": list(np.asarray(embedder(list(batch["text"])), np.float32))})
 
     return rows.select("id", "text").join(done.select("id"), "id", "left_anti").mapInPandas(run, "id bigint, embedding array<float>")
+
+
+def semantic_search(rows: DataFrame, queries: DataFrame, least: float, limit: int) -> DataFrame:
+    """scope, query_id, id and similarity: the nearest memories (id, embedding) of a query's own scope; one join by scope, ties to the smaller id."""
+    from gleanery.operators.vectors import cosine_distance
+
+    near = rows.join(queries, "scope").withColumn("similarity", F.round(1 - cosine_distance(F.col("q"), F.col("embedding")), 6)).where(F.col("similarity") >= least)
+    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
+    return near.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= limit).select("scope", "query_id", "id", "similarity")

@@ -104,7 +104,7 @@ def ingest_diag(spark, sf):
     return ops.latest(rows, ["user_id", "format"], "extracted_at")
 
 
-LINKED = "substr(text, 1, 200) || ' [n](./doc_' || (doc_id + 1) || '.md#top) [u](../README.md) [[Home Page]] [[Guide.md|g]] [x](https://e.com/a) [m](mailto:a@b.c) [e](../../../etc/passwd) ```' || chr(10) || '[c](code.md)' || chr(10) || '```'"
+LINKED = "text || ' [n](./doc_' || (doc_id + 1) || '.md#top) [u](../README.md) [[Home Page]] [[Guide.md|g]] [x](https://e.com/a) [m](mailto:a@b.c) [e](../../../etc/passwd) ```' || chr(10) || '[c](code.md)' || chr(10) || '```'"
 
 
 @query("links_extract", f"""WITH d AS (SELECT doc_id, lang || '/sub/doc_' || doc_id || '.md' AS path, {LINKED} AS body FROM documents),
@@ -117,7 +117,7 @@ LINKED = "substr(text, 1, 200) || ' [n](./doc_' || (doc_id + 1) || '.md#top) [u]
 def links_extract(spark, sf):
     d = table(spark, sf, "documents")
     n = F.col("doc_id")
-    body = F.concat(F.substring("text", 1, 200), F.lit(" [n](./doc_"), (n + 1).cast("string"), F.lit(".md#top) [u](../README.md) [[Home Page]] [[Guide.md|g]] [x](https://e.com/a) [m](mailto:a@b.c) [e](../../../etc/passwd) ```\n[c](code.md)\n```"))
+    body = F.concat("text", F.lit(" [n](./doc_"), (n + 1).cast("string"), F.lit(".md#top) [u](../README.md) [[Home Page]] [[Guide.md|g]] [x](https://e.com/a) [m](mailto:a@b.c) [e](../../../etc/passwd) ```\n[c](code.md)\n```"))
     path = F.concat("lang", F.lit("/sub/doc_"), n.cast("string"), F.lit(".md"))
     return d.select("doc_id", F.explode(tx.internal_links(body, path)).alias("target"))
 
@@ -228,12 +228,12 @@ def join_asof(spark, sf):
     return ops.as_of(_versions(spark, sf), at)
 
 
-@query("graph_expand", f"""{W}, {EDGES}, cand AS (SELECT doc_id % 5 AS query_id, collection, path FROM docs WHERE doc_id % 9 = 0),
+@query("graph_expand", f"""{W}, {EDGES}, cand AS (SELECT doc_id % 5 AS query_id, collection, path FROM docs),
  near AS (SELECT query_id, e.collection, target_path AS path FROM cand c JOIN edges e ON c.collection = e.collection AND c.path = e.source_path UNION SELECT query_id, e.collection, source_path FROM cand c JOIN edges e ON c.collection = e.collection AND c.path = e.target_path)
  SELECT * FROM near n WHERE NOT EXISTS (SELECT 1 FROM cand c WHERE c.query_id = n.query_id AND c.collection = n.collection AND c.path = n.path) AND EXISTS (SELECT 1 FROM docs d WHERE d.active AND d.collection = n.collection AND d.path = n.path)""")
 def graph_expand(spark, sf):
     d = docs(spark, sf)
-    candidates = d.where("doc_id % 9 = 0").select((F.col("doc_id") % 5).alias("query_id"), "collection", "path")
+    candidates = d.select((F.col("doc_id") % 5).alias("query_id"), "collection", "path")
     return ops.neighbours(edges(spark, sf), candidates, d)
 
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gleanery.operators import evaluation as ops
-from gleanery.plans.catalog import docs, query
+from gleanery.plans.catalog import docs, query, table
 from gleanery.plans.fusion import RANKED, _ranked
 
-JUDGED = f"""{RANKED}, judged AS (SELECT q.q AS query_id, path AS doc_key, (doc_id % 4)::INT AS grade FROM docs, range(10) q(q) WHERE doc_id < 60 AND (doc_id + q.q) % 5 = 0),
+JUDGED = f"""{RANKED}, judged AS (SELECT q.q AS query_id, path AS doc_key, (doc_id % 4)::INT AS grade FROM docs JOIN (SELECT item_id AS q FROM benchmark) q ON doc_id % 10 = q.q % 10 WHERE (doc_id // 10 + q.q) % 5 = 0),
 res AS (SELECT query_id, rank, lower(replace(file, '_', '-')) AS k FROM ranked WHERE list_idx = 0),
 jk AS (SELECT query_id, lower(replace(doc_key, '_', '-')) AS k, max(grade) AS grade FROM judged GROUP BY ALL),
 rel AS (SELECT query_id, rank, (grade IS NOT NULL)::INT AS rel, coalesce(grade, 0) AS grade, sum((grade IS NOT NULL)::INT) OVER (PARTITION BY query_id ORDER BY rank) AS seen FROM res LEFT JOIN jk USING (query_id, k)),
@@ -16,8 +16,9 @@ tot AS (SELECT query_id, count(*) AS total FROM jk GROUP BY query_id)"""
 
 
 def _judged(spark, sf):
-    d = docs(spark, sf).where("doc_id < 60").withColumn("query_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(9).cast("bigint"))))
-    return d.where((F.col("doc_id") + F.col("query_id")) % 5 == 0).select("query_id", F.col("path").alias("doc_key"), (F.col("doc_id") % 4).cast("int").alias("grade"))
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 10).alias("tenth"))
+    d = docs(spark, sf).withColumn("tenth", F.col("doc_id") % 10).join(asked, "tenth")
+    return d.where((F.floor(F.col("doc_id") / 10) + F.col("query_id")) % 5 == 0).select("query_id", F.col("path").alias("doc_key"), (F.col("doc_id") % 4).cast("int").alias("grade"))
 
 
 def _metrics(spark, sf):

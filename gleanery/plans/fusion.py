@@ -1,4 +1,4 @@
-"""Queries of fusion and post-processing, over ranked lists that are dealt from the corpus by digests."""
+"""Queries of fusion and post-processing. Every benchmark item is a query; its three ranked lists are dealt, by digests, from all documents whose id ends in the same digit."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from gleanery.operators import content as cops
 from gleanery.operators import fusion as ops
 from gleanery.plans.catalog import DOCS, EDGES, docs, edges, query, table
 
-RANKED = f"""{DOCS}, dealt AS (SELECT q.q AS query_id, l.l::INT AS list_idx, path AS file, doc_id, md5(q.q || ':' || l.l || ':' || doc_id) AS key FROM docs, range(10) q(q), range(3) l(l) WHERE doc_id < 60),
+RANKED = f"""{DOCS}, dealt AS (SELECT q.q AS query_id, l.l::INT AS list_idx, path AS file, doc_id, md5(q.q || ':' || l.l || ':' || doc_id) AS key FROM docs JOIN (SELECT item_id AS q FROM benchmark) q ON doc_id % 10 = q.q % 10, range(3) l(l)),
 ranked AS (SELECT query_id, list_idx, file, doc_id, row_number() OVER (PARTITION BY query_id, list_idx ORDER BY key)::INT AS rank FROM dealt QUALIFY rank <= 25),
 weights AS (SELECT query_id, list_idx, CASE WHEN row_number() OVER (PARTITION BY query_id ORDER BY list_idx) <= 2 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM (SELECT DISTINCT query_id, list_idx FROM ranked))"""
 FUSED = f"""{RANKED}, fused AS (SELECT query_id, file, any_value(doc_id) AS doc_id, sum(weight / (60 + rank)) AS base, min(rank) AS best, min((list_idx, rank)) AS seen FROM ranked JOIN weights USING (query_id, list_idx) GROUP BY query_id, file),
@@ -19,8 +19,9 @@ rrf AS (SELECT query_id, file, doc_id, score, row_number() OVER (PARTITION BY qu
 
 
 def _ranked(spark, sf):
-    d = docs(spark, sf).where("doc_id < 60").select("doc_id", F.col("path").alias("file"))
-    dealt = d.withColumn("query_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(9).cast("bigint")))).withColumn("list_idx", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    d = docs(spark, sf).select("doc_id", F.col("path").alias("file"), (F.col("doc_id") % 10).alias("tenth"))
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 10).alias("tenth"))
+    dealt = d.join(asked, "tenth").withColumn("list_idx", F.explode(F.sequence(F.lit(0), F.lit(2))))
     key = F.md5(F.concat_ws(":", F.col("query_id").cast("string"), F.col("list_idx").cast("string"), F.col("doc_id").cast("string")))
     return dealt.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "list_idx").orderBy(key))).where("rank <= 25")
 
@@ -110,11 +111,11 @@ def chunk_fixed(spark, sf):
     return _chunks(spark, sf).select("doc_id", "seq", "pos", "text")
 
 
-ITEMS10 = "items AS (SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:6], ' ') AS text FROM benchmark WHERE item_id < 10), terms AS (SELECT query_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda t: length(t) > 2)) AS terms FROM items)"
+ITEMS10 = "items AS (SELECT item_id AS query_id, text FROM benchmark), terms AS (SELECT query_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda t: length(t) > 2)) AS terms FROM items)"
 
 
 def _items(spark, sf):
-    return table(spark, sf, "benchmark").where("item_id < 10").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 6), " ").alias("text"))
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
 @query("best_chunk", f"WITH {FUSED}, {CHUNKS}, {ITEMS10}, o AS (SELECT r.query_id, r.file, seq, len(list_filter(terms, lambda t: contains(lower(text), t)))::INT AS overlap FROM rrf r JOIN terms USING (query_id) JOIN cut ON cut.file = r.file WHERE rank <= 10) SELECT query_id, file, seq, overlap FROM o QUALIFY row_number() OVER (PARTITION BY query_id, file ORDER BY overlap DESC, seq) = 1")
@@ -171,15 +172,15 @@ def snippet_trunc(spark, sf):
     return docs(spark, sf).select("doc_id", F.when(F.size(lines) > 3, cut).otherwise(F.col("body")).alias("text"))
 
 
-PAIRS = "t AS (SELECT doc_id, doc_id % 50 AS g, list_distinct(list_filter(regexp_split_to_array(lower(body), '\\s+'), lambda x: length(x) > 2)) AS t FROM docs WHERE doc_id < 400)"
+PAIRS = f"""t AS (SELECT doc_id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(body), '\\s+'), lambda x: length(x) > 2))) AS t FROM docs),
+ u AS (SELECT t, min(doc_id) AS a FROM t GROUP BY t)"""
 
 
-@query("set_intersect_jaccard", f"""WITH {DOCS}, {PAIRS}, p AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.t, b.t)) AS i, len(a.t) + len(b.t) AS s FROM t a JOIN t b ON a.g = b.g AND a.doc_id < b.doc_id)
- SELECT a, b, round(CASE WHEN s - i = 0 THEN 1.0 ELSE i::DOUBLE / (s - i) END, 6)::DOUBLE AS jaccard FROM p""")
+@query("set_intersect_jaccard", f"""WITH {DOCS}, {PAIRS}, p AS (SELECT x.a, y.a AS b, len(list_intersect(x.t, y.t)) AS i, len(x.t) + len(y.t) AS s FROM u x JOIN u y ON x.a < y.a AND len(x.t) * 0.79 <= len(y.t) AND len(y.t) * 0.79 <= len(x.t))
+ SELECT a, b, round(i::DOUBLE / (s - i), 6)::DOUBLE AS jaccard FROM p WHERE s > i AND i::DOUBLE / (s - i) >= 0.8::DOUBLE UNION ALL SELECT u.a, t.doc_id, 1.0::DOUBLE FROM t JOIN u USING (t) WHERE doc_id > u.a""")
 def set_intersect_jaccard(spark, sf):
-    t = docs(spark, sf).where("doc_id < 400").select("doc_id", (F.col("doc_id") % 50).alias("g"), ops.token_set(F.col("body")).alias("t"))
-    a, b = t.select(F.col("doc_id").alias("a"), "g", F.col("t").alias("x")), t.select(F.col("doc_id").alias("b"), "g", F.col("t").alias("y"))
-    return a.join(b, "g").where("a < b").select("a", "b", F.round(ops.jaccard(F.col("x"), F.col("y")), 6).alias("jaccard"))
+    sets = docs(spark, sf).select("doc_id", ops.token_set(F.col("body")).alias("t"))
+    return ops.similar_sets(sets, 0.8).select("a", "b", "jaccard")
 
 
 @query("snippet_dedup")
@@ -203,14 +204,14 @@ def diagnostics(spark, sf):
     return table(spark, sf, "events").groupBy(t.alias("warning"), reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query("arch_hints", f"""WITH {ITEMS10}, h AS (SELECT doc_id AS hint_id, CASE doc_id % 3 WHEN 0 THEN 'god_node' WHEN 1 THEN 'surprising_edge' ELSE 'other' END AS kind, lower(lang || ' ' || left(text, 300)) AS hay FROM documents WHERE doc_id < 50),
+@query("arch_hints", f"""WITH {ITEMS10}, h AS (SELECT doc_id AS hint_id, CASE doc_id % 3 WHEN 0 THEN 'god_node' WHEN 1 THEN 'surprising_edge' ELSE 'other' END AS kind, lower(lang || ' ' || text) AS hay FROM documents),
  q AS (SELECT query_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda t: length(t) > 2) AS q FROM items),
- s AS (SELECT query_id, hint_id, kind, len(list_filter(q, lambda t: contains(hay, t))) + CASE kind WHEN 'god_node' THEN 0.2::DOUBLE WHEN 'surprising_edge' THEN 0.15::DOUBLE ELSE 0 END AS score FROM q, h WHERE len(q) > 0)
+ s AS (SELECT query_id, hint_id, kind, len(list_filter(q, lambda t: contains(hay, t))) + CASE kind WHEN 'god_node' THEN 0.2::DOUBLE WHEN 'surprising_edge' THEN 0.15::DOUBLE ELSE 0 END AS score FROM q JOIN h ON query_id % 10 = hint_id % 10 WHERE len(q) > 0)
  SELECT query_id, hint_id, kind, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, hint_id) AS place FROM s WHERE score > 0 QUALIFY place <= 5""")
 def arch_hints(spark, sf):
     k = F.col("doc_id") % 3
-    hints = table(spark, sf, "documents").where("doc_id < 50").select(F.col("doc_id").alias("hint_id"), F.when(k == 0, "god_node").when(k == 1, "surprising_edge").otherwise("other").alias("kind"), F.col("lang").alias("title"), F.substring("text", 1, 300).alias("body"))
-    return ops.arch_hints(_items(spark, sf), hints, 5)
+    hints = table(spark, sf, "documents").select(F.col("doc_id").alias("hint_id"), (F.col("doc_id") % 10).alias("graph"), F.when(k == 0, "god_node").when(k == 1, "surprising_edge").otherwise("other").alias("kind"), F.col("lang").alias("title"), F.col("text").alias("body"))
+    return ops.arch_hints(_items(spark, sf).withColumn("graph", F.col("query_id") % 10), hints, 5, by=["graph"])
 
 
 @query("expand_query", f"""WITH {ITEMS10}, a AS (SELECT query_id, CASE query_id % 3 WHEN 0 THEN array_to_string(string_split(text, ' ')[1:2], ' ') ELSE text END AS text, query_id % 3 = 0 AS short FROM items)
@@ -235,9 +236,9 @@ def stable_hash(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", F.sha2(F.to_json(F.struct("role", "turn")), 256).alias("key"))
 
 
-@query("highlight", """SELECT doc_id, regexp_replace(left(text, 300), '(?i)(the|and|der|que)', '<\\1>', 'g') AS text FROM documents""")
+@query("highlight", """SELECT doc_id, regexp_replace(text, '(?i)(the|and|der|que)', '<\\1>', 'g') AS text FROM documents""")
 def highlight(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.regexp_replace(F.substring("text", 1, 300), "(?i)(the|and|der|que)", "<$1>").alias("text"))
+    return table(spark, sf, "documents").select("doc_id", F.regexp_replace("text", "(?i)(the|and|der|que)", "<$1>").alias("text"))
 
 
 @query("summary_text", f"WITH {FUSED} SELECT query_id, string_agg('#' || substr(hash, 1, 6) || ' ' || round(score * 100)::INT || '% ' || r.file || ' - doc_' || r.doc_id, chr(10) ORDER BY rank) AS text FROM rrf r JOIN docs d ON d.path = r.file WHERE rank <= 5 GROUP BY query_id")
@@ -254,9 +255,9 @@ def rerank_estimate(spark, sf):
     return table(spark, sf, "documents").select("doc_id", (400 + n * F.when(n > 20, 500 - F.least(F.lit(300), 5 * (n - 20))).otherwise(500)).alias("ms"))
 
 
-@query("ctx_sanitize", """SELECT doc_id, left(replace(regexp_replace(regexp_replace(chr(27) || '[31m' || left(text, 400) || '```x', '\\x1b\\[[0-9;]*[A-Za-z]', '', 'g'), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g'), '```', ''''''''), 8192) AS text FROM documents""")
+@query("ctx_sanitize", """SELECT doc_id, left(replace(regexp_replace(regexp_replace(chr(27) || '[31m' || text || '```x', '\\x1b\\[[0-9;]*[A-Za-z]', '', 'g'), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g'), '```', ''''''''), 8192) AS text FROM documents""")
 def ctx_sanitize(spark, sf):
-    t = F.concat(F.lit("\x1b[31m"), F.substring("text", 1, 400), F.lit("```x"))
+    t = F.concat(F.lit("\x1b[31m"), "text", F.lit("```x"))
     t = F.regexp_replace(F.regexp_replace(t, r"\x1b\[[0-9;]*[A-Za-z]", ""), r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
     return table(spark, sf, "documents").select("doc_id", F.substring(F.replace(t, F.lit("```"), F.lit("'''")), 1, 8192).alias("text"))
 

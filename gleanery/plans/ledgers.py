@@ -136,10 +136,10 @@ def op_status(spark, sf):
     return table(spark, sf, "events").groupBy("user_id").agg(F.array_join(w, ",").alias("warnings"))
 
 
-@query("trust_check", "SELECT doc_id FROM documents WHERE sha256(source || '|' || lang || '|update') NOT IN (SELECT sha256(source || '|' || lang || '|update') FROM documents WHERE doc_id < 40)")
+@query("trust_check", "SELECT doc_id FROM documents WHERE sha256(source || '|' || lang || '|update') NOT IN (SELECT sha256(source || '|' || lang || '|update') FROM documents JOIN labels USING (doc_id) WHERE quality = 1)")
 def trust_check(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.sha2(F.concat_ws("|", "source", "lang", F.lit("update")), 256).alias("h"))
-    return d.join(d.where("doc_id < 40").select("h").distinct(), "h", "left_anti").select("doc_id")
+    return d.join(d.join(table(spark, sf, "labels").where("quality = 1"), "doc_id").select("h").distinct(), "h", "left_anti").select("doc_id")
 
 
 @query("capabilities", "SELECT 'source' AS capability, 'd' || count(DISTINCT source) AS value FROM documents UNION ALL SELECT 'lang', 'd' || count(DISTINCT lang) FROM documents UNION ALL SELECT 'ann', 'centroid-v1'")
@@ -149,13 +149,13 @@ def capabilities(spark, sf):
     return one.select(F.explode(m).alias("capability", "value"))
 
 
-@query("sort_nulls_last", "SELECT event_id, row_number() OVER (ORDER BY CASE WHEN event_id % 4 = 0 THEN NULL ELSE value END ASC NULLS LAST, event_id) AS place FROM events WHERE user_id = 3")
+@query("sort_nulls_last", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN event_id % 4 = 0 THEN NULL ELSE value END ASC NULLS LAST, event_id) AS place FROM events")
 def sort_nulls_last(spark, sf):
     from pyspark.sql import Window
 
     v = F.when(F.col("event_id") % 4 != 0, F.col("value"))
     w = Window.partitionBy("user_id").orderBy(v.asc_nulls_last(), "event_id")
-    return table(spark, sf, "events").where("user_id = 3").withColumn("place", F.row_number().over(w)).select("event_id", "place")
+    return table(spark, sf, "events").withColumn("place", F.row_number().over(w)).select("event_id", "place")
 
 
 @query("win_cumulative_budget", "SELECT doc_id FROM (SELECT doc_id, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id) AS used FROM documents) WHERE used <= 20000")

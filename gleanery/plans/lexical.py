@@ -1,4 +1,4 @@
-"""Queries of lexical retrieval."""
+"""Queries of lexical retrieval. Each benchmark item asks with words of its whole text, dealt by digests."""
 
 from __future__ import annotations
 
@@ -13,10 +13,15 @@ def _columns():
     return {"filepath": F.concat("collection", F.lit("/"), "path"), "title": tx.stem_of(F.col("path")), "body": F.col("body")}
 
 
-def _queries(spark, sf, words: int = 2):
-    """The first words of each benchmark item, each a prefix."""
-    b = table(spark, sf, "benchmark")
-    return b.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(tx.tokens(F.col("text")), 1, words), " ").alias("text"))
+def picked(text=None):
+    """The words of a whole text in the order of their digests, so that any number of them is a mixture of frequent and rare ones."""
+    words = F.transform(tx.tokens(F.col("text") if text is None else text), lambda t: F.struct(F.md5(t).alias("d"), t.alias("t")))
+    return F.transform(F.array_sort(F.array_distinct(words)), lambda x: x["t"])
+
+
+def asked(spark, sf, words: int = 2):
+    """Words of each benchmark item, each a prefix."""
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(picked(), 1, words), " ").alias("text"))
 
 
 def _all(spark, sf):
@@ -25,6 +30,7 @@ def _all(spark, sf):
 
 
 TOK = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
+PICK = "list_transform(list_sort(list_distinct(list_transform(" + TOK.format("text") + ", lambda t: {{'d': md5(t), 't': t}}))), lambda x: x.t)".replace("{{", "{").replace("}}", "}")
 BASE = f"""WITH {DOCS}, cols AS (SELECT doc_id, unnest([{{'col': 'filepath', 't': collection || '/' || path}}, {{'col': 'title', 't': 'doc_' || doc_id}}, {{'col': 'body', 't': body}}], recursive := true) FROM docs),
 toks AS (SELECT doc_id, col, {TOK.format("t")} AS l FROM cols),
 posts AS (SELECT doc_id, col, unnest(l) AS term, generate_subscripts(l, 1) - 1 AS pos FROM toks),
@@ -43,17 +49,17 @@ whole AS (SELECT query_id, doc_id, round(s, 6) AS bm25 FROM scored WHERE k = (SE
 ranked AS (SELECT query_id, doc_id, bm25, round(abs(bm25) / (1 + abs(bm25)), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY bm25, doc_id) AS rank FROM whole QUALIFY rank <= {limit})"""
 
 
-FIRST2 = f"SELECT item_id AS query_id, unnest([0, 1]) AS phrase, unnest({TOK.format('text')}[1:2]) AS q, true AS prefix FROM benchmark"
+FIRST2 = f"SELECT item_id AS query_id, unnest([0, 1]) AS phrase, unnest({PICK}[1:2]) AS q, true AS prefix FROM benchmark"
 
 
 @query("fts_search", f"{_bm25_sql(FIRST2)} SELECT * FROM ranked")
 def fts_search(spark, sf):
-    return ops.search(ops.parse(_queries(spark, sf)), *_all(spark, sf))
+    return ops.search(ops.parse(asked(spark, sf)), *_all(spark, sf))
 
 
-@query("bm25_score", f"{_bm25_sql('SELECT item_id AS query_id, 0 AS phrase, ' + TOK.format('text') + '[2] AS q, false AS prefix FROM benchmark', limit=1000000)} SELECT query_id, doc_id, bm25 FROM ranked")
+@query("bm25_score", f"{_bm25_sql('SELECT item_id AS query_id, 0 AS phrase, ' + PICK + '[2] AS q, false AS prefix FROM benchmark', limit=1000000)} SELECT query_id, doc_id, bm25 FROM ranked")
 def bm25_score(spark, sf):
-    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit('"'), tx.tokens(F.col("text"))[1], F.lit('"')).alias("text"))
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit('"'), picked()[1], F.lit('"')).alias("text"))
     return ops.search(ops.parse(q), *_all(spark, sf), limit=None).select("query_id", "doc_id", "bm25")
 
 
@@ -62,22 +68,24 @@ def score_norm(spark, sf):
     return table(spark, sf, "events").select("event_id", F.round(ops.score_norm(F.col("value")), 6).alias("score"))
 
 
-@query("prefix_match", f"{BASE} SELECT item_id AS query_id, doc_id, count(*) AS hits FROM (SELECT item_id, substr({TOK.format('text')}[1], 1, 3) AS q FROM benchmark) b JOIN posts ON starts_with(term, q) GROUP BY ALL")
+@query("prefix_match", f"{BASE} SELECT item_id AS query_id, doc_id, count(*) AS hits FROM (SELECT item_id, substr({PICK}[1], 1, 3) AS q FROM benchmark) b JOIN posts ON starts_with(term, q) GROUP BY ALL")
 def prefix_match(spark, sf):
-    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.substring(tx.tokens(F.col("text"))[0], 1, 3).alias("text"))
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.substring(picked()[0], 1, 3).alias("text"))
     return ops.hits(ops.parse(q), _all(spark, sf)[0]).groupBy("query_id", "doc_id").agg(F.sum("hits").alias("hits"))
 
 
-@query("not_match", f"{_bm25_sql('SELECT item_id AS query_id, 0 AS phrase, ' + TOK.format('text') + '[1] AS q, true AS prefix FROM benchmark', 'SELECT item_id AS query_id, ' + TOK.format('text') + '[3] AS q FROM benchmark')} SELECT query_id, doc_id, bm25, rank FROM ranked")
+@query("not_match", f"{_bm25_sql('SELECT item_id AS query_id, 0 AS phrase, ' + PICK + '[1] AS q, true AS prefix FROM benchmark', 'SELECT item_id AS query_id, ' + PICK + '[3] AS q FROM benchmark')} SELECT query_id, doc_id, bm25, rank FROM ranked")
 def not_match(spark, sf):
-    t = tx.tokens(F.col("text"))
-    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(t[0], F.lit(" -"), t[2]).alias("text"))
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(picked()[0], F.lit(" -"), picked()[2]).alias("text"))
     return ops.search(ops.parse(q), *_all(spark, sf)).select("query_id", "doc_id", "bm25", "rank")
 
 
-@query("phrase_match", f"{BASE}, q AS (SELECT item_id, {TOK.format('text')} AS t FROM benchmark) SELECT item_id AS query_id, a.doc_id, count(*) AS hits FROM q JOIN posts a ON a.term = t[1] JOIN posts b ON b.doc_id = a.doc_id AND b.col = a.col AND b.pos = a.pos + 1 AND b.term = t[2] GROUP BY ALL")
+@query("phrase_match", f"{BASE}, q AS (SELECT item_id * 1000 + i AS query_id, t[i + 1] AS a, t[i + 2] AS b FROM (SELECT item_id, {TOK.format('text')} AS t, unnest(range(0, len({TOK.format('text')}) - 1)) AS i FROM benchmark)) SELECT query_id, x.doc_id, count(*) AS hits FROM q JOIN posts x ON x.term = a JOIN posts y ON y.doc_id = x.doc_id AND y.col = x.col AND y.pos = x.pos + 1 AND y.term = b GROUP BY ALL")
 def phrase_match(spark, sf):
-    q = _queries(spark, sf).select("query_id", F.concat(F.lit('"'), "text", F.lit('"')).alias("text"))
+    """Every two neighbouring words of every item."""
+    t = table(spark, sf, "benchmark").select("item_id", tx.tokens(F.col("text")).alias("t")).where("size(t) > 1")
+    pairs = t.select("item_id", "t", F.explode(F.sequence(F.lit(0), F.size("t") - 2)).alias("i"))
+    q = pairs.select((F.col("item_id") * 1000 + F.col("i")).alias("query_id"), F.concat(F.lit('"'), F.get("t", F.col("i")), F.lit(" "), F.get("t", F.col("i") + 1), F.lit('"')).alias("text"))
     return ops.hits(ops.parse(q), _all(spark, sf)[0]).groupBy("query_id", "doc_id").agg(F.sum("hits").alias("hits"))
 
 
@@ -105,14 +113,16 @@ def fts_index(spark, sf):
 @query("fts_search_stemmed")
 def fts_search_stemmed(spark, sf):
     posts, stats = _all(spark, sf)
-    return ops.search(ops.parse(_queries(spark, sf)), with_stems(posts), stats)
+    return ops.search(ops.parse(asked(spark, sf)), with_stems(posts), stats)
 
 
 @query("lex_parse", f"""WITH q AS (SELECT item_id, {TOK.format("text")} AS t FROM benchmark)
- SELECT item_id AS query_id, 3::BIGINT AS phrases, 1::BIGINT AS negated, 1::BIGINT AS exact, t[1] || ' ' || t[2] AS phrase FROM q""")
+ SELECT item_id AS query_id, (len(t) - 1)::BIGINT AS phrases, 1::BIGINT AS negated, 1::BIGINT AS exact, t[1] || ' ' || t[2] AS phrase FROM q""")
 def lex_parse(spark, sf):
+    """The first two words as a phrase, the last one excluded, those between asked for."""
     t = tx.tokens(F.col("text"))
-    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit('"'), t[0], F.lit(" "), t[1], F.lit('" '), t[2], F.lit("! -"), t[3]).alias("text"))
+    between = F.array_join(F.slice(t, F.lit(3), F.size(t) - 3), "! ")
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit('"'), t[0], F.lit(" "), t[1], F.lit('" '), between, F.lit("! -"), F.element_at(t, -1)).alias("text"))
     return ops.parse(q).groupBy("query_id").agg(F.count("*").alias("phrases"), F.count_if("negated").alias("negated"), F.count_if(~F.col("prefix")).alias("exact"), F.max(F.when(~F.col("prefix"), F.array_join("terms", " "))).alias("phrase"))
 
 
@@ -158,17 +168,18 @@ def auto_expand(spark, sf):
     return _asked(spark, sf).select("doc_id", F.explode(kinds).alias("type"))
 
 
-@query("structured_parse", """WITH q AS (SELECT item_id, string_split('lex: ' || left(text, 10) || chr(10) || chr(10) || 'vec: ' || left(text, 20) || chr(10) || 'HYDE: x' || item_id, chr(10)) AS l FROM benchmark),
+@query("structured_parse", """WITH q AS (SELECT item_id, string_split('lex: ' || replace(text, chr(10), ' ') || chr(10) || chr(10) || 'vec: ' || lower(replace(text, chr(10), ' ')) || chr(10) || 'HYDE: x' || item_id, chr(10)) AS l FROM benchmark),
  e AS (SELECT item_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS pos FROM q)
  SELECT item_id AS query_id, lower(regexp_extract(line, '^\\s*(?i:(lex|vec|hyde)):', 1)) AS type, trim(regexp_replace(line, '^\\s*(?i:lex|vec|hyde):', '')) AS text, pos::INT AS line FROM e WHERE trim(line) <> ''""")
 def structured_parse(spark, sf):
     from gleanery.operators.fusion import structured
 
-    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("lex: "), F.substring("text", 1, 10), F.lit("\n\nvec: "), F.substring("text", 1, 20), F.lit("\nHYDE: x"), F.col("item_id").cast("string")).alias("text"))
+    flat = F.replace("text", F.lit("\n"), F.lit(" "))
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("lex: "), flat, F.lit("\n\nvec: "), F.lower(flat), F.lit("\nHYDE: x"), F.col("item_id").cast("string")).alias("text"))
     return structured(q)
 
 
-@query("legacy_query_builder", f"{BASE}, q AS (SELECT item_id, unnest({TOK.format('text')}[1:3]) AS t FROM benchmark) SELECT item_id AS query_id, count(DISTINCT doc_id) AS docs FROM q JOIN posts ON term = t GROUP BY item_id")
+@query("legacy_query_builder", f"{BASE}, q AS (SELECT item_id, unnest({TOK.format('text')}) AS t FROM benchmark) SELECT item_id AS query_id, count(DISTINCT doc_id) AS docs FROM q JOIN posts ON term = t GROUP BY item_id")
 def legacy_query_builder(spark, sf):
-    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.slice(tx.tokens(F.col("text")), 1, 3)).alias("term"))
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("term"))
     return _all(spark, sf)[0].select("doc_id", "term").distinct().join(q, "term").groupBy("query_id").agg(F.count_distinct("doc_id").alias("docs"))

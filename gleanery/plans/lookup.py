@@ -28,23 +28,23 @@ def default_collections(spark, sf):
     return docs(spark, sf).select("collection").distinct().where(F.coalesce(flag, F.lit(True)))
 
 
-WANTED = "wanted AS (SELECT doc_id AS query_id, upper(substr(sha256(text), 1, 8)) AS wanted FROM documents WHERE doc_id % 37 = 0)"
+WANTED = "wanted AS (SELECT doc_id AS query_id, upper(substr(sha256(text), 1, 8)) AS wanted FROM documents)"
 
 
 @query("docid_lookup", f"{W}, {WANTED} SELECT query_id, min(path) AS path FROM wanted JOIN docs ON active AND starts_with(hash, lower(wanted)) GROUP BY query_id")
 def docid_lookup(spark, sf):
-    q = table(spark, sf, "documents").where("doc_id % 37 = 0").select(F.col("doc_id").alias("query_id"), F.upper(F.substring(F.sha2("text", 256), 1, 8)).alias("wanted"))
+    q = table(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), F.upper(F.substring(F.sha2("text", 256), 1, 8)).alias("wanted"))
     return ops.by_docid(q, docs(spark, sf).where("active"))
 
 
-NAMES = """names AS (SELECT doc_id AS query_id, CASE doc_id % 4 WHEN 0 THEN '#' || substr(sha256(text), 1, 6) WHEN 1 THEN source || '/' || lang || '/doc_' || doc_id || '.md' WHEN 2 THEN lang || '/doc_' || doc_id || '.md' ELSE 'doc_' || doc_id || '.md' END AS name FROM documents WHERE doc_id % 11 = 0)"""
+NAMES = """names AS (SELECT doc_id AS query_id, CASE doc_id % 4 WHEN 0 THEN '#' || substr(sha256(text), 1, 6) WHEN 1 THEN source || '/' || lang || '/doc_' || doc_id || '.md' WHEN 2 THEN lang || '/doc_' || doc_id || '.md' ELSE 'doc_' || doc_id || '.md' END AS name FROM documents)"""
 
 
 @query("doc_lookup", f"""{W}, {NAMES}, hits AS (SELECT query_id, 1 AS priority, path FROM names JOIN docs ON active AND starts_with(name, '#') AND substr(hash, 1, 6) = substr(name, 2) UNION ALL SELECT query_id, 2, path FROM names JOIN docs ON active AND name = collection || '/' || path
  UNION ALL SELECT query_id, 3, path FROM names JOIN docs ON active AND name = path UNION ALL SELECT query_id, 4, path FROM names JOIN docs ON active AND ends_with(path, '/' || name))
  SELECT query_id, min((priority, path))[1] AS priority, min((priority, path))[2] AS path FROM hits GROUP BY query_id""")
 def doc_lookup(spark, sf):
-    d = table(spark, sf, "documents").where("doc_id % 11 = 0")
+    d = table(spark, sf, "documents")
     k, file = F.col("doc_id") % 4, F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".md"))
     name = F.when(k == 0, F.concat(F.lit("#"), F.substring(F.sha2("text", 256), 1, 6))).when(k == 1, F.concat_ws("/", "source", "lang", file)).when(k == 2, F.concat_ws("/", "lang", file)).otherwise(file)
     return ops.find(d.select(F.col("doc_id").alias("query_id"), name.alias("name")), docs(spark, sf).where("active"))
@@ -68,9 +68,9 @@ def glob_match(spark, sf):
     return docs(spark, sf).where("active").where(F.col("path").rlike(pattern) | F.concat_ws("/", "collection", "path").rlike(pattern)).select("doc_id")
 
 
-@query("fuzzy_paths", f"{W}, q AS (SELECT doc_id AS query_id, replace(path, 'doc_', 'dox_') AS wanted FROM docs WHERE doc_id % 101 = 0), p AS (SELECT query_id, path, levenshtein(path, wanted) AS distance FROM q JOIN docs ON active AND abs(length(path) - length(wanted)) <= 3) SELECT query_id, path, distance FROM p WHERE distance <= 3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, path) <= 5")
+@query("fuzzy_paths", f"{W}, q AS (SELECT doc_id AS query_id, replace(path, 'doc_', 'dox_') AS wanted FROM docs WHERE doc_id % 100 = 0), p AS (SELECT query_id, path, levenshtein(path, wanted) AS distance FROM q JOIN docs ON active AND abs(length(path) - length(wanted)) <= 3) SELECT query_id, path, distance FROM p WHERE distance <= 3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, path) <= 5")
 def fuzzy_paths(spark, sf):
-    q = docs(spark, sf).where("doc_id % 101 = 0").select(F.col("doc_id").alias("query_id"), F.replace("path", F.lit("doc_"), F.lit("dox_")).alias("wanted"))
+    q = docs(spark, sf).where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.replace("path", F.lit("doc_"), F.lit("dox_")).alias("wanted"))
     return ops.similar_paths(q, docs(spark, sf).where("active"), 3, 5)
 
 
@@ -147,10 +147,10 @@ def line_diff(spark, sf):
     return ops.line_diff(d, "doc_id")
 
 
-@query("line_diff_counts", f"""{W}, o AS (SELECT doc_id, unnest(string_split(body, chr(10))) AS line FROM docs WHERE doc_id % 20 = 0), n AS (SELECT doc_id, unnest(string_split('first line' || chr(10) || body, chr(10))) AS line FROM docs WHERE doc_id % 20 = 0),
+@query("line_diff_counts", f"""{W}, o AS (SELECT doc_id, unnest(string_split(body, chr(10))) AS line FROM docs), n AS (SELECT doc_id, unnest(string_split('first line' || chr(10) || body, chr(10))) AS line FROM docs),
  k AS (SELECT doc_id, line, sum(d) AS d FROM (SELECT doc_id, line, -1 AS d FROM o UNION ALL SELECT doc_id, line, 1 FROM n) GROUP BY ALL) SELECT doc_id, coalesce(sum(d) FILTER (d > 0), 0)::BIGINT AS added, coalesce(-sum(d) FILTER (d < 0), 0)::BIGINT AS deleted FROM k GROUP BY doc_id""")
 def line_diff_counts(spark, sf):
-    d = docs(spark, sf).where("doc_id % 20 = 0").select("doc_id", F.col("body").alias("old"), F.concat(F.lit("first line\n"), "body").alias("new"))
+    d = docs(spark, sf).select("doc_id", F.col("body").alias("old"), F.concat(F.lit("first line\n"), "body").alias("new"))
     return ops.line_changes(d, "doc_id")
 
 

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from gleanery.operators import memory as ops
 from gleanery.plans.catalog import query, table
 
-MEM = """mem AS (SELECT conv_id * 1000 + turn AS id, 's' || conv_id % 20 AS scope, CASE turn % 3 WHEN 0 THEN 'job_title' ELSE role || ':' || turn % 2 END AS key, left(text, 40) AS value, role || ', r' || turn % 2 AS source,
+MEM = """mem AS (SELECT conv_id * 1000 + turn AS id, 's' || conv_id % 20 AS scope, CASE turn % 3 WHEN 0 THEN 'job_title' ELSE role || ':' || turn % 2 END AS key, text AS value, role || ', r' || turn % 2 AS source,
  conv_id * 60 + turn AS created_at, turn % 4 AS accessed_count, 1 + turn % 3 AS appeared_count, CASE WHEN turn % 5 > 0 THEN conv_id + turn * 7 END AS last_accessed_at, CASE WHEN turn % 6 = 1 THEN conv_id END AS expires_at FROM conversations)"""
 
 
 def _mem(spark, sf):
     t, c = F.col("turn"), F.col("conv_id")
-    return table(spark, sf, "conversations").select((c * 1000 + t).alias("id"), F.concat(F.lit("s"), (c % 20).cast("string")).alias("scope"), F.when(t % 3 == 0, "job_title").otherwise(F.concat("role", F.lit(":"), (t % 2).cast("string"))).alias("key"), F.substring("text", 1, 40).alias("value"), F.concat("role", F.lit(", r"), (t % 2).cast("string")).alias("source"), (c * 60 + t).alias("created_at"), (t % 4).alias("accessed_count"), (1 + t % 3).alias("appeared_count"), F.when(t % 5 > 0, c + t * 7).alias("last_accessed_at"), F.when(t % 6 == 1, c).alias("expires_at"))
+    return table(spark, sf, "conversations").select((c * 1000 + t).alias("id"), F.concat(F.lit("s"), (c % 20).cast("string")).alias("scope"), F.when(t % 3 == 0, "job_title").otherwise(F.concat("role", F.lit(":"), (t % 2).cast("string"))).alias("key"), F.col("text").alias("value"), F.concat("role", F.lit(", r"), (t % 2).cast("string")).alias("source"), (c * 60 + t).alias("created_at"), (t % 4).alias("accessed_count"), (1 + t % 3).alias("appeared_count"), F.when(t % 5 > 0, c + t * 7).alias("last_accessed_at"), F.when(t % 6 == 1, c).alias("expires_at"))
 
 
 @query("mem_scope_resolve", """SELECT conv_id, turn, coalesce(e, s, w, 'default') AS scope, CASE WHEN e IS NOT NULL THEN 'explicit' WHEN s IS NOT NULL THEN 'session' WHEN w IS NOT NULL THEN 'workspace' ELSE 'default' END AS source, CASE WHEN turn % 2 = 0 AND e <> coalesce(s, w) THEN 'cross_scope_forbidden' END AS error
@@ -103,15 +103,10 @@ def mem_text_search(spark, sf):
     return ops.text_search(rows, q, 5)
 
 
-@query("mem_sem_search", "WITH v AS (SELECT vec_id, vec_id % 5 AS scope, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT scope, e AS q FROM v WHERE vec_id < 5), s AS (SELECT scope, vec_id AS id, round(1 - greatest(0, least(2, 1 - list_inner_product(q, e) / (sqrt(list_inner_product(q, q)) * sqrt(list_inner_product(e, e))))), 6) AS similarity FROM v JOIN q USING (scope)) SELECT scope, id, similarity FROM s WHERE similarity >= 0.3 QUALIFY row_number() OVER (PARTITION BY scope ORDER BY similarity DESC, id) <= 10")
+@query("mem_sem_search", "WITH v AS (SELECT vec_id, (vec_id // 100) % 5 AS scope, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT scope, vec_id AS query_id, e AS q FROM v WHERE vec_id % 100 = 0), s AS (SELECT scope, query_id, vec_id AS id, round(1 - greatest(0, least(2, 1 - list_inner_product(q, e) / (sqrt(list_inner_product(q, q)) * sqrt(list_inner_product(e, e))))), 6) AS similarity FROM v JOIN q USING (scope)) SELECT scope, query_id, id, similarity FROM s WHERE similarity >= 0.3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) <= 10")
 def mem_sem_search(spark, sf):
-    from gleanery.operators.vectors import cosine_distance
-
-    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), (F.col("vec_id") % 5).alias("scope"), "embedding")
-    q = v.where("id < 5").select("scope", F.col("embedding").alias("q"))
-    s = v.join(F.broadcast(q), "scope").withColumn("similarity", F.round(1 - cosine_distance(F.col("q"), F.col("embedding")), 6)).where("similarity >= 0.3")
-    w = Window.partitionBy("scope").orderBy(F.desc("similarity"), "id")
-    return s.withColumn("r", F.row_number().over(w)).where("r <= 10").select("scope", "id", "similarity")
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), (F.floor(F.col("vec_id") / 100) % 5).alias("scope"), "embedding")
+    return ops.semantic_search(v, v.where("id % 100 = 0").select("scope", F.col("id").alias("query_id"), F.col("embedding").alias("q")), 0.3, 10)
 
 
 @query("mem_counters", f"WITH {MEM} SELECT id, appeared_count + 2 AS appeared_count, accessed_count + 2 AS accessed_count FROM mem WHERE id % 3 = 0")

@@ -57,9 +57,9 @@ def sink_documents(spark, sf):
     return _results(spark, sf).where(F.length("body") <= 10240).select("doc_id", F.concat_ws(",", "file", "title", out.csv_field(C("body"))).alias("line"))
 
 
-@query("sink_document", f"{BASE} SELECT doc_id, '<document path=\"' || file || '\">' || chr(10) || {XML.format('body')} || chr(10) || '</document>' AS text FROM res WHERE doc_id = 7")
+@query("sink_document", f"{BASE} SELECT doc_id, '<document path=\"' || file || '\">' || chr(10) || {XML.format('body')} || chr(10) || '</document>' AS text FROM res")
 def sink_document(spark, sf):
-    return _results(spark, sf).where("doc_id = 7").select("doc_id", F.concat(F.lit('<document path="'), "file", F.lit('">\n'), out.xml_escape(C("body")), F.lit("\n</document>")).alias("text"))
+    return _results(spark, sf).select("doc_id", F.concat(F.lit('<document path="'), "file", F.lit('">\n'), out.xml_escape(C("body")), F.lit("\n</document>")).alias("text"))
 
 
 @query("sink_backup")
