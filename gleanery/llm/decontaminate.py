@@ -5,8 +5,9 @@ seeds, of bounded size, and writes the passages around what it finds (false hits
 and change nothing).  Seeds of passages are then joined with seeds of items, each passage is aligned with
 the items that it shares a seed with, by words, and the score is the alignment's share of what the item
 scores against itself.  Passages that have too few of the item's words for the least score are passed
-over, which changes no result.  Everything is a join, so items may be of any number and length; passages
-are as long as the items of their length class ask for.
+over, which changes no result.  Items may be of any number and length: up to INLINE_WORDS words in all they
+are broadcast and joined where the passages are found, and only leaks leave a task; beyond that passages
+are written, as long as the items of their length class ask for, and joined with the items by shuffles.
 
 Rare seeds: a seed that more than COMMON items have is left to those of them that have no other; pass
 common=None to join all seeds whatever it costs. Seeds are never left out for being frequent in the texts,
@@ -30,12 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import stretches, table, written
+from gleanery.llm.common import bounded_batches, stretches, table, written
 
 SEED_WORDS, COMMON = 3, 64
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST = 0.5
 FILTER_BITS = 29
+INLINE_WORDS = 1_000_000
 BROADCAST_ROWS = 500_000
 # Words are runs of bytes that are neither blanks, controls nor these; A-Z are lowered.
 _BETWEEN = b".,;:!?\"'()[]{}<>*#$%&|-_~`/\\"
@@ -275,37 +277,111 @@ def _sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def found_in_texts(docs: DataFrame, items: DataFrame, least: float = LEAST, seed_words: int = SEED_WORDS, common: int | None = COMMON) -> DataFrame:
-    """text_key (MD5), item_id, score, first_word, end_word: the items that align with a text, each at its best place; a written table."""
-    spark = docs.sparkSession
-    known = item_words(items, seed_words)
-    seeds = item_seeds(known, seed_words, common)
-    filters = spark.sparkContext.broadcast(filters_of(known, seeds, seed_words))
+class Index:
+    """Seeds and words of a bounded number of items, in memory: what the shuffled joins do, for one class in one task."""
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self, items: list, seeds: list):
+        self.items = {r["item"]: (r["item_id"], np.frombuffer(r["words"], np.uint64)) for r in items}
+        order = sorted(seeds, key=lambda r: r["seed"])
+        self.seeds, self.item, self.inside = (np.array([r[c] for r in order], np.int64) for c in ("seed", "item", "inside"))
+
+    def candidates(self, places: np.ndarray, seeds: np.ndarray) -> dict[int, set[int]]:
+        """item: where it may begin in the passage."""
+        low, high = (np.searchsorted(self.seeds, seeds.view(np.int64), side) for side in ("left", "right"))
+        found: dict[int, set[int]] = {}
+        for place, a, b in zip(places.tolist(), low.tolist(), high.tolist(), strict=True):
+            for k in range(a, b):
+                found.setdefault(int(self.item[k]), set()).add(place - int(self.inside[k]))
+        return found
+
+
+_LEAK = [("text_key", "string"), ("item_id", None), ("score", "double"), ("first_word", "bigint"), ("end_word", "bigint")]
+
+
+def _leak_batch(rows: list[tuple], item_id: pa.DataType) -> pa.RecordBatch:
+    kinds = [pa.string(), item_id, pa.float64(), pa.int64(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)], [n for n, _ in _LEAK])
+
+
+class _Texts:
+    """The texts of a task's batches that may leak, each once: words, passages and keys."""
+
+    def __init__(self, filters: dict[int, Filter], least: float):
+        self.filters, self.least, self.seen = filters, least, set()
+
+    def passages(self, batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+        """For each stretch of a batch: (text_key, class, first word, words, places of seeds, seeds)."""
         for batch in (part for whole in batches for part in stretches(whole, 0)):
             texts = [v.as_py() or b"" for v in batch.column(0)]
             words, sizes = words_of(texts)
             rows, keys = [], {}
-            for kind, of in filters.value.items():
-                for text, first, passage, places, own in of.passages(words, sizes, least):
+            for kind, of in self.filters.items():
+                for text, first, passage, places, own in of.passages(words, sizes, self.least):
                     if text not in keys:
                         keys[text] = hashlib.md5(texts[text]).hexdigest()  # noqa: S324
-                    rows.append((keys[text], kind, first, passage.tobytes(), places, own.view(np.int64)))
-            kinds = [pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+                    rows.append((keys[text], kind, first, passage, places, own))
+            # a copy of a text that this task has had gives nothing new
+            yield list({r[:3]: r for r in rows if r[0] not in self.seen}.values())
+            self.seen = set(keys.values()) if len(self.seen) > 200_000 else self.seen | set(keys.values())
+
+
+def found_in_texts(docs: DataFrame, items: DataFrame, least: float = LEAST, seed_words: int = SEED_WORDS, common: int | None = COMMON) -> DataFrame:
+    """text_key (MD5), item_id, score, first_word, end_word: the items that align with a text, each at its best place; a written table."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    known = item_words(items, seed_words)
+    seeds = item_seeds(known, seed_words, common)
+    filters = filters_of(known, seeds, seed_words)
+    texts = docs.select(F.col("text").cast("binary").alias("text"))
+    schema = ", ".join(f"{n} {t or items.schema['item_id'].dataType.simpleString()}" for n, t in _LEAK)
+    if (known.agg(F.sum("n").alias("n")).first()["n"] or 0) <= INLINE_WORDS:
+        aligned = _aligned_inline(spark, texts, known, seeds, filters, least, schema)
+    else:
+        aligned = _aligned_by_joins(spark, texts, known, seeds, filters, least, schema)
+    best = aligned.groupBy("text_key", "item_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "first_word", "end_word")).alias("b"))
+    return written(spark, best.select("text_key", "item_id", (-F.col("b.s")).alias("score"), "b.first_word", "b.end_word"), "leaks")
+
+
+def _aligned_inline(spark: SparkSession, texts: DataFrame, known: DataFrame, seeds: DataFrame, filters: dict[int, Filter], least: float, schema: str) -> DataFrame:
+    items, places = known.select("class", "item", "item_id", "words").collect(), seeds.select("class", "seed", "item", "inside").collect()
+    kind = known.select("item_id").limit(0).toArrow().schema.field("item_id").type
+    index = {c: Index([r for r in items if r["class"] == c], [r for r in places if r["class"] == c]) for c in filters}
+    shared = spark.sparkContext.broadcast((filters, index))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filters_, index_ = shared.value
+        for passages in _Texts(filters_, least).passages(batches):
+            rows = []
+            for key, c, first, words, at, own in passages:
+                for item, begins in index_[c].candidates(at, own).items():
+                    item_id, item_words_ = index_[c].items[item]
+                    share, begin, end = best_alignment(words, item_words_, begins, least)
+                    if share >= least:
+                        rows.append((key, item_id, share, first + begin, first + end))
+            yield _leak_batch(rows, kind)
+
+    return texts.mapInArrow(find, schema)
+
+
+def _aligned_by_joins(spark: SparkSession, texts: DataFrame, known: DataFrame, seeds: DataFrame, filters: dict[int, Filter], least: float, schema: str) -> DataFrame:
+    shared = spark.sparkContext.broadcast(filters)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        for passages in _Texts(shared.value, least).passages(batches):
+            rows = [(key, c, first, words.tobytes(), at, own.view(np.int64)) for key, c, first, words, at, own in passages]
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)], ["text_key", "class", "first", "words", "places", "seeds"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in stretches(whole, 2)):
             rows = []
             for key, first, passage, begins, item_id, item in zip(*(batch.column(c).to_pylist() for c in ("text_key", "first", "words", "begins", "item_id", "item_words")), strict=True):
                 share, begin, end = best_alignment(np.frombuffer(passage, np.uint64), np.frombuffer(item, np.uint64), begins, least)
                 if share >= least:
                     rows.append((key, item_id, share, first + begin, first + end))
-            kinds = [pa.string(), batch.schema.field("item_id").type, pa.float64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)], ["text_key", "item_id", "score", "first_word", "end_word"])
+            yield _leak_batch(rows, batch.schema.field("item_id").type)
 
-    passages = written(spark, docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(find, "text_key string, class int, first bigint, words binary, places array<bigint>, seeds array<bigint>"), "passages")
+    passages = written(spark, texts.mapInArrow(find, "text_key string, class int, first bigint, words binary, places array<bigint>, seeds array<bigint>"), "passages")
     place = ["text_key", "class", "first"]
     # copies of a text have the same passages
     slim = passages.select(*place, "places", "seeds").dropDuplicates(place).select(*place, F.explode(F.arrays_zip("places", "seeds")).alias("s"))
@@ -315,10 +391,7 @@ def found_in_texts(docs: DataFrame, items: DataFrame, least: float = LEAST, seed
     once = passages.join(asked.select(*place).distinct(), place, "left_semi").select(*place, "words").dropDuplicates(place)
     own = known.select("item", "item_id", F.col("words").alias("item_words"))
     pairs = asked.join(once, place).join(_sized(own), "item").select("text_key", "first", "words", "begins", "item_id", "item_words")
-    kind = items.schema["item_id"].dataType.simpleString()
-    aligned = pairs.mapInArrow(compare, f"text_key string, item_id {kind}, score double, first_word bigint, end_word bigint")
-    best = aligned.groupBy("text_key", "item_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "first_word", "end_word")).alias("b"))
-    return written(spark, best.select("text_key", "item_id", (-F.col("b.s")).alias("score"), "b.first_word", "b.end_word"), "leaks")
+    return pairs.mapInArrow(compare, schema)
 
 
 def _text_key() -> F.Column:

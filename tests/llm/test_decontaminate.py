@@ -38,7 +38,9 @@ def test_recall_of_edited_copies(spark, share, seed_words, least):
     assert all(full_share(dict(texts)[i], items[j]) >= 0.5 for i, j in found)
 
 
-def test_the_query_equals_full_alignment(spark):
+@pytest.mark.parametrize("inline", [0, 1_000_000])
+def test_the_query_equals_full_alignment(spark, monkeypatch, inline):
+    monkeypatch.setattr(d, "INLINE_WORDS", inline)
     docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     items = {r["item_id"]: r["text"] for r in items_of(spark).collect()}
     bags = {i: set(d.words_of([t.encode()])[0].tolist()) for i, t in items.items()}
@@ -53,9 +55,10 @@ def test_the_query_equals_full_alignment(spark):
     assert want and found == pytest.approx(want)
 
 
-@pytest.mark.parametrize("most", [0, 500_000])
-def test_however_tables_are_joined(spark, monkeypatch, most):
+@pytest.mark.parametrize(("most", "inline"), [(0, 0), (500_000, 0), (0, 1_000_000), (500_000, 1_000_000)])
+def test_however_tables_are_joined(spark, monkeypatch, most, inline):
     monkeypatch.setattr(d, "BROADCAST_ROWS", most)
+    monkeypatch.setattr(d, "INLINE_WORDS", inline)
     items = spark.createDataFrame([(1, "one two three four five six"), (1, "one two three four five six"), (2, "tiny"), (None, "one two three"), (3, None), (4, " ,. ")], "item_id bigint, text string")
     docs = documents(spark, [*ODD, (50, "x one two THREE, four-five six y"), (50, "x one two THREE, four-five six y"), (None, "one two three four five six"), (51, "a tiny one")])
     rows = sorted((r["doc_id"] or -1, r["item_id"], round(r["score"], 9)) for r in d.leaks(docs, items).collect())
@@ -88,7 +91,9 @@ def test_long_texts_are_cut_between_words_of_any_kind():
         assert sizes.tolist() == [200_000, 0, 2] and len(np.unique(words)) == 200_002
 
 
-def test_items_of_all_lengths(spark):
+@pytest.mark.parametrize("inline", [0, 1_000_000])
+def test_items_of_all_lengths(spark, monkeypatch, inline):
+    monkeypatch.setattr(d, "INLINE_WORDS", inline)
     rng = np.random.default_rng(8)
     items = [(n, " ".join(f"v{x}" for x in rng.integers(0, 5000, n))) for n in (1, 2, 3, 5, 16, 17, 300, 4000)]
     docs = documents(spark, [(n, f"before {t} after") for n, t in items])
