@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,13 +30,80 @@ def cosine_distance(a: Column, b: Column, eps: float = 1e-9) -> Column:
     return F.when(n <= eps, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(2.0), 1 - dot(a, b) / n)))
 
 
-def distances(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """query_id, vec_id and distance of every query with every vector: queries are a stated, checked batch and are broadcast; lengths are worked out once a vector."""
-    q = queries.select("query_id", F.col("embedding").alias("q"), norm(F.col("embedding")).alias("qn"))
-    v = vectors.select("vec_id", "embedding", norm(F.col("embedding")).alias("vn"))
-    n = F.col("qn") * F.col("vn")
-    like = F.when(n <= 1e-9, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(2.0), 1 - dot(F.col("q"), F.col("embedding")) / n)))
-    return v.join(F.broadcast(q)).select("query_id", "vec_id", F.round(like, 6).alias("distance"))
+MOST_QUERIES, MOST_CENTROIDS = 10_000, 4096
+
+
+def _rows(column) -> np.ndarray:
+    """Vectors of an Arrow column as a matrix of doubles; shorter ones are filled up with zeros."""
+    column = column.combine_chunks() if hasattr(column, "combine_chunks") else column
+    if not len(column):
+        return np.zeros((0, 0))
+    sizes = np.diff(column.offsets.to_numpy())
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    if (sizes == sizes[0]).all():
+        return flat.reshape(len(column), -1)
+    out = np.zeros((len(column), sizes.max()))
+    out[np.arange(sizes.max()) < sizes[:, None]] = flat
+    return out
+
+
+def _collected(rows: DataFrame, key: str, most: int) -> tuple[list, np.ndarray]:
+    """Keys and vectors of a small table, smallest key first; more rows than `most` are refused, so that no table is broadcast unchecked."""
+    found = rows.where("embedding is not null").select(key, "embedding").orderBy(key).limit(most + 1).toArrow()
+    if found.num_rows > most:
+        raise ValueError(f"more than {most} rows of {key}; search in batches")
+    return found[key].to_pylist(), _rows(found["embedding"])
+
+
+def _distances(a: np.ndarray, b: np.ndarray, digits: int) -> np.ndarray:
+    """Cosine distances of all rows of a to all of b, over the shorter length; 1 where a length is next to nothing."""
+    n = min(a.shape[1], b.shape[1])
+    size = np.sqrt((a * a).sum(1))[:, None] * np.sqrt((b * b).sum(1))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        far = np.clip(1 - (a[:, :n] @ b[:, :n].T) / size, 0.0, 2.0)
+    return np.round(np.where(size <= 1e-9, 1.0, far), digits)
+
+
+class _Nearest:
+    """The k nearest of each query so far, ties to the smaller id."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.far, self.ids = k, [np.zeros(0)] * queries, [np.zeros(0, object)] * queries
+
+    def add(self, far: np.ndarray, ids: np.ndarray, open_: np.ndarray | None = None) -> None:
+        for i, row in enumerate(far):
+            there = np.ones(len(row), bool) if open_ is None else open_[i]
+            if there.sum() > self.k:
+                edge = np.partition(row[there], self.k - 1)[self.k - 1]
+                there = there & (row <= edge)
+            at = np.flatnonzero(there)
+            both, names = np.concatenate((self.far[i], row[at])), np.concatenate((self.ids[i], ids[at]))
+            order = np.array(sorted(range(len(both)), key=lambda j: (both[j], names[j]))[: self.k], np.int64)
+            self.far[i], self.ids[i] = both[order], names[order]
+
+
+def _searched(vectors: DataFrame, names: list, asked: np.ndarray, k: int, query_type: str, part: Column | None = None, probed: np.ndarray | None = None) -> DataFrame:
+    """query_id, part, vec_id and distance: the k nearest within each task (and part). Vectors meet the queries in Arrow batches, as one product of matrices; no pair leaves a task but these.
+
+    probed[i, p] tells whether query i looks at part p.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, _Nearest] = {}
+        kind = None
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            ids, parts = np.array(batch.column(0).to_pylist(), object), batch.column(2).to_numpy()
+            far = _distances(asked, _rows(batch.column(1)), 6) if len(ids) and len(names) else np.zeros((len(names), 0))
+            for p in np.unique(parts) if probed is None else [-1]:
+                mine = parts == p if probed is None else slice(None)
+                held.setdefault(int(p), _Nearest(len(names), k)).add(far[:, mine], ids[mine], None if probed is None else probed[:, parts])
+        for p, best in held.items():
+            n = [len(x) for x in best.far]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(names, object), n).tolist()), pa.array([p] * sum(n), pa.int32()), pa.array(np.concatenate(best.ids).tolist(), kind), pa.array(np.concatenate(best.far))], ["query_id", "part", "vec_id", "distance"]) if sum(n) else pa.RecordBatch.from_arrays([pa.array([], pa.int64() if query_type == "bigint" else pa.string()), pa.array([], pa.int32()), pa.array([], kind), pa.array([], pa.float64())], ["query_id", "part", "vec_id", "distance"])
+
+    rows = vectors.where("embedding is not null").select("vec_id", "embedding", (F.lit(0) if part is None else part).cast("int").alias("part"))
+    return rows.mapInArrow(run, f"query_id {query_type}, part int, vec_id {vectors.schema['vec_id'].dataType.simpleString()}, distance double")
 
 
 def nearest(pairs: DataFrame, k: int, by: str = "query_id") -> DataFrame:
@@ -41,8 +112,27 @@ def nearest(pairs: DataFrame, k: int, by: str = "query_id") -> DataFrame:
 
 
 def exact(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """The k nearest of each query, ties to the smaller id."""
-    return nearest(distances(queries, vectors), k)
+    """query_id, vec_id, distance and rank: the k nearest of each query, of which there are MOST_QUERIES at most, ties to the smaller id."""
+    names, asked = _collected(queries, "query_id", MOST_QUERIES)
+    found = _searched(vectors, names, asked, k, queries.schema["query_id"].dataType.simpleString())
+    return nearest(found.select("query_id", "vec_id", "distance"), k)
+
+
+def distances(queries: DataFrame, vectors: DataFrame) -> DataFrame:
+    """query_id, vec_id and distance of each of a batch of queries, MOST_QUERIES at most, with every vector; for reports over all pairs."""
+    names, asked = _collected(queries, "query_id", MOST_QUERIES)
+    kind = queries.schema["query_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                far = _distances(asked, _rows(part.column(1)), 6) if len(names) else np.zeros((0, part.num_rows))
+                which = pa.array(np.tile(np.arange(part.num_rows), len(names)), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(names, object), part.num_rows).tolist(), pa.int64() if kind == "bigint" else None), part.column(0).take(which), pa.array(far.ravel())], ["query_id", "vec_id", "distance"])
+
+    rows = vectors.where("embedding is not null").select("vec_id", "embedding")
+    return rows.mapInArrow(run, f"query_id {kind}, vec_id {vectors.schema['vec_id'].dataType.simpleString()}, distance double")
 
 
 def to_documents(matches: DataFrame, owners: DataFrame, limit: int) -> DataFrame:
@@ -67,9 +157,10 @@ def shard_of(key: Column, shards: int) -> Column:
 def fanout(queries: DataFrame, vectors: DataFrame, shards: int, limit: int) -> DataFrame:
     """The nearest of each shard, then of all: shards keep max(4, ceil(3 limit / shards)) each."""
     keep = max(4, -(-3 * limit // shards))
-    pairs = distances(queries, vectors).withColumn("shard", shard_of(F.col("vec_id").cast("string"), shards))
-    own = Window.partitionBy("query_id", "shard").orderBy("distance", "vec_id")
-    some = pairs.withColumn("_r", F.row_number().over(own)).where(F.col("_r") <= keep).drop("_r", "shard")
+    names, asked = _collected(queries, "query_id", MOST_QUERIES)
+    found = _searched(vectors, names, asked, keep, queries.schema["query_id"].dataType.simpleString(), shard_of(F.col("vec_id").cast("string"), shards))
+    own = Window.partitionBy("query_id", "part").orderBy("distance", "vec_id")
+    some = found.withColumn("_r", F.row_number().over(own)).where(F.col("_r") <= keep).drop("_r", "part")
     return nearest(some, limit)
 
 
@@ -86,38 +177,69 @@ def ivf_seeds(vectors: DataFrame, centroids: int = 64) -> DataFrame:
     return ranked.withColumn("centroid_id", i).where((i < k) & (F.floor(i * F.col("_all") / k) == F.col("_at"))).select("centroid_id", "embedding")
 
 
-def assigned(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
-    """vec_id, embedding and centroid_id, the nearest centroid; there are 64 centroids at most, so they are broadcast."""
-    c = F.broadcast(centroids.select("centroid_id", F.col("embedding").alias("c")))
-    pairs = vectors.select("vec_id", "embedding").join(c).select("vec_id", "embedding", F.struct(F.round(cosine_distance(F.col("embedding"), F.col("c")), 9).alias("d"), "centroid_id").alias("b"))
-    return pairs.groupBy("vec_id").agg(F.min("b").alias("b"), F.first("embedding").alias("embedding")).select("vec_id", "embedding", F.col("b.centroid_id").alias("centroid_id"))
+def assigned(vectors: DataFrame, ids: list, centres: np.ndarray) -> DataFrame:
+    """vec_id, embedding and centroid_id, the nearest centroid, the smaller id at a tie; narrow, a product of matrices a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            best = _distances(_rows(batch.column(1)), centres, 9).argmin(1) if batch.num_rows else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(ids, np.int64)[best], pa.int64())], ["vec_id", "embedding", "centroid_id"])
+
+    rows = vectors.where("embedding is not null").select("vec_id", "embedding")
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in rows.columns)
+    return rows.mapInArrow(run, f"{kinds}, centroid_id bigint")
+
+
+def recentred(vectors: DataFrame, ids: list, centres: np.ndarray) -> np.ndarray:
+    """Means of the members; a centroid without members stays. A task gives one sum a centroid."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, n = np.zeros_like(centres), np.zeros(len(ids), np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                x = _rows(batch.column(0))
+                best = _distances(x, centres, 9).argmin(1)
+                np.add.at(sums, best, x)
+                n += np.bincount(best, minlength=len(ids))
+        there = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array(n[there], pa.int64()), pa.array(list(sums[there]), pa.list_(pa.float64()))], ["at", "n", "sums"])
 
-def recentred(assignments: DataFrame, centroids: DataFrame) -> DataFrame:
-    """Means of the members; a centroid without members stays."""
-    parts = assignments.select("centroid_id", F.posexplode("embedding").alias("i", "x")).groupBy("centroid_id", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    means = parts.groupBy("centroid_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("mean"))
-    return centroids.join(means, "centroid_id", "left").select("centroid_id", F.coalesce("mean", F.transform("embedding", lambda x: x.cast("double"))).alias("embedding"))
+    parts = vectors.where("embedding is not null").select("embedding").mapInArrow(run, "at bigint, n bigint, sums array<double>")
+    out, count = np.zeros_like(centres), np.zeros(len(ids))
+    for row in parts.toLocalIterator():
+        out[row["at"]] += row["sums"]
+        count[row["at"]] += row["n"]
+    return np.where(count[:, None] > 0, out / np.maximum(count, 1)[:, None], centres)
 
 
 def ivf_build(vectors: DataFrame, centroids: int = 64, passes: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(centroids, assignments); the assignments are those made before the last update."""
-    centres = ivf_seeds(vectors, centroids)
-    held = None
-    for _ in range(passes):
-        held = assigned(vectors, centres)
-        centres = recentred(held, centres)
-    return centres, held.select("vec_id", "centroid_id")
-
-
-def ivf_search(queries: DataFrame, vectors: DataFrame, centroids: DataFrame, assignments: DataFrame, k: int, probes: int = 4) -> DataFrame:
-    """The k nearest among the vectors of the `probes` nearest centroids; assignments are joined before any vector is read for a query."""
-    c = F.broadcast(centroids.select("centroid_id", F.col("embedding").alias("c")))
-    near = queries.select("query_id", F.col("embedding").alias("q")).join(c).withColumn("d", F.round(cosine_distance(F.col("q"), F.col("c")), 9))
-    order = Window.partitionBy("query_id").orderBy("d", "centroid_id")
-    probed = near.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= probes).select("query_id", "q", "centroid_id")
-    pairs = assignments.join(vectors, "vec_id").join(F.broadcast(probed), "centroid_id")
-    return nearest(pairs.select("query_id", "vec_id", F.round(cosine_distance(F.col("q"), F.col("embedding")), 6).alias("distance")), k)
+    """(centroids, members): members (vec_id, embedding, centroid_id) are those of before the last update. Centroids, MOST_CENTROIDS at most, are worked out on the driver from a sum a task."""
+    if centroids > MOST_CENTROIDS:
+        raise ValueError(f"more than {MOST_CENTROIDS} centroids")
+    spark = vectors.sparkSession
+    ids, centres = _collected(ivf_seeds(vectors, centroids), "centroid_id", MOST_CENTROIDS)
+    held = vectors.where("false").select("vec_id", "embedding", F.lit(0).cast("bigint").alias("centroid_id"))
+    for _ in range(passes if ids else 0):
+        held = assigned(vectors, ids, centres)
+        centres = recentred(vectors, ids, centres)
+    return spark.createDataFrame([(i, c.tolist()) for i, c in zip(ids, centres, strict=True)], "centroid_id bigint, embedding array<double>"), held
+
+
+def ivf_search(queries: DataFrame, members: DataFrame, centroids: DataFrame, k: int, probes: int = 4) -> DataFrame:
+    """The k nearest among the members (vec_id, embedding, centroid_id) of the `probes` nearest centroids of each query.
+
+    The centroids that any query probes are known before members are read: a table in folders by centroid_id
+    is read in these folders alone.
+    """
+    names, asked = _collected(queries, "query_id", MOST_QUERIES)
+    ids, centres = _collected(centroids, "centroid_id", MOST_CENTROIDS)
+    probed = np.zeros((len(names), max(ids, default=0) + 1), bool)
+    if names and ids:
+        order = np.lexsort((np.tile(ids, (len(names), 1)), _distances(asked, centres, 9)), axis=1)[:, :probes]
+        np.put_along_axis(probed, np.array(ids)[order], True, axis=1)
+    wanted = members.where(F.col("centroid_id").isin(np.flatnonzero(probed.any(0)).tolist()))
+    found = _searched(wanted, names, asked, k, queries.schema["query_id"].dataType.simpleString(), F.col("centroid_id"), probed)
+    return nearest(found.select("query_id", "vec_id", "distance"), k)
 
 
 def recall(found: DataFrame, truth: DataFrame) -> DataFrame:

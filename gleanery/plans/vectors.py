@@ -113,19 +113,20 @@ IVF = f"{SEEDS}, {_assign_sql('a1', 'c0')}, {_mean_sql('c1', 'a1', 'c0')}, {_ass
 
 @query("ivf_build", f"WITH {IVF} SELECT vec_id, centroid_id FROM a2")
 def ivf_build(spark, sf):
-    return ops.ivf_build(vectors(spark, sf))[1]
+    return ops.ivf_build(vectors(spark, sf))[1].select("vec_id", "centroid_id")
 
 
 @query("ivf_search", f"WITH {Q}, {IVF}, pr AS (SELECT query_id, q, centroid_id FROM q, c2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round({COS.format(a='q', b='c')}, 9), centroid_id) <= 4), p AS (SELECT query_id, vec_id, round({COS.format(a='q', b='e')}, 6) AS distance FROM pr JOIN a2 USING (centroid_id)), {TOP.format('t', 'p', 10)} SELECT * FROM t")
 def ivf_search(spark, sf):
-    v = vectors(spark, sf)
-    return ops.ivf_search(_queries(spark, sf), v, *ops.ivf_build(v), 10)
+    centres, members = ops.ivf_build(vectors(spark, sf))
+    return ops.ivf_search(_queries(spark, sf), members, centres, 10)
 
 
-@query("ivf_recall")
+@query("ivf_recall", f"WITH {Q}, {D}, {TOP.format('t', 'd', 10)}, {IVF}, pr AS (SELECT query_id, q, centroid_id FROM q, c2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round({COS.format(a='q', b='c')}, 9), centroid_id) <= 4), p AS (SELECT query_id, vec_id, round({COS.format(a='q', b='e')}, 6) AS distance FROM pr JOIN a2 USING (centroid_id)), {TOP.format('f', 'p', 10)} SELECT count(f.vec_id)::DOUBLE / count(*) AS recall FROM t LEFT JOIN f USING (query_id, vec_id)")
 def ivf_recall(spark, sf):
     v, q = vectors(spark, sf), _queries(spark, sf)
-    return ops.recall(ops.ivf_search(q, v, *ops.ivf_build(v), 10), ops.exact(q, v, 10))
+    centres, members = ops.ivf_build(v)
+    return ops.recall(ops.ivf_search(q, members, centres, 10), ops.exact(q, v, 10))
 
 
 SHARDED = "s AS (SELECT vec_id, label, ('0x' || substr(sha256(vec_id::VARCHAR), 1, 8))::BIGINT % 8 AS shard FROM embeddings)"
@@ -160,7 +161,8 @@ def shard_queue(spark, sf):
 
 @query("limit_topk", f"WITH {Q}, {D} SELECT vec_id, min(distance) AS distance FROM d GROUP BY vec_id ORDER BY distance, vec_id LIMIT 25")
 def limit_topk(spark, sf):
-    return ops.distances(_queries(spark, sf), vectors(spark, sf)).groupBy("vec_id").agg(F.min("distance").alias("distance")).orderBy("distance", "vec_id").limit(25)
+    near = ops.exact(_queries(spark, sf), vectors(spark, sf), 25)
+    return near.groupBy("vec_id").agg(F.min("distance").alias("distance")).orderBy("distance", "vec_id").limit(25)
 
 
 @query("sort_multi", "SELECT vec_id, label, row_number() OVER (ORDER BY label DESC, vec_id) AS place FROM embeddings QUALIFY place <= 50")
