@@ -7,7 +7,7 @@ depends on the two tokens alone and is memoised; each end position is rejected o
 work is linear in the piece.
 
 Nulls count as empty texts; an empty text has no ids and the digests of empty strings; repeated rows
-give repeated results; null ids pass through.  Texts are never cut; memory is one text and bounded
+give repeated results; null ids pass through; an empty table gives an empty one.  Texts are never cut; memory is one text and bounded
 caches.
 """
 
@@ -22,10 +22,11 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gleanery.llm.common import stretches, table, unlike
+from gleanery.llm.common import bounded_batches, stretches, table, unlike
 
-_CHUNKS, _WORDS, _PAIRS = 200_000, 100_000, 400_000
+_CHUNKS, _WORDS, _PAIRS = 200_000, 200_000, 400_000
 _TWO_SPACES = re.compile(r"\s\s")
 
 
@@ -64,12 +65,14 @@ class Bpe:
             if parts is not None:  # tokens that merging can't reach never stand inside a piece
                 self.parts[rank] = parts
                 self.size[rank] = len(token)
-                self.scan.add_word(token.decode("latin-1"), rank)
+                if len(token) > 1:
+                    self.scan.add_word(token.decode("latin-1"), rank)
         self.scan.make_automaton()
+        self.single = [self.ranks.get(bytes([b]), -1) for b in range(256)]
         self._fits: dict[int, bool] = {}
         self._shorter: dict[int, int] = {}
         self._words = _Memo(_WORDS, lambda piece: " ".join(map(str, self.encode_piece(piece.encode()))))
-        self._chunks = _Memo(_CHUNKS, lambda chunk: " ".join(map(self._words.__getitem__, self.pieces.findall(chunk))))
+        self._chunks = _Memo(_CHUNKS, lambda chunk: self._ids(f" {chunk}"))
 
     def merged(self, token: bytes, stop: int) -> tuple[int, int] | None:
         """The two parts that the last merge of the token's own bytes joins, (-1, -1) for a single byte; None if merging doesn't reach the token."""
@@ -124,7 +127,7 @@ class Bpe:
         if rank is not None:
             return [rank]
         size, lengths = len(data), self.size
-        longest = [-1] * size
+        longest = list(map(self.single.__getitem__, data))  # single bytes, unless more begins there
         for end, token in self.scan.iter(data.decode("latin-1")):  # of one start, longer matches end later
             longest[end - lengths[token] + 1] = token
         open_end = bytearray(b"\x01") * (size + 1)
@@ -163,11 +166,13 @@ class Bpe:
         if not text:
             return ""
         if text[0].isspace() or text[-1].isspace() or _TWO_SPACES.search(text):
-            return " ".join(map(self._words.__getitem__, self.pieces.findall(text)))
+            return self._ids(text)
         # a lone space between two other characters always starts a match of the pattern
         first, *rest = text.split(" ")
-        known = self._chunks.__getitem__
-        return " ".join([known(first), *map(known, [f" {x}" for x in rest])])
+        return " ".join([self._ids(first), *map(self._chunks.__getitem__, rest)])
+
+    def _ids(self, text: str) -> str:
+        return " ".join(map(self._words.__getitem__, self.pieces.findall(text)))
 
     def decode_text(self, ids: str) -> bytes:
         return b"".join(map(self.by_text.__getitem__, ids.split(" "))) if ids else b""
@@ -186,10 +191,11 @@ def vocabulary(name: str = "byte_bpe_50k.tiktoken") -> tuple[str, str]:
 
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
-    """keep, n_tokens, ids_sha256, decoded_sha256 and, with_ids, the ids themselves; one row in, one row out, no shuffle."""
-    fields = [df.schema[c] for c in keep]
-    more = ["n_tokens bigint", "ids_sha256 string", "decoded_sha256 string"] + ["ids array<int>"] * with_ids
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + more)
+    """keep, n_tokens, ids_sha256, decoded_sha256 and, with_ids, the ids themselves, in place of kept columns of these names; one row in, one row out, no shuffle."""
+    bounded_batches(df.sparkSession)
+    keep = tuple(c for c in keep if c not in ("n_tokens", "ids_sha256", "decoded_sha256", "ids"))
+    made = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    schema = T.StructType([df.schema[c] for c in keep] + made + [T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path, pattern)
@@ -214,5 +220,6 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", keep: tup
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and digests of ids and decoded bytes of every document; null texts count as empty."""
     path, pattern = vocabulary()
     return encode(table(spark, sf_dir, "documents"), path, pattern)

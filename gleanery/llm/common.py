@@ -32,6 +32,20 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+ARROW_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the bytes of an Arrow batch to ARROW_BYTES where the session allows more (64 MB by default).
+
+    Plans read this when they run, so it can't be put back before a result that is returned unrun; it is the one
+    setting that the operators touch, it is only ever lowered, to the same value, and changes no result.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key, "67108864").rstrip("b")) > ARROW_BYTES:
+        spark.conf.set(key, str(ARROW_BYTES))
+
+
 def stretches(batch, column: int, most: int = 4 << 20):
     """An Arrow batch in parts whose values in `column` hold about `most` bytes each, so that a worker's copies of texts stay bounded whatever the session's batch size."""
     n, at = batch.num_rows, 0
@@ -58,6 +72,7 @@ def scored(docs: DataFrame, scorer, text: str, keep: tuple[str, ...]) -> DataFra
     import pyarrow as pa
     from pyspark.sql import types as T
 
+    bounded_batches(docs.sparkSession)
     keep = tuple(c for c in keep if c != "score")
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("score", T.DoubleType())])
 

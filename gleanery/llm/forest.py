@@ -204,6 +204,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, trees: int = TRE
     first, blocks = routes(sizes, forest.firsts, BLOCK_ROWS)
     most = calibrated(index, forest, sizes, k, target=target)
     vector = index.schema["embedding"].dataType.simpleString()
+    kind = np.float32 if vector == "array<float>" else np.float64
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,20 +233,20 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, trees: int = TRE
 
     def pack(key: tuple, rows: pa.Table) -> pa.Table:
         """A block in one row: leaves, heads and vectors as bytes."""
-        parts = [rows["leaf"].to_numpy().tobytes(), rows["head"].to_numpy().tobytes(), _matrix(rows["embedding"]).tobytes()]
-        return pa.table({"block": [key[0].as_py()], **{n: pa.array([p], pa.large_binary()).cast(pa.binary()) for n, p in zip(("leaf", "head", "data"), parts, strict=True)}})
+        parts = [rows["leaf"].to_numpy().tobytes(), rows["head"].to_numpy().tobytes(), _matrix(rows["embedding"]).astype(kind).tobytes()]
+        return pa.table({"block": [key[0].as_py()], **{n: pa.array([p], pa.binary()) for n, p in zip(("leaf", "head", "data"), parts, strict=True)}})
 
     def gather(key: tuple, rows: pa.Table) -> pa.Table:
         """A group of queries of a block in one row."""
         lists = rows["leaves"].to_pylist()
-        parts = [rows["asked"].to_numpy().tobytes(), _matrix(rows["embedding"]).tobytes(), np.repeat(np.arange(len(lists)), list(map(len, lists))).tobytes(), np.concatenate(lists).astype(np.int64).tobytes()]
+        parts = [rows["asked"].to_numpy().tobytes(), _matrix(rows["embedding"]).astype(kind).tobytes(), np.repeat(np.arange(len(lists)), list(map(len, lists))).tobytes(), np.concatenate(lists).astype(np.int64).tobytes()]
         return pa.table({"block": [key[0].as_py()], **{n: pa.array([p], pa.binary()) for n, p in zip(("asked", "questions", "who", "wanted"), parts, strict=True)}})
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                leaf, head, data, asked_, questions, who, wanted = (np.frombuffer(batch.column(n)[row].as_py(), d) for n, d in (("leaf", np.int64), ("head", np.int64), ("data", np.float64), ("asked", np.int64), ("questions", np.float64), ("who", np.int64), ("wanted", np.int64)))
-                data, questions = data.reshape(len(leaf), -1), questions.reshape(len(asked_), -1)
+                leaf, head, data, asked_, questions, who, wanted = (np.frombuffer(batch.column(n)[row].as_py(), d) for n, d in (("leaf", np.int64), ("head", np.int64), ("data", kind), ("asked", np.int64), ("questions", kind), ("who", np.int64), ("wanted", np.int64)))
+                data, questions = data.reshape(len(leaf), -1).astype(np.float64), questions.reshape(len(asked_), -1).astype(np.float64)
                 names, own = np.unique(leaf, return_inverse=True)
                 open_ = np.zeros((len(asked_), len(names)), bool)
                 there = np.minimum(np.searchsorted(names, wanted), len(names) - 1)

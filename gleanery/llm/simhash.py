@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import stretches, table, unlike, written
+from gleanery.llm.common import bounded_batches, stretches, table, unlike, written
 
 BITS, WORDS, SEED, BLOCK, SETS, BROADCAST_IDS = 3, 3, 42, 2048, 8, 2_000_000
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -66,6 +66,7 @@ def fingerprint(data: bytes) -> int:
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id and fingerprint (the 64 bits as a signed number); no shuffle."""
+    bounded_batches(docs.sparkSession)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in stretches(whole, 1)):

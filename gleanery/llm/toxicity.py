@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import best_cut, held_out, labelled_sample, scored, stretches, table
+from gleanery.llm.common import best_cut, bounded_batches, held_out, labelled_sample, scored, stretches, table
 
 BITS, HALF, WIDTHS, FILTERS = 15, 8, (1, 2, 3), 12
 POSITIVES, NEGATIVES, LONGEST, TOTAL = 2500, 3500, 60_000, 30_000_000
@@ -249,6 +249,7 @@ def score(docs: DataFrame, model, text: str = "text", keep: tuple[str, ...] = ("
 
 def clean(docs: DataFrame, model, limit: float = 0.5, text: str = "text") -> DataFrame:
     """The rows of docs that score under the limit, whatever other columns they have; no shuffle."""
+    bounded_batches(docs.sparkSession)
     at = docs.columns.index(text)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

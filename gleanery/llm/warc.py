@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import shared_dir, table, written
+from gleanery.llm.common import bounded_batches, shared_dir, table, written
 
 # Fixed values of the formats.
 EOCD, EOCD64, LOCATOR64, CENTRAL, LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
@@ -224,6 +224,7 @@ def with_references(pages: DataFrame, dedup_from: int = 0) -> DataFrame:
 
 def write_packages(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, date: str | None = None) -> DataFrame:
     """Write rows of with_references() to ZIP packages, dated now or as said; one row per package: uri, n_records. Run it once (see written())."""
+    bounded_batches(pages.sparkSession)
     date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     stamp = "".join(c for c in date if c.isdigit())[:14]
 
