@@ -94,7 +94,7 @@ def _searched(vectors: DataFrame, names: list, asked: np.ndarray, k: int, query_
         for batch in batches:
             kind = batch.schema.field(0).type
             ids, parts = np.array(batch.column(0).to_pylist(), object), batch.column(2).to_numpy()
-            far = _distances(asked, _rows(batch.column(1)), 6) if len(ids) and len(names) else np.zeros((len(names), 0))
+            far = _distances(asked, _rows(batch.column(1)), 6) if len(ids) and len(names) else np.zeros((len(names), len(ids)))
             for p in np.unique(parts) if probed is None else [-1]:
                 mine = parts == p if probed is None else slice(None)
                 held.setdefault(int(p), _Nearest(len(names), k)).add(far[:, mine], ids[mine], None if probed is None else probed[:, parts])

@@ -1,77 +1,24 @@
-"""Retrieval from end to end over a batch of queries: lexical and vector lists, fusion, chunks, rerank, blend."""
+"""Queries of retrieval from end to end, over the corpus and its links, with the deterministic provider."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.functions import text as tx
-from gleanery.functions.providers import hash_embedding
-from gleanery.operators import chunking, fusion, lexical, vectors
-from gleanery.plans.catalog import docs, query, table
-
-
-def embedded(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """key and embedding by the default provider, in Arrow batches."""
-    import pandas as pd
-
-    def run(batches):
-        for b in batches:
-            yield pd.DataFrame({key: b[key], "embedding": list(hash_embedding(list(b[text].fillna(""))))})
-
-    return rows.select(key, text).mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, embedding array<double>")
-
-
-def chunk_vectors(corpus: DataFrame) -> DataFrame:
-    """vec_id (hash_seq) and embedding of every chunk of every content of active documents; equal contents are embedded once."""
-    contents = corpus.where("active and hash is not null").select("hash", "body").dropDuplicates(["hash"])
-    parts = chunking.chunks(contents, "hash", "body")
-    return embedded(parts.select(F.concat_ws("_", "hash", "seq").alias("vec_id"), "text"), "vec_id", "text")
-
-
-def lists(queries: DataFrame, corpus: DataFrame, limit: int = 20) -> DataFrame:
-    """query_id, list_idx, file, rank and score: list 0 by words, list 1 by vectors."""
-    columns = {"filepath": F.concat_ws("/", "collection", "path"), "title": tx.stem_of(F.col("path")), "body": F.col("body")}
-    posts, stats = lexical.index(corpus, columns)
-    files = corpus.where("active").select("doc_id", F.col("path").alias("file"))
-    lex = lexical.search(lexical.parse(queries), posts, stats, limit=limit).join(files, "doc_id").select("query_id", F.lit(0).alias("list_idx"), "file", "rank", "score")
-    near = vectors.exact(embedded(queries, "query_id", "text"), chunk_vectors(corpus), 3 * limit)
-    owners = corpus.where("active").select(F.col("hash").alias("vec_id"), F.col("path").alias("file"))
-    contents = near.withColumn("vec_id", F.substring_index("vec_id", "_", 1))
-    vec = vectors.to_documents(contents, owners, limit).select("query_id", F.lit(1).alias("list_idx"), "file", "rank", "score")
-    return lex.unionByName(vec)
-
-
-def hybrid(queries: DataFrame, corpus: DataFrame, candidates: int = 40, least: float = 0.0, limit: int = 10, doubled: int = 2) -> DataFrame:
-    """query_id, file, score and place, from ranked lists through fusion, best chunks, rerank and blend."""
-    found = lists(queries, corpus)
-    # a few dozen rows a query, read by three branches below
-    found = found.persist()
-    fused = fusion.top(fusion.rrf(found, fusion.list_weights(found, doubled)), candidates)
-    files = corpus.join(fused.select(F.col("file").alias("path")).distinct(), "path", "left_semi")
-    parts = chunking.chunks(files.select(F.col("path").alias("file"), "body"), "file", "body")
-    best = fusion.best_chunk(fused, parts, queries).select("query_id", "file", F.col("text").alias("chunk"))
-    pairs = best.join(queries.select("query_id", F.col("text").alias("query")), "query_id")
-    scored = fusion.rerank(pairs).select("query_id", "file", "rerank")
-    blended = fused.join(scored, ["query_id", "file"]).withColumn("score", F.round(fusion.blend(F.col("rank"), F.col("rerank")), 6))
-    return fusion.final(blended.select("query_id", "file", "score"), least, limit)
-
-
-def _queries(spark, sf):
-    b = table(spark, sf, "benchmark")
-    return b.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(tx.tokens(F.col("text")), 1, 4), " ").alias("text"))
+from gleanery.functions.providers import Deterministic
+from gleanery.operators import chunking, retrieval
+from gleanery.plans.catalog import docs, edges, query
+from gleanery.plans.lexical import asked
 
 
 @query("hybrid_search")
 def hybrid_search(spark, sf):
-    return hybrid(_queries(spark, sf), docs(spark, sf))
+    return retrieval.hybrid(asked(spark, sf, 4), retrieval.Corpus(docs(spark, sf)), edges(spark, sf))
 
 
 @query("structured_search")
 def structured_search(spark, sf):
-    q = _queries(spark, sf).withColumn("text", F.concat(F.lit("lex: "), "text", F.lit("\nvec: "), "text"))
-    parsed = fusion.structured(q).where("type = 'lex'").select("query_id", "text")
-    return hybrid(parsed, docs(spark, sf), doubled=1)
+    lines = F.concat(F.lit("lex: "), "text", F.lit("\nvec: "), "text", F.lit("\nhyde: Information about "), "text", F.lit("\nnothing"))
+    return retrieval.structured(asked(spark, sf, 4).withColumn("text", lines), retrieval.Corpus(docs(spark, sf)))
 
 
 @query("chunk_chars")
@@ -86,5 +33,5 @@ def chunk_tokens(spark, sf):
 
 @query("embed_batch")
 def embed_batch(spark, sf):
-    v = chunk_vectors(docs(spark, sf))
+    v = retrieval.chunk_vectors(docs(spark, sf), Deterministic())
     return v.select(F.substring_index("vec_id", "_", 1).alias("hash"), F.substring_index("vec_id", "_", -1).cast("int").alias("seq"), F.round(F.col("embedding")[0], 6).alias("first"))
