@@ -166,11 +166,6 @@ def inactive_delete(spark, sf):
     return docs(spark, sf).where("active").select("doc_id", "path")
 
 
-@query("coll_remove", f"{W} SELECT DISTINCT hash FROM docs WHERE collection <> 'src3'")
-def coll_remove(spark, sf):
-    return docs(spark, sf).where("collection <> 'src3'").select("hash").distinct()
-
-
 @query("coll_rename", f"{W} SELECT doc_id, CASE collection WHEN 'src3' THEN 'renamed' ELSE collection END AS collection FROM docs")
 def coll_rename(spark, sf):
     return ops.renamed(docs(spark, sf), "src3", "renamed").select("doc_id", "collection")

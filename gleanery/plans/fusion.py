@@ -226,11 +226,6 @@ def cache_key(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", F.sha2(F.concat(F.lit("rerank"), F.to_json(F.struct(F.col("conv_id").cast("string").alias("chunk"), F.col("role").alias("query")))), 256).alias("key"))
 
 
-@query("cache_evict", "SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 1000")
-def cache_evict(spark, sf):
-    return table(spark, sf, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(1000).select("event_id")
-
-
 @query("stable_hash", """SELECT conv_id, turn, sha256('{"role":"' || role || '","turn":' || turn || '}') AS key FROM conversations""")
 def stable_hash(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", F.sha2(F.to_json(F.struct("role", "turn")), 256).alias("key"))

@@ -89,12 +89,6 @@ def agg_metrics_hist(spark, sf):
     return ops.histogram(table(spark, sf, "events"), "event_type", "value", (1.0, 10.0, 100.0))
 
 
-@query("sink_prometheus", "SELECT 'events_total{type=\"' || event_type || '\"} ' || count(*) AS line FROM events GROUP BY event_type")
-def sink_prometheus(spark, sf):
-    n = table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"))
-    return n.select(F.concat(F.lit('events_total{type="'), "event_type", F.lit('"} '), F.col("n").cast("string")).alias("line"))
-
-
 @query("agg_percentile", "SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY event_type")
 def agg_percentile(spark, sf):
     return table(spark, sf, "events").groupBy("event_type").agg(*[F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY value)").alias(f"p{int(p * 100)}") for p in (0.5, 0.95, 0.99)])
@@ -117,25 +111,6 @@ def arch_communities(spark, sf):
     return table(spark, sf, "embeddings").groupBy(F.col("label").alias("community")).agg(F.count("*").alias("size"), F.count_distinct(F.col("vec_id") % 7).alias("sources"))
 
 
-@query("rbac_filter", "SELECT doc_id FROM documents WHERE source IN ('src1', 'src2') OR lang = 'fr'")
-def rbac_filter(spark, sf):
-    grants = spark.createDataFrame([("reader", ["src1", "src2"])], "role string, collections array<string>")
-    d = table(spark, sf, "documents")
-    return d.join(F.broadcast(grants), F.array_contains("collections", F.col("source")) | (F.col("lang") == "fr"), "left_semi").select("doc_id")
-
-
-@query("tool_policy", "SELECT event_id, event_type IN ('click', 'view') AND event_type <> 'view' AS allowed FROM events")
-def tool_policy(spark, sf):
-    enabled, disabled = F.array(F.lit("click"), F.lit("view")), F.array(F.lit("view"))
-    return table(spark, sf, "events").select("event_id", (F.array_contains(enabled, F.col("event_type")) & ~F.array_contains(disabled, F.col("event_type"))).alias("allowed"))
-
-
-@query("op_status", "SELECT user_id, array_to_string(list_filter([CASE WHEN count(*) FILTER (event_type = 'error') > 5 THEN 'errors' END, CASE WHEN max(value) > 300 THEN 'slow' END, CASE WHEN count(*) < 50 THEN 'idle' END], lambda x: x IS NOT NULL), ',') AS warnings FROM events GROUP BY user_id")
-def op_status(spark, sf):
-    w = F.array_compact(F.array(F.when(F.count_if(F.col("event_type") == "error") > 5, "errors"), F.when(F.max("value") > 300, "slow"), F.when(F.count("*") < 50, "idle")))
-    return table(spark, sf, "events").groupBy("user_id").agg(F.array_join(w, ",").alias("warnings"))
-
-
 @query("trust_check", "SELECT doc_id FROM documents WHERE sha256(source || '|' || lang || '|update') NOT IN (SELECT sha256(source || '|' || lang || '|update') FROM documents JOIN labels USING (doc_id) WHERE quality = 1)")
 def trust_check(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.sha2(F.concat_ws("|", "source", "lang", F.lit("update")), 256).alias("h"))

@@ -139,11 +139,6 @@ def mem_evict(spark, sf):
     return ops.evict(_mem(spark, sf), limits, 10).select("id")
 
 
-@query("mem_feedback", "SELECT conv_id, turn, sha256(lower(trim(text))) AS query_hash FROM conversations")
-def mem_feedback(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", F.sha2(F.lower(F.trim("text")), 256).alias("query_hash"))
-
-
 @query("mem_prefetch", f"WITH {MEM}, t AS (SELECT scope, id, length(value) AS n, row_number() OVER (PARTITION BY scope ORDER BY accessed_count DESC, id) AS r FROM mem QUALIFY r <= 3), u AS (SELECT *, sum(n) OVER (PARTITION BY scope ORDER BY r) AS used FROM t) SELECT scope, id FROM u WHERE used <= 100")
 def mem_prefetch(spark, sf):
     w = Window.partitionBy("scope").orderBy(F.desc("accessed_count"), "id")
@@ -157,12 +152,6 @@ def agg_memory_stats(spark, sf):
     return ops.stats(_sup(spark, sf))
 
 
-@query("mem_bulk", f"WITH {MEM}, o AS (SELECT *, id % 7 = 0 AS removed, length(trim(value)) = 0 AS bad FROM mem) SELECT scope, count(*) FILTER (NOT removed AND NOT bad) AS kept, count(*) FILTER (removed) AS removed, count(*) FILTER (bad AND NOT removed) AS errors FROM o GROUP BY scope")
-def mem_bulk(spark, sf):
-    removed, bad = F.col("id") % 7 == 0, F.length(F.trim("value")) == 0
-    return _mem(spark, sf).groupBy("scope").agg(F.count_if(~removed & ~bad).alias("kept"), F.count_if(removed).alias("removed"), F.count_if(bad & ~removed).alias("errors"))
-
-
 @query("mem_embed")
 def mem_embed(spark, sf):
     from gleanery.functions.providers import hash_embedding

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleanery.plans import catalog, content, evaluation, fusion, ledgers, lexical, lookup, memory, search, sinks, streams, training, vectors  # noqa: F401
+from gleanery.plans import catalog, content, evaluation, fusion, ledgers, lexical, lookup, maintenance, memory, search, sinks, streams, training, vectors  # noqa: F401
 
 
 def queries() -> dict:

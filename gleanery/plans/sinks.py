@@ -62,17 +62,6 @@ def sink_document(spark, sf):
     return _results(spark, sf).select("doc_id", F.concat(F.lit('<document path="'), "file", F.lit('">\n'), out.xml_escape(C("body")), F.lit("\n</document>")).alias("text"))
 
 
-@query("sink_backup")
-def sink_backup(spark, sf):
-    return out.fingerprint(docs(spark, sf))
-
-
-@query("sink_replay")
-def sink_replay(spark, sf):
-    r = _results(spark, sf)
-    return r.agg(F.to_json(F.struct(F.count("*").alias("results"), F.max("score").alias("best"))).alias("trace"))
-
-
 @query("capability_manifest")
 def capability_manifest(spark, sf):
     d = docs(spark, sf)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gleanery.plans.catalog import query, table
+from gleanery.sources.tables import folder
 from gleanery.streaming import events as ops
 
 
@@ -78,14 +78,17 @@ def st_sliding(spark, sf):
     return ops.sliding(_events(spark, sf), "60 minutes", "30 minutes")
 
 
-def _to_memory(df, mode: str):
-    name = f"m{uuid.uuid4().hex}"
-    run = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def _drained(df, mode: str):
+    """What a stream gives until its source is drained: all its rows, or of a complete output the last state. Results and state lie in the shared folder."""
+    spark, path = df.sparkSession, folder(df.sparkSession, "stream")
+    run = ops.ingest(df, lambda batch, i: batch.write.mode("overwrite").parquet(f"{path}/data/batch={i}"), f"{path}/state", mode, {"availableNow": True})
     try:
         run.awaitTermination(300)
     finally:
         run.stop()
-    return df.sparkSession.table(name)
+    found = spark.read.schema(T.StructType([*df.schema, T.StructField("batch", T.LongType())])).parquet(f"{path}/data")
+    last = found.agg(F.max("batch")).first()[0]
+    return (found.where(F.col("batch") == last) if mode == "complete" else found).drop("batch")
 
 
 def _stream(spark, sf):
@@ -94,15 +97,15 @@ def _stream(spark, sf):
 
 @query("st_ingest_stream", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def st_ingest_stream(spark, sf):
-    return _to_memory(_stream(spark, sf).groupBy("event_type").agg(F.count("*").alias("n")), "complete")
+    return _drained(_stream(spark, sf).groupBy("event_type").agg(F.count("*").alias("n")), "complete")
 
 
 @query("st_ttl")
 def st_ttl(spark, sf):
-    return _to_memory(ops.sliding_ttl(_stream(spark, sf).select(F.col("user_id").alias("key"), "ts"), 3600), "update")
+    return _drained(ops.sliding_ttl(_stream(spark, sf).select(F.col("user_id").alias("key"), "ts"), 3600), "update")
 
 
 @query("st_static_join", "SELECT user_id, count(*) AS n FROM events WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) GROUP BY user_id")
 def st_static_join(spark, sf):
     rich = table(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("user_id"))
-    return _to_memory(_stream(spark, sf).join(rich, "user_id", "left_semi").groupBy("user_id").agg(F.count("*").alias("n")), "complete")
+    return _drained(_stream(spark, sf).join(rich, "user_id", "left_semi").groupBy("user_id").agg(F.count("*").alias("n")), "complete")

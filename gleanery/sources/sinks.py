@@ -48,15 +48,36 @@ def row_xml(docid: Column, file: Column, title: Column, content: Column) -> Colu
     return F.concat(F.lit('<file docid="#'), docid, F.lit('" name="'), xml_escape(file), F.lit('" title="'), xml_escape(title), F.lit('">\n'), xml_escape(content), F.lit("\n</file>"))
 
 
-def backup(df: DataFrame, path: str) -> None:
-    """A snapshot in a new folder; Spark's commit protocol makes it whole or absent."""
-    df.write.mode("errorifexists").parquet(path)
-
-
 def fingerprint(df: DataFrame) -> DataFrame:
     """rows and an order-free digest of all columns, to verify a snapshot by."""
-    return df.agg(F.count("*").alias("rows"), F.coalesce(F.bit_xor(F.xxhash64(*df.columns)), F.lit(0)).alias("digest"))
+    return df.agg(F.count("*").alias("rows"), F.coalesce(F.bit_xor(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])), F.lit(0)).alias("digest"))
+
+
+def backup(df: DataFrame, path: str) -> None:
+    """A snapshot in a new folder, and beside it what to verify it by; Spark's commit protocol makes either whole or absent."""
+    df.write.mode("errorifexists").parquet(f"{path}/data")
+    fingerprint(df).write.mode("errorifexists").json(f"{path}/manifest")
 
 
 def verify(spark: SparkSession, df: DataFrame, path: str) -> bool:
-    return fingerprint(df).first() == fingerprint(spark.read.parquet(path)).first()
+    """Whether a snapshot holds just the rows of df."""
+    return fingerprint(df).first() == fingerprint(spark.read.parquet(f"{path}/data")).first()
+
+
+def intact(spark: SparkSession, path: str) -> bool:
+    """Whether a snapshot is there and is what its manifest says."""
+    said = spark.read.schema("rows bigint, digest bigint").json(f"{path}/manifest").first()
+    return said is not None and fingerprint(spark.read.parquet(f"{path}/data")).first() == said
+
+
+def restore(spark: SparkSession, path: str) -> DataFrame:
+    """The snapshot, if it is whole."""
+    if not intact(spark, path):
+        raise ValueError(f"{path}: the snapshot is not what its manifest says")
+    return spark.read.parquet(f"{path}/data")
+
+
+def replay(results: DataFrame, path: str) -> None:
+    """One line of JSON for each query of results (query_id, file, rank): its results in order."""
+    each = results.groupBy("query_id").agg(F.count("*").alias("results"), F.transform(F.array_sort(F.collect_list(F.struct("rank", "file"))), lambda x: x["file"]).alias("files"))
+    each.select(F.to_json(F.struct("query_id", "results", "files")).alias("value")).write.mode("errorifexists").text(path)
