@@ -54,13 +54,23 @@ def single_cardinality(rows: DataFrame, keys: tuple[str, ...] = SINGLE) -> DataF
     return rows.withColumn("superseded_by", F.when(key_prefix(F.col("key")).isin(*keys), F.lead("id").over(order)))
 
 
+MOST_IN_SCOPE = 50_000
+
+
+def _bounded(group: pd.DataFrame) -> None:
+    if len(group) > MOST_IN_SCOPE:
+        raise ValueError(f"scope {group['scope'].iloc[0]} has {len(group)} memories, more than {MOST_IN_SCOPE}: evict first")
+
+
 def semantic_supersession(rows: DataFrame, threshold: float = 0.92, cross: float = 0.94) -> DataFrame:
     """id and superseded_by: in the order of ids, a memory replaces the live one most like it of its scope and key prefix, or, where there is none of that prefix, of its scope.
 
-    The fold needs a scope's memories in order, so a scope is one group; the stores cap a scope's size (see evict).
+    The fold needs a scope's memories in order, so a scope is one group; one of more than MOST_IN_SCOPE is refused
+    (evict() keeps scopes below that).
     """
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
+        _bounded(group)
         group = group.sort_values("id")
         vectors = np.array([np.asarray(v, np.float64) for v in group["embedding"]])
         vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
@@ -82,9 +92,10 @@ def semantic_supersession(rows: DataFrame, threshold: float = 0.92, cross: float
 
 
 def consolidation(rows: DataFrame, threshold: float) -> DataFrame:
-    """id and merged_into: newest first within a scope and prefix, an older near copy goes into the newer one kept."""
+    """id and merged_into: newest first within a scope and prefix, of MOST_IN_SCOPE rows at most, an older near copy goes into the newer one kept."""
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
+        _bounded(group)
         group = group.sort_values("id", ascending=False)
         vectors = np.array([np.asarray(v, np.float64) for v in group["embedding"]])
         vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)

@@ -19,8 +19,11 @@ LARGEST = 25 * 1024 * 1024
 
 
 def scan(spark: SparkSession, root: str, pattern: str = "*", ignore: tuple[str, ...] = ()) -> DataFrame:
-    """path, length, modificationTime and content of the files under root that match, without ignored folders and dot parts."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
+    """path, length, modificationTime and content of the files under root that match, without ignored folders and dot parts; what is over LARGEST is listed but not read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
+    # the length is known from the listing: the reader passes over files that the filter leaves out, and reads no content that isn't selected
+    small, large = found.where(F.col("length") <= LARGEST), found.where(F.col("length") > LARGEST)
+    files = small.unionByName(large.select("path", "modificationTime", "length", F.lit(None).cast("binary").alias("content")))
     clean_root = root.rstrip("/")
     relative = F.regexp_replace("path", "^.*?" + clean_root.replace("file://", "").replace(".", r"\.") + "/", "")
     parts = F.split(relative, "/")

@@ -98,70 +98,90 @@ def fixed_windows(events: DataFrame, width: int, most: int) -> DataFrame:
     return events.groupBy("key", start).agg(F.count("*").alias("n")).withColumn("rejected", F.greatest(F.lit(0), F.col("n") - most))
 
 
-def _ordered(events: DataFrame, fold: Callable[[Iterator[tuple[int, float]]], Iterator[bool]]) -> DataFrame:
-    """allowed for each event of a key, folded in the order of time; a key is one group, as limits are per client."""
+def _folded(events: DataFrame, columns: list[str], made: str, fold: Callable[[], Callable[..., object]]) -> DataFrame:
+    """event_id, key and what a fold says of each event (ts and columns), key by key in the order of time.
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["ts", "event_id"])
-        seconds = group["ts"].astype("datetime64[ns]").astype("int64") / 1e9
-        return pd.DataFrame({"event_id": group["event_id"], "key": group["key"], "allowed": list(fold(iter(seconds)))})
+    A task holds one batch and the state of one key, however many events a key has: rows come sorted, and fold()
+    makes the state of the next key.
+    """
+    name, kind = made.split()
+    rows = events.select("event_id", "key", "ts", *columns).repartition("key").sortWithinPartitions("key", "ts", "event_id")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, step = object(), None
+        for batch in batches:
+            out = []
+            seconds = batch["ts"].astype("datetime64[ns]").astype("int64") / 1e9
+            for key, t, *more in zip(batch["key"], seconds, *(batch[c] for c in columns), strict=True):
+                if step is None or key != now:
+                    now, step = key, fold()
+                out.append(step(t, *more))
+            yield pd.DataFrame({"event_id": batch["event_id"], "key": batch["key"], name: out})
 
-    kind = events.schema["key"].dataType.simpleString()
-    return events.select("event_id", "key", "ts").groupBy("key").applyInPandas(run, f"event_id bigint, key {kind}, allowed boolean")
+    return rows.mapInPandas(run, f"event_id bigint, key {events.schema['key'].dataType.simpleString()}, {name} {kind}")
 
 
 def anchored_limit(events: DataFrame, width: float, most: int) -> DataFrame:
     """A window opens with a key's first event and lasts `width` seconds."""
 
-    def fold(times):
+    def fold():
         start, n = None, 0
-        for t in times:
+
+        def step(t: float) -> bool:
+            nonlocal start, n
             if start is None or t - start >= width:
                 start, n = t, 0
             n += 1
-            yield n <= most
+            return n <= most
+
+        return step
 
-    return _ordered(events, fold)
+    return _folded(events, [], "allowed boolean", fold)
 
 
 def token_bucket(events: DataFrame, burst: int = 100, refill_seconds: float = 1.0) -> DataFrame:
     """A token comes back each whole refill interval."""
 
-    def fold(times):
+    def fold():
         tokens, last = burst, None
-        for t in times:
-            if last is None:
-                last = t
+
+        def step(t: float) -> bool:
+            nonlocal tokens, last
+            last = t if last is None else last
             back = int((t - last) // refill_seconds)
             if back > 0:
                 tokens, last = min(burst, tokens + back), last + back * refill_seconds
-            yield tokens > 0
-            tokens = max(0, tokens - 1)
+            tokens -= 1
+            tokens, allowed = max(tokens, 0), tokens >= 0
+            return allowed
+
+        return step
 
-    return _ordered(events, fold)
+    return _folded(events, [], "allowed boolean", fold)
 
 
 def breaker(events: DataFrame, failures: int = 5, rest: float = 30.0) -> DataFrame:
-    """state before each event (ok tells its outcome): closed, open after so many failures in a row, half-open after the rest."""
+    """event_id and state before each event (ok tells its outcome): closed, open after so many failures in a row, half-open after the rest."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["ts", "event_id"])
-        state, row, since, out = "closed", 0, 0.0, []
-        for t, ok in zip(group["ts"].astype("datetime64[ns]").astype("int64") / 1e9, group["ok"], strict=True):
+    def fold():
+        state, row, since = "closed", 0, 0.0
+
+        def step(t: float, ok: bool) -> str:
+            nonlocal state, row, since
             if state == "open" and t - since >= rest:
                 state = "half-open"
-            out.append(state)
-            if state == "open":
-                continue
-            if ok:
-                state, row = "closed", 0
-            else:
-                row += 1
-                if state == "half-open" or row >= failures:
+            before = state
+            if before != "open":
+                row = 0 if ok else row + 1
+                if ok:
+                    state = "closed"
+                elif before == "half-open" or row >= failures:
                     state, since, row = "open", t, 0
-        return pd.DataFrame({"event_id": group["event_id"], "state": out})
+            return before
+
+        return step
 
-    return events.groupBy("key").applyInPandas(run, "event_id bigint, state string")
+    return _folded(events, ["ok"], "state string", fold).select("event_id", "state")
 
 
 def sliding_ttl(stream: DataFrame, seconds: int, late: str = "0 seconds") -> DataFrame:
