@@ -16,6 +16,9 @@ _MODULES = {
     "op8_decontaminate": "decontaminate",
     "op9_secret_scan": "secrets",
     "op10_byte_bpe": "bpe",
+    "op11_token_counts": "token_counts",
+    "op12_spelling": "spelling",
+    "op13_whitening": "whitening",
 }
 
 
