@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleanery.sources.tables import folder, ranked, written
+
 
 def dot(a: Column, b: Column) -> Column:
     """Over the shorter length, in double precision."""
@@ -30,7 +32,7 @@ def cosine_distance(a: Column, b: Column, eps: float = 1e-9) -> Column:
     return F.when(n <= eps, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(2.0), 1 - dot(a, b) / n)))
 
 
-MOST_QUERIES, MOST_CENTROIDS = 10_000, 4096
+BLOCK_BYTES, MOST_CENTROIDS = 32 << 20, 4096
 
 
 def _rows(column) -> np.ndarray:
@@ -47,14 +49,30 @@ def _rows(column) -> np.ndarray:
     return out
 
 
-def _collected(rows: DataFrame, key: str, most: int) -> tuple[list, np.ndarray]:
-    """Keys and vectors of a small table, smallest key first; more rows than `most` are refused, so that no table is broadcast unchecked."""
-    found = rows.where("embedding is not null").select(key, "embedding").orderBy(key).limit(most + 1).toArrow()
-    if found.num_rows > most:
-        raise ValueError(f"more than {most} rows of {key}; search in batches")
+def _collected(rows: DataFrame, key: str) -> tuple[list, np.ndarray]:
+    """Keys and vectors of a table whose size the caller has bounded, smallest key first."""
+    found = rows.where("embedding is not null").select(key, "embedding").orderBy(key).toArrow()
     return found[key].to_pylist(), _rows(found["embedding"])
 
 
+def _by_blocks(queries: DataFrame, search: Callable[[list, np.ndarray], DataFrame]) -> DataFrame:
+    """search(names, vectors) of all queries (query_id, embedding): at once where their vectors take BLOCK_BYTES at most, else
+    block by block of that size, the results of each written before the next is taken; so no number of queries is too large."""
+    rows = queries.where("embedding is not null").select("query_id", "embedding")
+    n, width = rows.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
+    if n * width * 8 <= BLOCK_BYTES:
+        return search(*_collected(rows, "query_id"))
+    most = max(1, BLOCK_BYTES // (8 * max(width, 1)))
+    block = F.floor(F.col("_at") / most).cast("int")
+    dealt = written(ranked(rows, "query_id", name="queries").select(block.alias("block"), "query_id", "embedding"), "blocks", ["block"])
+    path, schema = folder(queries.sparkSession, "answers"), None
+    for number in range(-(-n // most)):
+        part = search(*_collected(dealt.where(F.col("block") == number), "query_id"))
+        part.write.mode("append").parquet(path)
+        schema = part.schema
+    return queries.sparkSession.read.schema(schema).parquet(path)
+
+
 def _distances(a: np.ndarray, b: np.ndarray, digits: int) -> np.ndarray:
     """Cosine distances of all rows of a to all of b, over the shorter length; 1 where a length is next to nothing."""
     n = min(a.shape[1], b.shape[1])
@@ -112,27 +130,48 @@ def nearest(pairs: DataFrame, k: int, by: str = "query_id") -> DataFrame:
 
 
 def exact(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """query_id, vec_id, distance and rank: the k nearest of each query, of which there are MOST_QUERIES at most, ties to the smaller id."""
-    names, asked = _collected(queries, "query_id", MOST_QUERIES)
-    found = _searched(vectors, names, asked, k, queries.schema["query_id"].dataType.simpleString())
-    return nearest(found.select("query_id", "vec_id", "distance"), k)
-
-
-def distances(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """query_id, vec_id and distance of each of a batch of queries, MOST_QUERIES at most, with every vector; for reports over all pairs."""
-    names, asked = _collected(queries, "query_id", MOST_QUERIES)
+    """query_id, vec_id, distance and rank: the k nearest of each query, ties to the smaller id."""
     kind = queries.schema["query_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                far = _distances(asked, _rows(part.column(1)), 6) if len(names) else np.zeros((0, part.num_rows))
-                which = pa.array(np.tile(np.arange(part.num_rows), len(names)), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(names, object), part.num_rows).tolist(), pa.int64() if kind == "bigint" else None), part.column(0).take(which), pa.array(far.ravel())], ["query_id", "vec_id", "distance"])
-
-    rows = vectors.where("embedding is not null").select("vec_id", "embedding")
-    return rows.mapInArrow(run, f"query_id {kind}, vec_id {vectors.schema['vec_id'].dataType.simpleString()}, distance double")
+    return _by_blocks(queries, lambda names, asked: nearest(_searched(vectors, names, asked, k, kind).select("query_id", "vec_id", "distance"), k))
+
+
+def by_group(queries: DataFrame, vectors: DataFrame, group: str) -> DataFrame:
+    """query_id, group, n, total and least of the distances of each query to all vectors of each group; a task sums up what it has seen, no distance leaves it alone."""
+    query_kind, kind = queries.schema["query_id"].dataType.simpleString(), vectors.schema[group].dataType.simpleString()
+    schema = f"query_id {query_kind}, `{group}` {kind}, n bigint, total double, least double"
+
+    def search(names: list, asked: np.ndarray) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict = {}
+            types = None
+
+            def flushed() -> pa.RecordBatch:
+                keys = list(held)
+                parts = [np.concatenate([held[g][i] for g in keys]) for i in range(3)]
+                which = [g for g in keys for _ in names]
+                out = [pa.array(names * len(keys), pa.int64() if query_kind == "bigint" else None), pa.array(which, types), pa.array(parts[0].astype(np.int64)), pa.array(parts[1]), pa.array(parts[2])]
+                held.clear()
+                return pa.RecordBatch.from_arrays(out, ["query_id", group, "n", "total", "least"])
+
+            for batch in (whole.slice(at, 2048) for whole in batches for at in range(0, whole.num_rows, 2048)):
+                types = batch.schema.field(0).type
+                values, own = np.unique(np.array(batch.column(0).to_pylist(), object), return_inverse=True)
+                order = np.argsort(own, kind="stable")
+                starts = np.searchsorted(own[order], np.arange(len(values)))
+                far = _distances(asked, _rows(batch.column(1)), 6)[:, order]
+                sums, least, n = np.add.reduceat(far, starts, 1), np.minimum.reduceat(far, starts, 1), np.diff(np.append(starts, len(order)))
+                for i, value in enumerate(values.tolist()):
+                    a, b, c = held.get(value, (0, 0.0, np.inf))
+                    held[value] = (a + np.full(len(names), n[i]), b + sums[:, i], np.minimum(c, least[:, i]))
+                if len(held) * len(names) > 1_000_000:
+                    yield flushed()
+            if held and names:
+                yield flushed()
+
+        rows = vectors.where(F.col("embedding").isNotNull() & F.col(group).isNotNull()).select(group, "embedding")
+        return rows.mapInArrow(run, schema).groupBy("query_id", group).agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("least").alias("least"))
+
+    return _by_blocks(queries, search)
 
 
 def to_documents(matches: DataFrame, owners: DataFrame, limit: int) -> DataFrame:
@@ -157,24 +196,28 @@ def shard_of(key: Column, shards: int) -> Column:
 def fanout(queries: DataFrame, vectors: DataFrame, shards: int, limit: int) -> DataFrame:
     """The nearest of each shard, then of all: shards keep max(4, ceil(3 limit / shards)) each."""
     keep = max(4, -(-3 * limit // shards))
-    names, asked = _collected(queries, "query_id", MOST_QUERIES)
-    found = _searched(vectors, names, asked, keep, queries.schema["query_id"].dataType.simpleString(), shard_of(F.col("vec_id").cast("string"), shards))
-    own = Window.partitionBy("query_id", "part").orderBy("distance", "vec_id")
-    some = found.withColumn("_r", F.row_number().over(own)).where(F.col("_r") <= keep).drop("_r", "part")
-    return nearest(some, limit)
+    kind = queries.schema["query_id"].dataType.simpleString()
+
+    def search(names: list, asked: np.ndarray) -> DataFrame:
+        found = _searched(vectors, names, asked, keep, kind, shard_of(F.col("vec_id").cast("string"), shards))
+        own = Window.partitionBy("query_id", "part").orderBy("distance", "vec_id")
+        return nearest(found.withColumn("_r", F.row_number().over(own)).where(F.col("_r") <= keep).drop("_r", "part"), limit)
+
+    return _by_blocks(queries, search)
 
 
 def ivf_seeds(vectors: DataFrame, centroids: int = 64) -> DataFrame:
-    """centroid_id and embedding: vectors evenly spaced in the order of their ids; ranks come from counts per range."""
-    spread = vectors.select("vec_id", "embedding").repartitionByRange(F.col("vec_id")).withColumn("_p", F.spark_partition_id())
-    sizes = spread.groupBy("_p").agg(F.count("*").alias("n"))
-    before = Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"), F.sum("n").over(Window.partitionBy(F.lit(0))).alias("_all"))
-    ranked = spread.withColumn("_rn", F.row_number().over(Window.partitionBy("_p").orderBy("vec_id"))).join(F.broadcast(starts), "_p").withColumn("_at", F.col("_before") + F.col("_rn") - 1)
-    k = F.least(F.lit(centroids).cast("bigint"), F.col("_all"))
+    """centroid_id and embedding: vectors evenly spaced in the order of their ids. Only ids are sorted; vectors are read for the chosen ones."""
+    ids = ranked(vectors.where("embedding is not null").select("vec_id"), "vec_id", name="ids")
+    n = ids.count()
+    k = min(centroids, n)
+    if not k:
+        return vectors.where("false").select(F.col("vec_id").cast("bigint").alias("centroid_id"), "embedding")
     # the number i with floor(i n / k) = at, if there is one
-    i = F.ceil(F.col("_at") * k / F.col("_all"))
-    return ranked.withColumn("centroid_id", i).where((i < k) & (F.floor(i * F.col("_all") / k) == F.col("_at"))).select("centroid_id", "embedding")
+    i = F.ceil(F.col("_at") * k / n)
+    chosen = ids.select("vec_id", i.alias("centroid_id"), "_at").where((i < k) & (F.floor(i * n / k) == F.col("_at"))).select("vec_id", "centroid_id")
+    # `centroids` rows at most; of rows that share an id the least vector counts
+    return vectors.where("embedding is not null").select("vec_id", "embedding").join(F.broadcast(chosen), "vec_id").groupBy("centroid_id").agg(F.min("embedding").alias("embedding"))
 
 
 def assigned(vectors: DataFrame, ids: list, centres: np.ndarray) -> DataFrame:
@@ -217,7 +260,7 @@ def ivf_build(vectors: DataFrame, centroids: int = 64, passes: int = 2) -> tuple
     if centroids > MOST_CENTROIDS:
         raise ValueError(f"more than {MOST_CENTROIDS} centroids")
     spark = vectors.sparkSession
-    ids, centres = _collected(ivf_seeds(vectors, centroids), "centroid_id", MOST_CENTROIDS)
+    ids, centres = _collected(ivf_seeds(vectors, centroids), "centroid_id")
     held = vectors.where("false").select("vec_id", "embedding", F.lit(0).cast("bigint").alias("centroid_id"))
     for _ in range(passes if ids else 0):
         held = assigned(vectors, ids, centres)
@@ -225,21 +268,43 @@ def ivf_build(vectors: DataFrame, centroids: int = 64, passes: int = 2) -> tuple
     return spark.createDataFrame([(i, c.tolist()) for i, c in zip(ids, centres, strict=True)], "centroid_id bigint, embedding array<double>"), held
 
 
-def ivf_search(queries: DataFrame, members: DataFrame, centroids: DataFrame, k: int, probes: int = 4) -> DataFrame:
-    """The k nearest among the members (vec_id, embedding, centroid_id) of the `probes` nearest centroids of each query.
+def _order(asked: np.ndarray, ids: list, centres: np.ndarray) -> np.ndarray:
+    """Places of the centroids in ids, nearest first, for each query; ties to the smaller id."""
+    return np.lexsort((np.tile(ids, (len(asked), 1)), _distances(asked, centres, 9)), axis=1)
+
+
+def calibrated(vectors: DataFrame, members: DataFrame, centroids: DataFrame, k: int, sample: int = 50, target: float = 0.95) -> int:
+    """How many centroids a search has to probe for a share `target` of true neighbours, measured on `sample` vectors (by the digest of their ids) whose neighbours one pass over all rows finds."""
+    asked = vectors.where("embedding is not null").orderBy(F.md5(F.col("vec_id").cast("string")), "vec_id").limit(sample).select(F.col("vec_id").alias("query_id"), "embedding")
+    names, x = _collected(asked, "query_id")
+    ids, centres = _collected(centroids, "centroid_id")
+    if not names or not ids:
+        return 1
+    place = np.argsort(_order(x, ids, centres), axis=1)  # of each centroid in each query's order
+    at, by_name = {c: i for i, c in enumerate(ids)}, {q: i for i, q in enumerate(names)}
+    truth = exact(asked, vectors, k).join(members.select("vec_id", "centroid_id"), "vec_id").select("query_id", "centroid_id").collect()
+    needed = sorted(int(place[by_name[r["query_id"]], at[r["centroid_id"]]]) + 1 for r in truth)
+    return needed[-(-len(needed) * round(target * 100) // 100) - 1]
 
-    The centroids that any query probes are known before members are read: a table in folders by centroid_id
+
+def ivf_search(queries: DataFrame, members: DataFrame, centroids: DataFrame, k: int, probes: int) -> DataFrame:
+    """The k nearest among the members (vec_id, embedding, centroid_id) of the `probes` nearest centroids of each query; calibrated() tells how many are enough.
+
+    The centroids that any query of a block probes are known before members are read: a table in folders by centroid_id
     is read in these folders alone.
     """
-    names, asked = _collected(queries, "query_id", MOST_QUERIES)
-    ids, centres = _collected(centroids, "centroid_id", MOST_CENTROIDS)
-    probed = np.zeros((len(names), max(ids, default=0) + 1), bool)
-    if names and ids:
-        order = np.lexsort((np.tile(ids, (len(names), 1)), _distances(asked, centres, 9)), axis=1)[:, :probes]
-        np.put_along_axis(probed, np.array(ids)[order], True, axis=1)
-    wanted = members.where(F.col("centroid_id").isin(np.flatnonzero(probed.any(0)).tolist()))
-    found = _searched(wanted, names, asked, k, queries.schema["query_id"].dataType.simpleString(), F.col("centroid_id"), probed)
-    return nearest(found.select("query_id", "vec_id", "distance"), k)
+    kind = queries.schema["query_id"].dataType.simpleString()
+    ids, centres = _collected(centroids, "centroid_id")
+
+    def search(names: list, asked: np.ndarray) -> DataFrame:
+        probed = np.zeros((len(names), max(ids, default=0) + 1), bool)
+        if names and ids:
+            np.put_along_axis(probed, np.array(ids)[_order(asked, ids, centres)[:, :probes]], True, axis=1)
+        wanted = members.where(F.col("centroid_id").isin(np.flatnonzero(probed.any(0)).tolist()))
+        found = _searched(wanted, names, asked, k, kind, F.col("centroid_id"), probed)
+        return nearest(found.select("query_id", "vec_id", "distance"), k)
+
+    return _by_blocks(queries, search)
 
 
 def recall(found: DataFrame, truth: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Queries of vector retrieval: the smallest id of each label asks."""
+"""Queries of vector retrieval: every row whose id is divisible by 100 asks, against all rows."""
 
 from __future__ import annotations
 
@@ -6,17 +6,16 @@ from pyspark.sql import functions as F
 
 from gleanery.operators import vectors as ops
 from gleanery.plans.catalog import query, table, vectors
+from gleanery.sources.tables import written
 
-Q = "q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id IN (SELECT min(vec_id) FROM embeddings GROUP BY label)), v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)"
+Q = "q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0), v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)"
 COS = "greatest(0.0::DOUBLE, least(2.0::DOUBLE, 1 - list_inner_product({a}, {b}) / (sqrt(list_inner_product({a}, {a})) * sqrt(list_inner_product({b}, {b})))))"
 D = f"d AS (SELECT query_id, vec_id, label, round({COS.format(a='q', b='e')}, 6) AS distance FROM q, v)"
 TOP = "{} AS (SELECT query_id, vec_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM {} QUALIFY rank <= {})"
 
 
 def _queries(spark, sf):
-    v = vectors(spark, sf)
-    first = v.groupBy("label").agg(F.min("vec_id").alias("vec_id"))
-    return v.join(F.broadcast(first.select("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), "embedding")
+    return vectors(spark, sf).where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
 @query("vec_exact", f"WITH {Q}, {D}, {TOP.format('t', 'd', 20)} SELECT * FROM t")
@@ -26,8 +25,7 @@ def vec_exact(spark, sf):
 
 @query("join_cross", f"WITH {Q}, {D} SELECT query_id, label, count(*) AS n, round(avg(distance), 4) AS mean FROM d GROUP BY ALL")
 def join_cross(spark, sf):
-    d = ops.distances(_queries(spark, sf), vectors(spark, sf)).join(vectors(spark, sf).select("vec_id", "label"), "vec_id")
-    return d.groupBy("query_id", "label").agg(F.count("*").alias("n"), F.round(F.avg("distance"), 4).alias("mean"))
+    return ops.by_group(_queries(spark, sf), vectors(spark, sf), "label").select("query_id", "label", "n", F.round(F.col("total") / F.col("n"), 4).alias("mean"))
 
 
 OWNED = "m AS (SELECT query_id, 'f' || vec_id % 97 AS file, min(distance) AS distance FROM t GROUP BY ALL)"
@@ -50,14 +48,14 @@ def search_vec(spark, sf):
 
 @query("win_top_per_group", f"WITH {Q}, {D} SELECT query_id, label, min(distance) AS distance FROM d GROUP BY ALL")
 def win_top_per_group(spark, sf):
-    d = ops.distances(_queries(spark, sf), vectors(spark, sf)).join(vectors(spark, sf).select("vec_id", "label"), "vec_id")
-    return d.groupBy("query_id", "label").agg(F.min("distance").alias("distance"))
+    return ops.by_group(_queries(spark, sf), vectors(spark, sf), "label").select("query_id", "label", F.col("least").alias("distance"))
 
 
-@query("vsearch", f"WITH {Q}, {D}, g AS (SELECT query_id % 3 AS query_id, 'f' || vec_id % 97 AS file, max(round(1 - distance, 6)) AS score FROM d GROUP BY ALL) SELECT query_id, file, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, file) AS rank FROM g WHERE score >= 0.3 QUALIFY rank <= 10")
+@query("vsearch", f"WITH {Q}, {D}, g AS (SELECT (query_id // 100) % 3 AS query_id, 'f' || vec_id % 97 AS file, max(round(1 - distance, 6)) AS score FROM d GROUP BY ALL) SELECT query_id, file, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, file) AS rank FROM g WHERE score >= 0.3 QUALIFY rank <= 10")
 def vsearch(spark, sf):
-    d = ops.distances(_queries(spark, sf), vectors(spark, sf)).join(_owners(spark, sf), "vec_id")
-    return ops.variants(d.select((F.col("query_id") % 3).alias("query_id"), "file", F.round(1 - F.col("distance"), 6).alias("score")), 0.3, 10)
+    owned = vectors(spark, sf).withColumn("file", F.concat(F.lit("f"), (F.col("vec_id") % 97).cast("string")))
+    near = ops.by_group(_queries(spark, sf), owned, "file")
+    return ops.variants(near.select((F.floor(F.col("query_id") / 100) % 3).alias("query_id"), "file", F.round(1 - F.col("least"), 6).alias("score")), 0.3, 10)
 
 
 @query("cosine", f"SELECT a.vec_id AS a, b.vec_id AS b, round({COS.format(a='a.embedding::DOUBLE[]', b='b.embedding::DOUBLE[]')}, 6) AS distance FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
@@ -116,17 +114,31 @@ def ivf_build(spark, sf):
     return ops.ivf_build(vectors(spark, sf))[1].select("vec_id", "centroid_id")
 
 
-@query("ivf_search", f"WITH {Q}, {IVF}, pr AS (SELECT query_id, q, centroid_id FROM q, c2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round({COS.format(a='q', b='c')}, 9), centroid_id) <= 4), p AS (SELECT query_id, vec_id, round({COS.format(a='q', b='e')}, 6) AS distance FROM pr JOIN a2 USING (centroid_id)), {TOP.format('t', 'p', 10)} SELECT * FROM t")
+# 95 of 100 neighbours of the fifty vectors of smallest digest lie in the centroids that are probed
+PROBES = f"""cq AS (SELECT vec_id AS query_id, e AS q FROM o ORDER BY md5(vec_id::VARCHAR), vec_id LIMIT 50),
+ct AS (SELECT query_id, vec_id FROM (SELECT query_id, vec_id, round({COS.format(a='q', b='e')}, 6) AS distance FROM cq, o) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) <= 10),
+co AS (SELECT query_id, centroid_id, row_number() OVER (PARTITION BY query_id ORDER BY round({COS.format(a='q', b='c')}, 9), centroid_id) AS place FROM cq, c2),
+cn AS (SELECT place, row_number() OVER (ORDER BY place) AS i, count(*) OVER () AS n FROM ct JOIN a2 USING (vec_id) JOIN co USING (query_id, centroid_id)),
+probes AS (SELECT place AS p FROM cn WHERE i = (n * 95 + 99) // 100),
+pr AS (SELECT query_id, q, centroid_id FROM q, c2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round({COS.format(a='q', b='c')}, 9), centroid_id) <= (SELECT p FROM probes)),
+p AS (SELECT query_id, vec_id, round({COS.format(a='q', b='e')}, 6) AS distance FROM pr JOIN a2 USING (centroid_id))"""
+
+
+def _ivf(spark, sf):
+    v = vectors(spark, sf)
+    centres, members = ops.ivf_build(v)
+    members = written(members, "members", ["centroid_id"]).select("vec_id", "embedding", F.col("centroid_id").cast("bigint").alias("centroid_id"))
+    return ops.ivf_search(_queries(spark, sf), members, centres, 10, ops.calibrated(v, members, centres, 10))
+
+
+@query("ivf_search", f"WITH {Q}, {IVF}, {PROBES}, {TOP.format('t', 'p', 10)} SELECT * FROM t")
 def ivf_search(spark, sf):
-    centres, members = ops.ivf_build(vectors(spark, sf))
-    return ops.ivf_search(_queries(spark, sf), members, centres, 10)
+    return _ivf(spark, sf)
 
 
-@query("ivf_recall", f"WITH {Q}, {D}, {TOP.format('t', 'd', 10)}, {IVF}, pr AS (SELECT query_id, q, centroid_id FROM q, c2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round({COS.format(a='q', b='c')}, 9), centroid_id) <= 4), p AS (SELECT query_id, vec_id, round({COS.format(a='q', b='e')}, 6) AS distance FROM pr JOIN a2 USING (centroid_id)), {TOP.format('f', 'p', 10)} SELECT count(f.vec_id)::DOUBLE / count(*) AS recall FROM t LEFT JOIN f USING (query_id, vec_id)")
+@query("ivf_recall", f"WITH {Q}, {D}, {TOP.format('t', 'd', 10)}, {IVF}, {PROBES}, {TOP.format('f', 'p', 10)} SELECT count(f.vec_id)::DOUBLE / count(*) AS recall FROM t LEFT JOIN f USING (query_id, vec_id)")
 def ivf_recall(spark, sf):
-    v, q = vectors(spark, sf), _queries(spark, sf)
-    centres, members = ops.ivf_build(v)
-    return ops.recall(ops.ivf_search(q, members, centres, 10), ops.exact(q, v, 10))
+    return ops.recall(_ivf(spark, sf), ops.exact(_queries(spark, sf), vectors(spark, sf), 10))
 
 
 SHARDED = "s AS (SELECT vec_id, label, ('0x' || substr(sha256(vec_id::VARCHAR), 1, 8))::BIGINT % 8 AS shard FROM embeddings)"

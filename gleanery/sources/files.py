@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions.text import strip_xml
+from gleanery.sources.tables import ranked
 
 # Folders that are never read, extensions that are, and the size above which a file is skipped.
 IGNORED = ("node_modules", ".git", ".cache", "vendor", "dist", "build")
@@ -73,15 +74,11 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def row_blocks(rows: DataFrame, order: str, columns: list[str], per_block: int, what: str) -> DataFrame:
-    """block and body: rows in blocks of a fixed number, each with a line of schema and a line saying which rows it holds.
+    """block and body: rows in blocks of a fixed number, each with a line of schema and a line saying which rows it holds; `order` is unique.
 
-    Numbers come from counts per range of `order`, so that no task sees all rows.
+    Rows are numbered in one written table (`ranked`), so that no task sees all of them.
     """
-    spread = rows.repartitionByRange(F.col(order)).withColumn("_p", F.spark_partition_id())
-    before = Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = spread.groupBy("_p").agg(F.count("*").alias("n"))
-    starts = sizes.withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    numbered = spread.withColumn("_rn", F.row_number().over(Window.partitionBy("_p").orderBy(order))).join(F.broadcast(starts), "_p").withColumn("_rn", F.col("_rn") + F.col("_before"))
+    numbered = ranked(rows, order, name="rows").withColumn("_rn", F.col("_at") + 1)
     line = F.concat_ws(", ", *[F.concat(F.lit(f"{c}: "), F.coalesce(F.col(c), F.lit(""))) for c in columns])
     block = F.floor((F.col("_rn") - 1) / per_block).alias("block")
     head = "Schema: " + ", ".join(f"{c}: string" for c in columns)

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,3 +37,23 @@ def spread(df: DataFrame) -> DataFrame:
     """df over all cores where its files have too few splits to use them; one shuffle of a small table, none of a large one."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+_ROW = (1 << 33) - 1
+
+
+def ranked(df: DataFrame, *order: str, name: str = "ranked") -> DataFrame:
+    """df with _at, the place of each row from 0 in the order of some columns, the last of them unique; no task sees all rows.
+
+    The rows are sorted by ranges and written once, each with the number of its task and its place there; how many rows a
+    task has comes from that same table. (Counting in another plan of the same ranges would not do: ranges are sampled
+    and partitions joined anew for each plan.)
+    """
+    rows = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()), name)
+    task = F.shiftright("_id", 33)
+    sizes = rows.groupBy(task.alias("_task")).agg(F.count("*").alias("n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    # one row a task
+    numbered = rows.withColumn("_task", task).join(F.broadcast(starts), "_task")
+    return numbered.withColumn("_at", F.col("_before") + F.col("_id").bitwiseAND(_ROW)).drop("_task", "_before", "_id")

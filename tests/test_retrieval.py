@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gleanery.functions.providers import Deterministic, hash_embedding
 from gleanery.operators import retrieval, vectors
@@ -95,11 +96,23 @@ def test_vectors_against_brute_force(spark, k):
             assert [got[p][1] for p in range(1, k + 1)] == [j for _, j in sorted(want)[:k]] and pick is None
 
 
-def test_more_queries_than_a_batch_are_refused(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "MOST_QUERIES", 3)
-    v = spark.createDataFrame([(i, [1.0]) for i in range(5)], "query_id bigint, embedding array<double>")
-    with pytest.raises(ValueError, match="more than 3"):
-        vectors.exact(v, v.withColumnRenamed("query_id", "vec_id"), 1)
+def test_queries_in_blocks_give_what_all_at_once_give(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    v = spark.createDataFrame([(i, f"g{i % 7}", x.tolist()) for i, x in enumerate(rng.normal(size=(150, 4)))], "vec_id bigint, g string, embedding array<double>")
+    q = v.select(F.col("vec_id").alias("query_id"), "embedding")
+    centres, members = vectors.ivf_build(v, 8)
+    every = lambda: [sorted(map(tuple, df.collect())) for df in (vectors.exact(q, v, 3), vectors.fanout(q, v, 4, 3), vectors.ivf_search(q, members, centres, 3, 3), vectors.by_group(q, v, "g").select("query_id", "g", "n", F.round("total", 6), "least"))]
+    whole = every()
+    monkeypatch.setattr(vectors, "BLOCK_BYTES", 40 * 4 * 8)
+    assert every() == whole and len(whole[0]) == 450
+
+
+def test_many_queries_are_answered(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(20_000, 2))
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "query_id bigint, embedding array<double>")
+    v = q.where("query_id < 50").withColumnRenamed("query_id", "vec_id")
+    assert vectors.exact(q, v, 1).count() == 20_000
 
 
 def test_probing_all_centroids_is_exact(spark):
@@ -111,4 +124,12 @@ def test_probing_all_centroids_is_exact(spark):
     assert rows(vectors.ivf_search(q, members, centres, 10, probes=8)) == rows(vectors.exact(q, v, 10))
     some = vectors.recall(vectors.ivf_search(q, members, centres, 10, probes=3), vectors.exact(q, v, 10)).first()["recall"]
     assert 0.3 < some <= 1
+    probes = vectors.calibrated(v, members, centres, 10)
+    assert 3 < probes <= 8 and vectors.recall(vectors.ivf_search(q, members, centres, 10, probes=probes), vectors.exact(q, v, 10)).first()["recall"] >= 0.9
     assert hash_embedding([""]).shape == (1, 64)
+
+
+def test_recall_of_the_queries(spark, sf):
+    from gleanery.plans.registry import queries
+
+    assert queries()["ivf_recall"](spark, sf).first()["recall"] >= 0.9

@@ -1,6 +1,9 @@
 import io
 import zipfile
 
+import pytest
+from pyspark.sql import functions as F
+
 from gleanery.sources import files, sinks
 
 
@@ -38,3 +41,24 @@ def test_backup_and_verify(spark, tmp_path):
     sinks.backup(df, str(tmp_path / "b"))
     assert sinks.verify(spark, df, str(tmp_path / "b"))
     assert not sinks.verify(spark, spark.range(99), str(tmp_path / "b"))
+
+
+@pytest.mark.parametrize("partitions", [8, 200])
+def test_row_blocks_keep_all_rows(spark, partitions):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        rows = spark.range(0, 1_000_000, 1, 16).select(F.col("id").alias("row"), F.col("id").cast("string").alias("a"), F.repeat(F.lit("x"), (F.col("id") % 50).cast("int")).alias("b"))
+        blocks = files.row_blocks(rows, "row", ["a", "b"], 100, "Rows")
+        found = blocks.select("block", F.regexp_extract("body", r"Rows (\d+)-(\d+):", 1).cast("long").alias("a"), F.regexp_extract("body", r"Rows (\d+)-(\d+):", 2).cast("long").alias("b"), F.size(F.split("body", "\n")).alias("lines"))
+        good = (F.col("a") == F.col("block") * 100 + 1) & (F.col("b") == F.col("block") * 100 + 100) & (F.col("lines") == 102)
+        assert tuple(found.agg(F.count("*"), F.count_if(good), F.count_distinct("block")).first()) == (10_000, 10_000, 10_000)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_seeds_are_all_there(spark):
+    from gleanery.operators.vectors import ivf_seeds
+
+    v = spark.range(0, 300_000, 1, 12).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("float"), F.rand(1).cast("float"), F.lit(1.0).cast("float")).alias("embedding"))
+    assert {r["centroid_id"]: int(r["embedding"][0]) for r in ivf_seeds(v).collect()} == {i: i * 300_000 // 64 for i in range(64)}
