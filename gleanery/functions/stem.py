@@ -5,7 +5,6 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -91,12 +90,20 @@ def stem(word: str) -> str:
     return w
 
 
-@F.pandas_udf(T.StringType())
-def stemmed(terms: pd.Series) -> pd.Series:
-    return terms.map(lambda t: stem(fold(t)))
+class _Stems(dict):
+    """Folded stems by term, worked out when first met; when full it takes no more."""
 
+    def __missing__(self, term: str) -> str:
+        made = stem(fold(term))
+        if len(self) < 500_000:
+            self[term] = made
+        return made
 
-def with_stems(postings: DataFrame) -> DataFrame:
-    """Postings with their terms folded and stemmed; each distinct term is worked out once."""
-    vocabulary = postings.select("term").distinct().withColumn("stem", stemmed("term"))
-    return postings.join(vocabulary, "term").drop("term").withColumnRenamed("stem", "term")
+
+_known = _Stems()
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def stems(terms: pd.Series) -> pd.Series:
+    """The folded stems of each list of terms, in its order; texts and queries both go through this."""
+    return terms.map(lambda ts: None if ts is None else [_known[t] for t in ts])

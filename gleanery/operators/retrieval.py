@@ -1,6 +1,7 @@
 """Retrieval from end to end over a batch of queries: lists by words and by vectors, fusion, graph, chunks, rerank, blend, snippets.
 
-A corpus is a table of files (doc_id, collection, path, hash, body, active); vectors are those of its chunks
+A corpus is a table of files (doc_id, collection, path, hash, body, active); a file is named by its collection and path
+(`file`: collection/path, collections hold no slash), in lists, chunks and results alike. Vectors are those of its chunks
 (vec_id: hash_seq, embedding), written by whoever indexes. Models are those of a provider; the default is
 deterministic and needs no network.
 """
@@ -47,22 +48,22 @@ class Corpus:
 
     def __init__(self, files: DataFrame, vectors_: DataFrame | None = None, provider: ModelProvider | None = None):
         self.provider = provider or Deterministic()
-        self.files = files.where("active")
-        columns = {"filepath": F.concat_ws("/", "collection", "path"), "title": tx.stem_of(F.col("path")), "body": F.col("body")}
-        self.posts, self.stats = lexical.index(self.files, columns)
+        self.files = files.where("active").withColumn("file", F.concat_ws("/", "collection", "path"))
+        columns = {"filepath": F.col("file"), "title": tx.stem_of(F.col("path")), "body": F.col("body")}
+        self.posts, self.stats = lexical.index(self.files, columns, stemmed=True)
         self.vectors = vectors_ if vectors_ is not None else written(chunk_vectors(files, self.provider), "vectors")
 
     def by_words(self, asked: DataFrame, limit: int = LIST) -> DataFrame:
         """query_id, list_idx, file, rank and score for each list (query_id, list_idx, text)."""
         named = asked.withColumn("q", F.struct("query_id", "list_idx")).select(F.to_json("q").alias("query_id"), "text")
-        hits = lexical.search(lexical.parse(named), self.posts, self.stats, limit=limit).join(self.files.select("doc_id", F.col("path").alias("file")), "doc_id")
+        hits = lexical.search(lexical.parse(named, stemmed=True), self.posts, self.stats, limit=limit).join(self.files.select("doc_id", "file"), "doc_id")
         return _of_lists(hits, asked)
 
     def by_vectors(self, asked: DataFrame, limit: int = LIST) -> DataFrame:
         """The same by vectors: a file counts by its nearest chunk among the three times `limit` nearest."""
         named = asked.withColumn("q", F.struct("query_id", "list_idx")).select(F.to_json("q").alias("query_id"), vectors.format_query(F.col("text"), F.lit(MODEL)).alias("text"))
         near = vectors.exact(written(embedded(named, "query_id", "text", self.provider), "asked"), self.vectors, 3 * limit)
-        owners = self.files.select(F.col("hash").alias("vec_id"), F.col("path").alias("file"))
+        owners = self.files.select(F.col("hash").alias("vec_id"), "file")
         return _of_lists(vectors.to_documents(near.withColumn("vec_id", F.substring_index("vec_id", "_", 1)), owners, limit), asked)
 
     def lists(self, asked: DataFrame, limit: int = LIST) -> DataFrame:
@@ -104,18 +105,18 @@ def finished(lists: DataFrame, queries: DataFrame, corpus: Corpus, doubled: int,
     found = written(lists, "lists")
     fused = fusion.top(fusion.rrf(found, fusion.list_weights(found, doubled)), candidates)
     if edges is not None:
-        seeds = fused.join(corpus.files.select("collection", F.col("path").alias("file")), "file").select("query_id", "collection", F.col("file").alias("path"))
-        near = content.neighbours(edges, seeds, corpus.files).select("query_id", F.col("path").alias("file"))
+        seeds = fused.join(corpus.files.select("collection", "path", "file"), "file").select("query_id", "collection", "path")
+        near = content.neighbours(edges, seeds, corpus.files).select("query_id", F.concat_ws("/", "collection", "path").alias("file"))
         fused = fusion.with_neighbours(fused, near)
     fused = written(fused, "fused")
-    wanted = corpus.files.join(fused.select(F.col("file").alias("path")).distinct(), "path", "left_semi")
-    parts = chunking.chunks(wanted.select(F.col("path").alias("file"), "body"), "file", "body")
+    wanted = corpus.files.join(fused.select("file").distinct(), "file", "left_semi")
+    parts = chunking.chunks(wanted.select("file", "body"), "file", "body")
     best = fusion.best_chunk(fused, parts, queries).select("query_id", "file", F.col("text").alias("chunk"))
     pairs = written(best.join(queries.select("query_id", F.col("text").alias("query")), "query_id"), "pairs")
     scored = fusion.rerank(pairs, scorer=_scorer(corpus.provider)).select("query_id", "file", "rerank")
     blended = fused.join(scored, ["query_id", "file"]).withColumn("score", F.round(fusion.blend(F.col("rank"), F.col("rerank")), 6))
     top = fusion.final(blended.select("query_id", "file", "score"), least, limit)
-    said = top.join(pairs, ["query_id", "file"]).join(corpus.files.select(F.col("path").alias("file"), F.substring("hash", 1, 6).alias("docid")), "file")
+    said = top.join(pairs, ["query_id", "file"]).join(corpus.files.select("file", F.substring("hash", 1, 6).alias("docid")), "file")
     return said.select("query_id", "place", "file", "docid", "score", tx.snippet_text(tx.snippet(F.col("chunk"), F.col("query"))).alias("snippet"))
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gleanery.functions import text as tx
-from gleanery.functions.stem import with_stems
 from gleanery.operators import lexical as ops
 from gleanery.plans.catalog import DOCS, docs, query, table
 
@@ -112,8 +111,8 @@ def fts_index(spark, sf):
 
 @query("fts_search_stemmed")
 def fts_search_stemmed(spark, sf):
-    posts, stats = _all(spark, sf)
-    return ops.search(ops.parse(asked(spark, sf)), with_stems(posts), stats)
+    """Texts and queries both as folded stems."""
+    return ops.search(ops.parse(asked(spark, sf), stemmed=True), *ops.index(docs(spark, sf), _columns(), stemmed=True))
 
 
 @query("lex_parse", f"""WITH q AS (SELECT item_id, {TOK.format("text")} AS t FROM benchmark)
@@ -143,29 +142,30 @@ STRATEGY = """CASE WHEN regexp_matches(q, '^".*"$') OR (n <= 2 AND regexp_matche
  WHEN regexp_matches(q, '(?i)^(what|how|why|when|where|which|who|is|are|does|do|can|could|should|would|will|has|have|explain|describe)\\b') OR ends_with(q, '?') THEN 'question'
  WHEN n >= 15 OR regexp_matches(q, '(?i)\\b(compare|tradeoff|trade-off|versus|vs\\.?|difference|relationship|impact|architecture|design|pattern|approach)\\b') THEN 'analytical'
  WHEN n >= 3 THEN 'question' ELSE 'exact' END"""
-ASKED = """asked AS (SELECT doc_id, q, len(regexp_split_to_array(q, '\\s+')) AS n FROM (SELECT doc_id, trim(CASE doc_id % 4 WHEN 0 THEN 'how does ' ELSE '' END ||
- array_to_string(string_split(replace(text, chr(10), ' '), ' ')[1:1 + doc_id % 20], ' ') || CASE doc_id % 7 WHEN 0 THEN ' versus that' WHEN 1 THEN '?' ELSE '' END) AS q FROM documents))"""
+ASKED = """parts AS (SELECT doc_id, unnest(p) AS part, generate_subscripts(p, 1) - 1 AS pos FROM (SELECT doc_id, regexp_split_to_array(text, '[.\\n]+') AS p FROM documents)),
+asked AS (SELECT doc_id, pos, q, len(regexp_split_to_array(q, '\\s+')) AS n FROM (SELECT doc_id, pos, trim(CASE (doc_id + pos) % 4 WHEN 0 THEN 'how does ' ELSE '' END || trim(part, ' ')
+ || CASE (doc_id + pos) % 7 WHEN 0 THEN ' versus that' WHEN 1 THEN '?' ELSE '' END, ' ') AS q FROM parts WHERE trim(part, ' ') <> ''))"""
 
 
 def _asked(spark, sf):
-    d = table(spark, sf, "documents")
-    k = F.col("doc_id")
+    """Every sentence of every text, some of them dressed as questions."""
+    d = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", r"[.\n]+")).alias("pos", "part")).where("trim(part) <> ''")
+    k = F.col("doc_id") + F.col("pos")
     head = F.when(k % 4 == 0, "how does ").otherwise("")
     tail = F.when(k % 7 == 0, " versus that").when(k % 7 == 1, "?").otherwise("")
-    some = F.array_join(F.slice(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " "), F.lit(1), (1 + k % 20).cast("int")), " ")
-    return d.select("doc_id", F.trim(F.concat(head, some, tail)).alias("q"))
+    return d.select("doc_id", "pos", F.trim(F.concat(head, F.trim("part"), tail)).alias("q"))
 
 
-@query("strategy_classify", f"WITH {ASKED} SELECT doc_id, {STRATEGY} AS strategy FROM asked")
+@query("strategy_classify", f"WITH {ASKED} SELECT doc_id, pos::INT AS pos, {STRATEGY} AS strategy FROM asked")
 def strategy_classify(spark, sf):
-    return _asked(spark, sf).select("doc_id", tx.strategy(F.col("q")).alias("strategy"))
+    return _asked(spark, sf).select("doc_id", "pos", tx.strategy(F.col("q")).alias("strategy"))
 
 
-@query("auto_expand", f"WITH {ASKED} SELECT doc_id, unnest(CASE {STRATEGY} WHEN 'exact' THEN ['lex'] WHEN 'question' THEN ['lex', 'vec'] ELSE ['lex', 'vec', 'hyde'] END) AS type FROM asked")
+@query("auto_expand", f"WITH {ASKED} SELECT doc_id, pos::INT AS pos, unnest(CASE {STRATEGY} WHEN 'exact' THEN ['lex'] WHEN 'question' THEN ['lex', 'vec'] ELSE ['lex', 'vec', 'hyde'] END) AS type FROM asked")
 def auto_expand(spark, sf):
     s = tx.strategy(F.col("q"))
     kinds = F.when(s == "exact", F.array(F.lit("lex"))).when(s == "question", F.array(F.lit("lex"), F.lit("vec"))).otherwise(F.array(F.lit("lex"), F.lit("vec"), F.lit("hyde")))
-    return _asked(spark, sf).select("doc_id", F.explode(kinds).alias("type"))
+    return _asked(spark, sf).select("doc_id", "pos", F.explode(kinds).alias("type"))
 
 
 @query("structured_parse", """WITH q AS (SELECT item_id, string_split('lex: ' || replace(text, chr(10), ' ') || chr(10) || chr(10) || 'vec: ' || lower(replace(text, chr(10), ' ')) || chr(10) || 'HYDE: x' || item_id, chr(10)) AS l FROM benchmark),

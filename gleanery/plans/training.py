@@ -192,7 +192,7 @@ SCORE = f"""{ROWS}, {NAMES},
   CASE WHEN failed THEN 100 WHEN lone THEN 120 ELSE 140 END AS most FROM z),
  t AS (SELECT *, format + diversity + hyde + quality + entity + think AS total FROM d),
  s AS (SELECT *, least(CASE WHEN NOT lone AND NOT failed AND le = 1 THEN 50 ELSE 100 END, greatest(0, 100 * total::DOUBLE / most)) AS share FROM t),
- scores AS (SELECT item_id, format::INT AS format, diversity::INT AS diversity, hyde::INT AS hyde, quality::INT AS quality, entity::INT AS entity, think::INT AS think, total::INT AS total, most::INT AS most, round(share, 1) AS percentage,
+ scores AS (SELECT item_id, format::INT AS format, diversity::INT AS diversity, hyde::INT AS hyde, quality::INT AS quality, CASE WHEN lone THEN entity ELSE greatest(0, entity) END::INT AS entity, think::INT AS think, CASE WHEN lone THEN total ELSE greatest(0, total) END::INT AS total, most::INT AS most, round(share, 1) AS percentage,
   CASE WHEN share >= 80 THEN 'Excellent' WHEN share >= 60 THEN 'Good' WHEN share >= 40 THEN 'Acceptable' WHEN share >= 20 THEN 'Poor' ELSE 'Failed' END AS rating FROM s)"""
 
 

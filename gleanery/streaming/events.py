@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from gleanery.streaming import folds, stateful
 
 
 def parquet_stream(spark: SparkSession, folder: str, schema, files_per_batch: int = 1) -> DataFrame:
@@ -98,111 +99,69 @@ def fixed_windows(events: DataFrame, width: int, most: int) -> DataFrame:
     return events.groupBy("key", start).agg(F.count("*").alias("n")).withColumn("rejected", F.greatest(F.lit(0), F.col("n") - most))
 
 
-def _folded(events: DataFrame, columns: list[str], made: str, fold: Callable[[], Callable[..., object]]) -> DataFrame:
-    """event_id, key and what a fold says of each event (ts and columns), key by key in the order of time.
+def _folded(events: DataFrame, columns: list[str], made: str, fold: folds.Fold) -> DataFrame:
+    """event_id, key and what a fold says of each event (ts and columns), key by key in the order of time and id.
 
-    A task holds one batch and the state of one key, however many events a key has: rows come sorted, and fold()
-    makes the state of the next key.
+    A batch: rows come sorted, and a task holds one Arrow batch and the state of one key, however many events a key has.
+    A stream: see stateful.InOrder; what it gives in all is what the batch gives, whatever files the events come in.
     """
+    if events.isStreaming:
+        return stateful.in_order(events, columns, made, fold)
     name, kind = made.split()
     rows = events.select("event_id", "key", "ts", *columns).repartition("key").sortWithinPartitions("key", "ts", "event_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, step = object(), None
+        now, state = object(), None
         for batch in batches:
             out = []
-            seconds = batch["ts"].astype("datetime64[ns]").astype("int64") / 1e9
-            for key, t, *more in zip(batch["key"], seconds, *(batch[c] for c in columns), strict=True):
-                if step is None or key != now:
-                    now, step = key, fold()
-                out.append(step(t, *more))
+            for key, t, *more in zip(batch["key"], stateful.micros(batch["ts"]), *(batch[c] for c in columns), strict=True):
+                if key != now:
+                    now, state = key, fold.start()
+                state, value = fold.step(state, t, *more)
+                out.append(value)
             yield pd.DataFrame({"event_id": batch["event_id"], "key": batch["key"], name: out})
 
     return rows.mapInPandas(run, f"event_id bigint, key {events.schema['key'].dataType.simpleString()}, {name} {kind}")
 
 
 def anchored_limit(events: DataFrame, width: float, most: int) -> DataFrame:
-    """A window opens with a key's first event and lasts `width` seconds."""
-
-    def fold():
-        start, n = None, 0
-
-        def step(t: float) -> bool:
-            nonlocal start, n
-            if start is None or t - start >= width:
-                start, n = t, 0
-            n += 1
-            return n <= most
+    """Whether each event is allowed: a window opens with a key's first event and lasts `width` seconds."""
+    return _folded(events, [], "allowed boolean", folds.anchored(width, most))
 
-        return step
 
-    return _folded(events, [], "allowed boolean", fold)
+def quota(events: DataFrame, width: int, most: int) -> DataFrame:
+    """Whether each event is allowed: `most` in each window of `width` seconds, aligned to the epoch."""
+    return _folded(events, [], "allowed boolean", folds.aligned(width, most))
 
 
 def token_bucket(events: DataFrame, burst: int = 100, refill_seconds: float = 1.0) -> DataFrame:
-    """A token comes back each whole refill interval."""
-
-    def fold():
-        tokens, last = burst, None
-
-        def step(t: float) -> bool:
-            nonlocal tokens, last
-            last = t if last is None else last
-            back = int((t - last) // refill_seconds)
-            if back > 0:
-                tokens, last = min(burst, tokens + back), last + back * refill_seconds
-            tokens -= 1
-            tokens, allowed = max(tokens, 0), tokens >= 0
-            return allowed
-
-        return step
-
-    return _folded(events, [], "allowed boolean", fold)
+    """Whether each event is allowed: a token comes back each whole refill interval."""
+    return _folded(events, [], "allowed boolean", folds.bucket(burst, refill_seconds))
 
 
 def breaker(events: DataFrame, failures: int = 5, rest: float = 30.0) -> DataFrame:
     """event_id and state before each event (ok tells its outcome): closed, open after so many failures in a row, half-open after the rest."""
+    return _folded(events, ["ok"], "state string", folds.breaker(failures, rest))
 
-    def fold():
-        state, row, since = "closed", 0, 0.0
-
-        def step(t: float, ok: bool) -> str:
-            nonlocal state, row, since
-            if state == "open" and t - since >= rest:
-                state = "half-open"
-            before = state
-            if before != "open":
-                row = 0 if ok else row + 1
-                if ok:
-                    state = "closed"
-                elif before == "half-open" or row >= failures:
-                    state, since, row = "open", t, 0
-            return before
-
-        return step
 
-    return _folded(events, ["ok"], "state string", fold).select("event_id", "state")
+def recently_used(events: DataFrame, most: int) -> DataFrame:
+    """What each use of an item (item) does to a cache of `most` items a key: hit, or the items that go, least recently used first."""
+    return _folded(events, ["item"], "evicted array<string>", folds.recently_used(most))
 
 
 def sliding_ttl(stream: DataFrame, seconds: int, late: str = "0 seconds") -> DataFrame:
-    """key, n and expired of a stream (key, ts): events while a key is live; its state ends when the watermark is `seconds` past its last event."""
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            n, _ = state.get
-            state.remove()
-            yield pd.DataFrame({"key": [key[0]], "n": [n], "expired": [True]})
-            return
-        n, last = state.get if state.exists else (0, 0)
-        for batch in batches:
-            n += len(batch)
-            last = max(last, int(batch["ts"].astype("datetime64[ns]").max().value // 10**6))
-        state.update((n, last))
-        state.setTimeoutTimestamp(max(last + seconds * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"key": [key[0]], "n": [n], "expired": [False]})
-
-    kind = stream.schema["key"].dataType.simpleString()
-    return timed(stream, late).groupBy("key").applyInPandasWithState(step, f"key {kind}, n bigint, expired boolean", "n bigint, last bigint", "update", GroupStateTimeout.EventTimeTimeout)
+    """key, first, last and n of each life of a key (event_id, key, ts): it ends `seconds` after its last event; the next event begins another.
+
+    A batch gives all lives; a stream gives a life when the watermark has passed its end.
+    """
+    if stream.isStreaming:
+        return stateful.lives(stream, seconds)
+    order = Window.partitionBy("key").orderBy("ts", "event_id")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    fresh = F.coalesce(micros - F.lag(micros).over(order) >= seconds * 1_000_000, F.lit(True))
+    life = F.sum(F.col("fresh").cast("int")).over(order)
+    rows = stream.withColumn("fresh", fresh).withColumn("life", life)
+    return rows.groupBy("key", "life").agg(F.min("ts").cast("timestamp").alias("first"), F.max("ts").cast("timestamp").alias("last"), F.count("*").alias("n")).drop("life")
 
 
 def last_per_key(events: DataFrame, key: str, n: int) -> DataFrame:

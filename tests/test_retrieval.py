@@ -29,15 +29,15 @@ def queries_of(spark, *texts):
 def test_hybrid_finds_active_files_with_snippets(spark):
     rows = retrieval.hybrid(queries_of(spark, "install docker", "warm soil"), corpus_of(spark, TEXTS)).collect()
     first = {r["query_id"]: r for r in rows if r["place"] == 1}
-    assert first[0]["file"] == "d/docker.md" and first[1]["file"] == "d/garden.md" and "docker" in first[0]["snippet"].lower()
-    assert not {r["file"] for r in rows} & {"d/gone.md"} and all(r["docid"] == "0" * 6 for r in rows)
+    assert first[0]["file"] == "c/d/docker.md" and first[1]["file"] == "c/d/garden.md" and "docker" in first[0]["snippet"].lower()
+    assert not {r["file"] for r in rows} & {"c/d/gone.md"} and all(r["docid"] == "0" * 6 for r in rows)
 
 
 def test_the_graph_adds_neighbours(spark):
     corpus = corpus_of(spark, TEXTS)
     edges = spark.createDataFrame([("c", "d/docker.md", "d/garden.md")], "collection string, source_path string, target_path string")
     files = lambda e: {r["file"] for r in retrieval.hybrid(queries_of(spark, '"install docker"'), corpus, e, candidates=1).collect()}
-    assert files(None) == {"d/docker.md"} and files(edges) == {"d/docker.md", "d/garden.md"}
+    assert files(None) == {"c/d/docker.md"} and files(edges) == {"c/d/docker.md", "c/d/garden.md"}
 
 
 def test_providers_are_used(spark):
@@ -54,18 +54,57 @@ def test_providers_are_used(spark):
     plain = retrieval.hybrid(query, corpus_of(spark, TEXTS)).collect()
     other = retrieval.hybrid(query, corpus_of(spark, TEXTS, provider=Other())).collect()
     score = lambda rows: {r["file"]: r["score"] for r in rows}
-    assert score(other)["d/garden.md"] > score(plain).get("d/garden.md", 0)
+    assert score(other)["c/d/garden.md"] > score(plain).get("c/d/garden.md", 0)
 
 
 def test_structured_takes_each_line_by_its_type(spark):
     corpus = corpus_of(spark, TEXTS)
     words = retrieval.structured(queries_of(spark, "lex: tomatoes\nwhatever"), corpus).collect()
-    assert [r["file"] for r in words] == ["d/garden.md"]
+    assert [r["file"] for r in words] == ["c/d/garden.md"]
     both = retrieval.structured(queries_of(spark, "lex: tomatoes\nvec: docker cluster"), corpus).collect()
-    assert {"d/garden.md", "d/kubernetes.md"} <= {r["file"] for r in both}
+    assert {"c/d/garden.md", "c/d/kubernetes.md"} <= {r["file"] for r in both}
     assert retrieval.structured(queries_of(spark, "no type here"), corpus).count() == 0
 
 
+def test_equal_paths_of_two_collections_are_two_files(spark):
+    rows = [(1, "a", "d/x.md", "1" * 64, "Install docker on linux now.", True), (2, "b", "d/x.md", "2" * 64, "Docker runs in a cluster of machines.", True)]
+    out = retrieval.hybrid(queries_of(spark, "docker", "linux"), retrieval.Corpus(spark.createDataFrame(rows, FILES))).collect()
+    found = {(r["query_id"], r["file"]): (r["docid"], r["snippet"]) for r in out}
+    assert len(found) == len(out) and {f for q, f in found if q == 0} == {"a/d/x.md", "b/d/x.md"}
+    assert found[0, "a/d/x.md"][0] == "1" * 6 and "Install" in found[0, "a/d/x.md"][1] and found[0, "b/d/x.md"][0] == "2" * 6 and "cluster" in found[0, "b/d/x.md"][1]
+    assert next(r["file"] for r in out if r["query_id"] == 1 and r["place"] == 1) == "a/d/x.md"
+
+
+def test_words_meet_by_their_stems(spark):
+    texts = {"a": "She was running home.", "b": "Connections of cafés", "c": "They run daily", "d": "nothing here"}
+    corpus = corpus_of(spark, texts)
+    asked = spark.createDataFrame([(0, 0, "running"), (1, 0, "connected"), (2, 0, "CAFE"), (3, 0, '"running homes"'), (4, 0, "runs -home")], "query_id bigint, list_idx int, text string")
+    found = {}
+    for r in corpus.by_words(asked).collect():
+        found.setdefault(r["query_id"], set()).add(r["file"])
+    assert found == {0: {"c/d/a.md", "c/d/c.md"}, 1: {"c/d/b.md"}, 2: {"c/d/b.md"}, 3: {"c/d/a.md"}, 4: {"c/d/c.md"}}
+
+
+def test_stemmed_scores_equal_sqlite(spark, sf):
+    import sqlite3
+
+    from gleanery.operators import lexical
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    base = sqlite3.connect(":memory:")
+    base.execute("CREATE VIRTUAL TABLE t USING fts5(text, tokenize='porter unicode61')")
+    base.executemany("INSERT INTO t(rowid, text) VALUES (?, ?)", [(r["doc_id"] + 1, r["text"]) for r in docs.collect()])
+    words = ["running", "thinking and", "tions", '"of the"', "ation", "onthe", "les élève"]
+    q = spark.createDataFrame(list(enumerate(words)), "query_id bigint, text string")
+    ours = {}
+    for r in lexical.search(lexical.parse(q, stemmed=True), *lexical.index(docs, {"body": F.col("text")}, stemmed=True), limit=None).collect():
+        ours.setdefault(r["query_id"], {})[r["doc_id"]] = r["bm25"]
+    for i, text in enumerate(words):
+        match = text if text.startswith('"') else " ".join(f'"{w}"*' for w in text.split())
+        theirs = {i - 1: s for i, s in base.execute("SELECT rowid, bm25(t) FROM t WHERE t MATCH ?", (match,))}
+        assert ours.get(i, {}) == pytest.approx(theirs, abs=2e-6), text
+
+
 def test_empty_corpus_and_queries(spark):
     corpus = corpus_of(spark, TEXTS)
     assert retrieval.hybrid(queries_of(spark, "x").limit(0), corpus).count() == 0

@@ -149,7 +149,7 @@ def test_words_far_into_a_text_have_vectors(spark):
     queries = spark.createDataFrame([(0, 7, "zebra quagga okapi")], "query_id bigint, list_idx int, text string")
     found = {r["file"]: (r["rank"], r["score"]) for r in retrieval.Corpus(corpus).by_vectors(queries).collect()}
     # the prompts of query and document have words of their own, so even the same words are not at distance 0
-    assert found["en/doc_1.md"][0] == 1 and found["en/doc_5.md"][0] == 2 and found["en/doc_1.md"][1] > 0.6 > found["en/doc_2.md"][1]
+    assert found["src/en/doc_1.md"][0] == 1 and found["src/en/doc_5.md"][0] == 2 and found["src/en/doc_1.md"][1] > 0.6 > found["src/en/doc_2.md"][1]
     assert "en/doc_3.md" not in found
     ids = {r["vec_id"] for r in retrieval.chunk_vectors(corpus, Deterministic()).select("vec_id").collect()}
     parts = len(chunking.chunk(late))
