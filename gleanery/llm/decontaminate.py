@@ -38,7 +38,7 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST = 0.5
 FILTER_BITS = 29
 INLINE_WORDS = 1_000_000
-BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
 # Words are runs of bytes that are neither blanks, controls nor these; A-Z are lowered.
 _BETWEEN = b".,;:!?\"'()[]{}<>*#$%&|-_~`/\\"
 _PIECE = 1 << 19
@@ -273,8 +273,10 @@ def filters_of(found: DataFrame, seeds: DataFrame, seed_words: int = SEED_WORDS)
 
 
 def _sized(df: DataFrame) -> DataFrame:
-    """A written table, marked for broadcast if it has few rows."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """A written table, marked for broadcast if its values take BROADCAST_BYTES at most; 64 bytes a row count besides texts and bytes."""
+    long = [F.coalesce(F.octet_length(f"`{c}`"), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    size = df.agg(F.sum(sum(long, F.lit(64)).cast("bigint"))).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 class Index:

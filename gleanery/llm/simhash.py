@@ -315,9 +315,9 @@ def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
     sized = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     named = docs.where("doc_id is not null")
     kept = docs.where("doc_id is null").unionByName(named.join(sized(gone), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns]))
-    # one of the rows that share an id: the first by hash, of rows with equal hashes any
+    # one of the rows that share an id: the first by hash of the text, then by digest of the whole row, so that only equal rows tie
     rows = named.join(sized(again), "doc_id", "left_semi").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), F.col(f"`{text}`").alias("text"))
-    one = rows.groupBy("id").agg(F.min_by("row", F.xxhash64("text")).alias("row"))
+    one = rows.groupBy("id").agg(F.min_by("row", F.struct(F.xxhash64("text"), F.md5(F.to_json("row")))).alias("row"))
     return kept.unionByName(one.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns]))
 
 

@@ -32,7 +32,7 @@ _FUNCTION_WORDS = {
     "en": "the and of to in is it that for on with as are this be was by an at or from",
     "de": "der die und das den dem des ein eine zu mit von ist im auf für sich nicht als auch",
     "fr": "le la les des un une et en du que qui dans pour par sur avec est pas au elle",
-    "es": "el los las una del y en que por con para se su es al lo como más no ue",
+    "es": "el los las una del y en que por con para se su es al lo como más no",
 }
 LANGUAGES = ("other", *_FUNCTION_WORDS)
 

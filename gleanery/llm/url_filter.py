@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from gleanery.llm.common import table, written
 
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
-# Suffixes of two labels under which names are registered (a sample of the public list; a parameter).
+# Suffixes of two labels under which names are registered: the commonest; suffixes_of() reads all from a file of the public list.
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.in", "co.nz", "co.za", "com.cn", "com.mx", "com.tr")
 LIMIT, Z = 0.3, 1.6448536269514722
 
@@ -42,6 +42,16 @@ def rule_for(host: str, path: str, rules=RULES) -> Column:
     return out
 
 
+def suffixes_of(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """The suffixes of two labels of a file in the form of the public suffix list (a rule a line, // begins a comment), for `judge` and `reputation`.
+
+    Wildcards and exceptions name no suffix of two labels themselves and are passed over. The list has some ten thousand lines.
+    """
+    rule = F.lower(F.regexp_extract("value", r"^\s*(\S*)", 1))
+    rows = spark.read.text(path).select(rule.alias("rule")).where(~F.startswith("rule", F.lit("//")) & F.col("rule").rlike(r"^[^.*!]+\.[^.*!]+$"))
+    return tuple(sorted(r["rule"] for r in rows.distinct().collect()))
+
+
 def _moments(level: str) -> list[Column]:
     return [F.count("*").alias(f"{level}_k"), F.sum(F.col("n") * F.col("n")).alias(f"{level}_nn"), F.sum(F.when(F.col("n") > 0, F.col("bad") * F.col("bad") / F.col("n"))).alias(f"{level}_xx")]
 
@@ -57,14 +67,14 @@ def strength(k: float, total: float, bad: float, nn: float, xx: float) -> float:
     return 1 / min(max(rho, 0.002), 0.5) - 1
 
 
-def reputation(pages: DataFrame, outcomes: DataFrame, limit: float = LIMIT, z: float = Z) -> DataFrame:
+def reputation(pages: DataFrame, outcomes: DataFrame, limit: float = LIMIT, z: float = Z, two_labels: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> DataFrame:
     """host and blocked, for every host of pages (page_id, host); outcomes: page_id, bad (0 or 1)."""
     known = outcomes.where("page_id is not null and bad is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
     joined = pages.select("page_id", "host").join(known, "page_id", "left")
     hosts = joined.groupBy("host").agg(F.count("bad").cast("double").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("bad"))
     two = F.array_join(F.slice(F.split("host", r"\."), F.lit(-2), F.lit(2)), ".")
     last = lambda n: F.when(F.size(F.split("host", r"\.")) <= n, F.col("host")).otherwise(F.array_join(F.slice(F.split("host", r"\."), F.lit(-n), F.lit(n)), "."))
-    long_suffix = F.when(F.size(F.split("host", r"\.")) > 2, two.isin(*TWO_LABEL_SUFFIXES)).otherwise(F.lit(False))
+    long_suffix = F.when(F.size(F.split("host", r"\.")) > 2, two.isin(*two_labels)).otherwise(F.lit(False))
     hosts = hosts.withColumn("domain", F.when(long_suffix, last(3)).otherwise(last(2))).withColumn("suffix", F.when(long_suffix, last(2)).otherwise(last(1)))
     hosts = written(pages.sparkSession, hosts, "hosts")
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
@@ -82,13 +92,13 @@ def reputation(pages: DataFrame, outcomes: DataFrame, limit: float = LIMIT, z: f
     return hosts.join(domains, ["suffix", "domain"]).select("host", (low > limit).alias("blocked"))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, limit: float = LIMIT, z: float = Z) -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, limit: float = LIMIT, z: float = Z, two_labels: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> DataFrame:
     """page_id, host, path, rule and verdict for every row of pages (page_id, url)."""
     host, path = host_and_path(F.col("url"))
     parsed = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("rule", rule_for("host", "path", rules))
     said = F.create_map(*[F.lit(x) for r in rules for x in r])
     verdict = F.when(F.col("rule").isNotNull(), said[F.col("rule")]).when(F.col("blocked"), F.lit("block")).otherwise(F.lit("allow"))
-    return parsed.join(reputation(parsed, outcomes, limit, z), "host", "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"))
+    return parsed.join(reputation(parsed, outcomes, limit, z, two_labels), "host", "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"))
 
 
 def page_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:

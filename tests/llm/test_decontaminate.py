@@ -57,7 +57,7 @@ def test_the_query_equals_full_alignment(spark, monkeypatch, inline):
 
 @pytest.mark.parametrize(("most", "inline"), [(0, 0), (500_000, 0), (0, 1_000_000), (500_000, 1_000_000)])
 def test_however_tables_are_joined(spark, monkeypatch, most, inline):
-    monkeypatch.setattr(d, "BROADCAST_ROWS", most)
+    monkeypatch.setattr(d, "BROADCAST_BYTES", most)
     monkeypatch.setattr(d, "INLINE_WORDS", inline)
     items = spark.createDataFrame([(1, "one two three four five six"), (1, "one two three four five six"), (2, "tiny"), (None, "one two three"), (3, None), (4, " ,. ")], "item_id bigint, text string")
     docs = documents(spark, [*ODD, (50, "x one two THREE, four-five six y"), (50, "x one two THREE, four-five six y"), (None, "one two three four five six"), (51, "a tiny one")])

@@ -371,3 +371,22 @@ def test_columns_of_any_name_pass(spark):
     items = spark.createDataFrame([(1, ITEM)], "item_id bigint, text string")
     for out in (secrets.redact(docs), toxicity.clean(docs, toxicity.Constant()), simhash.keep_one(docs), decontaminate.clean(docs, items)):
         assert out.columns == docs.columns and {r["base"] for r in out.collect()} == {"base"}
+
+
+def test_suffixes_of_a_list(spark, tmp_path):
+    file = tmp_path / "list.dat"
+    file.write_text("// made-up list\ncom\nCO.UK\nweb.za\n*.ck\n!www.ck\na.b.c\n  \ngov.xx  comment\n")
+    found = url_filter.suffixes_of(spark, str(file))
+    assert found == ("co.uk", "gov.xx", "web.za")
+    pages = spark.createDataFrame([(i, f"http://{h}/x") for i, h in enumerate(["a.web.za"] * 40 + ["b.web.za"] * 2)], "page_id bigint, url string")
+    bad = spark.createDataFrame([(i, 1) for i in range(40)], "page_id bigint, bad int")
+    told = lambda **more: {r["host"]: r["verdict"] for r in url_filter.judge(pages, bad, **more).collect()}
+    assert told(two_labels=found)["a.web.za"] == told()["a.web.za"]
+
+
+def test_rows_of_one_id_and_text_leave_the_same_row(spark):
+    from gleanery.llm import simhash
+
+    rows = [(1, "some words that repeat here", s) for s in "dacb"] + [(2, "other", "x")]
+    kept = {tuple(sorted(map(tuple, simhash.keep_one(spark.createDataFrame(rows[i:] + rows[:i], "doc_id bigint, text string, source string").repartition(n)).collect()))) for i, n in ((0, 1), (2, 3), (3, 5))}
+    assert len(kept) == 1 and len(next(iter(kept))) == 2
