@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from gleanery.operators import proximity
 from gleanery.operators import vectors as ops
 from gleanery.plans.catalog import query, table, vectors
 from gleanery.sources.tables import written
@@ -141,6 +143,36 @@ def ivf_recall(spark, sf):
     return ops.recall(_ivf(spark, sf), ops.exact(_queries(spark, sf), vectors(spark, sf), 10))
 
 
+def _hnsw(spark, sf):
+    v = vectors(spark, sf)
+    graphs = proximity.hnsw_build(v)
+    return proximity.hnsw_search(_queries(spark, sf), graphs, 10, proximity.calibrated(v, graphs, 10))
+
+
+@query("hnsw_build", "SELECT vec_id, true AS held FROM embeddings")
+def hnsw_build(spark, sf):
+    """Every vector is a node of the graph of its shard."""
+    def ids(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                found = pa.array(np.frombuffer(raw, np.int64))
+                yield pa.RecordBatch.from_arrays([found, pa.array([True] * len(found))], ["vec_id", "held"])
+
+    return proximity.hnsw_build(vectors(spark, sf)).select("ids").mapInArrow(ids, "vec_id bigint, held boolean")
+
+
+@query("hnsw_search")
+def hnsw_search(spark, sf):
+    return _hnsw(spark, sf)
+
+
+@query("hnsw_recall")
+def hnsw_recall(spark, sf):
+    return ops.recall(_hnsw(spark, sf), ops.exact(_queries(spark, sf), vectors(spark, sf), 10))
+
+
 SHARDED = "s AS (SELECT vec_id, label, ('0x' || substr(sha256(vec_id::VARCHAR), 1, 8))::BIGINT % 8 AS shard FROM embeddings)"
 
 
