@@ -30,7 +30,7 @@ def _bonus(best: Column) -> Column:
 
 def rrf(lists: DataFrame, weights: DataFrame, k: int = K, cut: int = CUT) -> DataFrame:
     """query_id, file, score and rank: weighted reciprocal ranks with a bonus for the best rank; ties keep the order in which files were first seen."""
-    part = lists.where(F.col("rank") <= cut).join(F.broadcast(weights), ["query_id", "list_idx"])
+    part = lists.where(F.col("rank") <= cut).join(weights, ["query_id", "list_idx"])
     fused = part.groupBy("query_id", "file").agg(F.sum(F.col("weight") / (k + F.col("rank"))).alias("base"), F.min("rank").alias("best"), F.min(F.struct("list_idx", "rank")).alias("seen"))
     scored = fused.select("query_id", "file", F.round(F.col("base") + _bonus(F.col("best")), 9).alias("score"), "seen")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "seen")
@@ -39,7 +39,7 @@ def rrf(lists: DataFrame, weights: DataFrame, k: int = K, cut: int = CUT) -> Dat
 
 def rrf_trace(lists: DataFrame, weights: DataFrame, k: int = K) -> DataFrame:
     """query_id, file, contributions (in list order), base, bonus and total; lists are not cut."""
-    part = lists.join(F.broadcast(weights), ["query_id", "list_idx"]).withColumn("c", F.struct("list_idx", "rank", "weight", F.round(F.col("weight") / (k + F.col("rank")), 9).alias("contribution")))
+    part = lists.join(weights, ["query_id", "list_idx"]).withColumn("c", F.struct("list_idx", "rank", "weight", F.round(F.col("weight") / (k + F.col("rank")), 9).alias("contribution")))
     each = part.groupBy("query_id", "file").agg(F.array_sort(F.collect_list("c")).alias("contributions"), F.round(F.sum(F.col("weight") / (k + F.col("rank"))), 9).alias("base"), F.min("rank").alias("best"))
     return each.select("query_id", "file", "contributions", "base", _bonus(F.col("best")).alias("bonus"), F.round(F.col("base") + _bonus(F.col("best")), 9).alias("total"))
 
@@ -61,7 +61,7 @@ def best_chunk(candidates: DataFrame, chunks: DataFrame, queries: DataFrame) ->
     """For each candidate (query_id, file) the chunk (file, seq, text) with most distinct words of its query (text), the first at a tie."""
     terms = F.array_distinct(F.filter(F.split(F.lower("query"), r"\s+"), lambda t: F.length(t) > 2))
     asked = queries.select("query_id", F.col("text").alias("query")).select("query_id", terms.alias("terms"))
-    pairs = candidates.select("query_id", "file").join(F.broadcast(asked), "query_id").join(chunks, "file")
+    pairs = candidates.select("query_id", "file").join(asked, "query_id").join(chunks, "file")
     overlap = F.size(F.filter("terms", lambda t: F.contains(F.lower(F.col("text")), t)))
     best = pairs.groupBy("query_id", "file").agg(F.min(F.struct((-overlap).alias("o"), "seq", "text")).alias("b"))
     return best.select("query_id", "file", F.col("b.seq").alias("seq"), (-F.col("b.o")).alias("overlap"), F.col("b.text").alias("text"))

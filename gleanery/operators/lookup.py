@@ -59,9 +59,24 @@ def find(queries: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def similar_paths(queries: DataFrame, docs: DataFrame, most: int, limit: int) -> DataFrame:
-    """query_id, path and distance of the paths nearest to `wanted` by edits, lengths compared first."""
-    q = F.broadcast(queries.select("query_id", "wanted"))
-    near = docs.select("path").join(q, F.abs(F.length("path") - F.length("wanted")) <= most).withColumn("distance", F.levenshtein("path", "wanted", most)).where("distance >= 0")
+    """query_id, path and distance of the distinct paths nearest to `wanted` by edits, `most` at most.
+
+    By segments: a path is cut into most + 1 parts of about equal length; as many edits leave one of them as it is, at most
+    places away. So paths are joined by length, number and text of a part with what `wanted` holds at these places, and verified; a path
+    gives most + 1 rows, a query (of which there are fewer) a number that does not depend on the paths.
+    """
+    parts = most + 1
+    paths = docs.select("path").where("path is not null").distinct()
+    at = lambda n, i: F.floor(n * i / parts).cast("int")
+    part = lambda c, n, i, start: F.substring(c, start + 1, at(n, i + 1) - at(n, i))
+    n = F.length("path")
+    cut = paths.select("path", F.explode(F.array(*[F.struct(n.alias("n"), F.lit(i).alias("i"), part(F.col("path"), n, i, at(n, i)).alias("text")) for i in range(parts)])).alias("k"))
+    q = queries.select("query_id", "wanted").where("wanted is not null")
+    q = q.withColumn("n", F.explode(F.sequence(F.greatest(F.length("wanted") - most, F.lit(0)), F.length("wanted") + most)))
+    q = q.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(most)))).withColumn("shift", F.explode(F.sequence(F.lit(-most), F.lit(most))))
+    start = at(F.col("n"), F.col("i")) + F.col("shift")
+    held = q.where(start >= 0).select("query_id", "wanted", F.struct("n", "i", part(F.col("wanted"), F.col("n"), F.col("i"), start).alias("text")).alias("k")).distinct()
+    near = cut.join(held, "k").withColumn("distance", F.levenshtein("path", "wanted", most)).where("distance >= 0").select("query_id", "path", "distance").distinct()
     order = Window.partitionBy("query_id").orderBy("distance", "path")
     return near.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= limit).select("query_id", "path", "distance")
 

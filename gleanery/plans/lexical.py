@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from gleanery.functions import text as tx
 from gleanery.operators import lexical as ops
+from gleanery.operators.inverted import TextIndex
 from gleanery.plans.catalog import DOCS, docs, query, table
+from gleanery.sources.tables import folder
+
 
 def _columns():
     return {"filepath": F.concat("collection", F.lit("/"), "path"), "title": tx.stem_of(F.col("path")), "body": F.col("body")}
@@ -109,6 +112,26 @@ def fts_index(spark, sf):
     return _all(spark, sf)[0].groupBy("term").agg(F.count_distinct("doc_id").alias("df"), F.count("*").alias("tf"))
 
 
+def _kept(spark, sf):
+    return TextIndex(spark, folder(spark, "index"), _columns(), stemmed=False)
+
+
+@query("fts_index_kept", f"{_bm25_sql(FIRST2)} SELECT * FROM ranked")
+def fts_index_kept(spark, sf):
+    """The search of fts_search in an index that is built without a third of the documents, and updated with these and with some that it has already."""
+    d, index = docs(spark, sf), _kept(spark, sf)
+    index.build(d.where("doc_id % 3 <> 1")).update(d.where("doc_id % 3 = 1 OR doc_id % 5 = 0"))
+    return index.search(index.parse(asked(spark, sf)))
+
+
+@query("fts_index_pruned", f"{_bm25_sql('SELECT item_id AS query_id, unnest([0, 1]) AS phrase, unnest(' + PICK + '[1:2]) AS q, false AS prefix FROM benchmark')} SELECT * FROM ranked")
+def fts_index_pruned(spark, sf):
+    """Two whole terms of each item, by bounds of blocks."""
+    index = _kept(spark, sf).build(docs(spark, sf))
+    words = F.transform(F.slice(picked(), 1, 2), lambda t: F.concat(F.lit('"'), t, F.lit('"')))
+    return index.search(index.parse(table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("text"))))
+
+
 @query("fts_search_stemmed")
 def fts_search_stemmed(spark, sf):
     """Texts and queries both as folded stems."""

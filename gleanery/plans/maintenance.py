@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gleanery.operators import maintenance as ops
+from gleanery.operators import shards
 from gleanery.plans.catalog import DOCS, EDGES, docs, edges, query, table
 from gleanery.plans.content import VECS, _chunk_vectors
 from gleanery.plans.fusion import FUSED, _fused
@@ -84,6 +85,24 @@ def shard_sync(spark, sf):
     return ops.shard_sync(v, held.unionByName(spark.createDataFrame([(-5, 2)], "vec_id bigint, shard bigint")), 4, 100, 64)
 
 
+@query("shard_sync_kept", f"SELECT vec_id, ({SHARD})::INT AS shard FROM embeddings")
+def shard_sync_kept(spark, sf):
+    """Vectors copied to written shards by a run that ends after its first batch and one that goes on behind its cursor."""
+    v, root = table(spark, sf, "embeddings").select("vec_id", "embedding"), folder(spark, "sync")
+    shards.sync(v, root, 4, 10_000, stop_after=1)
+    shards.sync(v, root, 4, 10_000)
+    return shards.held(spark, root, v.schema).select("vec_id", "shard")
+
+
+@query("st_checkpoint", f"SELECT ({SHARD})::INT AS shard, count(*) AS source_rows, count(*) AS shard_rows, 0::BIGINT AS missing, 0::BIGINT AS extra, 0::BIGINT AS misplaced, true AS equal FROM embeddings GROUP BY 1")
+def st_checkpoint(spark, sf):
+    """Parity of shards after a change of their number in the middle of a copy."""
+    v, root = table(spark, sf, "embeddings").select("vec_id", "embedding"), folder(spark, "sync")
+    shards.sync(v, root, 7, 10_000, stop_after=1)
+    shards.sync(v, root, 4, 10_000)
+    return shards.parity(v, shards.held(spark, root, v.schema), 4)
+
+
 @query("sink_prometheus", """WITH n AS (SELECT user_id::VARCHAR AS label, count(*) AS n FROM events GROUP BY 1), r AS (SELECT CASE WHEN row_number() OVER (ORDER BY label) <= 10 THEN label ELSE 'overflow' END AS label, n FROM n)
  SELECT 'events_total{user="' || label || '"} ' || sum(n) AS line FROM r GROUP BY label""")
 def sink_prometheus(spark, sf):

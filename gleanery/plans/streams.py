@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleanery.plans.catalog import query, table
+from gleanery.plans.catalog import DOCS, docs, query, table
 from gleanery.sources.tables import folder
+from gleanery.sources.watch import FolderEvents
 from gleanery.streaming import events as ops
+from gleanery.streaming.deltas import Deltas
 
 
 def _events(spark, sf):
@@ -188,3 +190,31 @@ def st_ttl(spark, sf):
 def st_static_join(spark, sf):
     rich = table(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("user_id"))
     return _drained(_stream(spark, sf).join(rich, "user_id", "left_semi").groupBy("user_id").agg(F.count("*").alias("n")), "complete")
+
+
+@query("st_process", f"""WITH {DOCS}, e AS (SELECT path, hash || '+' AS hash, event_id AS seq, CASE event_type WHEN 'error' THEN 'unlink' ELSE 'change' END AS type FROM events JOIN docs ON doc_id = event_id // 4),
+ l AS (SELECT path, hash, type FROM e QUALIFY row_number() OVER (PARTITION BY path ORDER BY seq DESC) = 1) SELECT path, hash FROM docs WHERE path NOT IN (SELECT path FROM l) UNION ALL SELECT path, hash FROM l WHERE type <> 'unlink'""")
+def st_process(spark, sf):
+    """The corpus as a base and deltas, followed by a stream of events."""
+    d = docs(spark, sf)
+    kept = Deltas(spark, folder(spark, "corpus"), "path string, hash string")
+    kept.start(d.select("path", "hash"))
+    kind = F.when(F.col("event_type") == "error", "unlink").otherwise("change")
+    e = _stream(spark, sf).withColumn("doc_id", F.floor(F.col("event_id") / 4)).join(d.select("doc_id", "path", "hash"), "doc_id")
+    run = kept.follow(e.select("path", F.concat("hash", F.lit("+")).alias("hash"), F.col("event_id").alias("seq"), kind.alias("type")), {"availableNow": True})
+    try:
+        run.awaitTermination()
+    finally:
+        run.stop()
+    return kept.read()
+
+
+@query("st_watch", "SELECT DISTINCT 'source=' || source || '/lang=' || lang AS folder, 'add' AS type FROM documents")
+def st_watch(spark, sf):
+    """The files of the documents' table, written in folders by source and language, as a watched folder tells them."""
+    spark.dataSource.register(FolderEvents)
+    place, state = folder(spark, "watched"), folder(spark, "listings")
+    table(spark, sf, "documents").select("doc_id", "source", "lang").write.partitionBy("source", "lang").parquet(place)
+    events = spark.readStream.format("folder_events").options(path=place, state=state, pattern="*.parquet").load()
+    found = _drained(events, "append")
+    return found.select(F.regexp_extract("path", "^(.*)/", 1).alias("folder"), "type").distinct()

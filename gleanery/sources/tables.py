@@ -57,3 +57,60 @@ def ranked(df: DataFrame, *order: str, name: str = "ranked") -> DataFrame:
     # one row a task
     numbered = rows.withColumn("_task", task).join(F.broadcast(starts), "_task")
     return numbered.withColumn("_at", F.col("_before") + F.col("_id").bitwiseAND(_ROW)).drop("_task", "_before", "_id")
+
+
+def _files(spark: SparkSession, root: str):
+    base = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return base, base.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def committed(spark: SparkSession, root: str, prefix: str) -> list[tuple[int, str]]:
+    """(number, path) of the whole tables named prefix-number in a folder, by number; one that a failure left half written has no mark and is no table."""
+    base, files = _files(spark, root)
+    if not files.exists(base):
+        return []
+    found = [s.getPath() for s in files.listStatus(base) if s.getPath().getName().startswith(f"{prefix}-")]
+    whole = [p for p in found if files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted((int(p.getName().rpartition("-")[2]), p.toString()) for p in whole)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Take a table away, with all its files."""
+    base, files = _files(spark, path)
+    files.delete(base, True)
+
+
+def put_state(spark: SparkSession, path: str, state: dict) -> None:
+    """A small state as one JSON file, put in place at once."""
+    import json
+
+    base, files = _files(spark, path)
+    begun = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    out = files.create(begun, True)
+    out.write(bytearray(json.dumps(state, sort_keys=True).encode()))
+    out.close()
+    files.delete(base, False)
+    if not files.rename(begun, base):
+        raise OSError(f"{path} can't be put in place")
+
+
+def get_state(spark: SparkSession, path: str) -> dict | None:
+    """The state put there; None if there is none or what is there is damaged."""
+    import json
+
+    from py4j.protocol import Py4JJavaError
+
+    base, files = _files(spark, path)
+    if not files.exists(base):
+        return None
+    stream = files.open(base)
+    try:
+        return json.loads(bytes(stream.readAllBytes()).decode())
+    except ValueError:
+        return None
+    except Py4JJavaError as failure:
+        if "ChecksumException" in str(failure.java_exception):
+            return None
+        raise
+    finally:
+        stream.close()

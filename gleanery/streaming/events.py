@@ -19,11 +19,6 @@ def parquet_stream(spark: SparkSession, folder: str, schema, files_per_batch: in
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-def watched_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """path, length, modificationTime and content of files as they come; deletions come as rows of a tombstone table."""
-    return spark.readStream.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
-
-
 def timed(events: DataFrame, late: str) -> DataFrame:
     """A stream with a watermark on ts, which has to be an instant; a batch as it is."""
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
@@ -56,32 +51,6 @@ def ingest(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoin
     return (writer.trigger(**trigger) if trigger else writer).start()
 
 
-def ingest_files(events: DataFrame, start: DataFrame, root: str, trigger: dict | None = None) -> StreamingQuery:
-    """Keep a snapshot of files up to date from a stream of events (path, type, seq, further columns): adds, changes and unlinks.
-
-    Each micro-batch writes a new snapshot, named by its number, from the one before; `latest` reads the last that
-    is whole. A batch that runs again after a failure starts from the same snapshot and writes the same one.
-    """
-    from gleanery.operators.maintenance import applied
-
-    spark, columns = start.sparkSession, start.schema
-
-    def step(batch: DataFrame, number: int) -> None:
-        before = start if number == 0 else spark.read.schema(columns).parquet(f"{root}/snapshot-{number - 1}")
-        applied(before, batch).write.mode("overwrite").parquet(f"{root}/snapshot-{number}")
-
-    return ingest(events, step, f"{root}/state", trigger=trigger)
-
-
-def latest(spark: SparkSession, root: str, schema) -> DataFrame:
-    """The last whole snapshot of ingest_files()."""
-    base = spark._jvm.org.apache.hadoop.fs.Path(root)
-    files = base.getFileSystem(spark._jsc.hadoopConfiguration())
-    done = [s.getPath() for s in files.listStatus(base) if s.getPath().getName().startswith("snapshot-") and files.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    newest = max(done, key=lambda p: int(p.getName().rpartition("-")[2]))
-    return spark.read.schema(schema).parquet(newest.toString())
-
-
 def usage_once(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     """Each idempotency key once."""
     return events.withWatermark("created_at", late).dropDuplicatesWithinWatermark(["idempotency_key"]) if events.isStreaming else events.dropDuplicates(["idempotency_key"])

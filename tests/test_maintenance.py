@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from gleanery.operators import fusion, maintenance as ops
 from gleanery.sources import sinks
-from gleanery.streaming import events
+from gleanery.streaming.deltas import Deltas
 
 
 def test_a_collection_goes_from_all_tables(spark):
@@ -98,11 +98,14 @@ def test_files_are_ingested_with_unlinks_and_restarts(spark, tmp_path):
 
     start = spark.createDataFrame([("a", "h0"), ("b", "h0")], "path string, hash string")
 
+    kept = Deltas(spark, root, start.schema)
+    kept.start(start)
+
     def drain():
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(f"file://{source}")
-        run = events.ingest_files(stream, start, root, {"availableNow": True})
+        run = kept.follow(stream, {"availableNow": True}, every=2)
         assert run.awaitTermination(120)
-        return sorted(tuple(r) for r in events.latest(spark, root, start.schema).collect())
+        return sorted(tuple(r) for r in kept.read().collect())
 
     deliver("one", [("a", "change", 1, "h1"), ("c", "add", 2, "h1"), ("c", "unlink", 3, None)])
     assert drain() == [("a", "h1"), ("b", "h0")]
