@@ -378,6 +378,25 @@ def src_json(spark, sf):
     return row_blocks(rows, "row", ["page_id", "url"], 50, "Items")
 
 
+# a third of the documents each: a list, a property that is a list, one object; lines of the text are the items
+JSON_FILES = """l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), i AS (SELECT doc_id, list_transform(l, lambda x, i: '{"n":' || i || ',"line":' || to_json(x) || ',"even":' || (i % 2 = 0) || '}') AS items FROM l WHERE doc_id % 3 < 2
+ UNION ALL SELECT doc_id, ['{"id":' || doc_id || ',"source":' || to_json(source) || ',"lines":{"first":1}}'] FROM documents WHERE doc_id % 3 = 2),
+ b AS (SELECT doc_id, items, unnest(range(0, len(items), 50)) AS first, CASE WHEN doc_id % 3 < 2 THEN 'n: number, line: string, even: boolean' ELSE 'id: number, source: string, lines: object' END AS types FROM i)
+ SELECT doc_id, (first // 50)::INT AS block, 'Schema: ' || types || chr(10) || 'Items ' || (first + 1) || '-' || least(first + 50, len(items)) || ':' || chr(10) || array_to_string(items[first + 1:first + 50], chr(10)) AS body FROM b"""
+
+
+@query("src_json_files", f"WITH {JSON_FILES}")
+def src_json_files(spark, sf):
+    from gleanery.sources.files import json_blocks
+
+    third = F.col("doc_id") % 3
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct((i + 1).alias("n"), x.alias("line"), (i % 2 == 1).alias("even")))
+    one = F.struct(F.col("doc_id").alias("id"), F.col("source").alias("source"), F.struct(F.lit(1).alias("first")).alias("lines"))
+    within = F.struct(F.lit("[1]").alias("name"), F.struct(F.lit(2).alias("x")).alias("about"), lines.alias("rows"), F.array(F.lit(1)).alias("more"))
+    text = F.when(third == 0, F.to_json(lines)).when(third == 1, F.to_json(within)).otherwise(F.to_json(one))
+    return json_blocks(table(spark, sf, "documents").select("doc_id", text.alias("text")), "doc_id", "text").select("doc_id", "block", "body")
+
+
 @query("src_ndjson_training", "SELECT conv_id, turn, 'lex' AS kind, text AS value FROM conversations WHERE turn = 0 AND length(trim(text)) > 0")
 def src_ndjson_training(spark, sf):
     from gleanery.sources.files import training_rows

@@ -123,6 +123,17 @@ def st_session(spark, sf):
     return ops.sessions(_events(spark, sf))
 
 
+def _sessions(rows):
+    return rows.select("event_id", F.when(F.col("user_id") < 0, "end").otherwise(F.col("event_type")).alias("key"), "ts", F.col("user_id").cast("string").alias("item"))
+
+
+@query("st_session_registry")
+def st_session_registry(spark, sf):
+    """A registry of four sessions for each type of event, as a stream."""
+    out = _drained(ops.session_registry(_sessions(_closed(spark, sf)), 4, 36_000.0), "append").where("key <> 'end'")
+    return out.select("event_id", "key", F.array_join("gone", ",").alias("gone"))
+
+
 @query("st_query_log", "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 20")
 def st_query_log(spark, sf):
     return ops.last_per_key(_events(spark, sf), "user_id", 20).select("user_id", "event_id")

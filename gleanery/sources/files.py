@@ -7,7 +7,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions.text import strip_xml
@@ -73,6 +73,43 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path, multiLine=True)
 
 
+_ITEMS = "array<string>"
+_TYPED = "array<variant>"
+_NAMED = "map<string, variant>"
+
+
+def _js_type(v: Column) -> Column:
+    kind = F.schema_of_variant(v)
+    return F.when(kind == "STRING", "string").when(kind == "BOOLEAN", "boolean").when(kind.isNull() | (kind == "VOID") | kind.rlike("^(ARRAY|OBJECT)"), "object").otherwise("number")
+
+
+def json_blocks(files: DataFrame, key: str, text: str, per_block: int = 50) -> DataFrame:
+    """key, block, body and warning of JSON files, one a row: their items in blocks, each with a line of the first item's types and one that says which items it holds.
+
+    Items are those of a list, or of the first property that is a list, or the one value there is. Items keep the order of their properties and are
+    written without blanks. Text that is no JSON gives one row with an empty body and a warning; an empty list gives no rows.
+    """
+    raw = F.col(text)
+    # a lone value is read as a list of itself, so that all shapes come to lists: as texts, whose order of properties holds, and as variants, whose types are known
+    listed = F.when(F.startswith(F.ltrim(raw), F.lit("[")), raw)
+    rows = files.select(F.col(key), raw.alias("_raw"), F.try_parse_json(raw).alias("_v"), F.from_json(raw, _NAMED).alias("_named"), listed.alias("_listed"))
+    lists = F.filter(F.map_entries("_named"), lambda e: F.schema_of_variant(e["value"]).startswith("ARRAY"))
+    # the property's own text: a map of texts gives it as it stands
+    within = F.element_at(F.from_json("_raw", "map<string, string>"), F.get(lists, F.lit(0))["key"])
+    source = F.when(F.col("_listed").isNotNull(), F.col("_listed")).when(F.size(lists) > 0, within).otherwise(F.concat(F.lit("["), F.col("_raw"), F.lit("]")))
+    rows = rows.select(key, "_v", source.alias("_source")).select(key, "_v", F.from_json("_source", _ITEMS).alias("_texts"), F.from_json("_source", _TYPED).alias("_typed"))
+    said = F.transform(F.arrays_zip("_texts", "_typed"), lambda x: F.when(_js_type(x["_typed"]) == "string", F.to_json(x["_typed"])).otherwise(F.coalesce(x["_texts"], F.lit("null"))))
+    first = F.from_json(F.get("_texts", F.lit(0)), _NAMED)
+    types = F.array_join(F.transform(F.map_entries(first), lambda e: F.concat(e["key"], F.lit(": "), _js_type(e["value"]))), ", ")
+    rows = rows.select(key, F.col("_v").isNull().alias("bad"), said.alias("items"), F.coalesce(types, F.lit("")).alias("types"))
+    good = rows.where("not bad").select(key, "items", "types", F.explode(F.sequence(F.lit(0), F.floor((F.size("items") - 1) / per_block).cast("int"))).alias("block")).where("size(items) > 0")
+    first_item = F.col("block") * per_block
+    some = F.slice("items", first_item + 1, F.lit(per_block))
+    body = F.concat(F.lit("Schema: "), F.col("types"), F.lit("\nItems "), (first_item + 1).cast("string"), F.lit("-"), (first_item + F.size(some)).cast("string"), F.lit(":\n"), F.array_join(some, "\n"))
+    none = rows.where("bad").select(key, F.lit(0).alias("block"), F.lit("").alias("body"), F.lit("extractor_failed:json_error").alias("warning"))
+    return good.select(key, "block", body.alias("body"), F.lit(None).cast("string").alias("warning")).unionByName(none)
+
+
 def row_blocks(rows: DataFrame, order: str, columns: list[str], per_block: int, what: str) -> DataFrame:
     """block and body: rows in blocks of a fixed number, each with a line of schema and a line saying which rows it holds; `order` is unique.
 

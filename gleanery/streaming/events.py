@@ -118,6 +118,11 @@ def recently_used(events: DataFrame, most: int) -> DataFrame:
     return _folded(events, ["item"], "evicted array<string>", folds.recently_used(most))
 
 
+def session_registry(events: DataFrame, most: int, idle: float) -> DataFrame:
+    """What each use of a session (item) makes a registry (key) of `most` sessions let go: idle ones, and the first opened where there is no room."""
+    return _folded(events, ["item"], "gone array<string>", folds.registry(most, idle))
+
+
 def sliding_ttl(stream: DataFrame, seconds: int, late: str = "0 seconds") -> DataFrame:
     """key, first, last and n of each life of a key (event_id, key, ts): it ends `seconds` after its last event; the next event begins another.
 

@@ -83,3 +83,20 @@ def recently_used(most: int) -> Fold:
         return held[-most:], held[:-most]
 
     return Fold(list, step)
+
+
+def registry(most: int, idle: float) -> Fold:
+    """Open sessions, `most` at most, in the order in which they were opened; a use keeps one open, `idle` seconds without one end it.
+    What goes at each use: those that are idle, then, where a new one finds no room, the one that was opened first."""
+
+    def step(state: list, t: int, session: str) -> tuple[list, list]:
+        live = [x for x in state if t - x[1] < _micros(idle)]
+        gone = [x[0] for x in state if t - x[1] >= _micros(idle)]
+        if any(x[0] == session for x in live):
+            return [[name, t if name == session else last] for name, last in live], gone
+        if len(live) >= most:
+            gone.append(live[0][0])
+            live = live[1:]
+        return [*live, [session, t]], gone
+
+    return Fold(list, step)
