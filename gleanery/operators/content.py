@@ -100,3 +100,15 @@ def neighbours(links: DataFrame, candidates: DataFrame, documents: DataFrame) ->
     into = candidates.join(links, [candidates["collection"] == links["collection"], candidates["path"] == links["target_path"]]).select("query_id", links["collection"], F.col("source_path").alias("path"))
     near = out.union(into).distinct().join(candidates.select(*keys), keys, "left_anti")
     return near.join(documents.where("active").select("collection", "path"), ["collection", "path"], "left_semi").select(*keys)
+
+
+def retitled(docs: DataFrame, incoming: DataFrame) -> DataFrame:
+    """docs with the titles of incoming (collection, path, title) where it has one; a document that comes twice gets the greatest."""
+    new = incoming.groupBy("collection", "path").agg(F.max("title").alias("_new"))
+    return docs.join(new, ["collection", "path"], "left").withColumn("title", F.coalesce("_new", "title")).drop("_new")
+
+
+def attached(target: DataFrame, source: DataFrame, collections: list[str]) -> DataFrame:
+    """target and what it lacks (by collection and path) of some collections of another index; the target's own rows hold."""
+    wanted = source.where(F.col("collection").isin(*collections)).select(*target.columns)
+    return target.unionByName(wanted.join(target, ["collection", "path"], "left_anti").select(*target.columns))

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleanery.sources.tables import ranked
+
 
 def glob_regex(glob: str) -> str:
     """The regular expression of a glob: ** crosses folders, * and ? do not, [] and {} as usual."""
@@ -119,13 +121,41 @@ def missing_context(docs: DataFrame, contexts: DataFrame) -> DataFrame:
     return folders.join(whole, "collection", "left_anti").join(part, ["collection", "folder"], "left_anti")
 
 
-def with_context(contexts: DataFrame, collection: str, prefix: str, context: str) -> DataFrame:
-    fresh = contexts.sparkSession.createDataFrame([(collection, prefix, context)], contexts.schema)
-    return without_context(contexts, collection, prefix).unionByName(fresh)
+def with_contexts(contexts: DataFrame, changes: DataFrame) -> DataFrame:
+    """contexts after changes (collection, prefix, context): a null context takes one away, others are added or replace what is there.
+
+    A null collection is the global one. Of changes to one place the greatest context holds, null only if it is the only one.
+    """
+    same = lambda a, b: a["collection"].eqNullSafe(b["collection"]) & (a["prefix"] == b["prefix"])
+    last = changes.groupBy("collection", "prefix").agg(F.max("context").alias("context"))
+    held = contexts.alias("held")
+    return held.join(last.alias("new"), same(contexts, last), "left_anti").unionByName(last.where("context is not null"))
+
+
+def listed_contexts(contexts: DataFrame) -> DataFrame:
+    """collection, prefix, context and place (from 1) of the contexts of collections, the longest prefix of each first."""
+    rows = contexts.where("collection is not null").withColumn("_shorter", -F.length("prefix"))
+    return ranked(rows, "collection", "_shorter", "prefix", name="contexts").select("collection", "prefix", "context", (F.col("_at") + 1).alias("place"))
+
+
+def active(docs: DataFrame) -> DataFrame:
+    return docs.where("active")
+
+
+def in_collections(docs: DataFrame, names: list[str]) -> DataFrame:
+    """Documents of some collections; of all if none is named."""
+    return docs.where(F.col("collection").isin(*names)) if names else docs
+
+
+def default_collections(collections: DataFrame) -> DataFrame:
+    """The collections (collection, by_default) that a query without a list of its own asks; one that does not say so is asked."""
+    return collections.where(F.coalesce("by_default", F.lit(True))).select("collection").distinct()
 
 
-def without_context(contexts: DataFrame, collection: str, prefix: str) -> DataFrame:
-    return contexts.where(~(F.col("collection").eqNullSafe(F.lit(collection)) & (F.col("prefix") == prefix)))
+def listed_files(docs: DataFrame, collection: str, prefix: str = "") -> DataFrame:
+    """doc_id, path, size (characters) and modified_at of the active documents of a collection under a prefix."""
+    under = active(docs).where((F.col("collection") == collection) & F.startswith("path", F.lit(prefix)))
+    return under.select("doc_id", "path", F.length("body").alias("size"), "modified_at")
 
 
 def valid_name(name: Column) -> Column:

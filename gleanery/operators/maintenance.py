@@ -178,8 +178,7 @@ def timeout_ms(asked: Column, profile: Column) -> Column:
     return F.when(profile == "fast", F.least(asked, F.lit(5000))).when(profile == "max_precision", F.greatest(asked, F.lit(15000))).otherwise(asked)
 
 
-def extraction_warning(extension: Column, size: Column, extractors: tuple[str, ...] = (), strict: bool = False, largest_image: int = 10 << 20) -> Column:
-    """Why a PDF or an image gives no text: its extractor is not there, PDFs then fall back to their strings unless strict; images beyond a size are left."""
+def extraction_warning(extension: Column, size: Column, extractors: tuple[str, ...] = (), largest_image: int = 10 << 20) -> Column:
+    """Why an image gives no text: it is beyond a size, or its extractor is not there."""
     image = extension.isin("png", "jpg", "jpeg", "gif", "webp")
-    pdf = F.lit("extractor_failed:pdftotext_unavailable" if strict else "extractor_fallback:strings")
-    return F.when((extension == "pdf") & F.lit("pdf" not in extractors), pdf).when(image & (size > largest_image), "extractor_failed:image_too_large").when(image & F.lit("image" not in extractors), "extractor_failed:vision_model_unavailable")
+    return F.when(image & (size > largest_image), "extractor_failed:image_too_large").when(image & F.lit("image" not in extractors), "extractor_failed:vision_model_unavailable")

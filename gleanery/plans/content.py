@@ -89,8 +89,7 @@ def doc_archive(spark, sf):
 
 @query("doc_title_update", f"{W}, {INCOMING} SELECT collection, path, coalesce(i.title, o.path) AS title FROM docs o LEFT JOIN incoming i USING (collection, path)")
 def doc_title_update(spark, sf):
-    new = _incoming(spark, sf).select("collection", "path", F.col("title").alias("new"))
-    return _now(spark, sf).join(new, ["collection", "path"], "left").select("collection", "path", F.coalesce("new", "title").alias("title"))
+    return ops.retitled(_now(spark, sf), _incoming(spark, sf)).select("collection", "path", "title")
 
 
 @query("doc_deactivate", f"{W}, {INCOMING} SELECT doc_id, active AND EXISTS (SELECT 1 FROM incoming i WHERE i.collection = docs.collection AND i.path = docs.path) AS active FROM docs")
@@ -199,9 +198,8 @@ def embed_clear(spark, sf):
 
 @query("src_index_attach", f"""{W} SELECT collection, path, hash FROM docs WHERE doc_id % 2 = 0 UNION ALL SELECT collection, path, hash FROM docs s WHERE collection = 'src1' AND NOT EXISTS (SELECT 1 FROM docs t WHERE t.doc_id % 2 = 0 AND t.collection = s.collection AND t.path = s.path)""")
 def src_index_attach(spark, sf):
-    d = docs(spark, sf).select("collection", "path", "hash", "doc_id")
-    target = d.where("doc_id % 2 = 0").drop("doc_id")
-    return target.unionByName(d.where("collection = 'src1'").drop("doc_id").join(target, ["collection", "path"], "left_anti"))
+    d = docs(spark, sf)
+    return ops.attached(d.where("doc_id % 2 = 0").select("collection", "path", "hash"), d, ["src1"])
 
 
 @query("win_versions", f"""{W}, {VERSIONS}, every AS (SELECT collection, path, hash, max(created_at) AS created_at FROM (SELECT * FROM versions UNION ALL SELECT collection, path, hash, modified_at FROM docs) GROUP BY ALL)

@@ -151,14 +151,13 @@ def lex_parse(spark, sf):
 @query("lex_validate", """SELECT conv_id, turn, CASE WHEN contains(t, chr(10)) OR contains(t, chr(13)) THEN 'newline' WHEN (length(t) - length(replace(t, '"', ''))) % 2 = 1 THEN 'quote' END AS problem FROM (SELECT conv_id, turn, text || CASE turn % 3 WHEN 0 THEN '"' ELSE '' END AS t FROM conversations)""")
 def lex_validate(spark, sf):
     t = F.concat("text", F.when(F.col("turn") % 3 == 0, '"').otherwise(""))
-    odd = (F.length(t) - F.length(F.replace(t, F.lit('"'), F.lit("")))) % 2 == 1
-    return table(spark, sf, "conversations").select("conv_id", "turn", F.when(t.rlike(r"[\r\n]"), "newline").when(odd, "quote").alias("problem"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", ops.problem_of(t).alias("problem"))
 
 
 @query("sem_validate", """SELECT conv_id, turn, regexp_matches(t, '-\\w') OR regexp_matches(t, '-"') AS rejected FROM (SELECT conv_id, turn, text || CASE turn % 3 WHEN 0 THEN ' -x' ELSE '' END AS t FROM conversations)""")
 def sem_validate(spark, sf):
     t = F.concat("text", F.when(F.col("turn") % 3 == 0, " -x").otherwise(""))
-    return table(spark, sf, "conversations").select("conv_id", "turn", (t.rlike(r"-\w") | t.rlike('-"')).alias("rejected"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", ops.excludes(t).alias("rejected"))
 
 
 STRATEGY = """CASE WHEN regexp_matches(q, '^".*"$') OR (n <= 2 AND regexp_matches(q, '[_.-]')) OR n = 1 THEN 'exact'
@@ -202,7 +201,25 @@ def structured_parse(spark, sf):
     return structured(q)
 
 
-@query("legacy_query_builder", f"{BASE}, q AS (SELECT item_id, unnest({TOK.format('text')}) AS t FROM benchmark) SELECT item_id AS query_id, count(DISTINCT doc_id) AS docs FROM q JOIN posts ON term = t GROUP BY item_id")
+NEIGHBOURS = f"""ask AS (SELECT item_id AS query_id, list_slice(t, i, i + 2) AS w FROM (SELECT item_id, t, 1 + item_id % greatest(len(t) - 2, 1) AS i FROM (SELECT item_id, {TOK.format("text")} AS t FROM benchmark))),
+words AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest(list_filter(w, lambda x: length(x) >= 2)) AS term FROM ask) GROUP BY ALL),
+several AS (SELECT query_id, count(*) AS parts FROM words GROUP BY query_id HAVING sum(times) > 1),
+p AS (SELECT *, CASE col WHEN 'filepath' THEN 10.0::DOUBLE ELSE 1.0::DOUBLE END AS wt FROM posts),
+one AS (SELECT term, doc_id, sum(wt) AS f FROM p WHERE term IN (SELECT term FROM words) GROUP BY ALL),
+phr AS (SELECT query_id, x.doc_id, sum(x.wt) AS f FROM ask SEMI JOIN several USING (query_id) JOIN p x ON x.term = w[1] LEFT JOIN p y ON y.doc_id = x.doc_id AND y.col = x.col AND y.pos = x.pos + 1
+ LEFT JOIN p z ON z.doc_id = x.doc_id AND z.col = x.col AND z.pos = x.pos + 2 WHERE (w[2] IS NULL OR y.term = w[2]) AND (w[3] IS NULL OR z.term = w[3]) GROUP BY ALL),
+occ AS (SELECT query_id, term, times, parts, doc_id, col, pos, wt FROM words JOIN several USING (query_id) JOIN p USING (term)),
+ends AS (SELECT *, count(DISTINCT term) OVER (PARTITION BY query_id, doc_id, col ORDER BY pos RANGE BETWEEN 11 PRECEDING AND CURRENT ROW) = parts AS e FROM occ),
+close AS (SELECT query_id, term, times, doc_id, sum(wt) AS f FROM (SELECT *, bool_or(e) OVER (PARTITION BY query_id, doc_id, col ORDER BY pos RANGE BETWEEN CURRENT ROW AND 11 FOLLOWING) AS k FROM ends) WHERE k GROUP BY ALL),
+df AS (SELECT term, count(*) AS n FROM one GROUP BY term), pdf AS (SELECT query_id, count(*) AS n FROM phr GROUP BY query_id),
+parts AS (SELECT query_id, doc_id, f, times, n AS np FROM words JOIN one USING (term) JOIN df USING (term) UNION ALL SELECT query_id, doc_id, f, times, n FROM close JOIN df USING (term) UNION ALL SELECT query_id, doc_id, f, 1, n FROM phr JOIN pdf USING (query_id)),
+sums AS (SELECT query_id, doc_id, round(-sum(times * (CASE WHEN ln((g.n - np + 0.5::DOUBLE) / (np + 0.5::DOUBLE)) <= 0 THEN 1e-6 ELSE ln((g.n - np + 0.5::DOUBLE) / (np + 0.5::DOUBLE)) END) * f * 2.2::DOUBLE / (f + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS bm25 FROM parts JOIN stats USING (doc_id), g GROUP BY ALL)
+SELECT query_id, doc_id, bm25, round(1 / (1 + exp(-(abs(bm25) - 5::DOUBLE) / 3)), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY bm25, doc_id) AS rank FROM sums QUALIFY rank <= 20"""
+
+
+@query("legacy_query_builder", f"{BASE}, {NEIGHBOURS}")
 def legacy_query_builder(spark, sf):
-    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("term"))
-    return _all(spark, sf)[0].select("doc_id", "term").distinct().join(q, "term").groupBy("query_id").agg(F.count_distinct("doc_id").alias("docs"))
+    """Three neighbouring words of each item, at a place dealt by its id: as a phrase, near each other, or any of them."""
+    t = table(spark, sf, "benchmark").select("item_id", tx.tokens(F.col("text")).alias("t"))
+    three = F.slice("t", (F.col("item_id") % F.greatest(F.size("t") - 2, F.lit(1)) + 1).cast("int"), F.lit(3))
+    return ops.search_any(t.select(F.col("item_id").alias("query_id"), F.array_join(three, " ").alias("text")), *_all(spark, sf))

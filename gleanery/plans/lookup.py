@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gleanery.functions import text as tx
@@ -14,18 +13,17 @@ W = f"WITH {DOCS}"
 
 @query("filter_active", f"{W} SELECT doc_id FROM docs WHERE active")
 def filter_active(spark, sf):
-    return docs(spark, sf).where("active").select("doc_id")
+    return ops.active(docs(spark, sf)).select("doc_id")
 
 
 @query("filter_collection", f"{W} SELECT doc_id FROM docs WHERE collection IN ('src1', 'src2')")
 def filter_collection(spark, sf):
-    return docs(spark, sf).where(F.col("collection").isin("src1", "src2")).select("doc_id")
+    return ops.in_collections(docs(spark, sf), ["src1", "src2"]).select("doc_id")
 
 
 @query("default_collections", f"{W} SELECT DISTINCT collection FROM docs WHERE coalesce(CASE WHEN collection = 'src3' THEN false END, true)")
 def default_collections(spark, sf):
-    flag = F.when(F.col("collection") == "src3", False)
-    return docs(spark, sf).select("collection").distinct().where(F.coalesce(flag, F.lit(True)))
+    return ops.default_collections(docs(spark, sf).select("collection", F.when(F.col("collection") == "src3", False).alias("by_default")))
 
 
 WANTED = "wanted AS (SELECT doc_id AS query_id, upper(substr(sha256(text), 1, 8)) AS wanted FROM documents)"
@@ -76,7 +74,7 @@ def fuzzy_paths(spark, sf):
 
 @query("list_files", f"{W} SELECT doc_id, path, length(body) AS size, modified_at FROM docs WHERE active AND collection = 'src1' AND starts_with(path, 'en/')")
 def list_files(spark, sf):
-    return docs(spark, sf).where("active and collection = 'src1'").where(F.startswith("path", F.lit("en/"))).select("doc_id", "path", F.length("body").alias("size"), "modified_at")
+    return ops.listed_files(docs(spark, sf), "src1", "en/")
 
 
 @query("vpath_parse", f"{W} SELECT doc_id, regexp_extract('doc://' || collection || '//' || path, '^[a-z]+://([^/]+)/*(.*)$', 1) AS collection, regexp_extract('doc://' || collection || '//' || path, '^[a-z]+://([^/]+)/*(.*)$', 2) AS path FROM docs")
@@ -112,15 +110,32 @@ def context_missing(spark, sf):
     return ops.missing_context(docs(spark, sf).select("collection", "path"), _contexts(spark))
 
 
-@query("path_contexts_list", f"WITH {CTX} SELECT collection, prefix, context, row_number() OVER (ORDER BY collection, length(prefix) DESC, prefix) AS place FROM ctx WHERE collection IS NOT NULL")
+FOLDERS = "folders AS (SELECT collection, lang || '/' AS prefix, count(*) || ' files' AS context FROM docs GROUP BY ALL UNION ALL SELECT collection, '', 'all ' || count(*) FROM docs GROUP BY ALL UNION ALL SELECT NULL, '', 'everything')"
+
+
+def _folders(spark, sf):
+    """A context for each collection and each of its folders, and a global one."""
+    d = docs(spark, sf)
+    folders = d.groupBy("collection", F.concat("lang", F.lit("/")).alias("prefix")).agg(F.concat(F.count("*").cast("string"), F.lit(" files")).alias("context"))
+    whole = d.groupBy("collection").agg(F.concat(F.lit("all "), F.count("*").cast("string")).alias("context")).select("collection", F.lit("").alias("prefix"), "context")
+    return folders.unionByName(whole).unionByName(spark.createDataFrame([(None, "", "everything")], "collection string, prefix string, context string"))
+
+
+@query("path_contexts_list", f"{W}, {FOLDERS} SELECT collection, prefix, context, row_number() OVER (ORDER BY collection, length(prefix) DESC, prefix) AS place FROM folders WHERE collection IS NOT NULL")
 def path_contexts_list(spark, sf):
-    w = Window.partitionBy(F.lit(0)).orderBy("collection", F.desc(F.length("prefix")), "prefix")
-    return _contexts(spark).where("collection is not null").withColumn("place", F.row_number().over(w))
+    return ops.listed_contexts(_folders(spark, sf))
 
 
-@query("context_crud", f"WITH {CTX} SELECT collection, prefix, context FROM ctx WHERE NOT (collection = 'src1' AND prefix = 'en') OR collection IS NULL UNION ALL SELECT 'src9', 'de', 'nine'")
+@query("context_crud", f"""{W}, {FOLDERS} SELECT collection, prefix, CASE WHEN prefix = 'fr/' THEN 'new ' || context WHEN collection IS NULL THEN 'changed' ELSE context END AS context FROM folders WHERE prefix <> 'en/'
+ UNION ALL SELECT collection, 'xx/', 'added' FROM folders WHERE collection IS NOT NULL AND prefix = ''""")
 def context_crud(spark, sf):
-    return ops.with_context(ops.without_context(_contexts(spark), "src1", "en"), "src9", "de", "nine")
+    """Folders en lose their context, folders fr and the whole get other ones, and each collection a new one."""
+    held = _folders(spark, sf)
+    gone = held.where("prefix = 'en/'").select("collection", "prefix", F.lit(None).cast("string").alias("context"))
+    other = held.where("prefix = 'fr/'").select("collection", "prefix", F.concat(F.lit("new "), "context").alias("context"))
+    whole = held.where("collection is null").select("collection", "prefix", F.lit("changed").alias("context"))
+    added = held.where("collection is not null and prefix = ''").select("collection", F.lit("xx/").alias("prefix"), F.lit("added").alias("context"))
+    return ops.with_contexts(held, gone.unionByName(other).unionByName(whole).unionByName(added))
 
 
 @query("collection_crud", f"{W} SELECT DISTINCT CASE collection WHEN 'src4' THEN 'renamed' ELSE collection END AS collection, regexp_matches(collection, '^[A-Za-z0-9][A-Za-z0-9_-]*$') AS valid FROM docs WHERE collection <> 'src5'")

@@ -10,7 +10,7 @@ from gleanery.plans.catalog import DOCS, EDGES, docs, edges, query, table
 from gleanery.plans.content import VECS, _chunk_vectors
 from gleanery.plans.fusion import FUSED, _fused
 from gleanery.plans.memory import MEM, _mem
-from gleanery.sources import sinks
+from gleanery.sources import files, sinks
 from gleanery.sources.tables import folder
 
 W = f"WITH {DOCS}"
@@ -145,14 +145,19 @@ def mem_bulk(spark, sf):
     return ops.bulk(store, m.select(k.alias("op_id"), op.alias("op"), "scope", F.concat("key", (k % 7).cast("string")).alias("key"), F.when(k % 11 == 0, " ").otherwise(F.col("value")).alias("value")))[1]
 
 
-@query("graph_parse", f"{W}, {EDGES}, n AS (SELECT collection, count(*) AS nodes FROM docs GROUP BY 1), l AS (SELECT collection, count(*) AS links FROM edges GROUP BY 1) SELECT collection, CASE WHEN ok THEN nodes END AS nodes, CASE WHEN ok THEN coalesce(links, 0) END AS links, CASE WHEN NOT ok THEN 'malformed' END AS error FROM (SELECT *, collection <> 'src1' AS ok FROM n LEFT JOIN l USING (collection))")
+@query("graph_parse", f"""{W}, {EDGES}, l AS (SELECT collection, source_path, count(*) AS links FROM edges GROUP BY ALL)
+ SELECT doc_id, CASE WHEN ok THEN 1 + coalesce(links, 0) END AS nodes, CASE WHEN ok THEN coalesce(links, 0) END AS links, CASE WHEN NOT ok THEN 'malformed' END AS error
+ FROM (SELECT docs.doc_id, links, docs.collection <> 'src1' AS ok FROM docs LEFT JOIN l ON l.collection = docs.collection AND source_path = path)""")
 def graph_parse(spark, sf):
-    nodes = docs(spark, sf).groupBy("collection").agg(F.collect_list(F.struct(F.col("path").alias("id"))).alias("nodes"))
-    links = edges(spark, sf).groupBy("collection").agg(F.collect_list(F.struct(F.col("source_path").alias("source"), F.col("target_path").alias("target"))).alias("links"))
-    files = nodes.join(links, "collection", "left").withColumn("links", F.coalesce("links", F.array().cast("array<struct<source:string,target:string>>")))
-    text = F.to_json(F.struct("nodes", "links"))
-    parsed = files.select("collection", ops.parsed_graph(F.when(F.col("collection") == "src1", F.concat(F.lit("oops"), text)).otherwise(text)).alias("g"))
-    return parsed.select("collection", F.when(F.col("g.error").isNull(), F.size("g.graph.nodes")).cast("bigint").alias("nodes"), F.when(F.col("g.error").isNull(), F.size("g.graph.links")).cast("bigint").alias("links"), F.col("g.error").alias("error"))
+    """A graph file for each document, of itself and what it links to; those of one collection are damaged."""
+    links = edges(spark, sf).groupBy("collection", F.col("source_path").alias("path")).agg(F.collect_list(F.struct(F.col("source_path").alias("source"), F.col("target_path").alias("target"))).alias("links"))
+    none = F.array().cast("array<struct<source:string,target:string>>")
+    graphs = docs(spark, sf).select("doc_id", "collection", "path").join(links, ["collection", "path"], "left").withColumn("links", F.coalesce("links", none))
+    nodes = F.transform(F.array_insert(F.transform("links", lambda x: x["target"]), 1, F.col("path")), lambda p: F.struct(p.alias("id")))
+    text = F.to_json(F.struct(nodes.alias("nodes"), "links"))
+    parsed = graphs.select("doc_id", ops.parsed_graph(F.when(F.col("collection") == "src1", F.concat(F.lit("oops"), text)).otherwise(text)).alias("g"))
+    good = F.col("g.error").isNull()
+    return parsed.select("doc_id", F.when(good, F.size("g.graph.nodes")).cast("bigint").alias("nodes"), F.when(good, F.size("g.graph.links")).cast("bigint").alias("links"), F.col("g.error").alias("error"))
 
 
 @query("expand_payload", "SELECT conv_id, turn, CASE turn % 5 WHEN 4 THEN NULL ELSE 2::INT END AS lines, CASE turn % 5 WHEN 4 THEN NULL ELSE text END AS first FROM conversations WHERE trim(text) <> ''")
@@ -170,9 +175,17 @@ def timeout_profile(spark, sf):
     return table(spark, sf, "events").select("event_id", ops.timeout_ms(F.col("event_id") * 10, F.when(t == "click", "fast").when(t == "view", "max_precision").otherwise("balanced")).alias("ms"))
 
 
-@query("src_pdf", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'extractor_fallback:strings' END AS warning FROM documents WHERE doc_id % 3 <> 1 OR true")
+PDF = r"regexp_replace(array_to_string(regexp_extract_all(replace(coalesce(text, ''), ' ', chr(1)), '[\t\x20-\x7E]{4,}'), chr(10)), '^\s+|\s+$', '', 'g')"
+
+
+@query("src_pdf", f"""WITH d AS (SELECT doc_id, {PDF} AS strings, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS whole FROM documents)
+ SELECT doc_id, CASE WHEN doc_id % 3 = 1 AND whole <> '' THEN whole ELSE strings END AS text, CASE WHEN doc_id % 3 = 1 AND whole <> '' THEN 'extractor' WHEN strings <> '' THEN 'strings_fallback' ELSE 'unavailable' END AS extractor,
+ CASE WHEN doc_id % 3 = 1 AND whole <> '' THEN '' WHEN strings <> '' THEN 'extractor_degraded:pdf_strings_fallback' ELSE 'extractor_failed:pdf_no_output' END AS warnings FROM d""")
 def src_pdf(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", ops.extraction_warning(F.when(F.col("doc_id") % 3 == 0, "pdf").otherwise("md"), F.col("n_chars")).alias("warning"))
+    """Every text as bytes whose blanks are unprintable; an extractor has read a third of them."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("relative_path"), F.encode(F.translate("text", " ", "\x01"), "UTF-8").alias("content"), "text")
+    found = files.read_pdf(d, extracted=F.when(F.col("relative_path") % 3 == 1, F.col("text")))
+    return found.select(F.col("relative_path").alias("doc_id"), "text", "extractor", F.array_join("warnings", ",").alias("warnings"))
 
 
 @query("src_image", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN CASE WHEN n_chars > 1000 THEN 'extractor_failed:image_too_large' ELSE 'extractor_failed:vision_model_unavailable' END END AS warning FROM documents")

@@ -20,7 +20,7 @@ LARGEST = 25 * 1024 * 1024
 
 
 def scan(spark: SparkSession, root: str, pattern: str = "*", ignore: tuple[str, ...] = ()) -> DataFrame:
-    """path, length, modificationTime and content of the files under root that match, without ignored folders and dot parts; what is over LARGEST is listed but not read."""
+    """path, length, modificationTime and content of the files under root that match, without ignored folders, dot parts and empty files (which the reader leaves out); what is over LARGEST is listed but not read."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
     # the length is known from the listing: the reader passes over files that the filter leaves out, and reads no content that isn't selected
     small, large = found.where(F.col("length") <= LARGEST), found.where(F.col("length") > LARGEST)
@@ -61,7 +61,35 @@ def read_docx(files: DataFrame) -> DataFrame:
             yield pd.DataFrame({"relative_path": batch["relative_path"], "xml": out})
 
     raw = files.select("relative_path", "content").mapInPandas(unpack, "relative_path string, xml string")
-    return raw.select("relative_path", F.coalesce(strip_xml(F.col("xml")), F.lit("")).alias("text"), F.when(F.col("xml").isNull(), F.array(F.lit("extractor_failed:docx"))).otherwise(F.array().cast("array<string>")).alias("warnings"))
+    return raw.select("relative_path", F.coalesce(strip_xml(F.col("xml")), F.lit("")).alias("text"), F.when(F.col("xml").isNull(), F.array(F.lit("extractor_failed:docx_unzip"))).otherwise(F.array().cast("array<string>")).alias("warnings"))
+
+
+def printable(content: Column, least: int = 4) -> Column:
+    """The runs of printable ASCII characters, blanks and tabs in bytes, `least` and more of them, a line each."""
+    runs = F.regexp_extract_all(F.decode(content, "ISO-8859-1"), F.lit(f"[\\t\\x20-\\x7E]{{{least},}}"), F.lit(0))
+    return F.array_join(runs, "\n")
+
+
+def read_pdf(files: DataFrame, extracted: Column | None = None, strict: bool = False, enabled: bool = True) -> DataFrame:
+    """relative_path, text, extractor and warnings of PDF files (relative_path, content).
+
+    extracted: what an extractor made of each file, if there is one; null or blank where it failed. Such files give their printable
+    strings with a warning, or nothing if `strict`; files without strings (and null contents) give an empty text.
+    """
+    trimmed = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s+|\s+$", "")
+    made = trimmed(extracted if extracted is not None else F.lit(None).cast("string"))
+    strings = trimmed(printable(F.col("content")))
+    none = F.array().cast("array<string>")
+    # (when, text, extractor, warnings): the first that holds
+    cases = [
+        (F.lit(not enabled), F.lit(""), "disabled", F.array(F.lit("extractor_disabled:pdf"))),
+        (made != "", made, "extractor", none),
+        (F.lit(strict), F.lit(""), "extractor", F.array(F.lit("extractor_failed:pdf_pdftotext"))),
+        (strings != "", strings, "strings_fallback", F.array(F.lit("extractor_degraded:pdf_strings_fallback"))),
+        (F.lit(True), F.lit(""), "unavailable", F.array(F.lit("extractor_failed:pdf_no_output"))),
+    ]
+    first = F.coalesce(*[F.when(when, F.struct(text.alias("text"), F.lit(name).alias("extractor"), warnings.alias("warnings"))) for when, text, name, warnings in cases])
+    return files.select("relative_path", first.alias("_of")).select("relative_path", "_of.text", "_of.extractor", "_of.warnings")
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -23,7 +23,7 @@ def test_docx(spark, tmp_path):
     (tmp_path / "a.docx").write_bytes(data.getvalue())
     (tmp_path / "b.docx").write_bytes(b"broken")
     rows = {r["relative_path"]: (r["text"], r["warnings"]) for r in files.read_docx(files.scan(spark, str(tmp_path), "*.docx")).collect()}
-    assert rows == {"a.docx": ("One & two\nThree", []), "b.docx": ("", ["extractor_failed:docx"])}
+    assert rows == {"a.docx": ("One & two\nThree", []), "b.docx": ("", ["extractor_failed:docx_unzip"])}
 
 
 def test_csv_cells(spark, tmp_path):
