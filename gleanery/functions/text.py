@@ -147,3 +147,50 @@ def strategy(text: Column) -> Column:
     weighs = q.rlike(r"(?i)\b(compare|tradeoff|trade-off|versus|vs\.?|difference|relationship|impact|architecture|design|pattern|approach)\b")
     exact = q.rlike(r'^".*"$') | ((n <= 2) & q.rlike(r"[_.-]")) | (n == 1)
     return F.when(exact, "exact").when(asks, "question").when((n >= 15) | weighs, "analytical").when(n >= 3, "question").otherwise("exact")
+
+
+def first_lines(body: Column, n: int) -> Column:
+    """The first n lines, and how many more there are."""
+    lines = F.split(body, "\n")
+    cut = F.concat(F.array_join(F.slice(lines, 1, n), "\n"), F.lit("\n[... "), (F.size(lines) - n).cast("string"), F.lit(" more lines]"))
+    return F.when(F.size(lines) > n, cut).otherwise(body)
+
+
+def stable_hash(**fields: Column) -> Column:
+    """SHA-256 of a JSON object of the fields, in their order; null fields are left out."""
+    return F.sha2(F.to_json(F.struct(*[c.alias(name) for name, c in fields.items()])), 256)
+
+
+def cache_key(url: str, **fields: Column) -> Column:
+    """SHA-256 of an address and of a JSON object of the fields, by name, so that their order does not matter."""
+    return F.sha2(F.concat(F.lit(url), F.to_json(F.struct(*[fields[name].alias(name) for name in sorted(fields)]))), 256)
+
+
+def highlight(text: Column, query: Column, before: str = "<", after: str = ">") -> Column:
+    """The text with marks around the query's words of three characters and more, in any case; marked places are not marked again."""
+    terms = F.array_distinct(F.filter(F.split(F.lower(query), r"\s+"), lambda t: F.length(t) >= 3))
+    escaped = F.transform(terms, lambda t: F.regexp_replace(t, r"([^\p{L}\p{N}_])", r"\\$1"))
+    pattern = F.concat(F.lit("(?i)("), F.array_join(escaped, "|"), F.lit(")"))
+    return F.when(F.size(terms) > 0, F.regexp_replace(text, pattern, F.lit(f"{before}$1{after}"))).otherwise(text)
+
+
+# Fixed value: the tag that ends a context in a prompt.
+CONTEXT_END = "context_provided_by_user"
+
+
+def sanitized(text: Column, most: int = 8192) -> Column:
+    """A text that may stand in a prompt: without terminal sequences, control characters and a mark of byte order in front, its closing tag made harmless, cut at `most` characters with a note. Null gives an empty text."""
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"\x1b\[[0-?]*[ -/]*[@-~]", "")
+    t = F.regexp_replace(F.regexp_replace(t, r"\x1b\][^\x07]*\x07", ""), r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
+    t = F.regexp_replace(F.regexp_replace(t, "^\ufeff", ""), f"(?i)</{CONTEXT_END}>", rf"<\\/{CONTEXT_END}>")
+    return F.when(F.length(t) > most, F.concat(F.substring(t, 1, most), F.lit("\n[... truncated]"))).otherwise(t)
+
+
+def without_words(text: Column, stop: tuple[str, ...]) -> Column:
+    """The distinct words of a text without some, in order, between blanks."""
+    return F.array_join(F.array_sort(F.array_except(words(text), F.array(*map(F.lit, stop)))), " ")
+
+
+def set_distance(a: Column, b: Column) -> Column:
+    """How many elements only one of two arrays of distinct elements has."""
+    return F.size(a) + F.size(b) - 2 * F.size(F.array_intersect(a, b))

@@ -7,7 +7,8 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 SIZE, OVERLAP, REACH, DECAY = 3600, 540, 800, 0.7
 TOKENS, TOKEN_OVERLAP, CHARS_PER_TOKEN, SAFETY = 900, 135, 3.5, 0.85
@@ -116,3 +117,18 @@ def chunks(docs: DataFrame, key: str, text: str, by_tokens: bool = False, count:
             yield pd.DataFrame(rows, columns=[key, "seq", "pos", "tokens", "text"])
 
     return docs.select(key, text).mapInPandas(run, f"{key} {docs.schema[key].dataType.simpleString()}, seq int, pos int, tokens int, text string")
+
+
+def fixed(docs: DataFrame, text: str, size: int, step: int) -> DataFrame:
+    """docs with seq, pos and text of chunks of a fixed size, a step apart; an empty text is one chunk, no shuffle."""
+    starts = F.sequence(F.lit(0), F.greatest(F.length("_whole") - 1, F.lit(0)), F.lit(step))
+    others = [c for c in docs.columns if c != text]
+    each = docs.withColumnRenamed(text, "_whole").select(*others, "_whole", F.posexplode(starts).alias("seq", "pos"))
+    return each.select(*others, "seq", "pos", F.substring("_whole", F.col("pos") + 1, F.lit(size)).alias("text"))
+
+
+def longest(chunks_: DataFrame, by: str) -> DataFrame:
+    """The longest chunk of each document, the first at a tie; only lengths are compared, texts are not moved."""
+    order = Window.partitionBy(by).orderBy(F.desc("_n"), "seq")
+    rows = chunks_.select(by, "seq", F.length("text").alias("_n"))
+    return rows.withColumn("_r", F.row_number().over(order)).where("_r = 1").select(by, "seq")

@@ -112,3 +112,60 @@ def attached(target: DataFrame, source: DataFrame, collections: list[str]) -> Da
     """target and what it lacks (by collection and path) of some collections of another index; the target's own rows hold."""
     wanted = source.where(F.col("collection").isin(*collections)).select(*target.columns)
     return target.unionByName(wanted.join(target, ["collection", "path"], "left_anti").select(*target.columns))
+
+
+def cleared(rows: DataFrame) -> DataFrame:
+    """A table of the same columns without rows, to be written over it."""
+    return rows.limit(0)
+
+
+def backlinks(links: DataFrame) -> DataFrame:
+    """path and n: how many links (collection, source_path, target_path) lead to each path."""
+    return links.groupBy(F.col("target_path").alias("path")).agg(F.count("*").alias("n"))
+
+
+def linked(docs: DataFrame, links: DataFrame) -> DataFrame:
+    """Documents that a link begins or ends at."""
+    ends = links.select("collection", F.explode(F.array("source_path", "target_path")).alias("path"))
+    return docs.join(ends, ["collection", "path"], "left_semi")
+
+
+def copied_in(docs: DataFrame, collection: str) -> DataFrame:
+    """hash of each content that a collection holds, wherever else it is held too."""
+    return docs.join(docs.where(F.col("collection") == collection).select("hash"), "hash", "left_semi").select("hash").distinct()
+
+
+def with_content(docs: DataFrame, content: DataFrame) -> DataFrame:
+    """Active documents with their content's columns (content: one row a hash, or equal rows); those without content are left out."""
+    return docs.where("active").join(content.dropDuplicates(["hash"]), "hash")
+
+
+def vector_documents(vectors: DataFrame, docs: DataFrame) -> DataFrame:
+    """Each vector (hash) with each active document that has its content."""
+    return vectors.join(docs.where("active"), "hash")
+
+
+def with_ingest(docs: DataFrame, ingests: DataFrame, key: str = "doc_id") -> DataFrame:
+    """All documents, with what their ingest has left (ingests: one row a key), null where it has left nothing."""
+    return docs.join(ingests, key, "left")
+
+
+def lacking(docs: DataFrame, others: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Documents that another table does not know by key; a null key is known nowhere."""
+    return docs.join(others.select(key), key, "left_anti")
+
+
+def known_hashes(docs: DataFrame, versions: DataFrame) -> DataFrame:
+    """hash of every content that a document or an older version has, once."""
+    return docs.select("hash").union(versions.select("hash")).distinct()
+
+
+def facets(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """The distinct combinations of some columns."""
+    return docs.select(*columns).distinct()
+
+
+def cardinalities(docs: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """One row: the number of distinct values of some columns (name of the result: column); long texts meet as digests, not as texts."""
+    text = lambda c: F.sha2(F.col(c), 256) if docs.schema[c].dataType.simpleString() == "string" else F.col(c)
+    return docs.select(*[text(c).alias(f"_{name}") for name, c in columns.items()]).agg(*[F.count_distinct(f"_{name}").alias(name) for name in columns])

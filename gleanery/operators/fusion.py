@@ -177,3 +177,19 @@ def expansion(queries: DataFrame, generated: DataFrame | None = None) -> DataFra
     plain = F.array(F.struct(F.lit("hyde").alias("type"), F.concat(F.lit("Information about "), "text").alias("text")), F.struct(F.lit("lex").alias("type"), F.col("text")), F.struct(F.lit("vec").alias("type"), F.col("text")))
     out = short.unionByName(long.select("query_id", F.explode(plain).alias("x")).select("query_id", "x.type", "x.text"))
     return out.unionByName(lines) if lines is not None else out
+
+
+def ranked_lists(rows: DataFrame, key: Column, most: int) -> DataFrame:
+    """Rows of query_id and list_idx with their rank by a key, the first `most` of each list; a task hands on no more than these of its own."""
+    order = Window.partitionBy("query_id", "list_idx").orderBy(key)
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+
+
+def rerank_ms(n: Column) -> Column:
+    """About how long reranking n candidates takes: 400 ms, and 500 each, less the more there are beyond 20, but no less than 200."""
+    return 400 + n * F.when(n > 20, 500 - F.least(F.lit(300), 5 * (n - 20))).otherwise(500)
+
+
+def setting(default: int, *sources: Column) -> Column:
+    """The first of several sources (request, environment, collection, ...) that says anything, else the default."""
+    return F.coalesce(*sources, F.lit(default))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleanery.sources.tables import written
+
 # Dollars per million tokens (input, cached input, output); the first part of a model's name that fits decides, local models are free.
 LOCAL = ("llama", "qwen", "mistral", "phi")
 PRICES = (
@@ -97,3 +99,72 @@ def surprising(links: DataFrame, least: str = "INFERRED", limit: int = 40) -> Da
     rank = F.when(F.upper("confidence") == "EXTRACTED", 3).when(F.upper("confidence") == "INFERRED", 2).when(F.upper("confidence") == "AMBIGUOUS", 1).otherwise(0)
     low = {"EXTRACTED": 3, "INFERRED": 2, "AMBIGUOUS": 1}[least]
     return links.where((rank >= low) & ~F.lower(F.coalesce("relation", F.lit(""))).isin("contains", "imports", "imports_from")).orderBy("source", "target").limit(limit)
+
+
+def trigger_rates(rows: DataFrame, trigger: Column) -> DataFrame:
+    """One row: how many calls an agent made of itself, how many a user asked for, and how many nobody has told of (null too)."""
+    known = F.coalesce(trigger, F.lit(""))
+    return rows.agg(F.count_if(known == "agent-auto").alias("agent_auto"), F.count_if(known == "user-explicit").alias("user_explicit"), F.count_if(~known.isin("agent-auto", "user-explicit")).alias("unknown"))
+
+
+def feedback_counts(feedback: DataFrame) -> DataFrame:
+    """result_id with how often it was found positive, negative and neutral (satisfaction), and the total."""
+    said = F.col("satisfaction")
+    return feedback.groupBy("result_id").agg(*[F.count_if(said == s).alias(s) for s in ("positive", "negative", "neutral")], F.count("*").alias("total"))
+
+
+def percentiles(rows: DataFrame, by: str, value: str, points: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
+    """by, and p50, p95, ...: the smallest value that so large a share of a label's values does not exceed.
+
+    Equal values are counted before they meet, and the smallest value whose running count reaches the share is taken, so a label is
+    never held whole; nulls don't count, a label of nulls alone has null.
+    """
+    n = rows.groupBy(by, value).agg(F.count(value).alias("_n"))
+    at = cumulated(n.where(F.col(value).isNotNull()), by, value, "_n", "_upto")
+    total = n.groupBy(F.col(by).alias("_by")).agg(F.sum("_n").alias("_all"))
+    reached = [F.min(F.when(F.col("_upto") >= F.ceil(F.col("_all") * F.lit(p) - 1e-9), F.col(value))).alias(f"p{round(p * 100)}") for p in points]
+    # a label of nulls alone has a total of 0 and no row to meet
+    return total.join(at, F.col("_by").eqNullSafe(F.col(by)), "left").groupBy(F.col("_by").alias(by)).agg(*reached)
+
+
+def cumulated(rows: DataFrame, by: str, order: str, value: str, name: str) -> DataFrame:
+    """rows with the running sum of a value in each group, by an order that is unique in it; nulls add nothing.
+
+    The rows are sorted by group and order over all tasks and written once; a task's rows are summed for themselves, and what
+    earlier tasks hold of the same group, a row for each task and group, is added. So a group that holds a third of all rows
+    is spread over as many tasks as its share.
+    """
+    numbered = rows.repartitionByRange(by, order).sortWithinPartitions(by, order).withColumn("_task", F.spark_partition_id())
+    held = written(numbered, "cumulated")
+    sums = held.groupBy("_task", by).agg(F.sum(value).alias("_sum"))
+    before = F.sum("_sum").over(Window.partitionBy(by).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sums.withColumn("_before", before).select(F.col("_task").alias("_t"), F.col(by).alias("_g"), "_before")
+    own = F.sum(value).over(Window.partitionBy("_task", by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    zero = F.lit(0).cast(rows.schema[value].dataType)
+    summed = held.withColumn("_own", own).join(starts, (F.col("_task") == F.col("_t")) & F.col(by).eqNullSafe(F.col("_g")))
+    return summed.withColumn(name, F.coalesce("_before", zero) + F.coalesce("_own", zero)).drop("_task", "_own", "_t", "_g", "_before")
+
+
+def within_budget(rows: DataFrame, by: str, order: str, size: str, budget: int) -> DataFrame:
+    """The first rows of each group whose sizes together stay within a budget."""
+    return cumulated(rows, by, order, size, "_used").where(F.col("_used") <= budget).drop("_used")
+
+
+def communities(nodes: DataFrame) -> DataFrame:
+    """community, size and sources (distinct source of its nodes)."""
+    return nodes.groupBy("community").agg(F.count("*").alias("size"), F.count_distinct("source").alias("sources"))
+
+
+def command_digest(name: Column, path: Column, command: Column) -> Column:
+    return F.sha2(F.concat_ws("|", name, path, command), 256)
+
+
+def untrusted(commands: DataFrame, trusted: DataFrame) -> DataFrame:
+    """Commands (name, path, command) whose digest is not among the trusted ones (digest)."""
+    rows = commands.withColumn("_digest", command_digest(F.col("name"), F.col("path"), F.col("command")))
+    return rows.join(trusted.select(F.col("digest").alias("_digest")), "_digest", "left_anti").drop("_digest")
+
+
+def placed(rows: DataFrame, by: str, value: Column, tie: str) -> DataFrame:
+    """rows with place, from 1 in each group by value; those without a value come last."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(value.asc_nulls_last(), tie)))

@@ -188,3 +188,15 @@ def line_diff(pairs: DataFrame, key: str, context: int = 3) -> DataFrame:
             yield pd.DataFrame(rows, columns=[key, "diff", "added", "deleted"])
 
     return pairs.select(key, "old", "new").mapInPandas(run, f"{key} {kind}, diff string, added bigint, deleted bigint")
+
+
+def index_list(docs: DataFrame, index: Column, without: tuple[str, ...] = ()) -> DataFrame:
+    """name and documents of each index, but for those that were taken away."""
+    rows = docs.select(index.alias("name")).where(~F.col("name").isin(*without)) if without else docs.select(index.alias("name"))
+    return rows.groupBy("name").agg(F.count("*").alias("documents"))
+
+
+def first_rows(rows: DataFrame, order: list[Column], limit: int) -> DataFrame:
+    """The first rows in an order that ends in a unique column, with place from 1; each task hands on `limit` rows at most."""
+    top = rows.orderBy(*order).limit(limit)
+    return top.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))

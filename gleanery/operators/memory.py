@@ -268,3 +268,37 @@ def semantic_search(rows: DataFrame, queries: DataFrame, least: float, limit: in
     near = rows.join(queries, "scope").withColumn("similarity", F.round(1 - cosine_distance(F.col("q"), F.col("embedding")), 6)).where(F.col("similarity") >= least)
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
     return near.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= limit).select("scope", "query_id", "id", "similarity")
+
+
+def inserted(rows: DataFrame, new: DataFrame, limits: DataFrame | None = None, default: int | None = None) -> DataFrame:
+    """rows with new ones, and where a limit is given only as many of a scope as it allows (see evict())."""
+    every = rows.unionByName(new)
+    if default is None:
+        return every
+    return evict(every, limits if limits is not None else rows.sparkSession.createDataFrame([], "scope string, max_rows int"), default)
+
+
+def history(rows: DataFrame, key: str) -> DataFrame:
+    """All rows of a key with version, from 1 in each scope by age, superseded ones too."""
+    order = Window.partitionBy("scope").orderBy("created_at", "id")
+    return rows.where(F.col("key") == key).withColumn("version", F.row_number().over(order))
+
+
+def unexpired(rows: DataFrame, now: Column) -> DataFrame:
+    """rows without those that have expired by now."""
+    return rows.where(F.col("expires_at").isNull() | (F.col("expires_at") > now))
+
+
+def prefetched(rows: DataFrame, limit: int = 3, line: int = 120, total: int = 360) -> DataFrame:
+    """scope, place, id and line of what a session begins with: the `limit` most accessed memories of a scope, each on a line of its own.
+
+    A line is cut at `line` characters and where the lines of a scope reach `total`; blank values are passed over, but have
+    their place among the most accessed.
+    """
+    order = Window.partitionBy("scope").orderBy(F.desc("accessed_count"), F.desc("appeared_count"), F.desc("id"))
+    top = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
+    clean = F.trim(F.replace(F.coalesce("value", F.lit("")), F.lit("\n"), F.lit(" ")))
+    cut = top.select("scope", "place", "id", F.substring(clean, 1, line).alias("_line"))
+    before = F.coalesce(F.sum(F.length("_line")).over(Window.partitionBy("scope").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    left = cut.withColumn("_left", F.lit(total) - before).where("_left > 0 AND _line <> ''")
+    return left.select("scope", "place", "id", F.expr("substring(_line, 1, int(_left))").alias("line"))

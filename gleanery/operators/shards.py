@@ -120,3 +120,16 @@ def searched(queries: DataFrame, root: str, schema, k: int, ef: int) -> DataFram
         graph = spark.read.parquet(f"{root}/graphs/shard-{shard}")
         out = out.unionByName(proximity.hnsw_search(queries, graph, k, ef).select("query_id", "vec_id", "distance"))
     return ops.nearest(out, k)
+
+
+def shard_rows(vectors: DataFrame, documents: DataFrame) -> DataFrame:
+    """hash, seq, path and title of every vector (hash, seq) that an active document holds: the first path and title of several, each row once."""
+    owners = documents.where("active").groupBy("hash").agg(F.min("path").alias("path"), F.min("title").alias("title"))
+    return vectors.select("hash", "seq").distinct().join(owners, "hash").select("hash", "seq", "path", "title")
+
+
+def queue_state(vectors: DataFrame, synced: DataFrame, key: str = "vec_id") -> DataFrame:
+    """One row: total (distinct vectors), processed (of these, what a shard has) and pending."""
+    done = synced.select(key).distinct().withColumn("_done", F.lit(True))
+    every = vectors.select(key).distinct().join(done, key, "left")
+    return every.agg(F.count("*").alias("total"), F.count_if("_done").alias("processed")).withColumn("pending", F.col("total") - F.col("processed"))

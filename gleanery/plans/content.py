@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions import text as tx
 from gleanery.operators import content as ops
+from gleanery.operators import lookup, status
 from gleanery.plans.catalog import DOCS, EDGES, docs, edges, iso, iso_sql, query, table, vectors
 
 W = f"WITH {DOCS}"
@@ -162,7 +163,7 @@ def orphan_vectors(spark, sf):
 
 @query("inactive_delete", f"{W} SELECT doc_id, path FROM docs WHERE active")
 def inactive_delete(spark, sf):
-    return docs(spark, sf).where("active").select("doc_id", "path")
+    return lookup.active(docs(spark, sf)).select("doc_id", "path")
 
 
 @query("coll_rename", f"{W} SELECT doc_id, CASE collection WHEN 'src3' THEN 'renamed' ELSE collection END AS collection FROM docs")
@@ -193,7 +194,7 @@ def embed_insert(spark, sf):
 
 @query("embed_clear", "SELECT vec_id, label FROM embeddings WHERE false")
 def embed_clear(spark, sf):
-    return vectors(spark, sf).select("vec_id", "label").where(F.lit(False))
+    return ops.cleared(vectors(spark, sf).select("vec_id", "label"))
 
 
 @query("src_index_attach", f"""{W} SELECT collection, path, hash FROM docs WHERE doc_id % 2 = 0 UNION ALL SELECT collection, path, hash FROM docs s WHERE collection = 'src1' AND NOT EXISTS (SELECT 1 FROM docs t WHERE t.doc_id % 2 = 0 AND t.collection = s.collection AND t.path = s.path)""")
@@ -232,85 +233,91 @@ def graph_expand(spark, sf):
 
 @query("backlinks", f"{W}, {EDGES} SELECT target_path AS path, count(*) AS n FROM edges GROUP BY target_path")
 def backlinks(spark, sf):
-    return edges(spark, sf).groupBy(F.col("target_path").alias("path")).agg(F.count("*").alias("n"))
+    return ops.backlinks(edges(spark, sf))
 
 
 @query("join_semi", f"{W}, {EDGES} SELECT doc_id FROM docs WHERE (collection, path) IN (SELECT (collection, source_path) FROM edges) OR (collection, path) IN (SELECT (collection, target_path) FROM edges)")
 def join_semi(spark, sf):
-    d, e = docs(spark, sf), edges(spark, sf)
-    ends = e.select("collection", F.col("source_path").alias("path")).union(e.select("collection", F.col("target_path").alias("path")))
-    return d.join(ends, ["collection", "path"], "left_semi").select("doc_id")
+    return ops.linked(docs(spark, sf), edges(spark, sf)).select("doc_id")
 
 
 @query("join_exists_copy", f"{W} SELECT DISTINCT hash FROM docs d WHERE EXISTS (SELECT 1 FROM docs e WHERE e.hash = d.hash AND e.collection = 'src1')")
 def join_exists_copy(spark, sf):
-    d = docs(spark, sf)
-    return d.join(d.where("collection = 'src1'").select("hash"), "hash", "left_semi").select("hash").distinct()
+    return ops.copied_in(docs(spark, sf), "src1")
 
 
 @query("join_doc_content", f"{W}, content AS (SELECT DISTINCT hash, length(body) AS n FROM docs) SELECT doc_id, n FROM docs JOIN content USING (hash) WHERE active")
 def join_doc_content(spark, sf):
     d = docs(spark, sf)
-    return d.where("active").select("doc_id", "hash").join(d.select("hash", F.length("body").alias("n")).distinct(), "hash").select("doc_id", "n")
+    return ops.with_content(d.select("doc_id", "hash", "active"), d.select("hash", F.length("body").alias("n"))).select("doc_id", "n")
 
 
 @query("join_vec_docs", f"{W}, {VECS} SELECT doc_id, hash_seq, length(body) AS n FROM vecs JOIN docs ON vecs.hash = docs.hash WHERE active")
 def join_vec_docs(spark, sf):
-    d = docs(spark, sf).where("active")
-    return _chunk_vectors(spark, sf).join(d, "hash").select("doc_id", "hash_seq", F.length("body").alias("n"))
+    d = docs(spark, sf).select("doc_id", "hash", "active", F.length("body").alias("n"))
+    return ops.vector_documents(_chunk_vectors(spark, sf), d).select("doc_id", "hash_seq", "n")
 
 
 @query("join_left_ingest", "SELECT d.doc_id, quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 def join_left_ingest(spark, sf):
-    return table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return ops.with_ingest(table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels").select("doc_id", "quality"))
 
 
 @query("join_anti", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def join_anti(spark, sf):
-    return table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels"), "doc_id", "left_anti")
+    return ops.lacking(table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels"))
 
 
 @query("set_union", f"{W}, {VERSIONS} SELECT hash FROM docs UNION SELECT hash FROM versions")
 def set_union(spark, sf):
-    return docs(spark, sf).select("hash").union(_versions(spark, sf).select("hash")).distinct()
+    return ops.known_hashes(docs(spark, sf), _versions(spark, sf))
 
 
 @query("distinct", "SELECT DISTINCT lang, source FROM documents")
 def distinct(spark, sf):
-    return table(spark, sf, "documents").select("lang", "source").distinct()
+    return ops.facets(table(spark, sf, "documents"), ["lang", "source"])
 
 
 @query("count_distinct", "SELECT count(DISTINCT text) AS texts, count(DISTINCT lang) AS langs FROM documents")
 def count_distinct(spark, sf):
-    return table(spark, sf, "documents").agg(F.count_distinct("text").alias("texts"), F.count_distinct("lang").alias("langs"))
+    return ops.cardinalities(table(spark, sf, "documents"), {"texts": "text", "langs": "lang"})
 
 
 @query("group_concat_fp", f"{W} SELECT collection, sha256(string_agg(hash, ',' ORDER BY hash)) AS fp FROM docs WHERE active GROUP BY collection")
 def group_concat_fp(spark, sf):
-    return docs(spark, sf).where("active").groupBy("collection").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("hash")), ","), 256).alias("fp"))
+    return status.fingerprints(lookup.active(docs(spark, sf)))
+
+
+@query("collection_fp_tree", f"""{W}, p AS (SELECT collection, hash[1:3] AS part, sha256(string_agg(hash, ',' ORDER BY hash)) AS fp FROM docs WHERE active GROUP BY ALL)
+ SELECT collection, sha256(string_agg(fp, ',' ORDER BY part)) AS fp FROM p GROUP BY collection""")
+def collection_fp_tree(spark, sf):
+    """The fingerprint of collections of any size: by parts of their hashes."""
+    return status.fingerprint_trees(lookup.active(docs(spark, sf)))
 
 
 @query("agg_collection_stats", f"{W} SELECT collection, count(*) AS total, count(*) FILTER (active) AS active, max(modified_at) AS last_modified FROM docs GROUP BY collection")
 def agg_collection_stats(spark, sf):
-    return docs(spark, sf).groupBy("collection").agg(F.count("*").alias("total"), F.count_if("active").alias("active"), F.max("modified_at").alias("last_modified"))
+    return status.collection_stats(docs(spark, sf))
 
 
 @query("agg_status", f"{W}, {VECS} SELECT collection, count(*) AS documents, max(modified_at) AS last_modified, count(*) FILTER (hash NOT IN (SELECT hash FROM vecs)) AS needs_embedding FROM docs WHERE active GROUP BY collection")
 def agg_status(spark, sf):
-    done = _chunk_vectors(spark, sf).select("hash", F.lit(1).alias("done")).distinct()
-    return docs(spark, sf).where("active").join(done, "hash", "left").groupBy("collection").agg(F.count("*").alias("documents"), F.max("modified_at").alias("last_modified"), F.count_if(F.col("done").isNull()).alias("needs_embedding"))
+    return status.status(docs(spark, sf), _chunk_vectors(spark, sf))
 
 
 @query("agg_index_health", f"{W}, {VECS} SELECT count(DISTINCT hash) FILTER (hash NOT IN (SELECT hash FROM vecs)) AS needs_embedding, count(*) AS total, date_diff('day', max(modified_at)[:10]::DATE, DATE '2025-01-01') AS days_stale FROM docs WHERE active")
 def agg_index_health(spark, sf):
-    done = _chunk_vectors(spark, sf).select("hash", F.lit(1).alias("done")).distinct()
-    one = docs(spark, sf).where("active").join(done, "hash", "left").agg(F.count_distinct(F.when(F.col("done").isNull(), F.col("hash"))).alias("needs_embedding"), F.count("*").alias("total"), F.max("modified_at").alias("m"))
-    return one.select("needs_embedding", "total", F.datediff(F.lit("2025-01-01").cast("date"), F.substring("m", 1, 10).cast("date")).alias("days_stale"))
+    return status.index_health(docs(spark, sf), _chunk_vectors(spark, sf), F.lit("2025-01-01").cast("date"))
 
 
 @query("agg_ingest_format", "SELECT event_type AS format, count(*) AS n FROM events GROUP BY event_type")
 def agg_ingest_format(spark, sf):
-    return table(spark, sf, "events").groupBy(F.col("event_type").alias("format")).agg(F.count("*").alias("n"))
+    return status.counts(table(spark, sf, "events"), F.col("event_type"), "format")
+
+
+def _warned():
+    """A JSON array of warnings of each event."""
+    return F.concat(F.lit('["'), "event_type", F.lit('_warn", "k'), (F.col("event_id") % 3).cast("string"), F.lit('", " "]'))
 
 
 WARNINGS = """'["' || event_type || '_warn", "k' || (event_id % 3) || '", " "]'"""
@@ -318,14 +325,12 @@ WARNINGS = """'["' || event_type || '_warn", "k' || (event_id % 3) || '", " "]'"
 
 @query("agg_ingest_warning", f"SELECT w AS warning, count(*) AS n FROM (SELECT trim(unnest(from_json({WARNINGS}, '[\"VARCHAR\"]'))) AS w FROM events) WHERE w <> '' GROUP BY w")
 def agg_ingest_warning(spark, sf):
-    raw = F.concat(F.lit('["'), "event_type", F.lit('_warn", "k'), (F.col("event_id") % 3).cast("string"), F.lit('", " "]'))
-    return table(spark, sf, "events").select(F.explode(F.from_json(raw, "array<string>")).alias("w")).select(F.trim("w").alias("warning")).where("warning <> ''").groupBy("warning").agg(F.count("*").alias("n"))
+    return status.warning_counts(table(spark, sf, "events"), _warned())
 
 
 @query("join_lateral_json", f"SELECT event_id, unnest(from_json({WARNINGS}, '[\"VARCHAR\"]')) AS warning FROM events")
 def join_lateral_json(spark, sf):
-    raw = F.concat(F.lit('["'), "event_type", F.lit('_warn", "k'), (F.col("event_id") % 3).cast("string"), F.lit('", " "]'))
-    return table(spark, sf, "events").select("event_id", F.explode(F.from_json(raw, "array<string>")).alias("warning"))
+    return status.listed(table(spark, sf, "events"), _warned(), "warning").select("event_id", "warning")
 
 
 @query("strip_xml", """WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?i)</(w:)?p>', chr(10), 'g'), '<[^>]+>', ' ', 'g') AS t FROM pages),

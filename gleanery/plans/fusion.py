@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gleanery.functions import text as tx
+from gleanery.operators import chunking, status
 from gleanery.operators import content as cops
 from gleanery.operators import fusion as ops
 from gleanery.plans.catalog import DOCS, EDGES, docs, edges, query, table
@@ -23,7 +24,7 @@ def _ranked(spark, sf):
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 10).alias("tenth"))
     dealt = d.join(asked, "tenth").withColumn("list_idx", F.explode(F.sequence(F.lit(0), F.lit(2))))
     key = F.md5(F.concat_ws(":", F.col("query_id").cast("string"), F.col("list_idx").cast("string"), F.col("doc_id").cast("string")))
-    return dealt.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "list_idx").orderBy(key))).where("rank <= 25")
+    return ops.ranked_lists(dealt, key, 25)
 
 
 def _fused(spark, sf):
@@ -99,8 +100,7 @@ def graph_candidates(spark, sf):
 
 def _chunks(spark, sf, size=400, step=300):
     d = docs(spark, sf).select("doc_id", F.col("path").alias("file"), "body")
-    starts = F.sequence(F.lit(0), F.greatest(F.length("body") - 1, F.lit(0)), F.lit(step))
-    return d.select("doc_id", "file", "body", F.posexplode(starts).alias("seq", "pos")).select("doc_id", "file", "seq", "pos", F.substring("body", F.col("pos") + 1, F.lit(size)).alias("text"))
+    return chunking.fixed(d, "body", size, step)
 
 
 CHUNKS = "chunks AS (SELECT doc_id, path AS file, (unnest(range(0, greatest(length(body), 1), 300)) // 300)::INT AS seq, body FROM docs), cut AS (SELECT doc_id, file, seq, seq * 300 AS pos, substr(body, seq * 300 + 1, 400) AS text FROM chunks)"
@@ -126,8 +126,7 @@ def best_chunk(spark, sf):
 
 @query("win_best_chunk", f"WITH {DOCS}, {CHUNKS} SELECT doc_id, seq FROM cut QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length(text) DESC, seq) = 1")
 def win_best_chunk(spark, sf):
-    w = Window.partitionBy("doc_id").orderBy(F.desc(F.length("text")), "seq")
-    return _chunks(spark, sf).withColumn("r", F.row_number().over(w)).where("r = 1").select("doc_id", "seq")
+    return chunking.longest(_chunks(spark, sf), "doc_id")
 
 
 @query("rerank", f"WITH {FUSED}, {ITEMS10} SELECT query_id, file, round(CASE WHEN len(terms) > 0 THEN len(list_filter(terms, lambda t: contains(lower(body), t)))::DOUBLE / len(terms) ELSE 0 END, 9) AS rerank FROM rrf r JOIN terms USING (query_id) JOIN docs d ON d.path = r.file WHERE rank <= 10")
@@ -167,9 +166,7 @@ def line_numbers(spark, sf):
 
 @query("snippet_trunc", f"WITH {DOCS}, l AS (SELECT doc_id, string_split(body, chr(10)) AS l FROM docs) SELECT doc_id, CASE WHEN len(l) > 3 THEN array_to_string(l[1:3], chr(10)) || chr(10) || '[... ' || (len(l) - 3) || ' more lines]' ELSE array_to_string(l, chr(10)) END AS text FROM l")
 def snippet_trunc(spark, sf):
-    lines = F.split("body", "\n")
-    cut = F.concat(F.array_join(F.slice(lines, 1, 3), "\n"), F.lit("\n[... "), (F.size(lines) - 3).cast("string"), F.lit(" more lines]"))
-    return docs(spark, sf).select("doc_id", F.when(F.size(lines) > 3, cut).otherwise(F.col("body")).alias("text"))
+    return docs(spark, sf).select("doc_id", tx.first_lines(F.col("body"), 3).alias("text"))
 
 
 PAIRS = f"""t AS (SELECT doc_id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(body), '\\s+'), lambda x: length(x) > 2))) AS t FROM docs),
@@ -199,9 +196,7 @@ def federated(spark, sf):
 
 @query("diagnostics", """SELECT event_type AS warning, CASE WHEN starts_with(event_type, 'err') THEN 'backend_error' WHEN starts_with(event_type, 's') THEN 'shard_degraded' ELSE 'none' END AS reason, count(*) AS n FROM events GROUP BY ALL""")
 def diagnostics(spark, sf):
-    t = F.col("event_type")
-    reason = F.when(F.startswith(t, F.lit("err")), "backend_error").when(F.startswith(t, F.lit("s")), "shard_degraded").otherwise("none")
-    return table(spark, sf, "events").groupBy(t.alias("warning"), reason.alias("reason")).agg(F.count("*").alias("n"))
+    return status.diagnostics(table(spark, sf, "events"), F.col("event_type"), [("err", "backend_error"), ("s", "shard_degraded")])
 
 
 @query("arch_hints", f"""WITH {ITEMS10}, h AS (SELECT doc_id AS hint_id, CASE doc_id % 3 WHEN 0 THEN 'god_node' WHEN 1 THEN 'surprising_edge' ELSE 'other' END AS kind, lower(lang || ' ' || text) AS hay FROM documents),
@@ -223,17 +218,17 @@ def expand_query(spark, sf):
 
 @query("cache_key", """SELECT conv_id, turn, sha256('rerank' || '{"chunk":"' || conv_id || '","query":"' || role || '"}') AS key FROM conversations""")
 def cache_key(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", F.sha2(F.concat(F.lit("rerank"), F.to_json(F.struct(F.col("conv_id").cast("string").alias("chunk"), F.col("role").alias("query")))), 256).alias("key"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", tx.cache_key("rerank", query=F.col("role"), chunk=F.col("conv_id").cast("string")).alias("key"))
 
 
 @query("stable_hash", """SELECT conv_id, turn, sha256('{"role":"' || role || '","turn":' || turn || '}') AS key FROM conversations""")
 def stable_hash(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", F.sha2(F.to_json(F.struct("role", "turn")), 256).alias("key"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", tx.stable_hash(role=F.col("role"), turn=F.col("turn")).alias("key"))
 
 
 @query("highlight", """SELECT doc_id, regexp_replace(text, '(?i)(the|and|der|que)', '<\\1>', 'g') AS text FROM documents""")
 def highlight(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.regexp_replace("text", "(?i)(the|and|der|que)", "<$1>").alias("text"))
+    return table(spark, sf, "documents").select("doc_id", tx.highlight(F.col("text"), F.lit("The and of der que")).alias("text"))
 
 
 @query("summary_text", f"WITH {FUSED} SELECT query_id, string_agg('#' || substr(hash, 1, 6) || ' ' || round(score * 100)::INT || '% ' || r.file || ' - doc_' || r.doc_id, chr(10) ORDER BY rank) AS text FROM rrf r JOIN docs d ON d.path = r.file WHERE rank <= 5 GROUP BY query_id")
@@ -246,17 +241,20 @@ def summary_text(spark, sf):
 
 @query("rerank_estimate", "SELECT doc_id, 400 + doc_id * CASE WHEN doc_id > 20 THEN 500 - least(300, 5 * (doc_id - 20)) ELSE 500 END AS ms FROM documents")
 def rerank_estimate(spark, sf):
-    n = F.col("doc_id")
-    return table(spark, sf, "documents").select("doc_id", (400 + n * F.when(n > 20, 500 - F.least(F.lit(300), 5 * (n - 20))).otherwise(500)).alias("ms"))
+    return table(spark, sf, "documents").select("doc_id", ops.rerank_ms(F.col("doc_id")).alias("ms"))
 
 
-@query("ctx_sanitize", """SELECT doc_id, left(replace(regexp_replace(regexp_replace(chr(27) || '[31m' || text || '```x', '\\x1b\\[[0-9;]*[A-Za-z]', '', 'g'), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g'), '```', ''''''''), 8192) AS text FROM documents""")
+SANITIZED = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(chr(65279) || chr(27) || '[31m' || text || chr(27) || ']0;t' || chr(7) || chr(1) || '</Context_provided_by_USER>', '\\x1b\\[[0-?]*[ -/]*[@-~]', '', 'g'), '\\x1b\\][^\\x07]*\\x07', '', 'g'), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g'), '^\\x{FEFF}', '')"
+
+
+@query("ctx_sanitize", f"""SELECT doc_id, CASE WHEN length(t) > 8192 THEN left(t, 8192) || chr(10) || '[... truncated]' ELSE t END AS text
+ FROM (SELECT doc_id, replace(replace({SANITIZED}, '</Context_provided_by_USER>', '<\\/context_provided_by_user>'), '</context_provided_by_user>', '<\\/context_provided_by_user>') AS t FROM documents)""")
 def ctx_sanitize(spark, sf):
-    t = F.concat(F.lit("\x1b[31m"), "text", F.lit("```x"))
-    t = F.regexp_replace(F.regexp_replace(t, r"\x1b\[[0-9;]*[A-Za-z]", ""), r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
-    return table(spark, sf, "documents").select("doc_id", F.substring(F.replace(t, F.lit("```"), F.lit("'''")), 1, 8192).alias("text"))
+    """Every text with a terminal sequence, a title sequence, a control character and a closing tag put into it."""
+    t = F.concat(F.lit("\ufeff\x1b[31m"), "text", F.lit("\x1b]0;t\x07\x01</Context_provided_by_USER>"))
+    return table(spark, sf, "documents").select("doc_id", tx.sanitized(t).alias("text"))
 
 
 @query("rerank_settings", "SELECT conv_id, turn, coalesce(CASE WHEN turn % 3 = 0 THEN 10 END, CASE WHEN conv_id % 2 = 0 THEN 30 END, 40) AS candidate_limit FROM conversations")
 def rerank_settings(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", F.coalesce(F.when(F.col("turn") % 3 == 0, 10), F.when(F.col("conv_id") % 2 == 0, 30), F.lit(40)).alias("candidate_limit"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", ops.setting(40, F.when(F.col("turn") % 3 == 0, 10), F.when(F.col("conv_id") % 2 == 0, 30)).alias("candidate_limit"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gleanery.operators import ledgers as ops
+from gleanery.operators import status
 from gleanery.plans.catalog import DOCS, EDGES, edges, query, table
 
 USAGE = """usage AS (SELECT 'k' || event_id AS idempotency_key, event_type AS operation, ['gpt-4o-mini', 'gpt-4o', 'gemini-1.5-pro', 'llama3', 'claude-3-5-haiku', 'text-embed', 'unknown'][event_id % 7 + 1] AS model,
@@ -69,13 +70,13 @@ def audit_summary(spark, sf):
 @query("agg_trigger_rate", "SELECT count(*) FILTER (event_type = 'click') AS agent_auto, count(*) FILTER (event_type = 'purchase') AS user_explicit, count(*) FILTER (event_type NOT IN ('click', 'purchase')) AS unknown FROM events")
 def agg_trigger_rate(spark, sf):
     t = F.col("event_type")
-    return table(spark, sf, "events").agg(F.count_if(t == "click").alias("agent_auto"), F.count_if(t == "purchase").alias("user_explicit"), F.count_if(~t.isin("click", "purchase")).alias("unknown"))
+    return ops.trigger_rates(table(spark, sf, "events"), F.when(t == "click", "agent-auto").when(t == "purchase", "user-explicit"))
 
 
 @query("agg_feedback", "SELECT doc_id % 50 AS result_id, count(*) FILTER (quality = 1 AND toxic = 0) AS positive, count(*) FILTER (toxic = 1) AS negative, count(*) FILTER (quality = 0 AND toxic = 0) AS neutral, count(*) AS total FROM labels GROUP BY 1")
 def agg_feedback(spark, sf):
-    q, t = F.col("quality"), F.col("toxic")
-    return table(spark, sf, "labels").groupBy((F.col("doc_id") % 50).alias("result_id")).agg(F.count_if((q == 1) & (t == 0)).alias("positive"), F.count_if(t == 1).alias("negative"), F.count_if((q == 0) & (t == 0)).alias("neutral"), F.count("*").alias("total"))
+    said = F.when(F.col("toxic") == 1, "negative").when(F.col("quality") == 1, "positive").otherwise("neutral")
+    return ops.feedback_counts(table(spark, sf, "labels").select((F.col("doc_id") % 50).alias("result_id"), said.alias("satisfaction")))
 
 
 @query("feedback_bias", "WITH f AS (SELECT doc_id // 3 AS result_id, count(*) FILTER (quality = 1) AS p, count(*) AS n FROM labels GROUP BY 1) SELECT doc_id AS result_id, coalesce(round(1 + 0.3::DOUBLE * (p::DOUBLE / n - 0.5::DOUBLE), 6), 1.0::DOUBLE) AS bias FROM documents LEFT JOIN f ON f.result_id = doc_id")
@@ -91,7 +92,7 @@ def agg_metrics_hist(spark, sf):
 
 @query("agg_percentile", "SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY event_type")
 def agg_percentile(spark, sf):
-    return table(spark, sf, "events").groupBy("event_type").agg(*[F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY value)").alias(f"p{int(p * 100)}") for p in (0.5, 0.95, 0.99)])
+    return ops.percentiles(table(spark, sf, "events"), "event_type", "value")
 
 
 @query("agg_arch_distill", f"WITH {DOCS}, {EDGES} SELECT id, count(*) AS edges FROM (SELECT unnest([source_path, target_path]) AS id FROM edges) GROUP BY id ORDER BY edges DESC, id LIMIT 15")
@@ -108,34 +109,29 @@ def topk_arch(spark, sf):
 
 @query("arch_communities", "SELECT label AS community, count(*) AS size, count(DISTINCT vec_id % 7) AS sources FROM embeddings GROUP BY label")
 def arch_communities(spark, sf):
-    return table(spark, sf, "embeddings").groupBy(F.col("label").alias("community")).agg(F.count("*").alias("size"), F.count_distinct(F.col("vec_id") % 7).alias("sources"))
+    return ops.communities(table(spark, sf, "embeddings").select(F.col("label").alias("community"), (F.col("vec_id") % 7).alias("source")))
 
 
 @query("trust_check", "SELECT doc_id FROM documents WHERE sha256(source || '|' || lang || '|update') NOT IN (SELECT sha256(source || '|' || lang || '|update') FROM documents JOIN labels USING (doc_id) WHERE quality = 1)")
 def trust_check(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.sha2(F.concat_ws("|", "source", "lang", F.lit("update")), 256).alias("h"))
-    return d.join(d.join(table(spark, sf, "labels").where("quality = 1"), "doc_id").select("h").distinct(), "h", "left_anti").select("doc_id")
+    d = table(spark, sf, "documents").select("doc_id", F.col("source").alias("name"), F.col("lang").alias("path"), F.lit("update").alias("command"))
+    good = d.join(table(spark, sf, "labels").where("quality = 1"), "doc_id").select(ops.command_digest(F.col("name"), F.col("path"), F.col("command")).alias("digest"))
+    return ops.untrusted(d, good).select("doc_id")
 
 
 @query("capabilities", "SELECT 'source' AS capability, 'd' || count(DISTINCT source) AS value FROM documents UNION ALL SELECT 'lang', 'd' || count(DISTINCT lang) FROM documents UNION ALL SELECT 'ann', 'centroid-v1'")
 def capabilities(spark, sf):
     one = table(spark, sf, "documents").agg(F.count_distinct("source").alias("s"), F.count_distinct("lang").alias("l"))
-    m = F.create_map(F.lit("source"), F.concat(F.lit("d"), F.col("s").cast("string")), F.lit("lang"), F.concat(F.lit("d"), F.col("l").cast("string")), F.lit("ann"), F.lit("centroid-v1"))
-    return one.select(F.explode(m).alias("capability", "value"))
+    m = F.create_map(F.lit("source"), F.concat(F.lit("d"), F.col("s").cast("string")), F.lit("lang"), F.concat(F.lit("d"), F.col("l").cast("string")))
+    return status.capabilities(one.select(F.explode(m).alias("capability", "value")), {"ann": "centroid-v1", "lang": "none"})
 
 
 @query("sort_nulls_last", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN event_id % 4 = 0 THEN NULL ELSE value END ASC NULLS LAST, event_id) AS place FROM events")
 def sort_nulls_last(spark, sf):
-    from pyspark.sql import Window
-
     v = F.when(F.col("event_id") % 4 != 0, F.col("value"))
-    w = Window.partitionBy("user_id").orderBy(v.asc_nulls_last(), "event_id")
-    return table(spark, sf, "events").withColumn("place", F.row_number().over(w)).select("event_id", "place")
+    return ops.placed(table(spark, sf, "events"), "user_id", v, "event_id").select("event_id", "place")
 
 
 @query("win_cumulative_budget", "SELECT doc_id FROM (SELECT doc_id, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id) AS used FROM documents) WHERE used <= 20000")
 def win_cumulative_budget(spark, sf):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, sf, "documents").withColumn("used", F.sum("n_chars").over(w)).where("used <= 20000").select("doc_id")
+    return ops.within_budget(table(spark, sf, "documents").select("source", "doc_id", "n_chars"), "source", "doc_id", "n_chars", 20000).select("doc_id")

@@ -146,7 +146,7 @@ def collection_crud(spark, sf):
 
 @query("index_crud", "SELECT 'idx_' || lang AS name, count(*) AS documents FROM documents WHERE lang <> 'es' GROUP BY lang")
 def index_crud(spark, sf):
-    return table(spark, sf, "documents").where("lang <> 'es'").groupBy(F.concat(F.lit("idx_"), "lang").alias("name")).agg(F.count("*").alias("documents"))
+    return ops.index_list(table(spark, sf, "documents"), F.concat(F.lit("idx_"), "lang"), ("idx_es",))
 
 
 @query("stale_detect", f"{W} SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 'missing' WHEN doc_id % 3 = 0 THEN 'stale' ELSE 'fresh' END AS state FROM docs")
@@ -171,12 +171,11 @@ def line_diff_counts(spark, sf):
 
 @query("set_except", "SELECT item_id, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda t: t NOT IN ('the', 'and', 'of', 'to', '')))), ' ') AS terms FROM benchmark")
 def set_except(spark, sf):
-    stop = F.array(*map(F.lit, ("the", "and", "of", "to", "")))
-    return table(spark, sf, "benchmark").select("item_id", F.array_join(F.array_sort(F.array_except(F.split(F.lower("text"), r"\s+"), stop)), " ").alias("terms"))
+    return table(spark, sf, "benchmark").select("item_id", tx.without_words(F.col("text"), ("the", "and", "of", "to")).alias("terms"))
 
 
 @query("set_symdiff", "WITH w AS (SELECT item_id, list_distinct(regexp_split_to_array(lower(text), '\\s+')) AS w FROM benchmark) SELECT a.item_id, (len(a.w) + len(b.w) - 2 * len(list_intersect(a.w, b.w)))::INT AS distance FROM w a JOIN w b ON b.item_id = a.item_id + 1")
 def set_symdiff(spark, sf):
     w = table(spark, sf, "benchmark").select("item_id", F.array_distinct(F.split(F.lower("text"), r"\s+")).alias("w"))
     b = w.select((F.col("item_id") - 1).alias("item_id"), F.col("w").alias("x"))
-    return w.join(b, "item_id").select("item_id", (F.size("w") + F.size("x") - 2 * F.size(F.array_intersect("w", "x"))).alias("distance"))
+    return w.join(b, "item_id").select("item_id", tx.set_distance(F.col("w"), F.col("x")).alias("distance"))

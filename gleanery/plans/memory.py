@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gleanery.operators import memory as ops
@@ -68,7 +67,7 @@ def mem_single_card(spark, sf):
 @query("mem_insert", f"WITH {MEM} SELECT scope, count(*) AS n FROM (SELECT scope, id FROM mem UNION ALL SELECT scope, id + 500 FROM mem WHERE id % 2 = 0) GROUP BY scope")
 def mem_insert(spark, sf):
     m = _mem(spark, sf).select("scope", "id")
-    return m.unionByName(m.where("id % 2 = 0").withColumn("id", F.col("id") + 500)).groupBy("scope").agg(F.count("*").alias("n"))
+    return ops.inserted(m, m.where("id % 2 = 0").withColumn("id", F.col("id") + 500)).groupBy("scope").agg(F.count("*").alias("n"))
 
 
 def _vectors(spark, sf):
@@ -118,8 +117,7 @@ def mem_counters(spark, sf):
 
 @query("mem_history", f"WITH {MEM} SELECT id, value, row_number() OVER (PARTITION BY scope, key ORDER BY created_at, id) AS version FROM mem WHERE key = 'job_title'")
 def mem_history(spark, sf):
-    w = Window.partitionBy("scope", "key").orderBy("created_at", "id")
-    return _mem(spark, sf).where("key = 'job_title'").select("id", "value", F.row_number().over(w).alias("version"))
+    return ops.history(_mem(spark, sf), "job_title").select("id", "value", "version")
 
 
 @query("mem_delete", f"WITH {SUP}, g AS (SELECT id AS gone, superseded_by AS next FROM sup WHERE id % 2003 = 3) SELECT s.id, CASE WHEN g.gone IS NOT NULL THEN g.next ELSE s.superseded_by END AS superseded_by FROM sup s LEFT JOIN g ON s.superseded_by = g.gone WHERE s.id NOT IN (SELECT gone FROM g)")
@@ -130,7 +128,7 @@ def mem_delete(spark, sf):
 
 @query("mem_purge", f"WITH {MEM} SELECT id FROM mem WHERE expires_at IS NULL OR expires_at > 50")
 def mem_purge(spark, sf):
-    return _mem(spark, sf).where("expires_at is null or expires_at > 50").select("id")
+    return ops.unexpired(_mem(spark, sf), F.lit(50)).select("id")
 
 
 @query("mem_evict", f"WITH {MEM} SELECT id FROM mem QUALIFY row_number() OVER (PARTITION BY scope ORDER BY last_accessed_at DESC NULLS FIRST, id DESC) <= CASE scope WHEN 's1' THEN 3 ELSE 10 END")
@@ -139,12 +137,10 @@ def mem_evict(spark, sf):
     return ops.evict(_mem(spark, sf), limits, 10).select("id")
 
 
-@query("mem_prefetch", f"WITH {MEM}, t AS (SELECT scope, id, length(value) AS n, row_number() OVER (PARTITION BY scope ORDER BY accessed_count DESC, id) AS r FROM mem QUALIFY r <= 3), u AS (SELECT *, sum(n) OVER (PARTITION BY scope ORDER BY r) AS used FROM t) SELECT scope, id FROM u WHERE used <= 100")
+@query("mem_prefetch", f"""WITH {MEM}, t AS (SELECT scope, id, trim(replace(value, chr(10), ' '), ' ')[1:120] AS l, row_number() OVER (PARTITION BY scope ORDER BY accessed_count DESC, appeared_count DESC, id DESC) AS place FROM mem QUALIFY place <= 5),
+ u AS (SELECT *, coalesce(sum(length(l)) OVER (PARTITION BY scope ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM t) SELECT scope, place, id, l[1:(360 - used)::BIGINT] AS line FROM u WHERE used < 360 AND l <> ''""")
 def mem_prefetch(spark, sf):
-    w = Window.partitionBy("scope").orderBy(F.desc("accessed_count"), "id")
-    t = _mem(spark, sf).withColumn("r", F.row_number().over(w)).where("r <= 3")
-    used = F.sum(F.length("value")).over(Window.partitionBy("scope").orderBy("r").rowsBetween(Window.unboundedPreceding, 0))
-    return t.withColumn("used", used).where("used <= 100").select("scope", "id")
+    return ops.prefetched(_mem(spark, sf), limit=5)
 
 
 @query("agg_memory_stats", f"WITH {SUP} SELECT scope, count(*) FILTER (superseded_by IS NULL) AS live, count(*) FILTER (superseded_by IS NOT NULL) AS superseded, count(*) AS total, sum(accessed_count)::BIGINT AS accessed FROM sup GROUP BY scope")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gleanery.operators import status
 from gleanery.plans.catalog import DOCS, docs, query
 from gleanery.plans.fusion import SNIP, snippets
 from gleanery.sources import sinks as out
@@ -62,7 +63,6 @@ def sink_document(spark, sf):
     return _results(spark, sf).select("doc_id", F.concat(F.lit('<document path="'), "file", F.lit('">\n'), out.xml_escape(C("body")), F.lit("\n</document>")).alias("text"))
 
 
-@query("capability_manifest")
+@query("capability_manifest", f"""WITH {DOCS} SELECT collection, '{{"documents":' || count(*) || ',"active":' || count(*) FILTER (active) || ',"last_modified":"' || max(modified_at) || '"}}' AS manifest FROM docs GROUP BY collection""")
 def capability_manifest(spark, sf):
-    d = docs(spark, sf)
-    return d.groupBy("collection").agg(F.to_json(F.struct(F.count("*").alias("documents"), F.count_if("active").alias("active"), F.max("modified_at").alias("last_modified"))).alias("manifest"))
+    return status.manifest(docs(spark, sf))

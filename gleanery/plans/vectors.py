@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from gleanery.operators import proximity
+from gleanery.operators import lookup, proximity, shards
 from gleanery.operators import vectors as ops
 from gleanery.plans.catalog import query, table, vectors
 from gleanery.sources.tables import written
@@ -86,8 +86,8 @@ def shard_fanout(spark, sf):
 @query("shard_sync_query", "SELECT hash, seq, min(path) AS path, min(title) AS title FROM (SELECT sha256(text) AS hash, 0 AS seq, lang || '/doc_' || doc_id || '.md' AS path, 'doc_' || doc_id AS title FROM documents) GROUP BY ALL")
 def shard_sync_query(spark, sf):
     n = F.col("doc_id").cast("string")
-    d = table(spark, sf, "documents").select(F.sha2("text", 256).alias("hash"), F.lit(0).alias("seq"), F.concat("lang", F.lit("/doc_"), n, F.lit(".md")).alias("path"), F.concat(F.lit("doc_"), n).alias("title"))
-    return d.groupBy("hash", "seq").agg(F.min("path").alias("path"), F.min("title").alias("title"))
+    d = table(spark, sf, "documents").select(F.sha2("text", 256).alias("hash"), F.concat("lang", F.lit("/doc_"), n, F.lit(".md")).alias("path"), F.concat(F.lit("doc_"), n).alias("title"), F.lit(True).alias("active"))
+    return shards.shard_rows(d.select("hash", F.lit(0).alias("seq")), d)
 
 
 @query("embed_format", "SELECT item_id, CASE item_id % 2 WHEN 0 THEN 'Instruct: Retrieve relevant documents for the given query' || chr(10) || 'Query: ' || text ELSE 'task: search result | query: ' || text END AS as_query, CASE item_id % 2 WHEN 0 THEN 't' || chr(10) || text ELSE 'title: none | text: ' || text END AS as_document FROM benchmark")
@@ -199,8 +199,8 @@ def shard_health(spark, sf):
 
 @query("shard_queue", "SELECT count(DISTINCT vec_id) AS total, count(*) FILTER (vec_id < 300) AS processed, greatest(0, count(DISTINCT vec_id) - count(*) FILTER (vec_id < 300)) AS pending FROM embeddings")
 def shard_queue(spark, sf):
-    total, done = F.count_distinct("vec_id"), F.count_if(F.col("vec_id") < 300)
-    return vectors(spark, sf).agg(total.alias("total"), done.alias("processed"), F.greatest(F.lit(0), total - done).alias("pending"))
+    v = vectors(spark, sf).select("vec_id")
+    return shards.queue_state(v, v.where("vec_id < 300"))
 
 
 @query("limit_topk", f"WITH {Q}, {D} SELECT vec_id, min(distance) AS distance FROM d GROUP BY vec_id ORDER BY distance, vec_id LIMIT 25")
@@ -211,7 +211,4 @@ def limit_topk(spark, sf):
 
 @query("sort_multi", "SELECT vec_id, label, row_number() OVER (ORDER BY label DESC, vec_id) AS place FROM embeddings QUALIFY place <= 50")
 def sort_multi(spark, sf):
-    top = vectors(spark, sf).select("vec_id", "label").orderBy(F.desc("label"), "vec_id").limit(50)
-    from pyspark.sql import Window
-
-    return top.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("label"), "vec_id")))
+    return lookup.first_rows(vectors(spark, sf).select("vec_id", "label"), [F.desc("label"), F.col("vec_id")], 50)
