@@ -58,13 +58,18 @@ def with_neighbours(ranked: DataFrame, near: DataFrame, score: float = 0.1) -> D
 
 
 def best_chunk(candidates: DataFrame, chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """For each candidate (query_id, file) the chunk (file, seq, text) with most distinct words of its query (text), the first at a tie."""
+    """For each candidate (query_id, file) the chunk (file, seq, text; one row for each file and seq) with most distinct words of its query (text), the first at a tie.
+
+    Places are compared as numbers, most words first; texts meet their candidates and are joined once more where they are chosen, but are not sorted.
+    """
     terms = F.array_distinct(F.filter(F.split(F.lower("query"), r"\s+"), lambda t: F.length(t) > 2))
     asked = queries.select("query_id", F.col("text").alias("query")).select("query_id", terms.alias("terms"))
     pairs = candidates.select("query_id", "file").join(asked, "query_id").join(chunks, "file")
     overlap = F.size(F.filter("terms", lambda t: F.contains(F.lower(F.col("text")), t)))
-    best = pairs.groupBy("query_id", "file").agg(F.min(F.struct((-overlap).alias("o"), "seq", "text")).alias("b"))
-    return best.select("query_id", "file", F.col("b.seq").alias("seq"), (-F.col("b.o")).alias("overlap"), F.col("b.text").alias("text"))
+    place = F.lit(1 << 31) - 1 - F.col("seq") + F.shiftleft(overlap.cast("bigint"), 31)
+    best = pairs.groupBy("query_id", "file").agg(F.max(place).alias("_p"))
+    best = best.select("query_id", "file", (F.lit((1 << 31) - 1) - F.col("_p").bitwiseAND((1 << 31) - 1)).cast("int").alias("seq"), F.shiftright("_p", 31).cast("int").alias("overlap"))
+    return best.join(chunks.select("file", "seq", "text"), ["file", "seq"]).select("query_id", "file", "seq", "overlap", "text")
 
 
 def overlap_score(query: Column, text: Column) -> Column:

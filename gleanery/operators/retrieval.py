@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from gleanery.functions import text as tx
 from gleanery.functions.providers import Deterministic, ModelProvider
 from gleanery.operators import chunking, content, fusion, lexical, vectors
-from gleanery.sources.tables import written
+from gleanery.sources.tables import spread, written
 
 # Fixed value: the model whose prompts are put before texts.
 MODEL = "embeddinggemma"
@@ -109,8 +109,9 @@ def finished(lists: DataFrame, queries: DataFrame, corpus: Corpus, doubled: int,
         near = content.neighbours(edges, seeds, corpus.files).select("query_id", F.concat_ws("/", "collection", "path").alias("file"))
         fused = fusion.with_neighbours(fused, near)
     fused = written(fused, "fused")
-    wanted = corpus.files.join(fused.select("file").distinct(), "file", "left_semi")
+    wanted = spread(corpus.files).join(fused.select("file").distinct(), "file", "left_semi")
     parts = chunking.chunks(wanted.select("file", "body"), "file", "body")
+    parts = written(parts, "chunks")
     best = fusion.best_chunk(fused, parts, queries).select("query_id", "file", F.col("text").alias("chunk"))
     pairs = written(best.join(queries.select("query_id", F.col("text").alias("query")), "query_id"), "pairs")
     scored = fusion.rerank(pairs, scorer=_scorer(corpus.provider)).select("query_id", "file", "rerank")
