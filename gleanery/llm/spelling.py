@@ -42,11 +42,14 @@ def occurrences(text: str, doc_id: str, every: int = EVERY) -> Counter:
     found = Counter(text.encode("latin-1", "replace").translate(_LETTERS).split())
     words = list(found)
     plain = words if text.isascii() else [w if w.isascii() else w.decode("latin-1").encode() for w in words]
+    # what a deletion leaves is no run of the text: it is added last, so that no other deletion takes it for one
+    left: list[tuple[bytes, int]] = []
     for word, h in zip(words, map(zlib.crc32, plain, repeat(start)), strict=True):
         if h % every == 0:
             at = h % len(word)
-            n = found.pop(word)
-            found[word[:at] + word[at + 1 :]] += n
+            left.append((word[:at] + word[at + 1 :], found.pop(word)))
+    for word, n in left:
+        found[word] += n
     return found
 
 
