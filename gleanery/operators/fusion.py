@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleanery.sources.tables import written
+
 K, CUT = 60, 300
 
 
@@ -114,37 +116,92 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, 1.0).otherwise(both / union)
 
 
-def similar_sets(sets: DataFrame, least: float) -> DataFrame:
-    """a, b and jaccard of the sets (doc_id, t) that are alike by `least` or more: pairs of distinct sets, each named by its smallest id, and each copy with that id.
+COUNTERS = 1 << 20
+
+
+def _prefixes(reps: DataFrame, by: list[str], least: float) -> DataFrame:
+    """by, a, n, pos, token and s0 to s3 for the tokens of each set (by, a, t: array<bigint>) that one alike has to share: the rarest of them; row by row.
 
-    Exact, by prefixes: two sets that alike share one of their rarest tokens, as many as may be missing and one
-    more, so sets are joined by these alone, and verified.
+    Rare is told by COUNTERS counters of hashes, a table of 8 MB whatever the vocabulary; any order that is the same for all sets gives
+    the same pairs. s0 to s3 are the parities of a set's tokens in 256 classes: two sets differ by no fewer tokens than classes.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    counted = reps.select(F.explode("t").alias("x")).groupBy(F.pmod("x", F.lit(COUNTERS)).cast("int").alias("c")).agg(F.count("*").alias("n")).toArrow()
+    often = np.zeros(COUNTERS, np.int64)
+    often[counted["c"].to_numpy()] = counted["n"].to_numpy()
+
+    def run(batches):
+        for batch in (whole.slice(i, 512) for whole in batches for i in range(0, whole.num_rows, 512)):
+            t = batch.column(batch.num_columns - 1)
+            flat, n = t.flatten().to_numpy(zero_copy_only=False), np.diff(t.offsets.to_numpy())
+            row = np.repeat(np.arange(len(n)), n)
+            bits = np.zeros(len(n) * 256, np.uint8)
+            np.bitwise_xor.at(bits, row * 256 + (flat.view(np.uint64) >> np.uint64(56)).astype(np.int64), 1)
+            signs = np.packbits(bits).view(np.int64).reshape(-1, 4)
+            order = np.lexsort((flat, often[flat % COUNTERS], row))
+            pos = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+            most = n - np.ceil(least * n - 1e-9).astype(np.int64) + 1
+            held = pos < np.repeat(most, n)
+            at, which = order[held], pa.array(row[held])
+            yield pa.RecordBatch.from_arrays([*(c.take(which) for c in batch.columns[:-1]), pa.array(n[row[held]].astype(np.int32)), pa.array(pos[held].astype(np.int32)), pa.array(flat[at]), *(pa.array(signs[row[held], i]) for i in range(4))], [*by, "a", "n", "pos", "token", "s0", "s1", "s2", "s3"])
+
+    kinds = "".join(f"`{c}` {reps.schema[c].dataType.simpleString()}, " for c in [*by, "a"])
+    return reps.select(*by, "a", "t").where(F.size("t") > 0).mapInArrow(run, f"{kinds}n int, pos int, token bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint")
+
+
+def _alike(sets: DataFrame, least: float, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """similar_sets() within groups (by): the pairs of distinct sets, and the copies.
+
+    Exact, by prefixes: two sets that are alike share one of their rarest tokens, as many as may be missing and one
+    more, so sets are joined by these alone. Places of the shared token and parities of tokens tell most other pairs before anything of them is
+    moved, and the rest are verified. Tokens are compared by 64 bits of hash.
     """
     t = F.array_sort("t")
-    keyed = sets.select("doc_id", t.alias("t"), F.md5(F.array_join(t, " ")).alias("set"))
-    named = keyed.groupBy("set").agg(F.min("doc_id").alias("a"), F.first("t").alias("t"))
-    copies = keyed.join(named.select("set", "a"), "set").where("doc_id > a").select("a", F.col("doc_id").alias("b"), F.lit(1.0).alias("jaccard"))
-    each = named.select("a", F.size("t").alias("n"), F.explode("t").alias("token"))
-    rare = each.groupBy("token").agg(F.count("*").alias("df"))
-    ordered = each.join(rare, "token").groupBy("a", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("o"))
-    prefix = ordered.select("a", "n", F.explode(F.slice("o", F.lit(1), (F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1).cast("int"))).alias("x")).select("a", "n", F.col("x.token").alias("token"))
-    other = prefix.select(F.col("a").alias("b"), F.col("n").alias("m"), "token")
-    near = prefix.join(other, "token").where((F.col("a") < F.col("b")) & (F.col("n") >= least * F.col("m") - 1e-9) & (F.col("m") >= least * F.col("n") - 1e-9)).select("a", "b").distinct()
-    both = near.join(named.select("a", "t"), "a").join(named.select(F.col("a").alias("b"), F.col("t").alias("u")), "b")
-    alike = both.select("a", "b", jaccard(F.col("t"), F.col("u")).alias("jaccard")).where(F.col("jaccard") >= least)
-    return alike.withColumn("jaccard", F.round("jaccard", 6)).unionByName(copies)
+    keyed = written(sets.where("t is not null").select(*by, "doc_id", F.md5(F.array_join(t, " ")).alias("set"), F.transform("t", lambda x: F.xxhash64(x)).alias("t")), "sets")
+    named = written(keyed.groupBy(*by, "set").agg(F.min("doc_id").alias("a")), "named")
+    copies = keyed.select(*by, "doc_id", "set").join(named, [*by, "set"]).where("doc_id > a").select(*by, "a", F.col("doc_id").alias("b"), F.lit(1.0).alias("jaccard"))
+    reps = keyed.withColumnRenamed("doc_id", "a").join(named, [*by, "set", "a"], "left_semi").select(*by, "a", "t")
+    prefix = written(_prefixes(reps, by, least), "prefixes")
+    other = prefix.select(*by, "token", F.col("a").alias("b"), F.col("n").alias("m"), F.col("pos").alias("at"), *[F.col(f"s{i}").alias(f"r{i}") for i in range(4)])
+    sizes = (F.col("n") >= least * F.col("m") - 1e-9) & (F.col("m") >= least * F.col("n") - 1e-9)
+    shared = F.ceil(least / (1 + least) * (F.col("n") + F.col("m")) - 1e-9)
+    reach = F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at")) >= shared
+    apart = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"r{i}"))) for i in range(1, 4)), F.bit_count(F.col("s0").bitwiseXOR(F.col("r0"))))
+    near = prefix.join(other, [*by, "token"]).where((F.col("a") < F.col("b")) & sizes & reach & (apart <= F.col("n") + F.col("m") - 2 * shared)).select(*by, "a", "b").distinct()
+    both = near.join(reps, [*by, "a"]).join(reps.select(*by, F.col("a").alias("b"), F.col("t").alias("u")), [*by, "b"])
+    alike = both.select(*by, "a", "b", jaccard(F.col("t"), F.col("u")).alias("jaccard")).where(F.col("jaccard") >= least)
+    return alike.distinct().withColumn("jaccard", F.round("jaccard", 6)), copies
+
+
+def similar_sets(sets: DataFrame, least: float) -> DataFrame:
+    """a, b and jaccard of the sets (doc_id, t) that are alike by `least` or more: pairs of distinct sets, each named by its smallest id, and each copy with that id."""
+    alike, copies = _alike(sets, least, [])
+    return alike.unionByName(copies)
 
 
 def snippet_dedup(results: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Results (query_id, place, snippet) without those too like one kept before them in their query.
 
-    The fold runs over one query's result list, which the search has cut to its limit.
+    Lists of any length: what is alike comes from _alike(). Of what is alike, all that has nothing undecided before it is kept, and what is like
+    it goes; again until nothing is undecided, as many rounds as a chain of such decisions is long. Copies of a snippet share its lot or go for it.
     """
-    items = results.select("query_id", F.struct("place", token_set(F.col("snippet")).alias("t")).alias("i")).groupBy("query_id").agg(F.array_sort(F.collect_list("i")).alias("items"))
-    none = F.slice("items", 1, 0)
-    kept = F.aggregate("items", none, lambda acc, x: F.when(F.exists(acc, lambda y: jaccard(x["t"], y["t"]) >= threshold), acc).otherwise(F.concat(acc, F.array(x))))
-    places = items.select("query_id", F.explode(F.transform(kept, lambda x: x["place"])).alias("place"))
-    return results.join(places, ["query_id", "place"], "left_semi")
+    sets = results.select("query_id", F.col("place").alias("doc_id"), token_set(F.col("snippet")).alias("t"))
+    pairs, copies = _alike(sets, threshold, ["query_id"])
+    node = ["query_id", "place"]
+    gone = copies.select("query_id", F.col("b").alias("place"))
+    left = written(pairs.select("query_id", "a", "b"), "open")
+    while not left.isEmpty():
+        later = left.select("query_id", F.col("b").alias("place")).distinct()
+        kept = left.select("query_id", F.col("a").alias("place")).distinct().join(later, node, "left_anti")
+        out = written(left.join(kept.withColumnRenamed("place", "a"), ["query_id", "a"], "left_semi").select("query_id", F.col("b").alias("place")).distinct(), "out")
+        gone = gone.unionByName(out)
+        for end in ("a", "b"):
+            left = left.join(out.withColumnRenamed("place", end), ["query_id", end], "left_anti")
+        # what is kept has no open pair left: all that is like it is out
+        left = written(left.select("query_id", "a", "b"), "open")
+    return results.join(gone.distinct(), node, "left_anti")
 
 
 def federated(results: DataFrame, limit: int) -> DataFrame:

@@ -142,3 +142,45 @@ def test_snippets_kept_equal_a_loop(spark):
 def test_capability_manifest_names_each_capability_once(spark, sf):
     rows = registry.queries()["capability_manifest"](spark, sf).collect()
     assert rows and len({tuple(r) for r in rows}) == len(rows)
+
+
+def test_long_lists_of_snippets_equal_a_loop(spark):
+    import random
+
+    deal = random.Random(3)
+    lists = {q: [[w for w in (f"w{deal.randrange(9)}x" for _ in range(deal.choice((0, 1, 3, 9, 12))))] for _ in range(300)] for q in (1, 2)}
+    # a chain in which each is like the next alone, so that every other one goes
+    lists[3] = [[f"c{i + k}c" for k in range(20)] for i in range(0, 60, 2)]
+    rows = [(q, p, " ".join(ws)) for q, some in lists.items() for p, ws in enumerate(some, 1)]
+    df = spark.createDataFrame(rows, "query_id int, place int, snippet string")
+    assert "aggregate(" not in (fusion.snippet_dedup(df)._jdf.queryExecution().optimizedPlan().toString())
+    got = {(r["query_id"], r["place"]) for r in fusion.snippet_dedup(df).collect()}
+    want = set()
+    for q, some in lists.items():
+        kept = []
+        for p, ws in enumerate(some, 1):
+            t = set(ws)
+            if not any((len(t & u) / len(t | u) if t | u else 1.0) >= 0.8 for u in kept):
+                kept.append(t)
+                want.add((q, p))
+    assert got == want and (3, 2) not in got and (3, 3) in got
+
+
+def test_similar_sets_equal_all_pairs_and_move_few(spark, monkeypatch):
+    import random
+
+    deal = random.Random(5)
+    sets = [sorted({f"w{min(deal.randrange(40), deal.randrange(40))}" for _ in range(deal.choice((0, 1, 2, 5, 10, 30, 80)))}) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(sets)), "doc_id bigint, t array<string>")
+    first = {}
+    for i, t in enumerate(sets):
+        first.setdefault(tuple(t), i)
+    want = {(first[tuple(t)], i, 1.0) for i, t in enumerate(sets) if first[tuple(t)] != i}
+    reps = [(i, set(t)) for t, i in first.items()]
+    want |= {(i, j, round(len(t & u) / len(t | u), 6)) for i, t in reps for j, u in reps if i < j and len(t & u) / len(t | u) >= 0.8}
+    held = {}
+    keep = fusion.written
+    monkeypatch.setattr(fusion, "written", lambda made, name: held.setdefault(name, keep(made, name)))
+    assert {tuple(r) for r in fusion.similar_sets(df, 0.8).select("a", "b", "jaccard").collect()} == want
+    # what is joined are prefixes: of a set of n tokens n // 5 + 1 at most
+    assert all(r["k"] <= r["n"] // 5 + 1 for r in held["prefixes"].groupBy("a", "n").agg({"*": "count"}).toDF("a", "n", "k").collect())
