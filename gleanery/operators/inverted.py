@@ -185,7 +185,9 @@ class TextIndex:
 
         def scores(some: DataFrame) -> DataFrame:
             wanted = asked.join(terms, "term").join(n, "query_id").join(some, "query_id").select("query_id", "phrase", "term", "idf", "phrases", "block")
-            posts = self._table("postings", buckets).select("term", "block", "doc_id", "f", "dl")
+            # postings are cut down to the blocks that are asked for before they are moved
+            need = lexical._sized(wanted.select("term", "block").distinct(), "need")
+            posts = self._table("postings", buckets).select("term", "block", "doc_id", "f", "dl").join(need, ["term", "block"], "left_semi")
             one = lexical.part_of(F.col("idf"), F.col("f"), F.col("dl"), F.lit(avgdl))
             parts = posts.join(wanted, ["term", "block"]).groupBy("query_id", "phrases", "doc_id").agg((-F.sum(one)).alias("bm25"), F.count("*").alias("k"))
             return parts.where("k = phrases").select("query_id", "doc_id", F.round("bm25", 6).alias("bm25"))
