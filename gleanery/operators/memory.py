@@ -262,12 +262,12 @@ def embed(rows: DataFrame, done: DataFrame, embedder) -> DataFrame:
 
 
 def semantic_search(rows: DataFrame, queries: DataFrame, least: float, limit: int) -> DataFrame:
-    """scope, query_id, id and similarity: the nearest memories (id, embedding) of a query's own scope; one join by scope, ties to the smaller id."""
-    from gleanery.operators.vectors import cosine_distance
+    """scope, query_id, id and similarity: the nearest memories (id, embedding) of a query's own scope, ties to the smaller id; products of matrices a batch, no pair leaves a task but the nearest."""
+    from gleanery.operators.vectors import of_scope
 
-    near = rows.join(queries, "scope").withColumn("similarity", F.round(1 - cosine_distance(F.col("q"), F.col("embedding")), 6)).where(F.col("similarity") >= least)
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    return near.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= limit).select("scope", "query_id", "id", "similarity")
+    near = of_scope(queries.withColumnRenamed("q", "embedding"), rows.withColumnRenamed("id", "vec_id"), limit).withColumn("similarity", F.round(1 - F.col("distance"), 6))
+    found = near.where(F.col("similarity") >= least).join(queries.select("query_id", "scope").distinct(), "query_id")
+    return found.select("scope", "query_id", F.col("vec_id").alias("id"), "similarity")
 
 
 def inserted(rows: DataFrame, new: DataFrame, limits: DataFrame | None = None, default: int | None = None) -> DataFrame:

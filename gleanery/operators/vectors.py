@@ -49,25 +49,25 @@ def _rows(column) -> np.ndarray:
     return out
 
 
-def _collected(rows: DataFrame, key: str) -> tuple[list, np.ndarray]:
-    """Keys and vectors of a table whose size the caller has bounded, smallest key first."""
-    found = rows.where("embedding is not null").select(key, "embedding").orderBy(key).toArrow()
-    return found[key].to_pylist(), _rows(found["embedding"])
+def _collected(rows: DataFrame, key: str, *more: str) -> tuple:
+    """Keys and vectors of a table whose size the caller has bounded, and some more columns as lists, smallest key first."""
+    found = rows.where("embedding is not null").select(key, "embedding", *more).orderBy(key).toArrow()
+    return found[key].to_pylist(), _rows(found["embedding"]), *(found[c].to_pylist() for c in more)
 
 
-def _by_blocks(queries: DataFrame, search: Callable[[list, np.ndarray], DataFrame]) -> DataFrame:
-    """search(names, vectors) of all queries (query_id, embedding): at once where their vectors take BLOCK_BYTES at most, else
+def _by_blocks(queries: DataFrame, search: Callable[..., DataFrame], *more: str) -> DataFrame:
+    """search(names, vectors, *more columns) of all queries (query_id, embedding): at once where their vectors take BLOCK_BYTES at most, else
     block by block of that size, the results of each written before the next is taken; so no number of queries is too large."""
-    rows = queries.where("embedding is not null").select("query_id", "embedding")
+    rows = queries.where("embedding is not null").select("query_id", "embedding", *more)
     n, width = rows.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
     if n * width * 8 <= BLOCK_BYTES:
-        return search(*_collected(rows, "query_id"))
+        return search(*_collected(rows, "query_id", *more))
     most = max(1, BLOCK_BYTES // (8 * max(width, 1)))
     block = F.floor(F.col("_at") / most).cast("int")
-    dealt = written(ranked(rows, "query_id", name="queries").select(block.alias("block"), "query_id", "embedding"), "blocks", ["block"])
+    dealt = written(ranked(rows, "query_id", name="queries").select(block.alias("block"), "query_id", "embedding", *more), "blocks", ["block"])
     path, schema = folder(queries.sparkSession, "answers"), None
     for number in range(-(-n // most)):
-        part = search(*_collected(dealt.where(F.col("block") == number), "query_id"))
+        part = search(*_collected(dealt.where(F.col("block") == number), "query_id", *more))
         part.write.mode("append").parquet(path)
         schema = part.schema
     return queries.sparkSession.read.schema(schema).parquet(path)
@@ -82,46 +82,85 @@ def _distances(a: np.ndarray, b: np.ndarray, digits: int) -> np.ndarray:
     return np.round(np.where(size <= 1e-9, 1.0, far), digits)
 
 
-class _Nearest:
-    """The k nearest of each query so far, ties to the smaller id."""
-
-    def __init__(self, queries: int, k: int):
-        self.k, self.far, self.ids = k, [np.zeros(0)] * queries, [np.zeros(0, object)] * queries
-
-    def add(self, far: np.ndarray, ids: np.ndarray, open_: np.ndarray | None = None) -> None:
-        for i, row in enumerate(far):
-            there = np.ones(len(row), bool) if open_ is None else open_[i]
-            if there.sum() > self.k:
-                edge = np.partition(row[there], self.k - 1)[self.k - 1]
-                there = there & (row <= edge)
-            at = np.flatnonzero(there)
-            both, names = np.concatenate((self.far[i], row[at])), np.concatenate((self.ids[i], ids[at]))
-            order = np.array(sorted(range(len(both)), key=lambda j: (both[j], names[j]))[: self.k], np.int64)
-            self.far[i], self.ids[i] = both[order], names[order]
+# Distances that a task holds at once, and candidates that wait to be settled.
+HELD = 1 << 21
 
 
-def _searched(vectors: DataFrame, names: list, asked: np.ndarray, k: int, query_type: str, part: Column | None = None, probed: np.ndarray | None = None) -> DataFrame:
-    """query_id, part, vec_id and distance: the k nearest within each task (and part). Vectors meet the queries in Arrow batches, as one product of matrices; no pair leaves a task but these.
+class _Nearest:
+    """The k nearest of each query so far, ties to the smaller id: flat arrays, settled whenever as many candidates wait as are held."""
 
-    probed[i, p] tells whether query i looks at part p.
+    def __init__(self, queries: int, k: int):
+        self.k, self.edge = k, np.full(queries, np.inf)
+        self.row, self.far, self.ids = np.zeros(0, np.int32), np.zeros(0), None
+        self.waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.count = 0
+
+    def add(self, far: np.ndarray, ids: np.ndarray, open_: np.ndarray | None = None, which: np.ndarray | None = None) -> None:
+        """Distances of all queries (or those in which) to some ids; open_ tells which of them count."""
+        edge = self.edge if which is None else self.edge[which]
+        if far.shape[1] > self.k and far.shape[0]:
+            seen = far if open_ is None else np.where(open_, far, np.inf)
+            edge = np.minimum(edge, np.partition(seen, self.k - 1, axis=1)[:, self.k - 1])
+        hit = ~(far > edge[:, None])
+        if open_ is not None:
+            hit &= open_
+        row, at = np.nonzero(hit)
+        self.waiting.append(((row if which is None else which[row]).astype(np.int32), far[row, at], ids[at]))
+        self.count += len(row)
+        if self.count > max(HELD, len(self.row)):
+            self.settle()
+
+    def settle(self) -> None:
+        if not self.waiting:
+            return
+        parts = self.waiting if self.ids is None else [(self.row, self.far, self.ids), *self.waiting]
+        row, far, ids = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        name = np.unique(ids, return_inverse=True)[1] if ids.dtype == object else ids
+        order = np.lexsort((name, far, row))
+        row = row[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        kept = order[place < self.k]
+        self.edge[row[place == self.k - 1]] = far[order[place == self.k - 1]]
+        # a distance that is no number is the last of all
+        self.edge[np.isnan(self.edge)] = np.inf
+        self.row, self.far, self.ids = row[place < self.k], far[kept], ids[kept]
+        self.waiting, self.count = [], 0
+
+
+def _searched(vectors: DataFrame, names: list, asked: np.ndarray, k: int, query_type: str, part: Column | None = None, probed: np.ndarray | None = None, own: np.ndarray | None = None) -> DataFrame:
+    """query_id, part, vec_id and distance: the k nearest within each task (and part). Vectors meet the queries in slices of HELD distances, as one product of matrices; no pair leaves a task but these.
+
+    probed[i, p] tells whether query i looks at part p; own[i] is the only part that query i looks at.
     """
+    step = max(1, HELD // max(len(names), 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, _Nearest] = {}
         kind = None
-        for batch in batches:
+        mine = {int(p): np.flatnonzero(own == p) for p in np.unique(own)} if own is not None else {}
+        for batch in (whole.slice(at, step) for whole in batches for at in range(0, whole.num_rows, step)) if names else ():
             kind = batch.schema.field(0).type
-            ids, parts = np.array(batch.column(0).to_pylist(), object), batch.column(2).to_numpy()
-            far = _distances(asked, _rows(batch.column(1)), 6) if len(ids) and len(names) else np.zeros((len(names), len(ids)))
+            ids = batch.column(0).to_numpy(zero_copy_only=False) if pa.types.is_integer(kind) and not batch.column(0).null_count else np.array(batch.column(0).to_pylist(), object)
+            parts, x = batch.column(2).to_numpy(), _rows(batch.column(1))
+            if own is not None:
+                for p in np.unique(parts).tolist():
+                    if p in mine:
+                        there = parts == p
+                        held.setdefault(-1, _Nearest(len(names), k)).add(_distances(asked[mine[p]], x[there], 6), ids[there], which=mine[p])
+                continue
+            far = _distances(asked, x, 6)
             for p in np.unique(parts) if probed is None else [-1]:
-                mine = parts == p if probed is None else slice(None)
-                held.setdefault(int(p), _Nearest(len(names), k)).add(far[:, mine], ids[mine], None if probed is None else probed[:, parts])
+                there = parts == p if probed is None else slice(None)
+                held.setdefault(int(p), _Nearest(len(names), k)).add(far[:, there], ids[there], None if probed is None else probed[:, parts])
+        queries = pa.array(names, pa.int64() if query_type == "bigint" else None)
         for p, best in held.items():
-            n = [len(x) for x in best.far]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(names, object), n).tolist()), pa.array([p] * sum(n), pa.int32()), pa.array(np.concatenate(best.ids).tolist(), kind), pa.array(np.concatenate(best.far))], ["query_id", "part", "vec_id", "distance"]) if sum(n) else pa.RecordBatch.from_arrays([pa.array([], pa.int64() if query_type == "bigint" else pa.string()), pa.array([], pa.int32()), pa.array([], kind), pa.array([], pa.float64())], ["query_id", "part", "vec_id", "distance"])
+            best.settle()
+            for at in range(0, len(best.row), 1 << 16):
+                row = best.row[at : at + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([queries.take(pa.array(row)), pa.array(np.full(len(row), p, np.int64)), pa.array(best.ids[at : at + len(row)], kind), pa.array(best.far[at : at + len(row)])], ["query_id", "part", "vec_id", "distance"])
 
-    rows = vectors.where("embedding is not null").select("vec_id", "embedding", (F.lit(0) if part is None else part).cast("int").alias("part"))
-    return rows.mapInArrow(run, f"query_id {query_type}, part int, vec_id {vectors.schema['vec_id'].dataType.simpleString()}, distance double")
+    rows = vectors.where("embedding is not null").select("vec_id", "embedding", (F.lit(0) if part is None else part).cast("bigint").alias("part"))
+    return rows.mapInArrow(run, f"query_id {query_type}, part bigint, vec_id {vectors.schema['vec_id'].dataType.simpleString()}, distance double")
 
 
 def nearest(pairs: DataFrame, k: int, by: str = "query_id") -> DataFrame:
@@ -135,6 +174,18 @@ def exact(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     return _by_blocks(queries, lambda names, asked: nearest(_searched(vectors, names, asked, k, kind).select("query_id", "vec_id", "distance"), k))
 
 
+def of_scope(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """exact() of each query among the vectors of its own scope, a column of both; scopes are told by 64 bits of hash, no scope is none of others."""
+    kind = queries.schema["query_id"].dataType.simpleString()
+    rows = vectors.where("scope is not null")
+
+    def search(names: list, asked: np.ndarray, own: list) -> DataFrame:
+        found = _searched(rows, names, asked, k, kind, F.xxhash64("scope"), own=np.array(own, np.int64))
+        return nearest(found.select("query_id", "vec_id", "distance"), k)
+
+    return _by_blocks(queries.where("scope is not null").withColumn("own", F.xxhash64("scope")), search, "own")
+
+
 def by_group(queries: DataFrame, vectors: DataFrame, group: str) -> DataFrame:
     """query_id, group, n, total and least of the distances of each query to all vectors of each group; a task sums up what it has seen, no distance leaves it alone."""
     query_kind, kind = queries.schema["query_id"].dataType.simpleString(), vectors.schema[group].dataType.simpleString()
