@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery.sources.tables import written
+from gleanery.operators.lexical import _sized as sized
+from gleanery.sources.tables import spread, written
 
 K, CUT = 60, 300
 
@@ -216,13 +217,35 @@ def query_words(text: Column) -> Column:
 
 
 def arch_hints(queries: DataFrame, hints: DataFrame, limit: int, by: list[str]) -> DataFrame:
-    """Hints (hint_id, kind, title, body) for queries (query_id, text) of the same graph, which `by` names, by words they hold and a bonus by kind."""
+    """Hints (hint_id, kind, title, body) for queries (query_id, text) of the same graph, which `by` names, by words they hold and a bonus by kind.
+
+    A word of a query has only a-z, 0-9 and _, so it stands within a run of these. Each text is lower-cased and cut once: the parts of its distinct
+    runs, of the lengths that words have, meet the words as equal keys. So work grows with the texts and the hits, not with texts times words.
+    """
+    asked = queries.select("query_id", *by, query_words(F.col("text")).alias("q")).where(F.size("q") > 0)
+    asked = written(asked.withColumn("_q", F.monotonically_increasing_id()), "asked")
+    terms = sized(asked.select(*by, "_q", F.explode("q").alias("term")).groupBy(*by, "_q", "term").agg(F.count("*").alias("times")), "terms")
+    lengths = terms.agg(F.sort_array(F.collect_set(F.length("term"))).alias("n")).first()["n"]
+    lengths = F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>")
     hay = F.lower(F.concat_ws(" ", "title", "body"))
-    pairs = queries.select("query_id", *by, query_words(F.col("text")).alias("q")).where(F.size("q") > 0).join(hints, by)
     bonus = F.when(F.col("kind") == "god_node", 0.2).when(F.col("kind") == "surprising_edge", 0.15).otherwise(0.0)
-    scored = pairs.withColumn("score", F.size(F.filter("q", lambda t: F.contains(hay, t))) + bonus).where("score > 0")
+    cuts = lambda run, n: F.transform(F.sequence(F.lit(1), F.length(run) - n + 1), lambda i: F.substring(run, i, n))
+    parts = lambda run: F.flatten(F.transform(F.filter(lengths, lambda n: n <= F.length(run)), lambda n: cuts(run, n)))
+    runs = F.array_distinct(F.regexp_extract_all(hay, F.lit("[a-z0-9_]{3,}"), F.lit(0)))
+    rows = spread(hints).select("hint_id", "kind", *by, F.monotonically_increasing_id().alias("_h"), F.array_distinct(F.flatten(F.transform(runs, parts))).alias("parts"))
+    held = rows.select("hint_id", "kind", *by, "_h", F.explode("parts").alias("term")).join(terms, [*by, "term"])
+    scored = held.groupBy("_q", "_h", "hint_id", "kind").agg(F.sum("times").alias("n")).select("_q", "hint_id", "kind", (F.col("n") + bonus).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "hint_id")
-    return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).select("query_id", "hint_id", "kind", "score", "place")
+    first = lambda some: some.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).select("query_id", "hint_id", "kind", "score", "place")
+    best = written(first(scored.join(F.broadcast(asked.select("_q", "query_id")), "_q")), "best")
+    few = asked.join(best.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").where(F.coalesce("n", F.lit(0)) < limit).drop("n")
+    if few.isEmpty():
+        return best
+    # fewer hints than asked for hold a word of these queries, so of this many with the greatest bonus enough are left that hold none
+    extra = Window.partitionBy(*by).orderBy(F.desc("bonus"), "hint_id")
+    idle = hints.withColumn("bonus", bonus).where("bonus > 0").withColumn("_r", F.row_number().over(extra)).where(F.col("_r") < 2 * limit).drop("_r")
+    none = few.join(F.broadcast(idle.withColumn("hay", hay)), by).where(~F.exists("q", lambda t: F.contains(F.col("hay"), t)))
+    return first(best.drop("place").unionByName(none.select("query_id", "hint_id", "kind", F.col("bonus").alias("score"))))
 
 
 def expansion(queries: DataFrame, generated: DataFrame | None = None) -> DataFrame:
