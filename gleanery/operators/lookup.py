@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery.sources.tables import ranked
+from gleanery.operators.lexical import _sized as sized
+from gleanery.sources.tables import ranked, spread, written
 
 
 def glob_regex(glob: str) -> str:
@@ -60,27 +61,65 @@ def find(queries: DataFrame, docs: DataFrame) -> DataFrame:
     return best.select("query_id", "b.priority", "b.path")
 
 
-def similar_paths(queries: DataFrame, docs: DataFrame, most: int, limit: int) -> DataFrame:
-    """query_id, path and distance of the distinct paths nearest to `wanted` by edits, `most` at most.
+SHORT = 32
 
-    By segments: a path is cut into most + 1 parts of about equal length; as many edits leave one of them as it is, at most
-    places away. So paths are joined by length, number and text of a part with what `wanted` holds at these places, and verified; a path
-    gives most + 1 rows, a query (of which there are fewer) a number that does not depend on the paths.
-    """
+
+def _shortened(text: Column, most: int) -> Column:
+    """text and all that is left of it without `most` characters at most, as 64-bit hashes of distinct strings."""
+    all_, last = F.array(text), F.array(text)
+    for _ in range(most):
+        last = F.array_distinct(F.flatten(F.transform(last, lambda s: F.transform(F.filter(F.sequence(F.lit(0), F.length(s)), lambda i: i > 0), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s)))))))
+        all_ = F.concat(all_, last)
+    return F.array_distinct(F.transform(all_, lambda s: F.xxhash64(s)))
+
+
+def _within(q: DataFrame, paths: DataFrame, edits: int) -> DataFrame:
+    """query_id, path and distance of all paths that are within so many edits of `wanted`."""
+    short, long = paths.where(F.length("path") <= SHORT), paths.where(F.length("path") > SHORT)
+    keys = q.where(F.length("wanted") <= SHORT + edits).select("query_id", F.explode(_shortened(F.col("wanted"), edits)).alias("k"))
+    # q, a row a query, is met again by its id to verify; keys are moved without their texts
+    met = short.select("path", F.explode(_shortened(F.col("path"), edits)).alias("k")).join(sized(keys, "keys"), "k").select("query_id", "path").distinct()
+    near = met.join(q, "query_id").unionByName(_by_segments(q.where(F.length("wanted") > SHORT - edits), long, edits))
+    return near.withColumn("distance", F.levenshtein("path", "wanted", edits)).where("distance >= 0").select("query_id", "path", "distance").distinct()
+
+
+def _by_segments(q: DataFrame, paths: DataFrame, most: int) -> DataFrame:
+    """query_id, path and wanted of long paths that share a segment with `wanted` about where it stands: a path is cut into most + 1 parts of about
+    equal length; as many edits leave one of them as it is, at most places away. A path gives most + 1 rows, a query a number that does not depend on them."""
     parts = most + 1
-    paths = docs.select("path").where("path is not null").distinct()
     at = lambda n, i: F.floor(n * i / parts).cast("int")
     part = lambda c, n, i, start: F.substring(c, start + 1, at(n, i + 1) - at(n, i))
     n = F.length("path")
     cut = paths.select("path", F.explode(F.array(*[F.struct(n.alias("n"), F.lit(i).alias("i"), part(F.col("path"), n, i, at(n, i)).alias("text")) for i in range(parts)])).alias("k"))
-    q = queries.select("query_id", "wanted").where("wanted is not null")
     q = q.withColumn("n", F.explode(F.sequence(F.greatest(F.length("wanted") - most, F.lit(0)), F.length("wanted") + most)))
     q = q.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(most)))).withColumn("shift", F.explode(F.sequence(F.lit(-most), F.lit(most))))
     start = at(F.col("n"), F.col("i")) + F.col("shift")
     held = q.where(start >= 0).select("query_id", "wanted", F.struct("n", "i", part(F.col("wanted"), F.col("n"), F.col("i"), start).alias("text")).alias("k")).distinct()
-    near = cut.join(held, "k").withColumn("distance", F.levenshtein("path", "wanted", most)).where("distance >= 0").select("query_id", "path", "distance").distinct()
-    order = Window.partitionBy("query_id").orderBy("distance", "path")
-    return near.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= limit).select("query_id", "path", "distance")
+    return cut.join(held, "k").select("query_id", "path", "wanted").distinct()
+
+
+def similar_paths(queries: DataFrame, docs: DataFrame, most: int, limit: int) -> DataFrame:
+    """query_id, path and distance of the distinct paths nearest to `wanted` by edits, `most` at most.
+
+    Edit by edit: a query that has found `limit` paths within some edits needs none that are farther; the others go on. Two texts within d edits
+    have what is left of each without d characters at most in common, so they are joined by that and verified; paths of one folder do not meet for
+    being in it. Paths over SHORT characters, which would leave too many texts, are joined by segments they share.
+    """
+    # short rows make many keys each: they are dealt to all cores
+    paths = spread(written(docs.select("path").where("path is not null").distinct(), "paths"))
+    left = written(queries.select("query_id", "wanted").where("wanted is not null"), "asked")
+    order, found = Window.partitionBy("query_id").orderBy("distance", "path"), None
+    for edits in range(min(most, 1), most + 1):
+        near = _within(spread(left), paths, edits).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= limit)
+        near = written(near, "near")
+        done = near.where(F.col("_r") == limit).select("query_id") if edits < most else left.select("query_id")
+        settled = near.join(done, "query_id", "left_semi").drop("_r")
+        found = settled if found is None else found.unionByName(settled)
+        if edits < most:
+            left = written(left.join(done, "query_id", "left_anti"), "asked")
+            if left.isEmpty():
+                break
+    return found
 
 
 def line_range(body: Column, first: int, count: int) -> Column:

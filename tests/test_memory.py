@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gleanery.operators import lookup, memory
 
@@ -104,3 +105,35 @@ def test_similar_paths_equal_brute_force(spark, most):
     assert "NestedLoop" not in df._jdf.queryExecution().executedPlan().toString()
     got = {(r["query_id"], r["path"]): r["distance"] for r in df.collect()}
     assert got == {(i, p): d for i, w in enumerate(wanted) for p in paths if (d := distance(w, p)) <= most}
+
+
+def test_paths_of_one_folder_do_not_all_meet(spark, monkeypatch):
+    pairs, spared = spark.sparkContext.accumulator(0), F.levenshtein
+
+    def counted(a, b, most):
+        @F.udf("boolean")
+        def seen(x, y):
+            pairs.add(1)
+            return True
+
+        return F.when(seen(a, b), spared(a, b, most))
+
+    monkeypatch.setattr(F, "levenshtein", counted)
+    paths = [f"folder/doc_{i * 7919 % 100_000:05d}.md" for i in range(1500)]
+    q = spark.createDataFrame([(i, p.replace("doc_", "dox_")) for i, p in enumerate(paths[:60])], "query_id bigint, wanted string")
+    got = lookup.similar_paths(q, spark.createDataFrame([(p,) for p in paths], "path string"), 3, 2).collect()
+    assert {r["query_id"]: r["path"] for r in got if r["distance"] == 1} == dict(enumerate(paths[:60]))
+    assert pairs.value < 20_000  # of 90,000
+
+
+@pytest.mark.parametrize("limit", [1, 3, 100])
+def test_nearest_paths_of_all_lengths_equal_brute_force(spark, limit):
+    rng = np.random.default_rng(limit)
+    long = "".join(rng.choice(list("ab/"), 40))
+    # lengths on both sides of the one from which on paths are joined by segments
+    paths = sorted({long[:n] + "".join(rng.choice(list("abé"), 3)) for n in range(24, 40) for _ in range(6)})
+    wanted = [long[:n] + "bé" for n in range(25, 40, 2)] + [long[1:33], long[:30] + "x"]
+    q = spark.createDataFrame(list(enumerate(wanted)), "query_id bigint, wanted string")
+    got = {(r["query_id"], r["path"], r["distance"]) for r in lookup.similar_paths(q, spark.createDataFrame([(p,) for p in paths], "path string"), 3, limit).collect()}
+    every = [sorted((d, p) for p in paths if (d := distance(w, p)) <= 3)[:limit] for w in wanted]
+    assert got == {(i, p, d) for i, near in enumerate(every) for d, p in near}
