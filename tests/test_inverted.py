@@ -70,3 +70,36 @@ def test_empty_index_and_unfinished_generations(spark, docs, queries, tmp_path):
     before = rows(index.search(index.parse(queries)))
     (tmp_path / "i/gen-9").mkdir()
     assert rows(index.search(index.parse(queries))) == before and before
+
+
+def test_building_reads_texts_once_and_keeps_a_row_for_a_term_and_block(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    texts = [(i, "doc", "alpha beta alpha" + (" gamma" if i % 10 == 0 else "")) for i in range(200)]
+    d = spark.createDataFrame(texts, "doc_id bigint, title string, body string").repartition(2)
+    index = inverted.TextIndex(spark, f"file://{tmp_path}/i", columns(), stemmed=False).build(d.mapInArrow(count, d.schema))
+    assert seen.value == 200
+    assert index._table("postings").where("term = 'alpha'").count() <= spark.sparkContext.defaultParallelism
+    assert {r["term"]: r["df"] for r in index.vocabulary().collect()} == {"doc": 200, "alpha": 200, "beta": 200, "gamma": 20}
+    assert index.totals() == (200, 4.1)
+
+
+def test_texts_ids_and_gone_documents_in_several_generations(spark, tmp_path, monkeypatch):
+    """Ids of another kind, weights, empty texts, blocks cut by tokens, and documents that are taken away twice and come back."""
+    monkeypatch.setattr(inverted, "TOKENS", 50)
+    rows_of = lambda *r: spark.createDataFrame(list(r), "doc_id string, title string, body string")
+    first = rows_of(*[(f"d{i}", "of", "the cat " * i) for i in range(30)])
+    index = inverted.TextIndex(spark, f"file://{tmp_path}/i", columns(), stemmed=False, weights={"title": 2.5, "body": 0.5}).build(first)
+    index.update(rows_of(("d3", "cat", "the dog"), ("d4", "", "")), rows_of(("d5", "", "")).select("doc_id"))
+    index.update(rows_of(("d5", "the cat", "the cat")), rows_of(("d3", "", "")).select("doc_id"))
+    now = first.where("doc_id not in ('d3', 'd4', 'd5')").unionByName(rows_of(("d4", "", ""), ("d5", "the cat", "the cat")))
+    q = spark.createDataFrame([(0, '"the cat"'), (1, "ca"), (2, '"cat the" -dog'), (3, "dog")], "query_id bigint, text string")
+    found = rows(index.search(index.parse(q), 100))
+    assert found == rows(lexical.search(lexical.parse(q), *lexical.index(now, columns()), weights={"title": 2.5, "body": 0.5}, limit=100))
+    assert {r[0] for r in found} == {0, 1, 2} and index.totals()[0] == 29
+    assert {r["term"]: r["df"] for r in index.vocabulary().collect()} == {"of": 27, "the": 27, "cat": 27}
