@@ -251,10 +251,12 @@ class TextIndex:
 
     def _full(self, parsed: DataFrame, rows: int, avgdl: float, limit: int) -> DataFrame:
         posts = self._table("postings", self._buckets(parsed)).select("generation", "term", "doc_id", *PACKED)
-        found = lexical.terms_of(parsed, posts.select("term").distinct())
-        each = _each(posts.join(found.where("n = 1").select("phrase_id", "term"), "term").select("phrase_id", "generation", "doc_id", *PACKED))
-        single = self._left(each).groupBy("phrase_id", "doc_id").agg(F.sum("f").alias("f"), F.any_value("dl").alias("dl"))
-        placed = _each(posts.join(found.where("n > 1"), "term").select("phrase_id", "n", "at", "generation", "doc_id", *PACKED), places=True)
+        # the few words asked for are sent to the rows; the terms that they stand for grow with the index
+        wanted, sizes = lexical.keys_of(parsed)
+        met = lambda some: lexical.keyed(posts, sizes).join(some, ["size", "key"])
+        single = self._left(_each(met(wanted.where("n = 1").select("phrase_id", "size", "key")).select("phrase_id", "generation", "doc_id", *PACKED)))
+        single = single.groupBy("phrase_id", "doc_id").agg(F.sum("f").alias("f"), F.any_value("dl").alias("dl"))
+        placed = _each(met(wanted.where("n > 1")).select("phrase_id", "n", "at", "generation", "doc_id", *PACKED), places=True)
         placed = placed.withColumn("start", F.col("pos") - F.col("at"))
         hits = self._left(placed).groupBy("phrase_id", "n", "doc_id", "dl", "col", "start").agg(F.count("at").alias("k")).where("k = n")
         weight = F.array(*[F.lit(float(self.weights.get(c, 1.0))) for c in self.columns])
