@@ -8,10 +8,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleanery.operators import alike as sets
+from gleanery.operators.lexical import BROADCAST_BYTES
 from gleanery.operators.lexical import _sized as sized
 from gleanery.sources.tables import spread, written
 
 K, CUT = 60, 300
+# bytes of parities in a block
+SIGNS = 16 << 20
 
 
 def structured(queries: DataFrame) -> DataFrame:
@@ -111,74 +115,66 @@ def token_set(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), r"\s+"), lambda t: F.length(t) > 2))
 
 
-def jaccard(a: Column, b: Column) -> Column:
-    both = F.size(F.array_intersect(a, b))
-    union = F.size(a) + F.size(b) - both
-    return F.when(union == 0, 1.0).otherwise(both / union)
+def _cell(a: Column, b: Column) -> Column:
+    """Where sets of two blocks meet, whichever comes first."""
+    return F.xxhash64(F.least(a, b), F.greatest(a, b))
 
 
-COUNTERS = 1 << 20
-
-
-def _prefixes(reps: DataFrame, by: list[str], least: float) -> DataFrame:
-    """by, a, n, pos, token and s0 to s3 for the tokens of each set (by, a, t: array<bigint>) that one alike has to share: the rarest of them; row by row.
-
-    Rare is told by COUNTERS counters of hashes, a table of 8 MB whatever the vocabulary; any order that is the same for all sets gives
-    the same pairs. s0 to s3 are the parities of a set's tokens in 256 classes: two sets differ by no fewer tokens than classes.
-    """
-    import numpy as np
-    import pyarrow as pa
-
-    counted = reps.select(F.explode("t").alias("x")).groupBy(F.pmod("x", F.lit(COUNTERS)).cast("int").alias("c")).agg(F.count("*").alias("n")).toArrow()
-    often = np.zeros(COUNTERS, np.int64)
-    often[counted["c"].to_numpy()] = counted["n"].to_numpy()
-
-    def run(batches):
-        for batch in (whole.slice(i, 512) for whole in batches for i in range(0, whole.num_rows, 512)):
-            t = batch.column(batch.num_columns - 1)
-            flat, n = t.flatten().to_numpy(zero_copy_only=False), np.diff(t.offsets.to_numpy())
-            row = np.repeat(np.arange(len(n)), n)
-            bits = np.zeros(len(n) * 256, np.uint8)
-            np.bitwise_xor.at(bits, row * 256 + (flat.view(np.uint64) >> np.uint64(56)).astype(np.int64), 1)
-            signs = np.packbits(bits).view(np.int64).reshape(-1, 4)
-            order = np.lexsort((flat, often[flat % COUNTERS], row))
-            pos = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
-            most = n - np.ceil(least * n - 1e-9).astype(np.int64) + 1
-            held = pos < np.repeat(most, n)
-            at, which = order[held], pa.array(row[held])
-            yield pa.RecordBatch.from_arrays([*(c.take(which) for c in batch.columns[:-1]), pa.array(n[row[held]].astype(np.int32)), pa.array(pos[held].astype(np.int32)), pa.array(flat[at]), *(pa.array(signs[row[held], i]) for i in range(4))], [*by, "a", "n", "pos", "token", "s0", "s1", "s2", "s3"])
-
-    kinds = "".join(f"`{c}` {reps.schema[c].dataType.simpleString()}, " for c in [*by, "a"])
-    return reps.select(*by, "a", "t").where(F.size("t") > 0).mapInArrow(run, f"{kinds}n int, pos int, token bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint")
-
-
-def _alike(sets: DataFrame, least: float, by: list[str]) -> tuple[DataFrame, DataFrame]:
+def _alike(rows: DataFrame, t: Column, least: float, by: list[str]) -> tuple[DataFrame, DataFrame]:
     """similar_sets() within groups (by): the pairs of distinct sets, and the copies.
 
-    Exact, by prefixes: two sets that are alike share one of their rarest tokens, as many as may be missing and one
-    more, so sets are joined by these alone. Places of the shared token and parities of tokens tell most other pairs before anything of them is
-    moved, and the rest are verified. Tokens are compared by 64 bits of hash.
+    Exact, by prefixes: two sets that are alike share one of their rarest tokens, as many as may be missing and one more, so sets meet by
+    these alone. Rare is told by counters of hashes; any order that is the same for all sets gives the same pairs. Pairs are pairs of numbers: whole sets are
+    neither stored nor moved for each pair. Parities of tokens (a bit for each token, about) meet the pairs block by block and leave hardly any that is not alike; then the rows that
+    are in a pair are read once more, and their sets meet the pairs in cells that sets of a group share, so that a set goes to few of them. Tokens are compared by 64 bits of hash.
     """
-    t = F.array_sort("t")
-    keyed = written(sets.where("t is not null").select(*by, "doc_id", F.md5(F.array_join(t, " ")).alias("set"), F.transform("t", lambda x: F.xxhash64(x)).alias("t")), "sets")
-    named = written(keyed.groupBy(*by, "set").agg(F.min("doc_id").alias("a")), "named")
-    copies = keyed.select(*by, "doc_id", "set").join(named, [*by, "set"]).where("doc_id > a").select(*by, "a", F.col("doc_id").alias("b"), F.lit(1.0).alias("jaccard"))
-    reps = keyed.withColumnRenamed("doc_id", "a").join(named, [*by, "set", "a"], "left_semi").select(*by, "a", "t")
-    prefix = written(_prefixes(reps, by, least), "prefixes")
-    other = prefix.select(*by, "token", F.col("a").alias("b"), F.col("n").alias("m"), F.col("pos").alias("at"), *[F.col(f"s{i}").alias(f"r{i}") for i in range(4)])
-    sizes = (F.col("n") >= least * F.col("m") - 1e-9) & (F.col("m") >= least * F.col("n") - 1e-9)
-    shared = F.ceil(least / (1 + least) * (F.col("n") + F.col("m")) - 1e-9)
-    reach = F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at")) >= shared
-    apart = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"r{i}"))) for i in range(1, 4)), F.bit_count(F.col("s0").bitwiseXOR(F.col("r0"))))
-    near = prefix.join(other, [*by, "token"]).where((F.col("a") < F.col("b")) & sizes & reach & (apart <= F.col("n") + F.col("m") - 2 * shared)).select(*by, "a", "b").distinct()
-    both = near.join(reps, [*by, "a"]).join(reps.select(*by, F.col("a").alias("b"), F.col("t").alias("u")), [*by, "b"])
-    alike = both.select(*by, "a", "b", jaccard(F.col("t"), F.col("u")).alias("jaccard")).where(F.col("jaccard") >= least)
-    return alike.distinct().withColumn("jaccard", F.round("jaccard", 6)), copies
-
-
-def similar_sets(sets: DataFrame, least: float) -> DataFrame:
-    """a, b and jaccard of the sets (doc_id, t) that are alike by `least` or more: pairs of distinct sets, each named by its smallest id, and each copy with that id."""
-    alike, copies = _alike(sets, least, [])
+    kind = lambda some, names: "".join(f"`{c}` {some.schema[c].dataType.simpleString()}, " for c in names)
+    hashed = F.sort_array(F.transform(t, lambda x: F.xxhash64(x))).alias("t")
+    named = rows.where("doc_id is not null")
+    seen = written(named.select(*by, "doc_id", hashed).mapInArrow(sets.counted, f"{kind(rows, [*by, 'doc_id'])}digest binary, c int, n bigint"), "digests")
+    often = sets.levels(seen.where("c is not null").groupBy("c").agg(F.sum("n").alias("n")).toArrow())
+    ids = seen.where("digest is not null").select(*by, "doc_id", "digest")
+    first = ids.groupBy(*by, "digest").agg(F.min("doc_id").alias("a"))
+    copies = sized(ids.join(first, [*by, "digest"]).where("doc_id > a").select(*by, "a", F.col("doc_id").alias("b"), "digest"), "copies")
+    made = named.select(*by, F.col("doc_id").alias("a"), hashed).mapInArrow(sets.prefixes(often, least), f"{kind(rows, by)}a {rows.schema['doc_id'].dataType.simpleString()}, digest binary, n int, tokens array<bigint>, signs binary")
+    made = made.join(copies.select(*by, F.col("b").alias("a"), "digest"), [*by, "a", "digest"], "left_anti")
+    if not ids.groupBy(*by, "doc_id", "digest").count().where("count > 1").isEmpty():
+        made = made.dropDuplicates([*by, "a", "digest"])
+    prefix = written(made.withColumn("i", F.monotonically_increasing_id()), "prefixes")
+
+    group = F.xxhash64(*by) if by else F.lit(0).cast("bigint")
+    posts = prefix.select("i", group.alias("g"), "n", "tokens").mapInArrow(sets.postings(often), "key bigint, i bigint, n int, at int, p bigint, q bigint")
+    pairs = posts.repartition("key").sortWithinPartitions("key", "n").mapInArrow(sets.pairs(least), "i bigint, j bigint")
+    size = prefix.agg(F.count("*").alias("sets"), F.coalesce(F.sum(F.octet_length("signs")), F.lit(0)).alias("bytes")).first()
+    blocks = max(1, min(6, size["sets"] // sets.BLOCK), -(-size["bytes"] // SIGNS))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+    each = prefix.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("other"), "i", "n", "signs")
+    each = each.select(_cell(block("i"), F.col("other")).alias("cell"), "i", F.lit(None).cast("bigint").alias("j"), "n", "signs")
+    asked = each.unionByName(pairs.select(_cell(block("i"), block("j")).alias("cell"), "i", "j"), allowMissingColumns=True)
+    near = written(asked.repartition("cell").sortWithinPartitions("cell", F.col("j").asc_nulls_first(), "i").mapInArrow(sets.likely(least), "i bigint, j bigint"), "near")
+
+    # a set goes with the first one it is near to; groups of many sets or tokens are cut into blocks, and small ones share a block
+    ends = near.select("i", F.col("i").alias("label")).unionByName(near.select(F.col("j").alias("i"), F.col("i").alias("label"))).groupBy("i").agg(F.min("label").alias("label"))
+    members = written(ends.join(prefix.select("i", *by, "a", "digest", "n"), "i"), "members")
+    parts = F.ceil(F.greatest(F.count("*") / sets.MEMBERS, F.sum("n") / sets.TOKENS))
+    large = sized(members.groupBy("label").agg(parts.alias("parts")).where("parts > 1"), "large")
+    shared = F.pmod(F.xxhash64("label"), F.lit(1 + members.count() // 256))
+    placed = sized(members.join(large, "label", "left").select("i", F.when(F.col("parts") > 1, F.xxhash64("label", F.pmod(F.xxhash64("i"), F.col("parts")))).otherwise(shared).alias("block")), "placed")
+    told = near.join(placed.withColumnRenamed("block", "u"), "i").join(placed.select(F.col("i").alias("j"), F.col("block").alias("v")), "j").select(_cell(F.col("u"), F.col("v")).alias("cell"), "i", "j")
+    cells = told.select("cell", F.explode(F.array("i", "j")).alias("i")).distinct().groupBy("i").agg(F.collect_list("cell").alias("cells"))
+    wanted = written(cells.join(members.drop("label", "n"), "i"), "wanted")
+    if (wanted.agg(F.sum(64 + 8 * F.size("cells"))).first()[0] or 0) <= BROADCAST_BYTES:
+        wanted = F.broadcast(wanted)
+    again = named.join(wanted.withColumnRenamed("a", "doc_id"), [*by, "doc_id"]).select("cells", "i", *by, F.col("doc_id").alias("a"), "digest", hashed)
+    again = again.select(F.explode("cells").alias("cell"), "i", F.lit(None).cast("bigint").alias("j"), *by, "a", "digest", "t")
+    meet = again.unionByName(told, allowMissingColumns=True).repartition("cell").sortWithinPartitions("cell", F.col("j").asc_nulls_first())
+    alike = meet.mapInArrow(sets.verified(least, by), f"{kind(rows, by)}a {rows.schema['doc_id'].dataType.simpleString()}, b {rows.schema['doc_id'].dataType.simpleString()}, jaccard double")
+    return alike.withColumn("jaccard", F.round("jaccard", 6)), copies.select(*by, "a", "b", F.lit(1.0).alias("jaccard"))
+
+
+def similar_sets(rows: DataFrame, least: float, t: Column | None = None) -> DataFrame:
+    """a, b and jaccard of the rows (doc_id) whose sets of tokens, t, are alike by `least` or more: pairs of distinct sets, each named by its smallest id, and each copy with that id."""
+    alike, copies = _alike(rows, F.col("t") if t is None else t, least, [])
     return alike.unionByName(copies)
 
 
@@ -188,8 +184,8 @@ def snippet_dedup(results: DataFrame, threshold: float = 0.8) -> DataFrame:
     Lists of any length: what is alike comes from _alike(). Of what is alike, all that has nothing undecided before it is kept, and what is like
     it goes; again until nothing is undecided, as many rounds as a chain of such decisions is long. Copies of a snippet share its lot or go for it.
     """
-    sets = results.select("query_id", F.col("place").alias("doc_id"), token_set(F.col("snippet")).alias("t"))
-    pairs, copies = _alike(sets, threshold, ["query_id"])
+    rows = written(results.select("query_id", F.col("place").alias("doc_id"), "snippet"), "snippets")
+    pairs, copies = _alike(rows, token_set(F.col("snippet")), threshold, ["query_id"])
     node = ["query_id", "place"]
     gone = copies.select("query_id", F.col("b").alias("place"))
     left = written(pairs.select("query_id", "a", "b"), "open")

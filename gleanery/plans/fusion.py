@@ -176,8 +176,7 @@ PAIRS = f"""t AS (SELECT doc_id, list_sort(list_distinct(list_filter(regexp_spli
 @query("set_intersect_jaccard", f"""WITH {DOCS}, {PAIRS}, p AS (SELECT x.a, y.a AS b, len(list_intersect(x.t, y.t)) AS i, len(x.t) + len(y.t) AS s FROM u x JOIN u y ON x.a < y.a AND len(x.t) * 0.79 <= len(y.t) AND len(y.t) * 0.79 <= len(x.t))
  SELECT a, b, round(i::DOUBLE / (s - i), 6)::DOUBLE AS jaccard FROM p WHERE s > i AND i::DOUBLE / (s - i) >= 0.8::DOUBLE UNION ALL SELECT u.a, t.doc_id, 1.0::DOUBLE FROM t JOIN u USING (t) WHERE doc_id > u.a""")
 def set_intersect_jaccard(spark, sf):
-    sets = docs(spark, sf).select("doc_id", ops.token_set(F.col("body")).alias("t"))
-    return ops.similar_sets(sets, 0.8).select("a", "b", "jaccard")
+    return ops.similar_sets(docs(spark, sf).select("doc_id", "body"), 0.8, ops.token_set(F.col("body"))).select("a", "b", "jaccard")
 
 
 @query("snippet_dedup")
