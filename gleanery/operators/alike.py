@@ -8,7 +8,7 @@ from __future__ import annotations
 COUNTERS = 1 << 22
 # rows of a token that a task compares with as many others
 BLOCK = 8192
-PAIRS = 1 << 20
+PAIRS = 1 << 18
 # sets, and tokens of sets, in a block whose sets are verified
 MEMBERS, TOKENS = 512, 1 << 19
 
@@ -32,7 +32,7 @@ def counted(batches):
     import numpy as np
     import pyarrow as pa
 
-    often, schema = np.zeros(COUNTERS, np.int64), None
+    often, schema = np.zeros(COUNTERS, np.int32), None
     for batch in batches:
         batch = batch.filter(batch.column(batch.num_columns - 1).is_valid())
         flat, n = _lists(batch.column(batch.num_columns - 1))
@@ -45,7 +45,7 @@ def counted(batches):
         c = np.flatnonzero(often)
         for at in range(0, len(c), 1 << 16):
             part = c[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(part), f.type) for f in list(schema)[:-2]), pa.array(part.astype(np.int32)), pa.array(often[part])], schema=schema)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(part), f.type) for f in list(schema)[:-2]), pa.array(part.astype(np.int32)), pa.array(often[part].astype(np.int64))], schema=schema)
 
 
 def levels(counts):
@@ -115,7 +115,7 @@ def postings(often):
                 before[same] = key[same - back]
             blocks = np.ceil(2.0 ** (level / 8) / BLOCK).astype(np.int64)
             own = ((ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % blocks
-            most = max(1, (PAIRS // 4) // max(1, int(blocks.max(initial=1))))
+            most = max(1, PAIRS // max(1, int(blocks.max(initial=1))))
             for begin in range(0, len(key), most):
                 part = slice(begin, begin + most)
                 x = np.repeat(np.arange(len(key))[part], blocks[part])
@@ -192,7 +192,8 @@ def _met(batches, build, compare):
                 sets.append(part)
                 built = None
             else:
-                built = built or build(sets)
+                if built is None:
+                    built, sets = build(sets), []
                 yield from compare(built, part)
 
 

@@ -165,6 +165,9 @@ def _alike(rows: DataFrame, t: Column, least: float, by: list[str]) -> tuple[Dat
     wanted = written(cells.join(members.drop("label", "n"), "i"), "wanted")
     if (wanted.agg(F.sum(64 + 8 * F.size("cells"))).first()[0] or 0) <= BROADCAST_BYTES:
         wanted = F.broadcast(wanted)
+    else:
+        # ids alone may yet be small enough, so that only texts of near sets are moved
+        named = named.join(sized(wanted.select(*by, F.col("a").alias("doc_id")), "wanted-ids"), [*by, "doc_id"], "left_semi")
     again = named.join(wanted.withColumnRenamed("a", "doc_id"), [*by, "doc_id"]).select("cells", "i", *by, F.col("doc_id").alias("a"), "digest", hashed)
     again = again.select(F.explode("cells").alias("cell"), "i", F.lit(None).cast("bigint").alias("j"), *by, "a", "digest", "t")
     meet = again.unionByName(told, allowMissingColumns=True).repartition("cell").sortWithinPartitions("cell", F.col("j").asc_nulls_first())
